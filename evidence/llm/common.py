@@ -95,6 +95,30 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     return cur.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
 
 
+#: Bounds of a bit filter: at least 2**17 bits, at most 2**28 (32 MB); beyond, it only passes more.
+FILTER_BITS = (17, 28)
+
+
+def bit_filter(values: DataFrame, column: str) -> np.ndarray:
+    """Bit set over the distinct 64-bit hashes in a column of a saved table, to be sent to all tasks.
+
+    It passes all of them and few others; its size follows their number within FILTER_BITS.
+    """
+    bits = min(max(int(16 * values.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    word = F.shiftrightunsigned(F.col(column), 70 - bits).alias("word")
+    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 63 as int))")
+    found = values.groupBy(word).agg(F.bit_or(one).alias("value")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[found.column("word").to_numpy()] = found.column("value").to_numpy().view(np.uint64)
+    return out
+
+
+def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each unsigned 64-bit value may be in a bit filter."""
+    at = values >> np.uint64(65 - (len(bits) * 64).bit_length())
+    return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 # ---------------------------------------------------------------- bytes of Arrow batches
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -240,6 +264,13 @@ def band_keys(low: np.ndarray, rows: int) -> np.ndarray:
     return acc
 
 
+def pack(low: np.ndarray, bits: int) -> np.ndarray:
+    """The low bits of minima, side by side in 64-bit words."""
+    cells = 64 // bits
+    part = (low & np.uint64((1 << bits) - 1)).reshape(low.shape[0], -1, cells)
+    return np.bitwise_or.reduce(part << (np.arange(cells, dtype=np.uint64) * np.uint64(bits)), axis=2)
+
+
 def as_signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 

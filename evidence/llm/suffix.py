@@ -31,8 +31,6 @@ LENGTH, GRAM = 100, 24
 REACH = LENGTH - GRAM + 1
 #: Buckets with more runs than this are sorted by Spark, spread over tasks by content.
 BUCKET = 2048
-#: Bounds of the filter over samples: at least 2**17 bits, at most 2**28 (32 MB), then it only passes more.
-FILTER_BITS = (17, 28)
 
 
 def sampled_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -82,8 +80,7 @@ def _scan(filter_bits: np.ndarray | None):
             if filter_bits is None:
                 yield pa.RecordBatch.from_arrays([pa.array(C.as_signed(sample))], names=["sample"])
                 continue
-            bit = sample >> np.uint64(64 - int(len(filter_bits) * 64).bit_length() + 1)
-            hit = np.flatnonzero(inner | ((filter_bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool))
+            hit = np.flatnonzero(inner | C.passes(filter_bits, sample))
             doc, key = (batch.column(i).take(pa.array(text[hit])) for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(C.as_signed(sample[hit])), pa.array(C.as_signed(content[hit])), doc, key, pa.array(at[hit].astype(np.int32)), pa.array(n[hit].astype(np.int32)), pa.array(inner[hit])],
@@ -94,14 +91,9 @@ def _scan(filter_bits: np.ndarray | None):
 
 
 def _repeated_filter(docs: DataFrame, s: C.Scratch) -> np.ndarray:
-    """Bit set over samples that occur twice or more; its size follows their number within FILTER_BITS."""
+    """Bit filter over the samples that occur twice or more."""
     seen = s.save(docs.mapInArrow(_scan(None), "sample bigint").groupBy("sample").count().where("count > 1").select("sample"))
-    bits = min(max(int(16 * seen.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-    bit = F.shiftrightunsigned("sample", 64 - bits)
-    words = seen.groupBy(F.shiftrightunsigned(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(sample, {64 - bits}) & 63 as int))")).alias("value"))
-    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    found = words.toArrow()
-    out[found.column("word").to_numpy()] = found.column("value").to_numpy().view(np.uint64)
+    out = C.bit_filter(seen, "sample")
     s.drop(seen)
     return out
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import quality
 
@@ -29,6 +30,35 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_dedup
+
+    out = line_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_kept", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .unigram import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .forest import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .unigram import encoded_digests
+
+    return encoded_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,7 +70,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
+    "op3_tokens": op3_tokens,
     "op5_suffix": op5_suffix,
+    "op6_lines": op6_lines,
+    "op7_forest": op7_forest,
+    "op8_pieces": op8_pieces,
     "op10_packing": op10_packing,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, quotes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_order(_table(spark, sf_dir, "conversations"))
+
+
 def op7_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .forest import near_vectors
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
     "op3_tokens": op3_tokens,
+    "op4_quotes": op4_quotes,
     "op5_suffix": op5_suffix,
     "op6_lines": op6_lines,
     "op7_forest": op7_forest,
@@ -78,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality": quality.SQL, "op4_quotes": quotes.SQL}

@@ -1,11 +1,14 @@
-"""Binds the operators to the given tables: queries and the SQL that gives the same rows."""
+"""All registered queries of the library and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from . import filters, gating, joins, pairing, scalars, stats, voting  # noqa: F401  each registers its queries
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)

@@ -6,10 +6,8 @@ share of equal 4-bit cells, corrected for chance collisions, discards the hopele
 every link is then confirmed on the full shingle sets. At a similarity of 0.8 a pair
 misses all 32 bands with a probability of 3e-6.
 
-How groups stay small in every task: equal sets collapse into one class first; a bucket
-then offers each member only its smallest member (a star); after those links are joined
-into components, only pairs across components remain to be tested, and buckets beyond
-`BLOCK` members are compared block by block on 80-byte signatures.
+Equal sets collapse into one class first; `linking` says how the rest is compared without
+emitting all pairs of a bucket.
 """
 
 from __future__ import annotations
@@ -18,26 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .linking import BITS, link
 
-HASHES, ROWS, BITS = 160, 5, 4
+HASHES, ROWS = 160, 5
 WIDTH = HASHES * BITS // 64  # longs of a signature
-BLOCK = 48
-#: Signature similarity under which a candidate is discarded: 0.8 less four standard errors.
-LEAST_ESTIMATE = 0.66
 
 _PROFILE = "n_shingles bigint, h1 bigint, h2 bigint, sig array<bigint>, bands array<bigint>"
 
 
-def _pack(low: np.ndarray) -> np.ndarray:
-    """The low bits of the minima, 16 to a 64-bit word."""
-    cells = (low & np.uint64(15)).reshape(low.shape[0], WIDTH, 16)
-    return np.bitwise_or.reduce(cells << (np.arange(16, dtype=np.uint64) * np.uint64(BITS)), axis=2)
-
-
 def _profiles(size: int, keep: list[str]):
     """Map function: shingle count, 128-bit set key, signature and band keys of each text."""
 
@@ -58,75 +48,13 @@ def _profiles(size: int, keep: list[str]):
                 key[full, 1] = np.add.reduceat(C.mix(sets ^ np.uint64(0x5851F42D4C957F2D)), starts[:-1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in keep]
-                + [pa.array(n), pa.array(C.as_signed(key[:, 0].copy())), pa.array(C.as_signed(key[:, 1].copy())), C.list_array(_pack(low), WIDTH), C.list_array(C.band_keys(low, ROWS), HASHES // ROWS)],
+                + [pa.array(n), pa.array(C.as_signed(key[:, 0].copy())), pa.array(C.as_signed(key[:, 1].copy())), C.list_array(C.pack(low, BITS), WIDTH), C.list_array(C.band_keys(low, ROWS), HASHES // ROWS)],
                 names=[*keep, "n_shingles", "h1", "h2", "sig", "bands"],
             )
 
     return run
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from two packed signatures: p = C + (1 - C) * J with C = 2 ** -BITS."""
-
-    def unequal(x: Column, y: Column) -> Column:
-        d = x.bitwiseXOR(y)
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-        return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
-
-    differ = sum((unequal(a[i], b[i]) for i in range(1, WIDTH)), unequal(a[0], b[0]))
-    chance = 2.0**-BITS
-    return (F.lit(1.0) - differ / F.lit(float(HASHES)) - chance) / (1 - chance)
-
-
-def _compare_blocks(pdf):
-    """Candidate pairs of one pair of blocks of one large bucket, across components only."""
-    import pandas as pd
-
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    a, b = (np.array(x["sig"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(x), WIDTH) for x in (left, right))
-    d = a[:, None, :] ^ b[None, :, :]
-    d |= d >> np.uint64(1)
-    d |= d >> np.uint64(2)
-    differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=2)
-    near = (1 - differ / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS) >= LEAST_ESTIMATE
-    near &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
-    i, j = np.nonzero(near)
-    x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-    return pd.DataFrame({"hi": np.maximum(x, y), "lo": np.minimum(x, y)})
-
-
-def _verify(size: int, percent: int):
-    """Map function: keep the pairs whose full shingle sets reach percent / 100."""
-
-    def sets_of(column: pa.Array, ids: list[int], cache: dict) -> list[np.ndarray]:
-        raw, offsets = C.string_bytes(column)
-        out = []
-        for k, i in enumerate(ids):
-            part = raw[offsets[k] : offsets[k + 1]]
-            own = (i, part.tobytes())
-            if own not in cache:
-                words, bounds = C.word_hashes(part, np.array([0, len(part)]), lower=True)
-                if len(cache) > 64:
-                    cache.clear()
-                cache[own] = np.unique(C.shingles(words, bounds, size)[0])
-            out.append(cache[own])
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches, "hi_text"):
-            cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            hi, lo = cols["hi"].to_pylist(), cols["lo"].to_pylist()
-            keep, cache = [], {}
-            for a, b in zip(sets_of(cols["hi_text"], hi, {}), sets_of(cols["lo_text"], lo, cache), strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both) and both > 0)
-            mask = pa.array(keep, type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([cols["hi"], cols["lo"]], names=["hi", "lo"]).filter(mask)
-
-    return run
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch: C.Scratch | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -148,45 +76,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
 
     # one class for each distinct set; its smallest document stands for it
     live = prof.where("n_shingles > 0 and doc_id is not null")
-    classes = live.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("n"))
-    reps = s.save(live.select("doc_id", "text_key", "h1", "h2", "sig", "bands").join(classes.select("rep.*"), ["doc_id", "text_key"], "left_semi").select(F.col("doc_id").alias("id"), "text_key", "h1", "h2", "sig", "bands"))
-
-    buckets = reps.select("id", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("top")).where("lo < top").select("key", "lo")
-    members = s.save(buckets.join(shared, "key"))
+    classes = live.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"))
+    reps = s.save(live.join(classes.select("rep.*"), ["doc_id", "text_key"], "left_semi").select(F.col("doc_id").alias("id"), "text_key", "sig", "bands"))
 
-    # first round: each member against the smallest member of all its buckets
-    signature = reps.select("id", "sig")
-    star = members.where("id > lo").groupBy("id").agg(F.min("lo").alias("lo")).select(F.col("id").alias("hi"), "lo")
-    first = _linked(star, signature, reps, keyed, size, percent, s)
     # a document with several texts stands in several classes: those are linked
-    same_doc = live.join(classes.where("n > 0").select("h1", "h2", F.col("rep.doc_id").alias("rep")), ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("hi"), F.col("rep").alias("lo"))
-    repeated = live.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("sets")).where("sets > 1").select(F.col("doc_id").alias("hi"))
-    first = s.save(first.union(same_doc.join(repeated, "hi", "left_semi")))
-    comp = s.save(C.connected_components(first, s))
-
-    # second round: what shares a bucket across components
-    now = members.join(comp, members["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("key", "n")
-    rest = s.save(now.join(mixed, "key"))
-    small = (
-        rest.where(F.col("n") <= BLOCK).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "comp"))).alias("m"))
-        .select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.comp <> x.comp), y -> struct(y.id as hi, x.id as lo))))")).alias("p"))
-        .select("p.hi", "p.lo").distinct()
-    )
-    # large ones: what is outside the bucket's main component against all members, in blocks
-    large = rest.where(F.col("n") > BLOCK)
-    main = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("c"))
-    blocks = main.select("key", "main", F.ceil((F.col("m") - F.col("c")) / 256).cast("int").alias("lefts"), F.ceil(F.col("m") / 256).cast("int").alias("rights"))
-    dealt = large.join(blocks, "key").join(signature, "id")
-    side = lambda own, others: (F.pmod(F.xxhash64("id"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
-    (lb, lo_), (rb, ro_) = side("lefts", "rights"), side("rights", "lefts")
-    left = dealt.where("comp <> main").select("key", lb.alias("bi"), lo_.alias("bj"), F.lit(0).alias("side"), "id", "comp", "sig")
-    right = dealt.select("key", ro_.alias("bi"), rb.alias("bj"), F.lit(1).alias("side"), "id", "comp", "sig")
-    spread = left.union(right).groupBy("key", "bi", "bj").applyInPandas(_compare_blocks, "hi bigint, lo bigint").distinct()
-    again = _linked(small.union(spread).distinct(), signature, reps, keyed, size, percent, s)
-    edges = s.save(first.union(again))
-    comp = s.save(C.connected_components(edges, s))
+    several = live.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("sets")).where("sets > 1").select("doc_id")
+    own = live.join(several, "doc_id", "left_semi").join(classes, ["h1", "h2"]).where("doc_id <> rep.doc_id").select(F.col("doc_id").alias("hi"), F.col("rep.doc_id").alias("lo"))
+    comp = link(reps, lambda ids: _items(ids, reps, keyed, size, s), percent, WIDTH, s, own)
 
     rep_of = classes.select("h1", "h2", F.col("rep.doc_id").alias("rep"))
     named = rep_of.join(comp, rep_of["rep"] == comp["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
@@ -195,14 +91,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _linked(pairs: DataFrame, signature: DataFrame, reps: DataFrame, keyed: DataFrame, size: int, percent: int, s: C.Scratch) -> DataFrame:
-    """The pairs (hi, lo) of classes whose sets are similar enough."""
-    a = signature.select(F.col("id").alias("hi"), F.col("sig").alias("a"))
-    b = signature.select(F.col("id").alias("lo"), F.col("sig").alias("b"))
-    pairs = s.save(pairs.join(a, "hi").join(b, "lo").where(estimate(F.col("a"), F.col("b")) >= LEAST_ESTIMATE).select("hi", "lo"))
-    wanted = pairs.select(F.col("hi").alias("id")).union(pairs.select(F.col("lo").alias("id"))).distinct()
-    at = reps.select("id", "text_key").join(wanted, "id", "left_semi")
-    texts = s.save(keyed.join(at, (keyed["doc_id"] == at["id"]) & (keyed["text_key"] == at["text_key"]), "left_semi").select("doc_id", "text_key", "text").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text"))
-    x = texts.select(F.col("doc_id").alias("hi"), F.col("text").alias("hi_text"))
-    y = texts.select(F.col("doc_id").alias("lo"), F.col("text").alias("lo_text"))
-    return s.save(pairs.join(x, "hi").join(y, "lo").select("hi", "lo", "hi_text", "lo_text").mapInArrow(_verify(size, percent), "hi bigint, lo bigint"))
+def _sets(size: int, bits: np.ndarray):
+    """Map function: the shingle sets of the rows whose text_key passes the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            batch = batch.filter(pa.array(C.passes(bits, batch.column(batch.schema.get_field_index("text_key")).to_numpy().view(np.uint64))))
+            raw, offsets = C.string_bytes(batch.column(batch.schema.get_field_index("text")))
+            sets, at = C.distinct_sorted(*C.shingles(*C.word_hashes(raw, offsets, lower=True), size))
+            doc, key = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_key"))
+            yield pa.RecordBatch.from_arrays([doc, key, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(C.as_signed(sets)))], names=["doc_id", "text_key", "items"])
+
+    return run
+
+
+def _items(ids: DataFrame, reps: DataFrame, keyed: DataFrame, size: int, s: C.Scratch) -> DataFrame:
+    """The shingle sets (id, items) of some classes, computed where their texts are."""
+    at = s.save(reps.select("id", "text_key").join(ids, "id", "left_semi"))
+    sets = keyed.mapInArrow(_sets(size, C.bit_filter(at, "text_key")), "doc_id bigint, text_key bigint, items array<bigint>")
+    found = sets.join(at, (sets["doc_id"] == at["id"]) & (sets["text_key"] == at["text_key"]), "left_semi")
+    return found.select(F.col("doc_id").alias("id"), "items").distinct()

@@ -68,7 +68,7 @@ def _row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"))
 
 
-def quality_rules(docs: DataFrame, share: float = 0.05, least: int = 20, depleted: float = 0.7, with_text: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, share: float = 0.05, least: int = 20, depleted: float = 0.7, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: doc_id, the measures, base_failed, the removals and kept.
 
     docs needs doc_id, text and source (the host). A line is normalised and hashed; it is
@@ -78,19 +78,20 @@ def quality_rules(docs: DataFrame, share: float = 0.05, least: int = 20, deplete
     what goes; a document that loses more than `depleted` of its words is rejected, as is one
     with base_failed (under ten words, or over a fifth of them in repeated windows).
     with_text adds clean_text, the text without its removed lines (null for a null text).
+    Columns named in carry are passed on.
 
     Null or empty text: no words, so base_failed. A null source is a host of its own. Rows
     that agree in doc_id, source and text get one verdict, each row its own output row.
     Other columns are not read.
     """
-    docs = docs.select("doc_id", "source", "text")
-    measured = docs.select("doc_id", "text", _row_key().alias("row_key"), measures(F.col("text")).alias("m"))
+    docs = docs.select("doc_id", "source", "text", F.struct(F.lit(0).alias("none"), *carry).alias("extra"))
+    measured = docs.select("doc_id", "text", "extra", _row_key().alias("row_key"), measures(F.col("text")).alias("m"))
     lines, above = frequent_lines(docs, share, least)
     gone = lines.join(above, ["host", "line"], "left_semi").groupBy("row_key", "pos").agg(F.max("words").alias("words")).groupBy("row_key")
     gone = gone.agg(F.count(F.lit(1)).alias("lines"), F.sum("words").alias("words"), *([F.collect_set("pos").alias("at")] if with_text else []))
     n = F.col("n_words")
     out = (
-        measured.select("doc_id", "row_key", *(["text"] if with_text else []), "m.w.n_words", "m.w.word_chars", "m.n_symbols", "m.n_dup_lines", "m.w.n_repeat_words")
+        measured.select("doc_id", "row_key", "extra", *(["text"] if with_text else []), "m.w.n_words", "m.w.word_chars", "m.n_symbols", "m.n_dup_lines", "m.w.n_repeat_words")
         .withColumn("base_failed", (n < 10) | (100 * F.col("n_repeat_words") > 20 * n))
         .join(gone, "row_key", "left")
         .withColumn("n_removed_lines", F.coalesce("lines", F.lit(0)))
@@ -100,7 +101,7 @@ def quality_rules(docs: DataFrame, share: float = 0.05, least: int = 20, deplete
     if with_text:
         rest = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("at"), i))
         out = out.withColumn("clean_text", F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_lines", "n_removed_words", "kept", *(["clean_text"] if with_text else []))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_lines", "n_removed_words", "kept", *(["clean_text"] if with_text else []), *(F.col(f"extra.`{c}`") for c in carry))
 
 
 #: The same rows in SQL, with the default parameters.

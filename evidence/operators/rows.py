@@ -62,13 +62,15 @@ def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def chapters(pages: DataFrame, key: str, html: str, expected: Sequence[str] | None = None) -> DataFrame:
-    """Text of each chapter of a page, from one h2 with an id to the next: key, chapter, title, text.
+    """Text of each chapter of a page, from one h2 to the next: key, chapter, title, text.
 
-    With expected, a page whose chapters are not exactly these fails the query.
+    A chapter is named by its heading's id, or by the heading's words without one. With expected, a page whose chapters are not exactly these fails the query.
     """
-    parts = F.slice(F.split(html, r"(?i)(?=<h2\b[^>]*\bid=)"), 2, 2147483647)
+    parts = F.slice(F.split(html, r"(?i)(?=<h2\b)"), 2, 2147483647)
     rows = pages.select(key, F.posexplode(parts).alias("pos", "part"))
-    out = rows.select(key, "pos", F.regexp_extract("part", r"(?i)<h2\b[^>]*\bid=[\"']?([^\"'\s>]+)", 1).alias("chapter"), X.html_flat(F.regexp_extract("part", r"(?is)<h2\b[^>]*>(.*?)</h2>", 1)).alias("title"), X.html_paragraphs(F.regexp_replace("part", r"(?is)^<h2\b.*?</h2>", "")).alias("text"))
+    title = X.html_flat(F.regexp_extract("part", r"(?is)<h2\b[^>]*>(.*?)</h2>", 1))
+    named = F.regexp_extract("part", r"(?i)^<h2\b[^>]*\bid=[\"']?([^\"'\s>]+)", 1)
+    out = rows.select(key, "pos", F.when(named != "", named).otherwise(X.slugify(title)).alias("chapter"), title.alias("title"), X.html_paragraphs(F.regexp_replace("part", r"(?is)^<h2\b.*?</h2>", "")).alias("text"))
     if expected is None:
         return out
     w = Window.partitionBy(key)
@@ -93,6 +95,6 @@ def article_date(pages: DataFrame, html: str, as_of: Column) -> DataFrame:
     keys = ("article:published_time", "datePublished", "og:published_time")
     meta = [F.regexp_extract(html, rf"(?is)(?:property|name|itemprop)=[\"']{k}[\"'][^>]*content=[\"']([^\"']{{10}})", 1) for k in keys]
     first = F.coalesce(*[F.when(m != "", m) for m in meta])
-    time = F.try_to_date(F.substring(F.regexp_extract(html, r"(?is)<time\b[^>]*datetime=[\"']([^\"']+)", 1), 1, 10), F.lit("yyyy-MM-dd"))
+    time = F.try_to_date(F.substring(F.regexp_extract(html, r"(?is)<time\b[^>]*datetime=[\"']([^\"']+)", 1), 1, 10), "yyyy-MM-dd")
     date = F.coalesce(first, F.when(time <= as_of, time.cast("string")))
     return pages.withColumn("date", date).withColumn("reason", F.when(date.isNull(), "no usable date"))

@@ -1 +1,230 @@
-"""Queries."""
+"""Gates, checks, upserts, files and ordered scans bound to the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import text as X
+from ..operators import gates as G
+from ..operators import incremental as N
+from ..operators import rows as R
+from ..operators import sequential as Q
+from ..operators import votes as V
+from ..sources import files
+from .registry import Tables, query
+
+
+@query("""with s as (select l_orderkey + case when l_partkey % 23 = 0 then 10000000 else 0 end as ballot, l_linenumber as chapter, l_suppkey, l_partkey, substr(l_returnflag, 1, 1) as quote, l_linenumber % 4 as n from lineitem),
+    ch as (select unnest(range(1, 7)) as chapter, 'A text of R and N' as text), ty as (select l_orderkey as ballot, count(*) as data_n from lineitem group by 1)
+  select s.ballot, s.chapter, l_suppkey, l_partkey, case when ch.text is null then 'chapter missing' when not contains(ch.text, quote) then 'quote not in text' when o_orderkey is null then 'ballot missing'
+    when a.k is not null then 'ballot annulled' when n is distinct from data_n then 'tally differs' end as reason
+  from s left join ch using (chapter) left join orders on o_orderkey = s.ballot left join (select distinct l_orderkey as k from lineitem where l_tax = 0.08) a on a.k = s.ballot left join ty on ty.ballot = s.ballot""")
+def gate_commitment(t: Tables) -> DataFrame:
+    s = t.lineitem.select(
+        (F.col("l_orderkey") + F.when(F.col("l_partkey") % 23 == 0, 10000000).otherwise(0)).alias("ballot"), F.col("l_linenumber").alias("chapter"), "l_suppkey", "l_partkey",
+        F.substring("l_returnflag", 1, 1).alias("quote"), (F.col("l_linenumber") % 4).cast("bigint").alias("n"),
+    )
+    chapters = t.region.select(F.explode(F.sequence(F.lit(1), F.lit(6))).alias("chapter")).distinct().withColumn("text", F.lit("A text of R and N"))
+    tallies = t.lineitem.groupBy(F.col("l_orderkey").alias("ballot")).agg(F.count(F.lit(1)).alias("data_n"))
+    annulled = t.lineitem.where("l_tax = 0.08").select(F.col("l_orderkey").alias("ballot"))
+    out = G.gate_commitment(s, chapters, t.orders.select(F.col("o_orderkey").alias("ballot")), annulled, tallies, ["ballot"], ["n"])
+    return out.select("ballot", "chapter", "l_suppkey", "l_partkey", "reason")
+
+
+REF_SQL = r"""r as (select event_id, user_id as number, (event_id % 9)::integer as session, 'Ballot no. ' || user_id || ' of session ' || (event_id % 7) as ref, 'p' || event_id as snippet from events where event_type = 'click'),
+  p as (select *, regexp_extract(ref, 'no\. (\d+)', 1)::bigint as rn, regexp_extract(ref, 'session (\d+)', 1)::integer as rs from r)"""
+
+
+def _refs(t: Tables) -> DataFrame:
+    r = t.events.where("event_type = 'click'").select("event_id", F.col("user_id").alias("number"), (F.col("event_id") % 9).cast("int").alias("session"))
+    ref = F.concat(F.lit("Ballot no. "), F.col("number").cast("string"), F.lit(" of session "), (F.col("event_id") % 7).cast("string"))
+    return r.withColumn("rn", F.regexp_extract(ref, r"no\. (\d+)", 1).try_cast("bigint")).withColumn("rs", F.regexp_extract(ref, r"session (\d+)", 1).try_cast("int"))
+
+
+@query(f"with {REF_SQL} select event_id, nullif(concat_ws('; ', case when rn <> number then 'number differs' end, case when rs <> session then 'session differs' end), '') as reasons from p")
+def ballot_ref_check(t: Tables) -> DataFrame:
+    reasons = F.concat_ws("; ", F.when(F.col("rn") != F.col("number"), "number differs"), F.when(F.col("rs") != F.col("session"), "session differs"))
+    return _refs(t).select("event_id", F.when(reasons != "", reasons).alias("reasons"))
+
+
+@query(f"with {REF_SQL} select count(*) as total, count(*) filter (where rs <> session) as failures from p")
+def gate_annotation(t: Tables) -> DataFrame:
+    return _refs(t).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("rs") != F.col("session")).alias("failures"))
+
+
+RULES_SQL = """concat_ws(';', case when value is null or value < 0 or value > 100 then 'score out of range' end, case when user_id % 13 = 0 then 'no person' end,
+  case when event_type not in ('click', 'view', 'purchase') then 'unknown kind' end, case when event_type = 'purchase' and value < 80 then 'tier differs' end)"""
+
+
+def _errors(t: Tables) -> DataFrame:
+    v = F.col("value")
+    tests = {
+        "score out of range": v.isNull() | (v < 0) | (v > 100),
+        "no person": F.col("user_id") % 13 == 0,
+        "unknown kind": ~F.col("event_type").isin("click", "view", "purchase"),
+        "tier differs": (F.col("event_type") == "purchase") & (v < 80),
+    }
+    return G.errors_of(t.events, tests)
+
+
+@query(f"select event_id, {RULES_SQL} as errors from events")
+def schema_validate(t: Tables) -> DataFrame:
+    return _errors(t).select("event_id", F.array_join("errors", ";").alias("errors"))
+
+
+@query(f"""select event_type, count(*) as n, count(*) filter (where {RULES_SQL} <> '') as failing, count(*) filter (where value >= 95) as top, count(*) filter (where value >= 95) < 0.01 * count(*) as alarm from events group by 1""")
+def corpus_regression(t: Tables) -> DataFrame:
+    top = F.count_if(F.col("value") >= 95)
+    return _errors(t).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("errors") > 0).alias("failing"), top.alias("top")).withColumn("alarm", F.col("top") < 0.01 * F.col("n"))
+
+
+@query("""with o as (select event_id, ts < lag(ts) over (partition by user_id order by event_id) as bad from events), a as (select doc_id, len(text) <> n_chars as bad from documents), l as (select l.doc_id, d.doc_id is null as bad from labels l left join documents d using (doc_id))
+  select 'order' as name, count(*) as total, count(*) filter (where bad) as problems, count(*) filter (where bad) = 0 as ok, true as blocking from o union all
+  select 'length', count(*), count(*) filter (where bad), count(*) filter (where bad) = 0, true from a union all select 'label', count(*), count(*) filter (where bad), count(*) filter (where bad) = 0, false from l""")
+def source_crosscheck(t: Tables) -> DataFrame:
+    order = t.events.withColumn("bad", F.col("ts") < F.lag("ts").over(Window.partitionBy("user_id").orderBy("event_id")))
+    labels = t.labels.join(t.documents.select("doc_id", F.lit(True).alias("known")), "doc_id", "left")
+    return G.check_report({
+        "order": (order, F.col("bad"), True),
+        "length": (t.documents, F.length("text") != F.col("n_chars"), True),
+        "label": (labels, F.col("known").isNull(), False),
+    })
+
+
+@query("""with m as (select conv_id, turn, text, (conv_id * 8 + turn) % 15000 as ballot from conversations where role = 'assistant'),
+    c as (select m.*, o_orderstatus, case when contains(lower(text), ' was ') then 'PRO' when contains(lower(text), ' from ') then 'PROTI' end as said, case o_orderstatus when 'F' then 'PRO' else 'PROTI' end as did from m join orders on o_orderkey = ballot)
+  select conv_id, turn, ballot, said, did, case when o_orderstatus = 'P' then 'procedural vote' when said is null then 'side missing' when said = did then 'agrees' else 'mismatch' end as reason from c""")
+def vote_gold_cases(t: Tables) -> DataFrame:
+    from ..functions.score import mismatch_reason
+
+    m = t.conversations.where("role = 'assistant'").withColumn("ballot", (F.col("conv_id") * 8 + F.col("turn")) % 15000)
+    low = F.lower("text")
+    c = m.join(t.orders.withColumnRenamed("o_orderkey", "ballot"), "ballot").withColumn("said", F.when(low.contains(" was "), V.PRO).when(low.contains(" from "), V.AGAINST))
+    c = c.withColumn("did", F.when(F.col("o_orderstatus") == "F", V.PRO).otherwise(V.AGAINST)).withColumn("kind", F.when(F.col("o_orderstatus") == "P", "PROCEDURAL").otherwise("SUBSTANTIVE"))
+    return c.select("conv_id", "turn", "ballot", "said", "did", mismatch_reason(F.col("kind"), F.col("said"), F.col("did")).alias("reason")).distinct()
+
+
+@query("select e.kind as event_type, count(event_id) as n, count(event_id) < 2000 as problem from (select unnest(['click', 'view', 'error', 'refund']) as kind) e left join events on event_type = e.kind group by 1")
+def coverage_check(t: Tables) -> DataFrame:
+    return G.coverage(t.events, "event_type", ["click", "view", "error", "refund"], 2000)
+
+
+@query("""with u as (select o_orderkey, o_custkey, o_totalprice, 1 as batch from orders union all select o_orderkey, o_custkey + 1, o_totalprice * 2, 2 from orders where o_orderkey % 3 = 0)
+  select o_orderkey, o_custkey, o_totalprice, batch from (select *, row_number() over (partition by o_orderkey order by batch desc) as k from u) where k = 1""")
+def upsert_latest(t: Tables) -> DataFrame:
+    old = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", F.lit(1).alias("batch"))
+    new = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit(2).alias("batch"))
+    return N.upsert_latest(old, new, "o_orderkey", "batch")
+
+
+@query("""select o_orderkey, case when o_orderkey % 3 = 0 then o_custkey + 1 else o_custkey end as o_custkey, case when o_orderkey % 2 = 0 then 'yes' when o_orderkey % 3 = 0 then 'new' end as approved from orders""")
+def upsert_preserving(t: Tables) -> DataFrame:
+    old = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, "yes").alias("approved"))
+    new = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), F.lit("new").alias("approved"))
+    return N.upsert_preserving(old, new, "o_orderkey", ["approved"])
+
+
+@query("select o_orderkey, case when c_custkey is not null then 'passed' else o_orderstatus end as o_orderstatus from orders left join (select distinct c_custkey * 10 as c_custkey from customer) on c_custkey = o_orderkey")
+def apply_status(t: Tables) -> DataFrame:
+    decisions = t.customer.select((F.col("c_custkey") * 10).alias("o_orderkey"), F.lit("passed").alias("o_orderstatus"))
+    return N.apply_status(t.orders.select("o_orderkey", "o_orderstatus"), decisions, "o_orderkey", "o_orderstatus")[0]
+
+
+@query("""with c as (select user_id, max(ts) as stored, max(event_id) as answer from events group by 1)
+  select u.user_id, case when timestamp '2024-01-31 00:00:00' - stored <= interval 36 hour then answer end as answer, coalesce(timestamp '2024-01-31 00:00:00' - stored <= interval 36 hour, false) as hit
+  from (select distinct user_id from events union select -1) u left join c using (user_id)""")
+def ttl_cache_lookup(t: Tables) -> DataFrame:
+    cache = t.events.groupBy("user_id").agg(F.max("ts").alias("stored"), F.max("event_id").alias("answer"))
+    asked = t.events.select("user_id").distinct().union(t.nation.where("n_nationkey = 0").select(F.lit(-1).cast("bigint")))
+    return N.ttl_lookup(asked, cache, "user_id", "stored", "answer", F.lit("2024-01-31 00:00:00").cast("timestamp"), 36 * 3600)
+
+
+@query("""with p as (select l_orderkey as a, l_orderkey + 1 as b, l_partkey, l_suppkey, l_discount * 10 as contradiction, 1 - l_tax as similarity from lineitem where l_discount * 10 >= 0.5 and l_discount * 10 < 0.8 and 1 - l_tax >= 0.95)
+  select a, b, l_partkey, l_suppkey, x.o_custkey as person, y.o_custkey as b_message, c_name from p join orders x on x.o_orderkey = a join orders y on y.o_orderkey = b left join customer on c_custkey = x.o_custkey and c_custkey % 2 = 0 where x.o_custkey <> y.o_custkey""")
+def lead_queue(t: Tables) -> DataFrame:
+    pairs = t.lineitem.select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + 1).alias("b"), "l_partkey", "l_suppkey", (F.col("l_discount") * 10).alias("contradiction"), (1 - F.col("l_tax")).alias("similarity"))
+    claims = t.orders.select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("message_id"), F.col("o_orderpriority").alias("text"), F.col("o_custkey").alias("person"))
+    profiles = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("person"), "c_name")
+    return N.lead_queue(pairs, claims, profiles, 0.5, 0.8, 0.95).select("a", "b", "l_partkey", "l_suppkey", "person", "b_message", "c_name")
+
+
+@query("""with r as (select distinct sha256('role::v1::' || text) as cache_key from documents where text is not null), c as (select distinct sha256('role::v1::' || text) as cache_key from documents where doc_id % 3 = 0),
+  a as (select distinct sha256('role::v1::' || text) as cache_key from documents where doc_id % 5 = 0)
+  select r.cache_key, case when c.cache_key is not null then 'cached' when a.cache_key is not null then 'answered' else 'pending' end as state from r left join c using (cache_key) left join a using (cache_key)""")
+def model_call_plan(t: Tables) -> DataFrame:
+    d = t.documents.where("text is not null").select("doc_id", X.stable_key(F.lit("role"), F.lit("v1"), F.col("text")).alias("cache_key"))
+    return N.call_plan(d.select("cache_key"), d.where("doc_id % 3 = 0"), d.where("doc_id % 5 = 0"), "cache_key").select("cache_key", "state")
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def read_unl(t: Tables) -> DataFrame:
+    path = files.shared_path(t.spark, "unl")
+    files.write_unl(t.nation.select("n_nationkey", "n_name", "n_regionkey"), path)
+    schema = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.IntegerType())])
+    return files.read_unl(t.spark, path, schema).drop("seq")
+
+
+@query("select l_orderkey, l_linenumber, l_suppkey, l_partkey from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F')")
+def parse_vote_dumps(t: Tables) -> DataFrame:
+    parents = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return files.child_rows(t.lineitem, parents, "l_orderkey").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+
+
+@query("select conv_id, turn, role, text from conversations")
+def read_nested_corpus(t: Tables) -> DataFrame:
+    path = files.shared_path(t.spark, "nested")
+    nested = files.nested_dataset(t.conversations, "conv_id", "turn", ["turn", "role", "text"])
+    files.write_dataset(nested, path)
+    message = T.StructType([T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
+    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("messages", T.ArrayType(message))])
+    return t.spark.read.schema(schema).json(path).select("conv_id", F.explode("messages").alias("m")).select("conv_id", "m.*")
+
+
+@query("select conv_id, count(*)::integer as n_messages, sum(len(text))::bigint as characters from conversations group by conv_id")
+def write_dataset(t: Tables) -> DataFrame:
+    nested = files.nested_dataset(t.conversations, "conv_id", "turn", ["turn", "role", "text", "rawText"])
+    return nested.select("conv_id", "n_messages", F.aggregate("messages", F.lit(0).cast("bigint"), lambda a, m: a + F.length(m["text"])).alias("characters"))
+
+
+@query("select strftime(ts, '%Y-%m') as month, round(avg(value), 3) as mean, arg_max(value, ts) as last from events where value is not null group by 1")
+def flatten_series(t: Tables) -> DataFrame:
+    return files.monthly(t.events, "ts", "value")
+
+
+@query("select sha256('role::v1::' || text) as cache_key, min('answer ' || doc_id) as response_text from documents where text is not null and doc_id % 4 = 0 group by 1")
+def model_responses(t: Tables) -> DataFrame:
+    path = files.shared_path(t.spark, "responses")
+    d = t.documents.where("text is not null and doc_id % 4 = 0").groupBy(X.stable_key(F.lit("role"), F.lit("v1"), F.col("text")).alias("cache_key")).agg(F.min(F.concat(F.lit("answer "), F.col("doc_id").cast("string"))).alias("a"))
+    d.select("cache_key", F.concat(F.lit("```text\n"), F.col("a"), F.lit("\n```")).alias("response_text")).write.json(path)
+    return files.read_responses(t.spark, path)
+
+
+@query()
+def resolve_ambiguous_clock(t: Tables) -> DataFrame:
+    e = t.events.select("event_id", "user_id", F.to_date("ts").alias("d"), F.date_format("ts", "Hmm").alias("digits"))
+    return Q.ambiguous_clocks(e, ["user_id", "d"], "event_id", "digits")
+
+
+@query()
+def greedy_anchor_match(t: Tables) -> DataFrame:
+    e = t.events.select("user_id", F.to_date("ts").alias("d"), F.col("event_id").alias("pos"), F.col("event_type").alias("label"))
+    right = e.where("pos % 4 <> 0").withColumn("anchor", F.col("pos"))
+    return Q.greedy_anchor_match(e, right, ["user_id", "d"], "pos", "label", "anchor")
+
+
+@query()
+def longest_common_block(t: Tables) -> DataFrame:
+    c = t.conversations.where("turn = 1").select("conv_id", F.array_join(F.slice(F.split("text", " "), 3, 6), " ").alias("quote"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    return Q.longest_common_block(c.withColumn("a", F.col("pos") * 0.5).withColumn("b", F.col("pos") * 0.5 + 0.4), "conv_id", "pos", "word", "a", "b", "quote")
+
+
+@query()
+def article_date(t: Tables) -> DataFrame:
+    return R.article_date(t.pages, "html", F.lit("2025-01-01").cast("date")).select("page_id", "date", "reason")
+
+
+@query()
+def chapters_from_html(t: Tables) -> DataFrame:
+    return R.chapters(t.pages, "page_id", "html")

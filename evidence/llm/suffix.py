@@ -67,7 +67,7 @@ def sampled_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
     same = grams[np.minimum(at[:, None] + np.arange(REACH), len(grams) - 1)] == least[at][:, None]
     inner = (same.sum(axis=1) > 1) | (to - at > same.argmax(axis=1) + 1)
     text = valid[at]
-    return text, least[at], content, at - offsets[:-1][text], to - at, inner
+    return text, C.mix(least[at]), content, at - offsets[:-1][text], to - at, inner  # minima are small numbers: spread them
 
 
 def _scan(filter_bits: np.ndarray | None):

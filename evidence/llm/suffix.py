@@ -190,30 +190,34 @@ def _explode_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(C.as_signed(suffix)), batch.column(1).take(take), batch.column(2).take(take), pa.array((batch.column(3).to_numpy()[run] + k).astype(np.int32))], names=["suffix", "doc_id", "text_key", "at"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(as_text: bool):
     """Map function: what stays of each text when its ranges go."""
-    for batch in C.slices(batches):
-        col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-        raw, offsets = C.string_bytes(col["text"])
-        out = []
-        for i, ranges in enumerate(col["ranges"].to_pylist()):
-            text = raw[offsets[i] : offsets[i + 1]]
-            spans: list[list[int]] = []
-            for x in sorted((r["begin"], r["end"]) for r in ranges or ()):
-                if spans and x[0] <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], x[1])
-                else:
-                    spans.append(list(x))
-            keep = np.ones(len(text), dtype=bool)
-            for a, b in spans:
-                keep[a:b] = False
-            rest = text[keep].tobytes()
-            out.append((len(text), len(text) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest))
-        n, gone, spans, sha, rest = zip(*out, strict=True) if out else ([],) * 5
-        yield pa.RecordBatch.from_arrays(
-            [col["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(rest, pa.binary()), col["extra"]],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "extra"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            raw, offsets = C.string_bytes(col["text"])
+            out = []
+            for i, ranges in enumerate(col["ranges"].to_pylist()):
+                text = raw[offsets[i] : offsets[i + 1]]
+                spans: list[list[int]] = []
+                for x in sorted((r["begin"], r["end"]) for r in ranges or ()):
+                    if spans and x[0] <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], x[1])
+                    else:
+                        spans.append(list(x))
+                keep = np.ones(len(text), dtype=bool)
+                for a, b in spans:
+                    keep[a:b] = False
+                rest = text[keep].tobytes()
+                out.append((len(text), len(text) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest))
+            n, gone, spans, sha, rest = zip(*out, strict=True) if out else ([],) * 5
+            yield pa.RecordBatch.from_arrays(
+                [col["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array([x.decode(errors="ignore") for x in rest], pa.string()) if as_text else pa.array(rest, pa.binary()), col["extra"]],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "extra"],
+            )
+
+    return run
 
 
 def repeated_ranges(docs: DataFrame, s: C.Scratch) -> DataFrame:
@@ -242,13 +246,14 @@ def repeated_ranges(docs: DataFrame, s: C.Scratch) -> DataFrame:
     return by_rank.union(by_bucket).union(by_suffix)
 
 
-def suffix_dedup(docs: DataFrame, carry: tuple[str, ...] = (), scratch: C.Scratch | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False, scratch: C.Scratch | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     docs needs doc_id and text; a text is its UTF-8 bytes. Every byte goes that a 100-byte
     string covers which also starts earlier: in a smaller doc_id, or in the same document at
-    a smaller start. kept holds the remaining bytes (a cut may split a character). Columns
-    named in carry are passed on; others are not read.
+    a smaller start. kept holds the remaining bytes (a cut may split a character); with as_text
+    it is a string without what is left of split characters. Columns named in carry are
+    passed on; others are not read.
 
     Texts of one doc_id are ordered by their hash; rows that agree in doc_id and text are one
     document, and each gets its result. Null or empty text: no bytes, nothing removed. A null
@@ -260,5 +265,5 @@ def suffix_dedup(docs: DataFrame, carry: tuple[str, ...] = (), scratch: C.Scratc
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(first)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), extra).withColumn("text_key", F.xxhash64("text"))
     ranges = s.save(repeated_ranges(keyed.select("doc_id", "text_key", "text"), s)).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     joined = keyed.join(ranges.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text", "ranges", "extra")
-    cut = joined.mapInArrow(_cut, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, extra {joined.schema['extra'].dataType.simpleString()}")
+    cut = joined.mapInArrow(_cut(as_text), f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept {'string' if as_text else 'binary'}, extra {joined.schema['extra'].dataType.simpleString()}")
     return cut.select(F.when(F.col("doc_id") > first, F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(F.col(f"extra.`{c}`") for c in carry))

@@ -9,17 +9,17 @@ columns of documents, but for the last, which says where each piece of a text is
 4. suffix dedup: bytes go that a string of 100 bytes covers which also starts earlier;
 5. packing into sequences of at most 1024 tokens.
 
-Documents whose whole text goes in stage 2 or 4 go with it; those that came with an empty or
-null text were rejected in stage 1.
+Documents that stage 2 or 4 leaves without a word go; those that came without one were
+rejected in stage 1.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence.llm.common import Scratch
+from evidence.llm.common import WORD, Scratch
 from evidence.llm.lines import line_dedup
 from evidence.llm.minhash import near_duplicates
 from evidence.llm.packing import pack
@@ -29,22 +29,22 @@ from evidence.llm.suffix import suffix_dedup
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _documents(docs: DataFrame, text, *extra) -> DataFrame:
+def _documents(docs: DataFrame, text: Column) -> DataFrame:
     """The columns of documents with a new text and its length."""
-    length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return docs.select("doc_id", text.alias("text"), "lang", "source", *extra).withColumn("n_chars", length).select(*COLUMNS, *extra)
+    length = F.coalesce(F.length("text"), F.lit(0)).cast("bigint")
+    return docs.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", length).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1."""
-    out = quality_rules(docs, with_text=True, carry=("lang", "source", "n_chars"))
+    out = quality_rules(docs, with_text=True, carry=("lang", "source"))
     return _documents(out.where("kept"), F.col("clean_text"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6."""
-    out = line_dedup(docs, carry=("lang", "source", "n_chars"))
-    return _documents(out.where("n_kept > 0 and (clean_text <> '' or n_lines = n_kept)"), F.col("clean_text"))
+    out = line_dedup(docs, carry=("lang", "source"))
+    return _documents(out.where((F.col("n_lines") == F.col("n_kept")) | F.regexp_like("clean_text", F.lit(WORD))), F.col("clean_text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5."""
-    out = suffix_dedup(docs, carry=("lang", "source", "n_chars"), as_text=True)
-    return _documents(out.where("n_removed < n_bytes or n_bytes = 0"), F.col("kept"))
+    out = suffix_dedup(docs, carry=("lang", "source"), as_text=True)
+    return _documents(out.where((F.col("n_removed") == 0) | F.regexp_like("kept", F.lit(WORD))), F.col("kept"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

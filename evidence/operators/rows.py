@@ -66,16 +66,20 @@ def chapters(pages: DataFrame, key: str, html: str, expected: Sequence[str] | No
 
     A chapter is named by its heading's id, or by the heading's words without one. With expected, a page whose chapters are not exactly these fails the query.
     """
-    parts = F.slice(F.split(html, r"(?i)(?=<h2\b)"), 2, 2147483647)
-    rows = pages.select(key, F.posexplode(parts).alias("pos", "part"))
-    title = X.html_flat(F.regexp_extract("part", r"(?is)<h2\b[^>]*>(.*?)</h2>", 1))
-    named = F.regexp_extract("part", r"(?i)^<h2\b[^>]*\bid=[\"']?([^\"'\s>]+)", 1)
-    out = rows.select(key, "pos", F.when(named != "", named).otherwise(X.slugify(title)).alias("chapter"), title.alias("title"), X.html_paragraphs(F.regexp_replace("part", r"(?is)^<h2\b.*?</h2>", "")).alias("text"))
-    if expected is None:
-        return out
-    w = Window.partitionBy(key)
-    right = F.array_sort(F.collect_list("chapter").over(w)) == F.array(*map(F.lit, sorted(expected)))
-    return out.where(F.assert_true(right, F.lit("chapters are not the expected ones")).isNull())
+    parts = F.filter(F.split(html, r"(?i)(?=<h2\b)"), lambda x: F.regexp_like(x, F.lit(r"(?i)^<h2\b")))
+    title = lambda part: X.html_flat(F.regexp_extract(part, r"(?is)<h2\b[^>]*>(.*?)</h2>", 1))
+
+    def name(part: Column) -> Column:
+        named = F.regexp_extract(part, r"(?i)^<h2\b[^>]*\bid=[\"']?([^\"'\s>]+)", 1)
+        return F.when(named != "", named).otherwise(X.slugify(title(part)))
+
+    rows = pages.select(key, parts.alias("parts"))
+    if expected is not None:
+        right = F.array_sort(F.transform("parts", name)) == F.array(*map(F.lit, sorted(expected)))
+        rows = rows.where(F.assert_true(right, F.lit("chapters are not the expected ones")).isNull())
+    rows = rows.select(key, F.posexplode("parts").alias("pos", "part"))
+    text = X.html_paragraphs(F.regexp_replace("part", r"(?is)^<h2\b.*?</h2>", ""))
+    return rows.select(key, "pos", name(F.col("part")).alias("chapter"), title(F.col("part")).alias("title"), text.alias("text"))
 
 
 def locate_in_segments(segments: DataFrame, quotes: DataFrame, group: str, seq: str, text: str, quote: str) -> DataFrame:

@@ -61,16 +61,16 @@ def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, F.posexplode(F.arrays_zip(tags.alias("tag"), inner.alias("inner"))).alias("pos", "b")).select(key, "pos", F.lower("b.tag").alias("tag"), "b.inner")
 
 
-def chapters(pages: DataFrame, key: str, html: str, expected: Sequence[str] | None = None) -> DataFrame:
-    """Text of each chapter of a page, from one h2 to the next: key, chapter, title, text.
+def chapters(pages: DataFrame, key: str, html: str, expected: Sequence[str] | None = None, level: str = "h2") -> DataFrame:
+    """Text of each chapter of a page, from one heading of the level to the next: key, chapter, title, text.
 
     A chapter is named by its heading's id, or by the heading's words without one. With expected, a page whose chapters are not exactly these fails the query.
     """
-    parts = F.filter(F.split(html, r"(?i)(?=<h2\b)"), lambda x: F.regexp_like(x, F.lit(r"(?i)^<h2\b")))
-    title = lambda part: X.html_flat(F.regexp_extract(part, r"(?is)<h2\b[^>]*>(.*?)</h2>", 1))
+    parts = F.filter(F.split(html, rf"(?i)(?=<{level}\b)"), lambda x: F.regexp_like(x, F.lit(rf"(?i)^<{level}\b")))
+    title = lambda part: X.html_flat(F.regexp_extract(part, rf"(?is)<{level}\b[^>]*>(.*?)</{level}>", 1))
 
     def name(part: Column) -> Column:
-        named = F.regexp_extract(part, r"(?i)^<h2\b[^>]*\bid=[\"']?([^\"'\s>]+)", 1)
+        named = F.regexp_extract(part, rf"(?i)^<{level}\b[^>]*\bid=[\"']?([^\"'\s>]+)", 1)
         return F.when(named != "", named).otherwise(X.slugify(title(part)))
 
     rows = pages.select(key, parts.alias("parts"))
@@ -78,7 +78,7 @@ def chapters(pages: DataFrame, key: str, html: str, expected: Sequence[str] | No
         right = F.array_sort(F.transform("parts", name)) == F.array(*map(F.lit, sorted(expected)))
         rows = rows.where(F.assert_true(right, F.lit("chapters are not the expected ones")).isNull())
     rows = rows.select(key, F.posexplode("parts").alias("pos", "part"))
-    text = X.html_paragraphs(F.regexp_replace("part", r"(?is)^<h2\b.*?</h2>", ""))
+    text = X.html_paragraphs(F.regexp_replace("part", rf"(?is)^<{level}\b.*?</{level}>", ""))
     return rows.select(key, "pos", name(F.col("part")).alias("chapter"), title(F.col("part")).alias("title"), text.alias("text"))
 
 

@@ -227,4 +227,4 @@ def article_date(t: Tables) -> DataFrame:
 
 @query()
 def chapters_from_html(t: Tables) -> DataFrame:
-    return R.chapters(t.pages, "page_id", "html")
+    return R.chapters(t.pages, "page_id", "html", level="h1")

@@ -255,15 +255,6 @@ def minima(values: np.ndarray, bounds: np.ndarray, n: int, seed: int) -> np.ndar
     return out
 
 
-def band_keys(low: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit key for each band of `rows` minima, distinct between bands."""
-    bands = low.shape[1] // rows
-    acc = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019), (low.shape[0], 1))
-    for r in range(rows):
-        acc = mix(acc * np.uint64(_B) + low[:, r : rows * bands : rows])
-    return acc
-
-
 def pack(low: np.ndarray, bits: int) -> np.ndarray:
     """The low bits of minima, side by side in 64-bit words."""
     cells = 64 // bits

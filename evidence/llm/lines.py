@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .linking import BITS, link
 
-BINS, ROWS = 80, 5
+BINS = 80
 WIDTH = BINS * BITS // 64
 CHARS = 5
 _EMPTY = ~np.uint64(0)
@@ -101,59 +101,67 @@ def bin_minima(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map function: one row for each line with a word."""
-    for batch in C.slices(batches):
-        x = Lines(*C.string_bytes(batch.column(2)))
-        pick = np.flatnonzero(x.full)
-        if not len(pick):
-            continue
-        low = bin_minima(*x.grams(pick))
-        take = pa.array(x.text[pick])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), pa.array(x.pos[pick].astype(np.int32)), pa.array(C.as_signed(x.h1[pick])), pa.array(C.as_signed(x.h2[pick])), C.list_array(C.pack(low, BITS), WIDTH), C.list_array(C.band_keys(low, ROWS), BINS // ROWS)],
-            names=["doc_id", "text_key", "pos", "h1", "h2", "sig", "bands"],
-        )
+def _scan(signed: bool):
+    """Map function: one row for each line with a word, with or without its signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            x = Lines(*C.string_bytes(batch.column(2)))
+            pick = np.flatnonzero(x.full)
+            if not len(pick):
+                continue
+            take = pa.array(x.text[pick])
+            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(x.pos[pick].astype(np.int32)), pa.array(C.as_signed(x.h1[pick])), pa.array(C.as_signed(x.h2[pick]))]
+            if signed:
+                columns.append(C.list_array(C.pack(bin_minima(*x.grams(pick)), BITS), WIDTH))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "pos", "h1", "h2", "sig"][: len(columns)])
+
+    return run
 
 
-def _sets(bits: np.ndarray):
-    """Map function: the sets of five-character runs of the lines whose h1 passes the filter."""
+def _texts(bits: np.ndarray):
+    """Map function: the lines whose h1 passes the filter, lower-cased and cut at the ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             x = Lines(*C.string_bytes(batch.column(2)))
             hit = np.flatnonzero(x.full & C.passes(bits, x.h1))
-            if not len(hit):
-                continue
-            sets, at = C.distinct_sorted(*x.grams(hit))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(C.as_signed(x.h1[hit])), pa.array(C.as_signed(x.h2[hit])), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(C.as_signed(sets)))],
-                names=["h1", "h2", "items"],
-            )
+            texts = pa.array([x.raw[a:b].tobytes() for a, b in zip(x.a[hit].tolist(), x.b[hit].tolist(), strict=True)], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(C.as_signed(x.h1[hit])), pa.array(C.as_signed(x.h2[hit])), texts], names=["h1", "h2", "items"])
 
     return run
 
 
+def _gram_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted sets of the five-character runs of lines."""
+    x = Lines(*C.string_bytes(column.cast(pa.string())))
+    return C.distinct_sorted(*x.grams(np.arange(len(column))))
+
+
 def line_components(docs: DataFrame, percent: int, s: C.Scratch) -> DataFrame:
     """All lines with a word but the kept ones: (doc_id, text_key, pos) of each line to drop."""
-    lines = s.save(docs.mapInArrow(_scan, "doc_id bigint, text_key bigint, pos int, h1 bigint, h2 bigint, sig array<bigint>, bands array<bigint>"))
+    schema = "doc_id bigint, text_key bigint, pos int, h1 bigint, h2 bigint"
     place = F.struct("doc_id", "text_key", "pos")
-    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
-    reps = s.save(lines.join(classes.select("first.*"), ["doc_id", "text_key", "pos"], "left_semi").dropDuplicates(["doc_id", "text_key", "pos"]).withColumn("id", F.monotonically_increasing_id()))
+    # one class for each distinct line; its first place goes before the signature in the order
+    first = F.min(F.struct("doc_id", "text_key", "pos", "sig")).alias("first")
+    classes = docs.mapInArrow(_scan(True), f"{schema}, sig array<bigint>").groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("times"))
+    reps = s.save(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "times", *[F.col(f"first.{c}").alias(c) for c in ("doc_id", "text_key", "pos", "sig")]))
 
     def items(ids: DataFrame) -> DataFrame:
         at = s.save(reps.select("id", "h1", "h2").join(ids, "id", "left_semi"))
-        sets = docs.mapInArrow(_sets(C.bit_filter(at, "h1")), "h1 bigint, h2 bigint, items array<bigint>").join(at, ["h1", "h2"], "left_semi").distinct()
-        return at.join(sets, ["h1", "h2"]).select("id", "items")
+        texts = docs.mapInArrow(_texts(C.bit_filter(at, "h1")), "h1 bigint, h2 bigint, items binary").distinct()
+        return at.join(texts, ["h1", "h2"]).select("id", "items")
 
-    comp = link(reps, items, percent, WIDTH, s)
+    comp = link(reps, items, percent, WIDTH, s, expand=_gram_sets)
     grouped = comp.select("node", "component").union(comp.select(F.col("component").alias("node"), "component").distinct())
     near = grouped.join(reps.select("id", "h1", "h2", place.alias("own")), F.col("node") == F.col("id")).select("component", "h1", "h2", "own")
     stays = near.groupBy("component").agg(F.min("own").alias("keeper"))
     near = near.join(stays, "component").select("h1", "h2", "keeper")
     # what a class keeps: the keeper of its component, or its own first line
-    some = classes.join(near, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("keeper", "first").alias("keeper"), (F.col("keeper").isNotNull() | (F.col("times") > 1)).alias("many"))
-    return lines.select("doc_id", "text_key", "pos", "h1", "h2").join(some.where("many"), ["h1", "h2"]).where(place != F.col("keeper")).select("doc_id", "text_key", "pos")
+    some = reps.select("h1", "h2", "times", place.alias("own")).join(near, ["h1", "h2"], "left").where("times > 1 or keeper is not null").select("h1", "h2", F.coalesce("keeper", "own").alias("keeper"))
+    some = s.save(some)
+    lines = docs.mapInArrow(_scan(False), schema)
+    return lines.join(some, ["h1", "h2"]).where(place != F.col("keeper")).select("doc_id", "text_key", "pos")
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,6 @@
-"""From band keys and packed signatures of distinct sets to verified components.
+"""From packed b-bit signatures of distinct sets to verified components.
+
+A signature keeps the low 8 bits of each minimum; the bits of `ROWS` neighbours are a band key.
 
 How groups stay small in every task: a bucket (the sets with one band key) first offers each
 member only its most connected member, the hub, so that a family of copies costs one test a
@@ -18,9 +20,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BITS = 4
+BITS, ROWS = 8, 5
 BLOCK = 24
 SIDE = 128  # members of one side of a block
+#: From a column of items to the values of their sorted sets and the number before each.
+Expand = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 #: Signature similarity under which a candidate is discarded.
 LEAST_ESTIMATE = 0.66
 
@@ -30,15 +34,34 @@ def estimate(a: Column, b: Column, width: int) -> Column:
 
     def unequal(x: Column, y: Column) -> Column:
         d = x.bitwiseXOR(y)
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-        return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+        for k in (4, 2, 1):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, k))
+        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
 
-    differ = sum((unequal(a[i], b[i]) for i in range(1, width)), unequal(a[0], b[0]))
+    differ = F.aggregate(F.zip_with(a, b, unequal), F.lit(0), lambda n, x: n + x)
     chance = 2.0**-BITS
     return (F.lit(1.0) - differ / F.lit(width * 64.0 / BITS) - chance) / (1 - chance)
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of ROWS neighbouring minima, distinct between bands, from packed signatures."""
+    cells = np.ascontiguousarray(sig).view(np.uint8).reshape(len(sig), -1)
+    bands = cells.shape[1] // ROWS
+    acc = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(sig), 1))
+    for r in range(ROWS):
+        acc = (acc << np.uint64(8)) | cells[:, r : ROWS * bands : ROWS]
+    return C.mix(acc)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1)
+
+
+def as_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Items that are the sorted sets themselves."""
+    return column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+
+
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets reach percent / 100."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -47,7 +70,7 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _compare_blocks(percent: int):
+def _compare_blocks(percent: int, expand: Expand):
     """Links between the two sides of one block of one large bucket, across components only."""
 
     def run(pdf):
@@ -61,20 +84,20 @@ def _compare_blocks(percent: int):
             differ = np.zeros((len(a), len(b)), dtype=np.int64)
             for k in range(a.shape[1]):
                 d = a[:, None, k] ^ b[None, :, k]
-                d |= d >> np.uint64(1)
-                d |= d >> np.uint64(2)
-                differ += np.bitwise_count(d & np.uint64(0x1111111111111111))
+                for n in (4, 2, 1):
+                    d |= d >> np.uint64(n)
+                differ += np.bitwise_count(d & np.uint64(0x0101010101010101))
             near = (1 - differ / (a.shape[1] * 64 / BITS) - chance) / (1 - chance) >= LEAST_ESTIMATE
             near &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
-            key, bands_a, bands_b = pdf["key"].iloc[0], np.array(left["bands"].tolist()), np.array(right["bands"].tolist())
+            key, bands_a, bands_b = np.int64(pdf["key"].iloc[0]).view(np.uint64), band_keys(a), band_keys(b)
             i, j = np.nonzero(near)
             for at in range(0, len(i), 4096):  # a pair is tested in the first of its common buckets only
                 x, y = i[at : at + 4096], j[at : at + 4096]
                 same = bands_a[x] == bands_b[y]
                 here = bands_a[x, same.argmax(axis=1)] == key
                 out += zip(x[here].tolist(), y[here].tolist(), strict=True)
-            sets_a, sets_b = left["items"].tolist(), right["items"].tolist()
-            out = [(i, j) for i, j in out if _similar(sets_a[i], sets_b[j], percent)]
+            (u, at_u), (v, at_v) = (expand(pa.array(x["items"].tolist())) for x in (left, right))
+            out = [(i, j) for i, j in out if _similar(u[at_u[i] : at_u[i + 1]], v[at_v[j] : at_v[j + 1]], percent)]
         x = np.array([left["id"].iloc[i] for i, _ in out], dtype=np.int64)
         y = np.array([right["id"].iloc[j] for _, j in out], dtype=np.int64)
         return pd.DataFrame({"hi": np.maximum(x, y), "lo": np.minimum(x, y)})
@@ -82,53 +105,55 @@ def _compare_blocks(percent: int):
     return run
 
 
-def _confirm(percent: int):
-    """Map function over (hi, lo, a, b): the pairs whose sorted sets a and b reach percent / 100."""
+def _confirm(percent: int, expand: Expand):
+    """Map function over (hi, lo, a, b): the pairs whose sets a and b reach percent / 100."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (a, at_a), (b, at_b) = ((x.flatten().to_numpy(), x.offsets.to_numpy() - x.offsets[0].as_py()) for x in (batch.column(2), batch.column(3)))
+            (a, at_a), (b, at_b) = (expand(batch.column(k)) for k in (2, 3))
             keep = [_similar(a[at_a[k] : at_a[k + 1]], b[at_b[k] : at_b[k + 1]], percent) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["hi", "lo"]).filter(pa.array(keep, type=pa.bool_()))
 
     return run
 
 
-def _band_rows(shared: np.ndarray):
-    """Map function: one row for each band key that passes the filter."""
+def _band_rows(shared: np.ndarray | None):
+    """Map function over (id, sig): one row for each band key, with a filter those that pass it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                bands = batch.column(1)
-                keys = bands.flatten().to_numpy()
-                hit = np.flatnonzero(C.passes(shared, keys.view(np.uint64)))
-                row = np.repeat(np.arange(batch.num_rows), np.diff(bands.offsets.to_numpy()))[hit]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(keys[hit])], names=["id", "key"])
+            if not batch.num_rows:
+                continue
+            keys = band_keys(_matrix(batch.column(1)))
+            if shared is None:
+                yield pa.RecordBatch.from_arrays([pa.array(C.as_signed(keys.reshape(-1)))], names=["key"])
+                continue
+            row, band = np.nonzero(C.passes(shared, keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(C.as_signed(keys[row, band]))], names=["id", "key"])
 
     return run
 
 
-def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int, width: int, s: C.Scratch, known: DataFrame | None = None) -> DataFrame:
+def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int, width: int, s: C.Scratch, known: DataFrame | None = None, expand: Expand = as_sets) -> DataFrame:
     """Components (node, component) of sets that reach a similarity of percent / 100.
 
-    reps is a saved table with one row a set: id bigint, sig array<bigint> of `width`, bands
-    array<bigint>. items takes a table of ids and returns their sets (id, items: sorted
-    distinct hashes as array<bigint>). known holds links (hi, lo) that need no test.
+    reps is a saved table with one row a set: id bigint, sig array<bigint> of `width`. items
+    takes a table of ids and returns (id, items), once for all sets that share a bucket;
+    expand turns a column of items into sorted sets. known holds links (hi, lo) that need
+    no test.
     """
-    bands = reps.select("id", "bands")
-    keys = bands.select("id", F.explode("bands").alias("key")).groupBy("key")
-    shared = s.save(keys.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("top")).where("lo < top").select("key", "n"))
-    members = s.save(bands.mapInArrow(_band_rows(C.bit_filter(shared, "key")), "id bigint, key bigint").join(shared, "key"))
     signature = reps.select("id", "sig")
+    shared = s.save(signature.mapInArrow(_band_rows(None), "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = s.save(signature.mapInArrow(_band_rows(C.bit_filter(shared, "key")), "id bigint, key bigint").join(shared, "key"))
+
+    sets = s.save(items(members.select("id").distinct()))
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = signature.select(F.col("id").alias("hi"), F.col("sig").alias("a"))
         b = signature.select(F.col("id").alias("lo"), F.col("sig").alias("b"))
         pairs = s.save(pairs.join(a, "hi").join(b, "lo").where(estimate(F.col("a"), F.col("b"), width) >= LEAST_ESTIMATE).select("hi", "lo"))
-        sets = s.save(items(pairs.select(F.col("hi").alias("id")).union(pairs.select(F.col("lo").alias("id"))).distinct()))
         a, b = sets.toDF("hi", "a"), sets.toDF("lo", "b")
-        return s.save(pairs.join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(_confirm(percent), "hi bigint, lo bigint"))
+        return s.save(pairs.join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(_confirm(percent, expand), "hi bigint, lo bigint"))
 
     # first round: each member against the best connected hub of its buckets
     degree = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
@@ -154,13 +179,12 @@ def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int,
     large = rest.where(F.col("n") > BLOCK)
     main = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("c"))
     blocks = main.select("key", "main", F.ceil((F.col("m") - F.col("c")) / SIDE).cast("int").alias("lefts"), F.ceil(F.col("m") / SIDE).cast("int").alias("rights"))
-    sets = s.save(items(large.select("id").distinct()))
     dealt = large.join(blocks, "key")
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     others = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = dealt.where("comp <> main").select("key", own("lefts").alias("bi"), others("rights").alias("bj"), F.lit(0).alias("side"), "id", "comp")
     right = dealt.select("key", others("lefts").alias("bi"), own("rights").alias("bj"), F.lit(1).alias("side"), "id", "comp")
-    full = left.union(right).join(reps.select("id", "sig", "bands"), "id").join(sets, "id")
-    spread = full.groupBy("key", "bi", "bj").applyInPandas(_compare_blocks(percent), "hi bigint, lo bigint")
+    full = left.union(right).join(signature, "id").join(sets, "id")
+    spread = full.groupBy("key", "bi", "bj").applyInPandas(_compare_blocks(percent, expand), "hi bigint, lo bigint")
     edges = s.save(first.union(again).union(spread))
     return s.save(C.connected_components(edges, s))

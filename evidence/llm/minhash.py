@@ -1,9 +1,9 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Minima of 160 hash functions give 32 band keys of 5 minima each and a packed signature
-of the 4 low bits of every minimum. Documents that share a band key are candidates; the
-share of equal 4-bit cells, corrected for chance collisions, discards the hopeless ones;
-every link is then confirmed on the full shingle sets. At a similarity of 0.8 a pair
+A signature packs the 8 low bits of the minima of 160 hash functions; the bits of 5
+neighbours are one of 32 band keys. Documents that share a band key are candidates; the
+share of equal cells, counted in bits and corrected for chance collisions, discards the
+hopeless ones; every link is then confirmed on the full shingle sets. At a similarity of 0.8 a pair
 misses all 32 bands with a probability of 3e-6.
 
 Equal sets collapse into one class first; `linking` says how the rest is compared without
@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from . import common as C
 from .linking import BITS, link
 
-HASHES, ROWS = 160, 5
+HASHES = 160
 WIDTH = HASHES * BITS // 64  # longs of a signature
 
-_PROFILE = "n_shingles bigint, h1 bigint, h2 bigint, sig array<bigint>, bands array<bigint>"
+_PROFILE = "n_shingles bigint, h1 bigint, h2 bigint, sig array<bigint>"
 
 
 def _profiles(size: int, keep: list[str]):
-    """Map function: shingle count, 128-bit set key, signature and band keys of each text."""
+    """Map function: shingle count, 128-bit set key and signature of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
@@ -48,8 +48,8 @@ def _profiles(size: int, keep: list[str]):
                 key[full, 1] = np.add.reduceat(C.mix(sets ^ np.uint64(0x5851F42D4C957F2D)), starts[:-1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in keep]
-                + [pa.array(n), pa.array(C.as_signed(key[:, 0].copy())), pa.array(C.as_signed(key[:, 1].copy())), C.list_array(C.pack(low, BITS), WIDTH), C.list_array(C.band_keys(low, ROWS), HASHES // ROWS)],
-                names=[*keep, "n_shingles", "h1", "h2", "sig", "bands"],
+                + [pa.array(n), pa.array(C.as_signed(key[:, 0].copy())), pa.array(C.as_signed(key[:, 1].copy())), C.list_array(C.pack(low, BITS), WIDTH)],
+                names=[*keep, "n_shingles", "h1", "h2", "sig"],
             )
 
     return run
@@ -77,7 +77,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     # one class for each distinct set; its smallest document stands for it
     live = prof.where("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"))
-    reps = s.save(live.join(classes.select("rep.*"), ["doc_id", "text_key"], "left_semi").select(F.col("doc_id").alias("id"), "text_key", "sig", "bands"))
+    reps = s.save(live.join(classes.select("rep.*"), ["doc_id", "text_key"], "left_semi").select(F.col("doc_id").alias("id"), "text_key", "sig"))
 
     # a document with several texts stands in several classes: those are linked
     several = live.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("sets")).where("sets > 1").select("doc_id")

@@ -1,8 +1,12 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Equal vectors collapse into one class first. Every tree splits its nodes at the median of a
-random projection until a node has at most `leaf` classes; a class close to the median goes
-to both sides (spill). Classes that share a leaf in any tree are compared exactly. Trees
+random projection until a node has at most `leaf` classes; a class closer to the median than
+half the link distance goes to both sides (spill). A larger node that lies so close together
+that such a split would leave most of it on one side (a family of near copies) is not split:
+it is dealt into blocks and all pairs of blocks are compared, each in a task of its own.
+Classes that share a leaf in any tree are compared exactly; each pair counts in the first
+leaf that has both, so that tasks return one row a class and no table of pairs exists. Trees
 grow level by level: one aggregation gives the sizes and medians of all nodes of all trees,
 so that no node is ever collected before it is small.
 """
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SPILL = 0.1  # half the largest distance of two unit vectors that link, in projection units
+SHARE = 0.7  # a node is split only where each side gets at most this share of it
 
 
 def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,24 +42,72 @@ def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["id", "node", "p"])
 
 
+def _near(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
+    """Whether each row of a links with each row of b, those near the limit by an exact sum."""
+    norm_a, norm_b = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
+    out = np.empty((len(a), len(b)), dtype=bool)
+    for at in range(0, len(a), 256):
+        dots, norms = a[at : at + 256] @ b.T, norm_a[at : at + 256, None] * norm_b[None, :]
+        out[at : at + 256] = dots > (cosine + 1e-9) * norms
+        x, y = np.nonzero(np.abs(dots - cosine * norms) <= 1e-9 * norms)
+        out[x + at, y] = np.einsum("ij,ij->i", a[x + at], b[y]) / norms[x, y] >= cosine
+    return out
+
+
+def _met(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """The given pairs (a square of booleans) without those whose sets have a value in common."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    use = (times[column] > 1) & pairs.any(axis=1)[row]
+    row, column = row[use], np.unique(column[use], return_inverse=True)[1]
+    for at in range(0, column.max(initial=-1) + 1, 2048):
+        now = (column >= at) & (column < at + 2048)
+        has = np.zeros((len(sets), 2048), dtype=np.float32)
+        has[row[now], column[now] - at] = 1
+        for x in range(0, len(sets), 256):
+            pairs[x : x + 256] &= has[x : x + 256] @ has.T == 0
+    return pairs
+
+
+def _heads(pairs: np.ndarray) -> np.ndarray:
+    """The first row that each row is connected with, over a symmetric square of booleans."""
+    head = np.full(len(pairs), -1)
+    for i in range(len(pairs)):
+        at = np.array([i]) if head[i] < 0 else np.zeros(0, dtype=int)
+        while len(at):
+            head[at] = i
+            at = np.flatnonzero(pairs[at].any(axis=0) & (head < 0))
+    return head
+
+
 def _compare(cosine: float):
-    """Links within one leaf, by exact comparison of all its classes."""
+    """Links between two blocks of one leaf (or within one), by exact comparison of all their classes.
+
+    Gives for each class that links the rows it meets here first, and a class that it is connected with.
+    """
 
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("id")
-        ids, v = pdf["id"].to_numpy(), np.array(pdf["v"].tolist(), dtype=np.float64)
-        norm = np.sqrt((v * v).sum(axis=1))
-        out = []
-        for at in range(0, len(ids), 256):
-            dots = v[at : at + 256] @ v.T
-            near = np.argwhere(dots >= (cosine - 1e-9) * norm[at : at + 256, None] * norm[None, :]) + [at, 0]
-            near = near[near[:, 0] < near[:, 1]]
-            exact = np.einsum("ij,ij->i", v[near[:, 0]], v[near[:, 1]]) / (norm[near[:, 0]] * norm[near[:, 1]])
-            out.append(near[exact >= cosine])
-        near = np.concatenate(out)
-        return pd.DataFrame({"lo": ids[near[:, 0]], "hi": ids[near[:, 1]]}).astype("int64")
+        pdf = pdf.sort_values(["block", "id"])
+        ids, block, v = pdf["id"].to_numpy(), pdf["block"].to_numpy(), np.array(pdf["v"].tolist(), dtype=np.float64)
+        n = int(np.searchsorted(block, block[0], side="right"))
+        pairs = np.zeros((len(ids), len(ids)), dtype=bool)
+        if n < len(ids):
+            pairs[:n, n:] = _near(v[:n], v[n:], cosine)
+            pairs |= pairs.T
+        elif pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
+            pairs = _near(v, v, cosine)
+            pairs |= pairs.T
+            np.fill_diagonal(pairs, False)
+        keep = np.flatnonzero(pairs.any(axis=1))
+        pairs = pairs[np.ix_(keep, keep)]
+        head = keep[_heads(pairs)]
+        nodes = pdf["nodes"].to_numpy()[keep]
+        node = int(pdf["node"].iloc[0])
+        new = _met([x[x < node] for x in nodes], pairs) if len(keep) else pairs
+        links = (new * pdf["m"].to_numpy()[keep][None, :]).sum(axis=1)
+        return pd.DataFrame({"id": ids[keep], "links": links, "head": ids[head]}).astype("int64")
 
     return run
 
@@ -66,7 +119,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, trees: int = 8, leaf:
     with one label link when the cosine of their vectors, in double precision, is at least
     `cosine`; n_links counts the other rows linked directly and component_id is the smallest
     vec_id reachable. Every pair found is a true link; the trees miss few (recall is measured
-    in the tests).
+    in the tests). A family of near copies above `leaf` classes is compared whole.
 
     A vector that is null, empty, zero or has a null or non-finite component, a null label or
     a null vec_id: no links, component_id is its own vec_id. Vectors of different lengths do
@@ -74,38 +127,44 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, trees: int = 8, leaf:
     no rows. Other columns are not read.
     """
     s = scratch or C.Scratch(vectors.sparkSession, "forest")
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     v = F.col("embedding").cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     length = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & (length > 0) & (length < float("inf")), F.lit(False))
-    rows = s.save(vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.when(usable, v).alias("v"), F.col("label").cast("string").alias("label")))
+    rows = s.save(vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.when(usable, F.col("embedding").cast(kind)).alias("v"), F.col("label").cast("string").alias("label")))
     classes = s.save(rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("m")).withColumn("id", F.monotonically_increasing_id()))
 
     at = classes.select("id", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"), "label", F.size("v").alias("dim")).select("id", F.xxhash64("tree", "label", "dim").alias("node"))
     leaves = None
     for _ in range(levels):
         at = s.save(at)
-        large = s.save(at.groupBy("node").count().where(F.col("count") > leaf).select("node"))
-        small = at.join(large, "node", "left_anti").select("id", "node")
+        large = s.save(at.groupBy("node").count().where(F.col("count") > leaf))
+        small = at.join(large, "node", "left_anti").select("id", "node", F.lit(1).alias("blocks"))
         leaves = small if leaves is None else leaves.union(small)
         if not large.count():
             break
         split = s.save(at.join(large, "node").join(classes.select("id", "v"), "id").select("id", "node", "v").mapInArrow(_project, "id bigint, node bigint, p double"))
-        middle = split.groupBy("node").agg(F.percentile_approx("p", 0.5, 10000).alias("mid"), F.stddev("p").alias("sd"))
-        spill = F.least(F.lit(SPILL), 0.25 * F.col("sd"))
-        sides = F.array_compact(F.array(F.when(F.col("p") <= F.col("mid") + spill, F.lit(0)), F.when(F.col("p") > F.col("mid") - spill, F.lit(1))))
-        at = split.join(middle, "node").select("id", F.explode(sides).alias("side"), "node").select("id", F.xxhash64("node", "side").alias("node"))
+        q = F.percentile_approx("p", F.array(F.lit(1 - SHARE), F.lit(0.5), F.lit(SHARE)), 10000)
+        middle = split.groupBy("node").agg(q.alias("q"), F.count(F.lit(1)).alias("n")).select("node", "n", F.col("q")[1].alias("mid"), ((F.col("q")[0] <= F.col("q")[1] - SPILL) & (F.col("q")[2] > F.col("q")[1] + SPILL)).alias("wide"))
+        known = s.save(split.join(middle, "node"))
+        leaves = leaves.union(known.where("not wide").select("id", "node", F.ceil(F.col("n") / leaf).cast("int").alias("blocks")))
+        sides = F.array_compact(F.array(F.when(F.col("p") <= F.col("mid") + SPILL, F.lit(0)), F.when(F.col("p") > F.col("mid") - SPILL, F.lit(1))))
+        at = known.where("wide").select("id", F.explode(sides).alias("side"), "node").select("id", F.xxhash64("node", "side").alias("node"))
     else:
         raise RuntimeError(f"a node did not shrink to {leaf} vectors in {levels} levels")
 
-    pairs = s.save(leaves.join(classes.select("id", "v"), "id").groupBy("node").applyInPandas(_compare(cosine), "lo bigint, hi bigint").distinct())
-    both = pairs.select(F.col("lo").alias("id"), F.col("hi").alias("other")).union(pairs.select(F.col("hi").alias("id"), F.col("lo").alias("other")))
-    sizes = classes.select(F.col("id").alias("other"), "m")
-    links = both.join(sizes, "other").groupBy("id").agg(F.sum("m").alias("links"))
+    leaves = s.save(leaves)
+    nodes = leaves.groupBy("id").agg(F.collect_list("node").alias("nodes"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = leaves.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    rows_of = classes.select("id", "v", "m").join(nodes, "id")
+    found = s.save(dealt.join(rows_of, "id").groupBy("node", "lo", "hi").applyInPandas(_compare(cosine), "id bigint, links bigint, head bigint"))
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
     # components by the smallest vec_id of each class; a vec_id in several classes links them
     names = classes.select("id", "least")
-    hi, lo = names.toDF("hi", "x"), names.toDF("lo", "y")
-    edges = pairs.join(hi, "hi").join(lo, "lo").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo"))
+    hi, lo = names.toDF("id", "x"), names.toDF("head", "y")
+    edges = found.where("id <> head").select("id", "head").distinct().join(hi, "id").join(lo, "head").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo"))
     own = rows.where("v is not null").join(classes.select("label", "v", "least"), ["label", "v"]).where("vec_id > least").select(F.col("vec_id").alias("hi"), F.col("least").alias("lo"))
     several = rows.where("v is not null").groupBy("vec_id").agg(F.count_distinct("label", "v").alias("n")).where("n > 1").select(F.col("vec_id").alias("hi"))
     comp = C.connected_components(edges.where("hi > lo").union(own.join(several, "hi", "left_semi")), s)

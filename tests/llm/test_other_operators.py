@@ -54,6 +54,23 @@ def test_forest(spark):
     assert forest.near_vectors(df.where("vec_id < 0")).count() == 0
 
 
+def test_forest_family_above_the_leaf_size(spark):
+    rng = np.random.default_rng(5)
+    centre, wide = rng.normal(size=24), rng.normal(size=24)
+    family = [centre + rng.normal(size=24) * 0.04 for _ in range(400)]
+    loose = [wide + rng.normal(size=24) * 0.15 for _ in range(300)]
+    others = list(rng.normal(size=(300, 24)))
+    rows = [(i, v.tolist(), int(i >= 400)) for i, v in enumerate(family + loose + others)]
+    links, comps = brute_links([(n, *r) for n, r in enumerate(rows)])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in forest.near_vectors(df, leaf=60).collect()}
+    assert all(links[i] == 399 for i in range(400))
+    assert all(got[i]["n_links"] == links[i] and got[i]["component_id"] == 0 for i in range(400))
+    found, there = sum(got[i]["n_links"] for i in range(400, 700)), sum(links[i] for i in range(400, 700))
+    assert there > 1000 and 0.99 * there <= found <= there
+    assert all(got[i]["n_links"] <= links[i] for i in got) and {i: r["component_id"] for i, r in got.items()} == comps
+
+
 def test_languages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()

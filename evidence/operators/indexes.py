@@ -99,9 +99,18 @@ def class_report(rows: DataFrame, kind: str, example: str, seq: str) -> DataFram
 
 
 def speaker_groups(segments: DataFrame, speaker: str, at: str, seconds: str, text: str, most: int = 300) -> DataFrame:
-    """By speaker: total seconds and the first characters of the texts in time order."""
+    """By speaker: total seconds and the first characters of the texts in time order.
+
+    Each text but the last adds a separator at least, so that only the first most + 1 can be seen; each task
+    keeps these (a limit within the window, for most < 1000) before anything is shuffled.
+    """
+    rows = segments.where(F.col(speaker).isNotNull())
+    texts = rows.where(F.col(text).isNotNull()).select(speaker, at, F.substring(text, 1, most).alias(text))
+    first = texts.withColumn("_r", F.row_number().over(Window.partitionBy(speaker).orderBy(at, text))).where(F.col("_r") <= most + 1)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda x: x[text]), " ")
-    return segments.where(F.col(speaker).isNotNull()).groupBy(speaker).agg(F.sum(seconds).alias("seconds"), F.substring(joined, 1, most).alias("text"))
+    seen = first.groupBy(speaker).agg(F.substring(joined, 1, most).alias("_text"))
+    out = rows.groupBy(speaker).agg(F.sum(seconds).alias("seconds")).join(seen, speaker, "left")
+    return out.select(speaker, "seconds", F.coalesce("_text", F.lit("")).alias("text"))
 
 
 def first_per_group(rows: DataFrame, key: Names, order: list[Column]) -> DataFrame:

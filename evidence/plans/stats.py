@@ -170,8 +170,8 @@ def ordered_lists(t: Tables) -> DataFrame:
 
 @query("""select user_id, string_agg(event_type, ',' order by f) as kinds from (select *, row_number() over (partition by user_id order by f) as k from (select user_id, event_type, min(event_id) as f from events group by all)) where k <= 3 group by user_id""")
 def first_k_array(t: Tables) -> DataFrame:
-    kinds = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]))
-    return t.events.groupBy("user_id").agg(F.array_join(F.slice(kinds, 1, 3), ",").alias("kinds"))
+    kinds = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"])
+    return t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id")).groupBy("user_id").agg(F.array_join(F.slice(kinds, 1, 3), ",").alias("kinds"))
 
 
 @query("select coalesce(a.k, b.k) as k from (select distinct o_custkey as k from orders where o_orderstatus = 'F') a full join (select c_custkey as k from customer where c_mktsegment = 'MACHINERY') b on a.k = b.k")

@@ -117,6 +117,25 @@ def test_speaker_groups(spark):
     assert [(r["who"], r["seconds"], r["text"]) for r in out] == [("A", 7.0, "a b")]
 
 
+def test_speaker_groups_keep_only_what_is_seen(spark):
+    rows = [("a", i // 2, 1, None if i % 7 == 0 else "" if i % 5 == 0 else "xyz"[i % 3] * (i % 4)) for i in range(4000)]
+    rows += [("b", i, 2, chr(98 + i) * 280) for i in range(5)] + [("c", 1, 3, None), (None, 1, 1, "q")]
+    out = I.speaker_groups(spark.createDataFrame(rows, "who string, at long, seconds long, text string"), "who", "at", "seconds", "text")
+    want = {}
+    for who in "abc":
+        mine = [r for r in rows if r[0] == who]
+        want[who] = (sum(r[2] for r in mine), " ".join(r[3] for r in sorted((r for r in mine if r[3] is not None), key=lambda r: (r[1], r[3])))[:300])
+    assert {r["who"]: (r["seconds"], r["text"]) for r in out.collect()} == want
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_kinds_are_reduced_before_they_are_collected(spark, data):
+    from evidence.plans import catalog
+
+    plan = catalog.queries()["first_k_array"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [user_id" in plan and "min(event_id" in plan[plan.index("collect_list") :]
+
+
 def test_domain_tier(spark):
     lookup = spark.createDataFrame([("example.com", 1), ("blog.example.com", 4)], "domain string, tier int")
     urls = ["https://example.com/a", "http://WWW.Example.com", "https://news.example.com", "https://blog.example.com/x", "https://other.org", "not a url"]

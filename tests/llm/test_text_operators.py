@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -13,6 +14,15 @@ import pytest
 from evidence.llm import lines, linking, minhash, packing, quality, suffix, unigram
 from tests.sqlcheck import connect, differences
 
+
+@pytest.mark.parametrize(("cells", "bands"), [(80, 16), (160, 32)])
+def test_estimate_loses_far_less_than_bands(cells, bands):
+    chance = 2.0**-linking.BITS
+    p = chance + (1 - chance) * 0.8
+    least = (chance + (1 - chance) * linking.LEAST_ESTIMATE) * cells
+    lost = sum(math.comb(cells, k) * p**k * (1 - p) ** (cells - k) for k in range(cells + 1) if k < least)
+    assert lost < 0.01 * (1 - p**linking.ROWS) ** bands
+
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 

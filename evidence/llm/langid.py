@@ -132,11 +132,15 @@ class Network:
 
 
 def _training_words(most: int):
-    """Map function: up to `most` words of each document, from places all over its text."""
+    """Map function: up to `most` words (or parts of long ones) of each document, evenly spaced over its text."""
+
+    def chosen(text: str) -> list[bytes]:
+        parts = [w[k : k + LONGEST] for w in text.encode().split() for k in range(0, len(w), LONGEST)]
+        return [parts[i] for i in np.linspace(0, len(parts) - 1, min(most, len(parts))).astype(int)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, lang, w[:LONGEST]) for d, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for words in [text.encode().split()] for w in words[:: max(1, len(words) // most)][:most]]
+            rows = [(d, lang, w) for d, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in chosen(text)]
             d, lang, w = zip(*rows, strict=True) if rows else ([],) * 3
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(lang, pa.string()), pa.array(w, pa.binary())], names=["doc_id", "lang", "word"])
 

@@ -78,6 +78,19 @@ def test_languages(spark, data):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_training_words_come_from_the_whole_text():
+    import pyarrow as pa
+
+    def words(text):
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1], "lang": ["en"], "text": [text]})
+        return next(langid._training_words(64)(iter([batch]))).column(2).to_pylist()
+
+    got = words(" ".join(f"w{i}" for i in range(120)))
+    assert len(got) == len(set(got)) == 64 and got[0] == b"w0" and got[-1] == b"w119"
+    assert words("ab " * 10) == [b"ab"] * 10 and words(" ") == []
+    assert b"".join(words("日本" * 100)) == ("日本" * 100).encode() and max(len(w) for w in words("z" * 500)) == langid.LONGEST
+
+
 def test_language_cases(spark):
     en, de = "the cat sat on the mat and the dog ran home", "und der hund lief nach hause weil die katze schlief"
     rows = [(i, [en, de][i % 2] * 3, ["en", "de"][i % 2], "x") for i in range(60)]

@@ -19,21 +19,27 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; an own local one where none is set (tests)."""
+    """The folder named in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a local session (a test) gets an own folder; a cluster fails.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return _own_dir[0]
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
 class Scratch:
-    """Intermediate tables of one operator call."""
+    """Intermediate tables of one operator call.
+
+    What the returned table still reads stays in the shared folder; the caller may delete `root`
+    when it has used the result, as the pipeline does between its stages.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -52,8 +58,15 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete saved tables that nothing reads any more."""
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._scratch_path)
+
+    def close(self) -> None:
+        """Delete all tables."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:
@@ -95,6 +108,46 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     return cur.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
 
 
+#: A key that has more than this share of all rows is hot; so at most its inverse of keys are.
+HOT_SHARE, SALTS = 1000, 64
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], times: str, by: Column, how: str = "inner", total: int | None = None) -> DataFrame:
+    """Join of left with right, which has one row a key and in `times` the rows of left with that key.
+
+    The rows of hot keys are dealt by `by`, an integer column of left, over SALTS tasks. Fewer than
+    HOT_SHARE keys can be hot, so their list may be broadcast. total: the sum of times, if known.
+    """
+    total = total if total is not None else right.agg(F.sum(times)).first()[0] or 0
+    hot = F.col(times) * HOT_SHARE > F.lit(total)
+    named = F.broadcast(right.where(hot).select(*keys, F.lit(True).alias("_hot")))
+    left = left.join(named, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(by, F.lit(SALTS)).cast("int")).otherwise(0))
+    right = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt", "_hot")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.RecordBatch]:
+    """Batches, sorted by a column of longs, cut again so that no group of equal values is divided."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value = batch.column(column).to_numpy()
+        last = int(np.searchsorted(value, value[-1]))  # the group that may go on
+        if held and (last or held[0].column(column)[0].as_py() != value[0]):
+            yield joined([*held, batch.slice(0, last)])
+            held = []
+        elif last:
+            yield batch.slice(0, last)
+        held.append(batch.slice(last))
+    if held:
+        yield joined(held)
+
+
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 #: Bounds of a bit filter: at least 2**17 bits, at most 2**28 (32 MB); beyond, it only passes more.
 FILTER_BITS = (17, 28)
 
@@ -102,9 +155,9 @@ FILTER_BITS = (17, 28)
 def bit_filter(values: DataFrame, column: str) -> np.ndarray:
     """Bit set over the distinct 64-bit hashes in a column of a saved table, to be sent to all tasks.
 
-    It passes all of them and few others; its size follows their number within FILTER_BITS.
+    It passes all of them and one in 64 others; its size follows their number within FILTER_BITS.
     """
-    bits = min(max(int(16 * values.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    bits = min(max(int(64 * values.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     word = F.shiftrightunsigned(F.col(column), 70 - bits).alias("word")
     one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 63 as int))")
     found = values.groupBy(word).agg(F.bit_or(one).alias("value")).toArrow()

@@ -1,11 +1,12 @@
 """Near-duplicate lines: one line of each component stays.
 
 A line is compared by its runs of five characters, after A-Z are lower-cased and white space
-at its ends is cut. One hash of each run gives 80 minima by one permutation: the hash picks
+at its ends is cut. One hash of each run gives 184 minima by one permutation: the hash picks
 the bin, the least hash in a bin is its minimum, and an empty bin borrows from bins that
-other hash functions pick. 16 bands of 5 minima find the candidates (a pair at a similarity
-of 0.8 misses all of them with a probability of 0.002), exact comparison confirms them, and
-distributed union-find joins them.
+other hash functions pick. 26 bands of 7 minima find the candidates (a pair at a similarity
+of 0.8 misses all of them with a probability of 0.002; unlike lines hardly ever share a
+band, so that candidates do not grow with the square of the corpus), exact comparison
+confirms them, and distributed union-find joins them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .linking import BITS, link
 
-BINS = 80
+BINS, ROWS = 184, 7
 WIDTH = BINS * BITS // 64
 CHARS = 5
 _EMPTY = ~np.uint64(0)
@@ -101,13 +102,18 @@ def bin_minima(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(signed: bool):
-    """Map function: one row for each line with a word, with or without its signature."""
+def _place(doc: np.ndarray, key: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the place of a line."""
+    return C.mix(C.mix(doc.view(np.uint64) * np.uint64(3)) + key.view(np.uint64) + pos.astype(np.uint64) * np.uint64(C._B))
+
+
+def _scan(signed: bool, bits: np.ndarray | None = None):
+    """Map function: one row for each line with a word, with or without its signature; with a filter only lines whose h1 passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             x = Lines(*C.string_bytes(batch.column(2)))
-            pick = np.flatnonzero(x.full)
+            pick = np.flatnonzero(x.full if bits is None else x.full & C.passes(bits, x.h1))
             if not len(pick):
                 continue
             take = pa.array(x.text[pick])
@@ -120,18 +126,27 @@ def _scan(signed: bool):
 
 
 def _texts(bits: np.ndarray):
-    """Map function: the lines whose h1 passes the filter, lower-cased and cut at the ends."""
+    """Map function: the lines whose place passes the filter, lower-cased and cut at the ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             x = Lines(*C.string_bytes(batch.column(2)))
-            hit = np.flatnonzero(x.full & C.passes(bits, x.h1))
+            doc, key = (batch.column(k).to_numpy()[x.text] for k in (0, 1))
+            place = _place(doc, key, x.pos)
+            hit = np.flatnonzero(x.full & C.passes(bits, place))
             texts = pa.array([x.raw[a:b].tobytes() for a, b in zip(x.a[hit].tolist(), x.b[hit].tolist(), strict=True)], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(C.as_signed(x.h1[hit])), pa.array(C.as_signed(x.h2[hit])), texts], names=["h1", "h2", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(C.as_signed(v[hit])) for v in (place, x.h1, x.h2)] + [texts], names=["place", "h1", "h2", "items"])
 
     return run
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map function over (id, h1, h2, doc_id, text_key, pos): the hash of the place instead of the place."""
+    for batch in batches:
+        doc, key, pos = (batch.column(k).to_numpy() for k in (3, 4, 5))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(C.as_signed(_place(doc, key, pos)))], names=["id", "h1", "h2", "place"])
+
+
 def _gram_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted sets of the five-character runs of lines."""
     x = Lines(*C.string_bytes(column.cast(pa.string())))
@@ -148,20 +163,22 @@ def line_components(docs: DataFrame, percent: int, s: C.Scratch) -> DataFrame:
     reps = s.save(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "times", *[F.col(f"first.{c}").alias(c) for c in ("doc_id", "text_key", "pos", "sig")]))
 
     def items(ids: DataFrame) -> DataFrame:
-        at = s.save(reps.select("id", "h1", "h2").join(ids, "id", "left_semi"))
-        texts = docs.mapInArrow(_texts(C.bit_filter(at, "h1")), "h1 bigint, h2 bigint, items binary").distinct()
-        return at.join(texts, ["h1", "h2"]).select("id", "items")
-
-    comp = link(reps, items, percent, WIDTH, s, expand=_gram_sets)
-    grouped = comp.select("node", "component").union(comp.select(F.col("component").alias("node"), "component").distinct())
-    near = grouped.join(reps.select("id", "h1", "h2", place.alias("own")), F.col("node") == F.col("id")).select("component", "h1", "h2", "own")
-    stays = near.groupBy("component").agg(F.min("own").alias("keeper"))
-    near = near.join(stays, "component").select("h1", "h2", "keeper")
+        # the text of one line of each class: that of its first place
+        at = reps.select("id", "h1", "h2", "doc_id", "text_key", "pos").join(ids, "id", "left_semi")
+        at = s.save(at.mapInArrow(_places, "id bigint, h1 bigint, h2 bigint, place bigint"))
+        texts = docs.mapInArrow(_texts(C.bit_filter(at, "place")), "place bigint, h1 bigint, h2 bigint, items binary").distinct()
+        return at.join(texts, ["place", "h1", "h2"]).select("id", "items")
+
+    comp = link(reps, items, percent, ROWS, s, expand=_gram_sets)
+    grouped = s.save(comp.select("node", "component").union(comp.select(F.col("component").alias("node"), "component").distinct()))
+    near = s.save(grouped.join(reps.select("id", "h1", "h2", place.alias("own")), F.col("node") == F.col("id")).select("component", "h1", "h2", "own"))
+    stays = near.groupBy("component").agg(F.min("own").alias("keeper"), F.count(F.lit(1)).alias("n"))
+    near = C.salted_join(near, stays, ["component"], "n", F.col("h1")).select("h1", "h2", "keeper")
     # what a class keeps: the keeper of its component, or its own first line
-    some = reps.select("h1", "h2", "times", place.alias("own")).join(near, ["h1", "h2"], "left").where("times > 1 or keeper is not null").select("h1", "h2", F.coalesce("keeper", "own").alias("keeper"))
+    some = reps.select("h1", "h2", "times", place.alias("own")).join(near, ["h1", "h2"], "left").where("times > 1 or keeper is not null").select("h1", "h2", "times", F.coalesce("keeper", "own").alias("keeper"))
     some = s.save(some)
-    lines = docs.mapInArrow(_scan(False), schema)
-    return lines.join(some, ["h1", "h2"]).where(place != F.col("keeper")).select("doc_id", "text_key", "pos")
+    lines = docs.mapInArrow(_scan(False, C.bit_filter(some, "h1")), schema)
+    return C.salted_join(lines, some, ["h1", "h2"], "times", F.col("doc_id")).where(place != F.col("keeper")).select("doc_id", "text_key", "pos")
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,15 @@
 """From packed b-bit signatures of distinct sets to verified components.
 
-A signature keeps the low 8 bits of each minimum; the bits of `ROWS` neighbours are a band key.
+A signature keeps the low 8 bits of each minimum; the bits of `rows` neighbours are a band key.
+
+Which keys are shared is found without a row a key: a task sends its keys as sorted packed
+runs, each key at most twice, and one group of a range of keys looks for equals in them.
 
 How groups stay small in every task: a bucket (the sets with one band key) first offers each
 member only its most connected member, the hub, so that a family of copies costs one test a
-copy. After those links are joined into components, only pairs across components are left
-to test; in buckets beyond `BLOCK` members what is outside the main component is compared
-with all members, block by block, inside a task, and only true links come out.
+copy. After those links are joined into components, only pairs across components are left.
+Their signatures are compared inside tasks, a bucket at a time and a large bucket in blocks;
+what comes out are the pairs that pass the estimate, each once, in its first common bucket.
 """
 
 from __future__ import annotations
@@ -15,41 +18,38 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-BITS, ROWS = 8, 5
-BLOCK = 24
-SIDE = 128  # members of one side of a block
+BITS = 8
+SIDE = 128  # members of a bucket that are compared at once, or of one side of a block
+KEYS = 1 << 21  # band keys that a task holds before it sends them
+PART = 1 << 20  # about the keys of one range
 #: From a column of items to the values of their sorted sets and the number before each.
 Expand = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 #: Signature similarity under which a candidate is discarded; at a similarity of 0.8 it loses far less than the bands do.
-LEAST_ESTIMATE = 0.55
-
-
-def estimate(a: Column, b: Column, width: int) -> Column:
-    """Similarity from two packed signatures of `width` longs: p = C + (1 - C) * J with C = 2 ** -BITS."""
+LEAST_ESTIMATE = 0.6
 
-    def unequal(x: Column, y: Column) -> Column:
-        d = x.bitwiseXOR(y)
-        for k in (4, 2, 1):
-            d = d.bitwiseOR(F.shiftrightunsigned(d, k))
-        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
 
-    differ = F.aggregate(F.zip_with(a, b, unequal), F.lit(0), lambda n, x: n + x)
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of rows of packed signatures: p = C + (1 - C) * J with C = 2 ** -BITS."""
+    d = a ^ b
+    for k in (4, 2, 1):
+        d |= d >> np.uint64(k)
+    differ = np.bitwise_count(d & np.uint64(0x0101010101010101)).sum(axis=-1, dtype=np.int64)
     chance = 2.0**-BITS
-    return (F.lit(1.0) - differ / F.lit(width * 64.0 / BITS) - chance) / (1 - chance)
+    return (1 - differ / (a.shape[-1] * 64 / BITS) - chance) / (1 - chance)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of ROWS neighbouring minima, distinct between bands, from packed signatures."""
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of `rows` neighbouring minima, distinct between bands, from packed signatures."""
     cells = np.ascontiguousarray(sig).view(np.uint8).reshape(len(sig), -1)
-    bands = cells.shape[1] // ROWS
+    bands = cells.shape[1] // rows
     acc = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(sig), 1))
-    for r in range(ROWS):
-        acc = (acc << np.uint64(8)) | cells[:, r : ROWS * bands : ROWS]
+    for r in range(rows):
+        acc = (acc << np.uint64(8)) ^ (acc >> np.uint64(56)) ^ cells[:, r : rows * bands : rows]
     return C.mix(acc)
 
 
@@ -70,37 +70,49 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _compare_blocks(percent: int, expand: Expand):
-    """Links between the two sides of one block of one large bucket, across components only."""
-
-    def run(pdf):
-        import pandas as pd
-
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            a, b = (np.array(x["sig"].tolist(), dtype=np.int64).view(np.uint64) for x in (left, right))
-            chance = 2.0**-BITS
-            differ = np.zeros((len(a), len(b)), dtype=np.int64)
-            for k in range(a.shape[1]):
-                d = a[:, None, k] ^ b[None, :, k]
-                for n in (4, 2, 1):
-                    d |= d >> np.uint64(n)
-                differ += np.bitwise_count(d & np.uint64(0x0101010101010101))
-            near = (1 - differ / (a.shape[1] * 64 / BITS) - chance) / (1 - chance) >= LEAST_ESTIMATE
-            near &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
-            key, bands_a, bands_b = np.int64(pdf["key"].iloc[0]).view(np.uint64), band_keys(a), band_keys(b)
-            i, j = np.nonzero(near)
-            for at in range(0, len(i), 4096):  # a pair is tested in the first of its common buckets only
-                x, y = i[at : at + 4096], j[at : at + 4096]
-                same = bands_a[x] == bands_b[y]
-                here = bands_a[x, same.argmax(axis=1)] == key
-                out += zip(x[here].tolist(), y[here].tolist(), strict=True)
-            (u, at_u), (v, at_v) = (expand(pa.array(x["items"].tolist())) for x in (left, right))
-            out = [(i, j) for i, j in out if _similar(u[at_u[i] : at_u[i + 1]], v[at_v[j] : at_v[j + 1]], percent)]
-        x = np.array([left["id"].iloc[i] for i, _ in out], dtype=np.int64)
-        y = np.array([right["id"].iloc[j] for _, j in out], dtype=np.int64)
-        return pd.DataFrame({"hi": np.maximum(x, y), "lo": np.minimum(x, y)})
+def _key_runs(rows: int, parts: int):
+    """Map function over (sig): for each range of band keys the sorted keys of this task, each at most twice."""
+    starts = np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - (parts - 1).bit_length()) if parts > 1 else np.zeros(0, np.uint64)
+
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held))
+        use = np.ones(len(keys), dtype=bool)
+        use[2:] = keys[2:] != keys[:-2]
+        keys = keys[use]
+        cut = np.concatenate([[0], np.searchsorted(keys, starts), [len(keys)]])
+        runs = pa.Array.from_buffers(pa.binary(), parts, [None, pa.py_buffer((cut * 8).astype(np.int32)), pa.py_buffer(keys)])
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), runs], names=["part", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(band_keys(_matrix(batch.column(0)), rows).reshape(-1))
+                n += len(held[-1])
+            if n >= KEYS:
+                yield send(held)
+                held, n = [], 0
+        if held:
+            yield send(held)
+
+    return run
+
+
+def _shared_keys(table: pa.Table) -> pa.Table:
+    """The keys of one range that occur twice or more."""
+    keys = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("keys").to_pylist()]))
+    return pa.table({"key": C.as_signed(np.unique(keys[1:][keys[1:] == keys[:-1]]))})
+
+
+def _members(rows: int, shared: np.ndarray):
+    """Map function over (id, sig): one row for each band key that passes the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(_matrix(batch.column(1)), rows)
+                row, band = np.nonzero(C.passes(shared, keys))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(C.as_signed(keys[row, band]))], names=["id", "key"])
 
     return run
 
@@ -117,74 +129,107 @@ def _confirm(percent: int, expand: Expand):
     return run
 
 
-def _band_rows(shared: np.ndarray | None):
-    """Map function over (id, sig): one row for each band key, with a filter those that pass it."""
+def _near_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map function over (hi, lo, a, b): the pairs whose signatures a and b pass the estimate."""
+    for batch in batches:
+        if batch.num_rows:
+            near = estimates(_matrix(batch.column(2)), _matrix(batch.column(3))) >= LEAST_ESTIMATE
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["hi", "lo"]).filter(pa.array(near))
+
+
+def _compare(rows: int):
+    """Map function over (block, key, id, comp, side, sig), sorted by block: candidates across components.
+
+    In a block, members of side 0 meet those of side 1; members of side 2 meet each other. A pair
+    comes out where its estimate passes, from the first bucket that has both only.
+    """
+
+    def pairs(n: int, side: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if side[0] == 2:
+            i, j = np.triu_indices(n, 1)
+        else:
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+        use = comp[i] != comp[j]
+        return i[use], j[use]
+
+    def test(ids: np.ndarray, sig: np.ndarray, bands: np.ndarray, key: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        near = estimates(sig[i], sig[j]) >= LEAST_ESTIMATE
+        i, j = i[near], j[near]
+        same = bands[i] == bands[j]
+        here = bands[i, same.argmax(axis=1)] == key[i]
+        x, y = ids[i[here]], ids[j[here]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["hi", "lo"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = band_keys(_matrix(batch.column(1)))
-            if shared is None:
-                yield pa.RecordBatch.from_arrays([pa.array(C.as_signed(keys.reshape(-1)))], names=["key"])
-                continue
-            row, band = np.nonzero(C.passes(shared, keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(C.as_signed(keys[row, band]))], names=["id", "key"])
+        for batch in C.whole_groups(batches):
+            block, key, ids, comp, side = (batch.column(k).to_numpy() for k in range(5))
+            sig = _matrix(batch.column(5))
+            bands = band_keys(sig, rows)
+            first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            some, held = [], 0
+            for a, b in zip(first, np.append(first[1:], len(block)), strict=True):
+                i, j = pairs(b - a, side[a:b], comp[a:b])
+                some.append((i + a, j + a))
+                held += len(i)
+                if held > 1 << 15 or b == len(block):
+                    yield test(ids, sig, bands, key.view(np.uint64), np.concatenate([x for x, _ in some]), np.concatenate([y for _, y in some]))
+                    some, held = [], 0
 
     return run
 
 
-def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int, width: int, s: C.Scratch, known: DataFrame | None = None, expand: Expand = as_sets) -> DataFrame:
+def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int, rows: int, s: C.Scratch, known: DataFrame | None = None, expand: Expand = as_sets) -> DataFrame:
     """Components (node, component) of sets that reach a similarity of percent / 100.
 
-    reps is a saved table with one row a set: id bigint, sig array<bigint> of `width`. items
-    takes a table of ids and returns (id, items), once for all sets that share a bucket;
-    expand turns a column of items into sorted sets. known holds links (hi, lo) that need
-    no test.
+    reps is a saved table with one row a set: id bigint, sig array<bigint>; `rows` minima are
+    a band. items takes a table of ids and returns (id, items), once for all sets that share
+    a bucket; expand turns a column of items into sorted sets. known holds links (hi, lo) that
+    need no test.
     """
     signature = reps.select("id", "sig")
-    shared = s.save(signature.mapInArrow(_band_rows(None), "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = s.save(signature.mapInArrow(_band_rows(C.bit_filter(shared, "key")), "id bigint, key bigint").join(shared, "key"))
+    one = reps.select(F.count(F.lit(1)), F.first(F.size("sig"))).first()
+    keys = one[0] * ((one[1] or 0) * 64 // BITS // rows)
+    parts = 1 << max(3, int(keys // PART).bit_length())
+    runs = signature.select("sig").mapInArrow(_key_runs(rows, parts), "part int, keys binary")
+    shared = s.save(runs.groupBy("part").applyInArrow(_shared_keys, "key bigint"))
+    members = s.save(signature.mapInArrow(_members(rows, C.bit_filter(shared, "key")), "id bigint, key bigint").join(shared, "key", "left_semi"))
+    sizes = s.save(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
 
     sets = s.save(items(members.select("id").distinct()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = signature.select(F.col("id").alias("hi"), F.col("sig").alias("a"))
-        b = signature.select(F.col("id").alias("lo"), F.col("sig").alias("b"))
-        pairs = s.save(pairs.join(a, "hi").join(b, "lo").where(estimate(F.col("a"), F.col("b"), width) >= LEAST_ESTIMATE).select("hi", "lo"))
         a, b = sets.toDF("hi", "a"), sets.toDF("lo", "b")
         return s.save(pairs.join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(_confirm(percent, expand), "hi bigint, lo bigint"))
 
     # first round: each member against the best connected hub of its buckets
-    degree = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
-    graded = members.select("id", "key").join(degree, "id")
+    counted = s.save(C.salted_join(members, sizes, ["key"], "n", F.xxhash64("id"), total=total))
+    degree = counted.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
+    graded = counted.join(degree, "id")
     hubs = graded.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("hub"))
-    best = graded.join(hubs, "key").groupBy("id").agg(F.max("hub").alias("hub")).select("id", (-F.col("hub.minus")).alias("to")).where("id <> to")
-    first = verified(best.select(F.greatest("id", "to").alias("hi"), F.least("id", "to").alias("lo")).distinct())
+    best = C.salted_join(graded.select("id", "key"), hubs.join(sizes, "key"), ["key"], "n", F.xxhash64("id"), total=total).groupBy("id").agg(F.max("hub").alias("hub"))
+    pairs = best.select("id", (-F.col("hub.minus")).alias("to")).where("id <> to").select(F.greatest("id", "to").alias("hi"), F.least("id", "to").alias("lo")).distinct()
+    a, b = signature.toDF("hi", "a"), signature.toDF("lo", "b")
+    first = verified(s.save(pairs.join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(_near_hub, "hi bigint, lo bigint")))
     first = s.save(first.union(known)) if known is not None else first
     comp = s.save(C.connected_components(first, s))
 
-    # second round: what shares a bucket across components
-    now = members.join(comp, members["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("key", "n")
-    rest = s.save(now.join(mixed, "key"))
-    small = (
-        rest.where(F.col("n") <= BLOCK).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "comp"))).alias("m"))
-        .select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.comp <> x.comp), y -> struct(y.id as hi, x.id as lo))))")).alias("p"))
-        .select("p.hi", "p.lo")
-    )
-    again = verified(small.distinct())
-
-    # large ones: what is outside the bucket's main component against all members, in blocks
-    large = rest.where(F.col("n") > BLOCK)
-    main = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("c"))
-    blocks = main.select("key", "main", F.ceil((F.col("m") - F.col("c")) / SIDE).cast("int").alias("lefts"), F.ceil(F.col("m") / SIDE).cast("int").alias("rights"))
-    dealt = large.join(blocks, "key")
+    # second round: what shares a bucket across components; a large bucket in blocks of its main component against all others
+    now = s.save(counted.join(comp, counted["id"] == comp["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp")))
+    per = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("c")).where("c < m")
+    cut = lambda n: F.when(F.col("m") <= SIDE, F.lit(1)).otherwise(F.ceil(n / SIDE)).cast("int")
+    mixed = s.save(mixed.select("key", "main", "m", cut(F.col("m") - F.col("c")).alias("lefts"), cut(F.col("m")).alias("rights")))
+    dealt = C.salted_join(now, mixed, ["key"], "m", F.xxhash64("id"))
+    small = dealt.where(F.col("m") <= SIDE).select(F.col("key").alias("block"), "key", "id", "comp", F.lit(2).alias("side"))
+    large = dealt.where(F.col("m") > SIDE)
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     others = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = dealt.where("comp <> main").select("key", own("lefts").alias("bi"), others("rights").alias("bj"), F.lit(0).alias("side"), "id", "comp")
-    right = dealt.select("key", others("lefts").alias("bi"), own("rights").alias("bj"), F.lit(1).alias("side"), "id", "comp")
-    full = left.union(right).join(signature, "id").join(sets, "id")
-    spread = full.groupBy("key", "bi", "bj").applyInPandas(_compare_blocks(percent, expand), "hi bigint, lo bigint")
-    edges = s.save(first.union(again).union(spread))
+    left = large.where("comp <> main").select("key", own("lefts").alias("bi"), others("rights").alias("bj"), "id", "comp", F.lit(0).alias("side"))
+    right = large.select("key", others("lefts").alias("bi"), own("rights").alias("bj"), "id", "comp", F.lit(1).alias("side"))
+    blocks = left.union(right).select(F.xxhash64("key", "bi", "bj").alias("block"), "key", "id", "comp", "side")
+    full = small.union(blocks).join(signature, "id").select("block", "key", "id", "comp", "side", "sig")
+    again = full.repartition("block").sortWithinPartitions("block", "side").mapInArrow(_compare(rows), "hi bigint, lo bigint")
+    edges = s.save(first.union(verified(s.save(again.distinct()))))
     return s.save(C.connected_components(edges, s))

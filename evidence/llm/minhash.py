@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .linking import BITS, link
 
-HASHES = 160
+HASHES, ROWS = 160, 5
 WIDTH = HASHES * BITS // 64  # longs of a signature
 
 _PROFILE = "n_shingles bigint, h1 bigint, h2 bigint, sig array<bigint>"
@@ -77,12 +77,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     # one class for each distinct set; its smallest document stands for it
     live = prof.where("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"))
-    reps = s.save(live.join(classes.select("rep.*"), ["doc_id", "text_key"], "left_semi").select(F.col("doc_id").alias("id"), "text_key", "sig"))
+    reps = s.save(live.join(classes.select("rep.*"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("id"), "text_key", "sig"))
 
     # a document with several texts stands in several classes: those are linked
     several = live.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("sets")).where("sets > 1").select("doc_id")
     own = live.join(several, "doc_id", "left_semi").join(classes, ["h1", "h2"]).where("doc_id <> rep.doc_id").select(F.col("doc_id").alias("hi"), F.col("rep.doc_id").alias("lo"))
-    comp = link(reps, lambda ids: _items(ids, reps, keyed, size, s), percent, WIDTH, s, own)
+    comp = link(reps, lambda ids: _items(ids, reps, keyed, size, s), percent, ROWS, s, own)
 
     rep_of = classes.select("h1", "h2", F.col("rep.doc_id").alias("rep"))
     named = rep_of.join(comp, rep_of["rep"] == comp["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))

@@ -15,13 +15,14 @@ from evidence.llm import lines, linking, minhash, packing, quality, suffix, unig
 from tests.sqlcheck import connect, differences
 
 
-@pytest.mark.parametrize(("cells", "bands"), [(80, 16), (160, 32)])
-def test_estimate_loses_far_less_than_bands(cells, bands):
+@pytest.mark.parametrize(("cells", "rows"), [(lines.BINS, lines.ROWS), (minhash.HASHES, minhash.ROWS)])
+def test_estimate_loses_far_less_than_bands(cells, rows):
     chance = 2.0**-linking.BITS
     p = chance + (1 - chance) * 0.8
     least = (chance + (1 - chance) * linking.LEAST_ESTIMATE) * cells
     lost = sum(math.comb(cells, k) * p**k * (1 - p) ** (cells - k) for k in range(cells + 1) if k < least)
-    assert lost < 0.01 * (1 - p**linking.ROWS) ** bands
+    assert lost < 0.01 * (1 - p**rows) ** (cells // rows)
+
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -86,9 +87,9 @@ def components(sets, percent=80):
     return {i: find(i) for i in up}
 
 
-@pytest.mark.parametrize("size, block", [(4, 24), (5, 1)])
+@pytest.mark.parametrize("size, block", [(4, linking.SIDE), (5, 2)])
 def test_minhash(rows, docs, none, size, block, monkeypatch):
-    monkeypatch.setattr(linking, "BLOCK", block)  # 1: all buckets are compared in blocks
+    monkeypatch.setattr(linking, "SIDE", block)  # 2: nearly all buckets are compared in blocks
     want = components([(i, shingle_set(t, size)) for i, t in rows if i is not None])
     got = minhash.near_duplicates(docs, size=size).collect()
     assert len(got) == len(rows)

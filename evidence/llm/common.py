@@ -319,7 +319,14 @@ def as_signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def list_array(values: np.ndarray, width: int) -> pa.Array:
-    """An Arrow list column of rows of `width` longs."""
-    flat = np.ascontiguousarray(values).reshape(-1)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(as_signed(flat)))
+def binary_rows(values: np.ndarray) -> pa.Array:
+    """An Arrow binary column: the bytes of each row."""
+    width = values.shape[1] * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(np.arange(0, (len(values) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """The unsigned longs of a binary column whose rows have one length."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1 + column.offset)[column.offset :]
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(data.tobytes(), dtype=np.uint64).reshape(len(column), -1)

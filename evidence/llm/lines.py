@@ -1,10 +1,10 @@
 """Near-duplicate lines: one line of each component stays.
 
 A line is compared by its runs of five characters, after A-Z are lower-cased and white space
-at its ends is cut. One hash of each run gives 184 minima by one permutation: the hash picks
+at its ends is cut. One hash of each run gives 168 minima by one permutation: the hash picks
 the bin, the least hash in a bin is its minimum, and an empty bin borrows from bins that
-other hash functions pick. 26 bands of 7 minima find the candidates (a pair at a similarity
-of 0.8 misses all of them with a probability of 0.002; unlike lines hardly ever share a
+other hash functions pick. 24 bands of 7 minima find the candidates (a pair at a similarity
+of 0.8 misses all of them with a probability of 0.004; unlike lines hardly ever share a
 band, so that candidates do not grow with the square of the corpus), exact comparison
 confirms them, and distributed union-find joins them.
 """
@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 from . import common as C
 from .linking import BITS, link
 
-BINS, ROWS = 184, 7
-WIDTH = BINS * BITS // 64
+BINS, ROWS = 168, 7
 CHARS = 5
 _EMPTY = ~np.uint64(0)
 #: Bins that an empty bin asks one after the other.
-_ASK = np.random.default_rng(11).integers(0, BINS, size=(64, BINS))
+_ASK = np.random.default_rng(11).integers(0, BINS, size=(16, BINS, 4))
 
 
 class Lines:
@@ -68,38 +67,56 @@ class Lines:
         """Hashes of the runs of five characters of the picked lines, and the number before each."""
         chars = np.flatnonzero((self.raw & 0xC0) != 0x80)  # first byte of each character
         c0, c1 = np.searchsorted(chars, self.a[pick]), np.searchsorted(chars, self.b[pick])
+        ends = np.append(chars, len(self.raw))
+        p = ends[: max(len(chars) - CHARS + 1, 0)]
+        q = ends[CHARS : CHARS + len(p)]
+        every = C.mix((self.sums[q] - self.sums[p]) * self.down[p] + (q - p).astype(np.uint64))
         number = np.maximum(c1 - c0 - CHARS + 1, 1)
         bounds = np.zeros(len(pick) + 1, dtype=np.int64)
         np.cumsum(number, out=bounds[1:])
-        first = np.repeat(c0 - bounds[:-1], number) + np.arange(bounds[-1])
-        ends = np.append(chars, len(self.raw))
-        p = chars[first]
-        q = np.minimum(ends[np.minimum(first + CHARS, len(chars))], np.repeat(self.b[pick], number))
-        return C.mix((self.sums[q] - self.sums[p]) * self.down[p] + (q - p).astype(np.uint64)), bounds
+        at = np.repeat(c0 - bounds[:-1], number) + np.arange(bounds[-1])
+        out = every[np.minimum(at, len(every) - 1)] if len(every) else np.zeros(len(at), np.uint64)
+        short = np.flatnonzero(c1 - c0 < CHARS)  # a shorter line is its own only run
+        p, q = self.a[pick[short]], self.b[pick[short]]
+        out[bounds[short]] = C.mix((self.sums[q] - self.sums[p]) * self.down[p] + (q - p).astype(np.uint64))
+        return out, bounds
 
 
 def bin_minima(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Minima of BINS bins for each line, empty bins filled from others."""
+    """Minima of BINS bins for each line, empty bins filled from others; some lines at a time."""
+    parts, at = [], 0
+    while at < len(bounds) - 1:
+        end = min(max(at + 1, int(np.searchsorted(bounds, bounds[at] + 65536, side="right")) - 1), at + 1024)
+        parts.append(_bin_minima(grams[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at]))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros((0, BINS), np.uint64)
+
+
+def _bin_minima(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     rows = len(bounds) - 1
     out = np.full(rows * BINS, _EMPTY)
-    row = np.repeat(np.arange(rows), np.diff(bounds))
-    np.minimum.at(out, row * BINS + ((grams >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64), C.mix(grams))
-    out = out.reshape(rows, BINS)
+    row = np.repeat(np.arange(0, rows * BINS, BINS), np.diff(bounds))
+    # the upper half of a hash picks the bin, the lower half comes first in the order
+    bins = ((grams >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
+    np.minimum.at(out, row + bins.astype(np.int64), (grams << np.uint64(32)) | (grams >> np.uint64(32)))
     held = out != _EMPTY
-    left = ~held
-    for k in range(len(_ASK)):
-        some = np.flatnonzero(left.any(axis=1))
-        if not len(some):
+    source = np.arange(rows * BINS)  # where each bin has its value from
+    left = np.flatnonzero(~held)
+    column = left % BINS
+    first = left - column
+    for asks in _ASK:  # four bins at a time
+        if not len(left):
             break
-        ask = _ASK[k]
-        take = left[some] & held[some][:, ask]
-        out[some] = np.where(take, C.mix(out[some][:, ask] + np.uint64(k + 1)), out[some])
-        left[some] &= ~take
-    if left.any():  # hardly ever: the next bin to the right that is not empty
-        r, c = np.nonzero(left)
-        first = held[r].argmax(axis=1)
-        out[r, c] = C.mix(out[r, first] + np.uint64(1000))
-    return out
+        ask = asks.take(column, axis=0)
+        ask += first[:, None]
+        there = held.take(ask)
+        at = np.arange(0, 4 * len(left), 4) + there.argmax(axis=1)
+        hit = there.ravel().take(at)
+        source[left[hit]] = ask.ravel().take(at)[hit]
+        left, first, column = left[~hit], first[~hit], column[~hit]
+    if len(left):  # hardly ever: the first bin of the line that is not empty
+        source[left] = first + held.reshape(rows, BINS).argmax(axis=1)[first // BINS]
+    return C.mix(out.take(source) + np.tile(np.arange(BINS, dtype=np.uint64), rows)).reshape(rows, BINS)
 
 
 def _place(doc: np.ndarray, key: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -111,7 +128,7 @@ def _scan(signed: bool, bits: np.ndarray | None = None):
     """Map function: one row for each line with a word, with or without its signature; with a filter only lines whose h1 passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches):
+        for batch in C.slices(batches, most=1 << 18):
             x = Lines(*C.string_bytes(batch.column(2)))
             pick = np.flatnonzero(x.full if bits is None else x.full & C.passes(bits, x.h1))
             if not len(pick):
@@ -119,7 +136,7 @@ def _scan(signed: bool, bits: np.ndarray | None = None):
             take = pa.array(x.text[pick])
             columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(x.pos[pick].astype(np.int32)), pa.array(C.as_signed(x.h1[pick])), pa.array(C.as_signed(x.h2[pick]))]
             if signed:
-                columns.append(C.list_array(C.pack(bin_minima(*x.grams(pick)), BITS), WIDTH))
+                columns.append(C.binary_rows(C.pack(bin_minima(*x.grams(pick)), BITS)))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "pos", "h1", "h2", "sig"][: len(columns)])
 
     return run
@@ -129,7 +146,7 @@ def _texts(bits: np.ndarray):
     """Map function: the lines whose place passes the filter, lower-cased and cut at the ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches):
+        for batch in C.slices(batches, most=1 << 18):
             x = Lines(*C.string_bytes(batch.column(2)))
             doc, key = (batch.column(k).to_numpy()[x.text] for k in (0, 1))
             place = _place(doc, key, x.pos)
@@ -159,7 +176,7 @@ def line_components(docs: DataFrame, percent: int, s: C.Scratch) -> DataFrame:
     place = F.struct("doc_id", "text_key", "pos")
     # one class for each distinct line; its first place goes before the signature in the order
     first = F.min(F.struct("doc_id", "text_key", "pos", "sig")).alias("first")
-    classes = docs.mapInArrow(_scan(True), f"{schema}, sig array<bigint>").groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("times"))
+    classes = docs.mapInArrow(_scan(True), f"{schema}, sig binary").groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("times"))
     reps = s.save(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "times", *[F.col(f"first.{c}").alias(c) for c in ("doc_id", "text_key", "pos", "sig")]))
 
     def items(ids: DataFrame) -> DataFrame:

@@ -53,10 +53,6 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return C.mix(acc)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1)
-
-
 def as_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Items that are the sorted sets themselves."""
     return column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
@@ -87,7 +83,7 @@ def _key_runs(rows: int, parts: int):
         held, n = [], 0
         for batch in batches:
             if batch.num_rows:
-                held.append(band_keys(_matrix(batch.column(0)), rows).reshape(-1))
+                held.append(band_keys(C.matrix(batch.column(0)), rows).reshape(-1))
                 n += len(held[-1])
             if n >= KEYS:
                 yield send(held)
@@ -110,7 +106,7 @@ def _members(rows: int, shared: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(_matrix(batch.column(1)), rows)
+                keys = band_keys(C.matrix(batch.column(1)), rows)
                 row, band = np.nonzero(C.passes(shared, keys))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(C.as_signed(keys[row, band]))], names=["id", "key"])
 
@@ -133,7 +129,7 @@ def _near_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Map function over (hi, lo, a, b): the pairs whose signatures a and b pass the estimate."""
     for batch in batches:
         if batch.num_rows:
-            near = estimates(_matrix(batch.column(2)), _matrix(batch.column(3))) >= LEAST_ESTIMATE
+            near = estimates(C.matrix(batch.column(2)), C.matrix(batch.column(3))) >= LEAST_ESTIMATE
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["hi", "lo"]).filter(pa.array(near))
 
 
@@ -164,7 +160,7 @@ def _compare(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.whole_groups(batches):
             block, key, ids, comp, side = (batch.column(k).to_numpy() for k in range(5))
-            sig = _matrix(batch.column(5))
+            sig = C.matrix(batch.column(5))
             bands = band_keys(sig, rows)
             first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
             some, held = [], 0
@@ -172,7 +168,7 @@ def _compare(rows: int):
                 i, j = pairs(b - a, side[a:b], comp[a:b])
                 some.append((i + a, j + a))
                 held += len(i)
-                if held > 1 << 15 or b == len(block):
+                if held > 1 << 13 or b == len(block):
                     yield test(ids, sig, bands, key.view(np.uint64), np.concatenate([x for x, _ in some]), np.concatenate([y for _, y in some]))
                     some, held = [], 0
 
@@ -182,14 +178,14 @@ def _compare(rows: int):
 def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int, rows: int, s: C.Scratch, known: DataFrame | None = None, expand: Expand = as_sets) -> DataFrame:
     """Components (node, component) of sets that reach a similarity of percent / 100.
 
-    reps is a saved table with one row a set: id bigint, sig array<bigint>; `rows` minima are
+    reps is a saved table with one row a set: id bigint, sig binary; `rows` minima are
     a band. items takes a table of ids and returns (id, items), once for all sets that share
     a bucket; expand turns a column of items into sorted sets. known holds links (hi, lo) that
     need no test.
     """
     signature = reps.select("id", "sig")
-    one = reps.select(F.count(F.lit(1)), F.first(F.size("sig"))).first()
-    keys = one[0] * ((one[1] or 0) * 64 // BITS // rows)
+    one = reps.select(F.count(F.lit(1)), F.first(F.length("sig"))).first()
+    keys = one[0] * ((one[1] or 0) * 8 // BITS // rows)
     parts = 1 << max(3, int(keys // PART).bit_length())
     runs = signature.select("sig").mapInArrow(_key_runs(rows, parts), "part int, keys binary")
     shared = s.save(runs.groupBy("part").applyInArrow(_shared_keys, "key bigint"))

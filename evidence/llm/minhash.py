@@ -23,9 +23,8 @@ from . import common as C
 from .linking import BITS, link
 
 HASHES, ROWS = 160, 5
-WIDTH = HASHES * BITS // 64  # longs of a signature
 
-_PROFILE = "n_shingles bigint, h1 bigint, h2 bigint, sig array<bigint>"
+_PROFILE = "n_shingles bigint, h1 bigint, h2 bigint, sig binary"
 
 
 def _profiles(size: int, keep: list[str]):
@@ -48,7 +47,7 @@ def _profiles(size: int, keep: list[str]):
                 key[full, 1] = np.add.reduceat(C.mix(sets ^ np.uint64(0x5851F42D4C957F2D)), starts[:-1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in keep]
-                + [pa.array(n), pa.array(C.as_signed(key[:, 0].copy())), pa.array(C.as_signed(key[:, 1].copy())), C.list_array(C.pack(low, BITS), WIDTH)],
+                + [pa.array(n), pa.array(C.as_signed(key[:, 0].copy())), pa.array(C.as_signed(key[:, 1].copy())), C.binary_rows(C.pack(low, BITS))],
                 names=[*keep, "n_shingles", "h1", "h2", "sig"],
             )
 

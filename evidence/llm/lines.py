@@ -22,6 +22,8 @@ from . import common as C
 from .linking import BITS, link
 
 BINS, ROWS = 168, 7
+#: Estimated similarity under which a candidate is discarded: at a similarity of 0.8 with a probability of 0.00003, far less than the bands lose.
+LEAST = 0.67
 CHARS = 5
 _EMPTY = ~np.uint64(0)
 #: Bins that an empty bin asks one after the other.
@@ -186,7 +188,7 @@ def line_components(docs: DataFrame, percent: int, s: C.Scratch) -> DataFrame:
         texts = docs.mapInArrow(_texts(C.bit_filter(at, "place")), "place bigint, h1 bigint, h2 bigint, items binary").distinct()
         return at.join(texts, ["place", "h1", "h2"]).select("id", "items")
 
-    comp = link(reps, items, percent, ROWS, s, expand=_gram_sets)
+    comp = link(reps, items, percent, ROWS, LEAST, s, expand=_gram_sets)
     grouped = s.save(comp.select("node", "component").union(comp.select(F.col("component").alias("node"), "component").distinct()))
     near = s.save(grouped.join(reps.select("id", "h1", "h2", place.alias("own")), F.col("node") == F.col("id")).select("component", "h1", "h2", "own"))
     stays = near.groupBy("component").agg(F.min("own").alias("keeper"), F.count(F.lit(1)).alias("n"))

@@ -27,10 +27,9 @@ BITS = 8
 SIDE = 128  # members of a bucket that are compared at once, or of one side of a block
 KEYS = 1 << 21  # band keys that a task holds before it sends them
 PART = 1 << 20  # about the keys of one range
+CONFIRM = 1 << 20  # about the bytes of items that are compared at once
 #: From a column of items to the values of their sorted sets and the number before each.
 Expand = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
-#: Signature similarity under which a candidate is discarded; at a similarity of 0.8 it loses far less than the bands do.
-LEAST_ESTIMATE = 0.6
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,23 +116,29 @@ def _confirm(percent: int, expand: Expand):
     """Map function over (hi, lo, a, b): the pairs whose sets a and b reach percent / 100."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (a, at_a), (b, at_b) = (expand(batch.column(k)) for k in (2, 3))
-            keep = [_similar(a[at_a[k] : at_a[k + 1]], b[at_b[k] : at_b[k + 1]], percent) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["hi", "lo"]).filter(pa.array(keep, type=pa.bool_()))
+        for whole in batches:
+            step = max(1, whole.num_rows * CONFIRM // max(whole.nbytes, 1))
+            for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                (a, at_a), (b, at_b) = (expand(batch.column(k)) for k in (2, 3))
+                keep = [_similar(a[at_a[k] : at_a[k + 1]], b[at_b[k] : at_b[k + 1]], percent) for k in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["hi", "lo"]).filter(pa.array(keep, type=pa.bool_()))
 
     return run
 
 
-def _near_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_hub(least: float):
     """Map function over (hi, lo, a, b): the pairs whose signatures a and b pass the estimate."""
-    for batch in batches:
-        if batch.num_rows:
-            near = estimates(C.matrix(batch.column(2)), C.matrix(batch.column(3))) >= LEAST_ESTIMATE
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["hi", "lo"]).filter(pa.array(near))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = estimates(C.matrix(batch.column(2)), C.matrix(batch.column(3))) >= least
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["hi", "lo"]).filter(pa.array(near))
+
+    return run
 
 
-def _compare(rows: int):
+def _compare(rows: int, least: float):
     """Map function over (block, key, id, comp, side, sig), sorted by block: candidates across components.
 
     In a block, members of side 0 meet those of side 1; members of side 2 meet each other. A pair
@@ -150,7 +155,7 @@ def _compare(rows: int):
         return i[use], j[use]
 
     def test(ids: np.ndarray, sig: np.ndarray, bands: np.ndarray, key: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        near = estimates(sig[i], sig[j]) >= LEAST_ESTIMATE
+        near = estimates(sig[i], sig[j]) >= least
         i, j = i[near], j[near]
         same = bands[i] == bands[j]
         here = bands[i, same.argmax(axis=1)] == key[i]
@@ -175,11 +180,11 @@ def _compare(rows: int):
     return run
 
 
-def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int, rows: int, s: C.Scratch, known: DataFrame | None = None, expand: Expand = as_sets) -> DataFrame:
+def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int, rows: int, least: float, s: C.Scratch, known: DataFrame | None = None, expand: Expand = as_sets) -> DataFrame:
     """Components (node, component) of sets that reach a similarity of percent / 100.
 
     reps is a saved table with one row a set: id bigint, sig binary; `rows` minima are
-    a band. items takes a table of ids and returns (id, items), once for all sets that share
+    a band and `least` is the estimated similarity under which a candidate is discarded. items takes a table of ids and returns (id, items), once for all sets that share
     a bucket; expand turns a column of items into sorted sets. known holds links (hi, lo) that
     need no test.
     """
@@ -207,7 +212,7 @@ def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int,
     best = C.salted_join(graded.select("id", "key"), hubs.join(sizes, "key"), ["key"], "n", F.xxhash64("id"), total=total).groupBy("id").agg(F.max("hub").alias("hub"))
     pairs = best.select("id", (-F.col("hub.minus")).alias("to")).where("id <> to").select(F.greatest("id", "to").alias("hi"), F.least("id", "to").alias("lo")).distinct()
     a, b = signature.toDF("hi", "a"), signature.toDF("lo", "b")
-    first = verified(s.save(pairs.join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(_near_hub, "hi bigint, lo bigint")))
+    first = verified(s.save(pairs.join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(_near_hub(least), "hi bigint, lo bigint")))
     first = s.save(first.union(known)) if known is not None else first
     comp = s.save(C.connected_components(first, s))
 
@@ -226,6 +231,6 @@ def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int,
     right = large.select("key", others("lefts").alias("bi"), own("rights").alias("bj"), "id", "comp", F.lit(1).alias("side"))
     blocks = left.union(right).select(F.xxhash64("key", "bi", "bj").alias("block"), "key", "id", "comp", "side")
     full = small.union(blocks).join(signature, "id").select("block", "key", "id", "comp", "side", "sig")
-    again = full.repartition("block").sortWithinPartitions("block", "side").mapInArrow(_compare(rows), "hi bigint, lo bigint")
+    again = full.repartition("block").sortWithinPartitions("block", "side").mapInArrow(_compare(rows, least), "hi bigint, lo bigint")
     edges = s.save(first.union(verified(s.save(again.distinct()))))
     return s.save(C.connected_components(edges, s))

@@ -23,6 +23,8 @@ from . import common as C
 from .linking import BITS, link
 
 HASHES, ROWS = 160, 5
+#: Estimated similarity under which a candidate is discarded; at a similarity of 0.8 it loses far less than the bands do.
+LEAST = 0.6
 
 _PROFILE = "n_shingles bigint, h1 bigint, h2 bigint, sig binary"
 
@@ -81,7 +83,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     # a document with several texts stands in several classes: those are linked
     several = live.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("sets")).where("sets > 1").select("doc_id")
     own = live.join(several, "doc_id", "left_semi").join(classes, ["h1", "h2"]).where("doc_id <> rep.doc_id").select(F.col("doc_id").alias("hi"), F.col("rep.doc_id").alias("lo"))
-    comp = link(reps, lambda ids: _items(ids, reps, keyed, size, s), percent, ROWS, s, own)
+    comp = link(reps, lambda ids: _items(ids, reps, keyed, size, s), percent, ROWS, LEAST, s, own)
 
     rep_of = classes.select("h1", "h2", F.col("rep.doc_id").alias("rep"))
     named = rep_of.join(comp, rep_of["rep"] == comp["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))

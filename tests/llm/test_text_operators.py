@@ -15,12 +15,12 @@ from evidence.llm import lines, linking, minhash, packing, quality, suffix, unig
 from tests.sqlcheck import connect, differences
 
 
-@pytest.mark.parametrize(("cells", "rows"), [(lines.BINS, lines.ROWS), (minhash.HASHES, minhash.ROWS)])
-def test_estimate_loses_far_less_than_bands(cells, rows):
+@pytest.mark.parametrize(("cells", "rows", "least"), [(lines.BINS, lines.ROWS, lines.LEAST), (minhash.HASHES, minhash.ROWS, minhash.LEAST)])
+def test_estimate_loses_far_less_than_bands(cells, rows, least):
     chance = 2.0**-linking.BITS
     p = chance + (1 - chance) * 0.8
-    least = (chance + (1 - chance) * linking.LEAST_ESTIMATE) * cells
-    lost = sum(math.comb(cells, k) * p**k * (1 - p) ** (cells - k) for k in range(cells + 1) if k < least)
+    below = (chance + (1 - chance) * least) * cells
+    lost = sum(math.comb(cells, k) * p**k * (1 - p) ** (cells - k) for k in range(cells + 1) if k < below)
     assert lost < 0.01 * (1 - p**rows) ** (cells // rows)
 
 

@@ -20,12 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common as C
 
 MARK = "▁"
-WORDS = re.compile(f"{MARK}+[^{MARK}]*")
+_WORDS = re.compile(" +[^ ]*")
 #: Distinct words that a task remembers; beyond, it starts anew.
 REMEMBERED = 300_000
 _vocabularies: dict = {}
@@ -52,7 +51,6 @@ class Vocabulary:
                 self.pieces[name] = (i, -math.log(i + 1))
         if any(MARK in x.lstrip(MARK) for x in self.pieces):
             raise ValueError("a piece goes on past a mark")
-        self.longest = max(map(len, self.pieces))
         self.singles = {x for x in self.pieces if len(x) == 1}
         self.unknown = min(x[1] for x in self.pieces.values()) - 10.0
 
@@ -68,6 +66,27 @@ def marked(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
+def words_of(text: str | None) -> list[str]:
+    """The marked words of a text, with blanks in place of marks."""
+    return _WORDS.findall(" " + text.replace(MARK, " ")) if text else []
+
+
+class Known:
+    """What a task remembers of the words it met, computed once a batch for all new words."""
+
+    def __init__(self, compute):
+        self.compute, self.of = compute, {}
+
+    def learn(self, found: list[list[str]]) -> dict:
+        every = set().union(*found)
+        new = every.difference(self.of)
+        if len(self.of) + len(new) > REMEMBERED:
+            self.of.clear()
+            new = every
+        self.of.update(self.compute(new))
+        return self.of
+
+
 class Counter:
     """Number of tokens of a marked word: matches by Aho-Corasick, then best score and count."""
 
@@ -109,20 +128,13 @@ class Counter:
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, known = Counter(vocabulary(path)), {}
+        count = Counter(vocabulary(path))
+        known = Known(lambda words: {w: count(w.replace(" ", MARK)) for w in words})
         for batch in C.slices(batches):
-            words, tokens = [], []
-            for text in batch.column(1).to_pylist():
-                found = WORDS.findall(marked(text or ""))
-                new = set(found).difference(known)
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = set(found)
-                for w in new:
-                    known[w] = count(w)
-                words.append(len(found))
-                tokens.append(sum(map(known.__getitem__, found)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+            found = [words_of(text) for text in batch.column(1).to_pylist()]
+            of = known.learn(found)
+            tokens = [sum(map(of.__getitem__, words)) for words in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     return run
 
@@ -138,14 +150,22 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
 
 
 class TrieEncoder:
-    """Ids of sorted distinct words: forward scores of a prefix that words share are kept."""
+    """Ids of distinct words, walked in order as the branches of a trie: forward scores of a prefix that words share are kept.
+
+    The pieces that end at a place are found by a walk back through a trie of reversed pieces.
+    """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-
-    def __call__(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        v = self.vocab
-        pieces, longest = v.pieces, v.longest
+        self.back: dict = {}
+        for piece, hit in vocab.pieces.items():
+            node = self.back
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = hit
+
+    def __call__(self, words) -> Iterator[tuple[str, list[int]]]:
+        v, root, singles = self.vocab, self.back, self.vocab.singles
         best, back = [0.0], [(0, 0)]  # score and (start, id or -1) of the best way to each place of the path
         before = ""
         for word in sorted(words):
@@ -156,14 +176,17 @@ class TrieEncoder:
                 shared += 1
             del best[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                top, way = -math.inf, (0, 0)
-                for start in range(max(0, end - longest), end):
-                    hit = pieces.get(word[start:end])
+                top, way, node = -math.inf, (0, 0), root
+                for start in range(end - 1, -1, -1):
+                    node = node.get(word[start])
+                    if node is None:
+                        break
+                    hit = node.get("")
                     if hit is not None:
                         score = best[start] + hit[1]
-                        if score > top:
+                        if score >= top:  # a tie goes to the earlier start
                             top, way = score, (start, hit[0])
-                if word[end - 1] not in v.singles:
+                if word[end - 1] not in singles:
                     score = best[end - 1] + v.unknown
                     if score > top:
                         top, way = score, (end - 1, -1)
@@ -179,29 +202,34 @@ class TrieEncoder:
             yield word, ids
             before = word
 
+    def encode(self, words: set[str]) -> dict[str, bytes]:
+        """The ids, as little-endian 32-bit numbers, of words with blanks in place of marks."""
+        return {word.replace(MARK, " "): np.array(ids, dtype="<u4").tobytes() for word, ids in self(w.replace(" ", MARK) for w in words)}
+
 
-def decode(ids: np.ndarray, vocab: Vocabulary) -> str:
-    """The text of ids: marks become blanks, the first one goes, runs of byte ids are UTF-8."""
-    parts = [bytes([vocab.byte_of[i]]) if i in vocab.byte_of else vocab.names[i].encode() for i in ids]
-    text = b"".join(parts).decode(errors="replace").replace(MARK, " ")
-    return text[1:] if text.startswith(" ") else text
+class Decoder:
+    """Texts of ids: marks become blanks, the first one goes, runs of byte ids are UTF-8."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.table = [bytes([vocab.byte_of[i]]) if i in vocab.byte_of else name.replace(MARK, " ").encode() for i, name in enumerate(vocab.names)]
+
+    def pieces(self, ids: bytes) -> bytes:
+        return b"".join([self.table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+
+    def text(self, pieces: bytes) -> str:
+        text = pieces.decode(errors="replace")
+        return text[1:] if text.startswith(" ") else text
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = TrieEncoder(vocabulary(path)), {}
+        known = Known(TrieEncoder(vocabulary(path)).encode)
         for batch in C.slices(batches):
-            found = [WORDS.findall(marked(text or "")) for text in batch.column(1).to_pylist()]
-            every = set().union(*found)
-            new = every.difference(known)
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = every
-            for word, ids in encode(list(new)):
-                known[word] = np.array(ids, dtype=np.int32)
-            ids = [np.concatenate([known[w] for w in words]) if words else np.zeros(0, np.int32) for words in found]
-            bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+            found = [words_of(text) for text in batch.column(1).to_pylist()]
+            of = known.learn(found)
+            ids = [b"".join(map(of.__getitem__, words)) for words in found]
+            bounds = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), flat), batch.column(1)], names=["doc_id", "ids", "text"])
 
     return run
@@ -209,16 +237,11 @@ def _encode(path: str):
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        table = [bytes([vocab.byte_of[i]]) if i in vocab.byte_of else name.replace(MARK, " ").encode() for i, name in enumerate(vocab.names)]
+        decoder = Decoder(vocabulary(path))
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
-            texts = []
-            for row in ids:
-                text = b"".join([table[i] for i in row.values.to_numpy()]).decode(errors="replace") if row.is_valid else ""
-                texts.append(text[1:] if text.startswith(" ") else text)
-            names = [*batch.schema.names, "decoded"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
+            texts = [decoder.text(decoder.pieces(row.values.to_numpy().astype("<u4").tobytes())) if row.is_valid else "" for row in ids]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return run
 
@@ -244,20 +267,29 @@ def decode_ids(coded: DataFrame, model: str) -> DataFrame:
 
 def _digest(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, crc, sha = [], [], []
-            for row, text in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                ids = row.values.to_numpy().astype("<u4")
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.tobytes()))
-                sha.append(hashlib.sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), batch.column(3)], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
+        vocab = vocabulary(path)
+        encoder, decoder = TrieEncoder(vocab), Decoder(vocab)
+        known = Known(lambda words: {w: (ids, decoder.pieces(ids)) for w, ids in encoder.encode(words).items()})
+        for batch in C.slices(batches):
+            rows = []
+            texts = batch.column(1).to_pylist()
+            found = [words_of(text) for text in texts]
+            of = known.learn(found)
+            for text, words in zip(texts, found, strict=True):
+                parts = list(map(of.__getitem__, words))
+                ids = b"".join([x[0] for x in parts])
+                back = decoder.text(b"".join([x[1] for x in parts]))
+                rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
+            columns = list(zip(*rows, strict=True))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
 
     return run
 
 
 def encoded_digests(docs: DataFrame, model: str) -> DataFrame:
-    """Encode, decode, and compare: doc_id, n_ids, ids_crc32, decoded_sha256, round_trip."""
-    coded = decode_ids(encode_texts(docs, model), model)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return coded.select("doc_id", "ids", "decoded", same.alias("same")).mapInArrow(_digest(model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_ids bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean")
+    """Encode, decode, and compare in one pass: doc_id, n_ids, ids_crc32, decoded_sha256, round_trip.
+
+    The rows of decode_ids(encode_texts(docs)), without shipping ids and texts between the steps.
+    """
+    return docs.select("doc_id", "text").mapInArrow(_digest(model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_ids bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean")

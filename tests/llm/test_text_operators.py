@@ -4,7 +4,6 @@ import collections
 import hashlib
 import math
 import random
-import re
 import zlib
 
 import numpy as np
@@ -267,7 +266,15 @@ def test_unigram(spark, rows, docs, none, unigram_oracle):
 
 
 def test_word_bounds():
-    assert unigram.WORDS.findall(unigram.marked("a  b c ")) == ["▁a", "▁▁b", "▁c", "▁"] and re.sub("▁", " ", "".join(unigram.WORDS.findall(unigram.marked(" x")))) == "  x"
+    assert unigram.words_of("a  b c ") == [" a", "  b", " c", " "] and "".join(unigram.words_of(" x▁y")) == "  x y" and unigram.words_of("") == unigram.words_of(None) == []
+
+
+def test_fused_digests_equal_the_steps(spark, docs):
+    model = P.path("piece_bpe_32k.model")
+    steps = unigram.decode_ids(unigram.encode_texts(docs, model), model).collect()
+    want = sorted(((r["doc_id"], len(r["ids"]), hashlib.sha256(r["decoded"].encode()).hexdigest()) for r in steps), key=str)
+    assert sorted(((r["doc_id"], r["n_ids"], r["decoded_sha256"]) for r in unigram.encoded_digests(docs, model).collect()), key=str) == want
+    assert all(r["decoded"] == (r["text"] or "") for r in steps)
 
 
 @pytest.mark.parametrize("name, module", [("op1_quality", "quality"), ("op4_quotes", "quotes")])

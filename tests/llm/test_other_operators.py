@@ -44,7 +44,7 @@ def test_forest(spark):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, label int, node int, m int")
     links, comps = brute_links([(n, *r) for n, r in enumerate(rows)])
     want = sorted(((i, links[n], None if i is None else comps[i]) for n, (i, _, _) in enumerate(rows)), key=str)
-    for leaf in (1500, 60):
+    for leaf in (1500, 64, 16):
         got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in forest.near_vectors(df, leaf=leaf).collect()), key=str)
         found, there = sum(x[1] for x in got), sum(x[1] for x in want)
         assert there > 300 and found >= 0.99 * there and found <= there
@@ -55,6 +55,7 @@ def test_forest(spark):
 
 
 def test_forest_family_above_the_leaf_size(spark):
+    """With the default parameters; the table splits and holds a family that does not."""
     rng = np.random.default_rng(5)
     centre, wide = rng.normal(size=24), rng.normal(size=24)
     family = [centre + rng.normal(size=24) * 0.04 for _ in range(400)]
@@ -63,7 +64,7 @@ def test_forest_family_above_the_leaf_size(spark):
     rows = [(i, v.tolist(), int(i >= 400)) for i, v in enumerate(family + loose + others)]
     links, comps = brute_links([(n, *r) for n, r in enumerate(rows)])
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: r for r in forest.near_vectors(df, leaf=60).collect()}
+    got = {r["vec_id"]: r for r in forest.near_vectors(df).collect()}
     assert all(links[i] == 399 for i in range(400))
     assert all(got[i]["n_links"] == links[i] and got[i]["component_id"] == 0 for i in range(400))
     found, there = sum(got[i]["n_links"] for i in range(400, 700)), sum(links[i] for i in range(400, 700))
@@ -71,6 +72,39 @@ def test_forest_family_above_the_leaf_size(spark):
     assert all(got[i]["n_links"] <= links[i] for i in got) and {i: r["component_id"] for i, r in got.items()} == comps
 
 
+def test_forest_parallel_vectors_and_magnitudes(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=8)
+    rows = [(i, (centre * (i + 1)).tolist(), 0) for i in range(2000)]
+    rows += [(3000 + i, [float(i + 1)], 0) for i in range(100)] + [(4000, [1e200, 2e200], 0), (4001, [1e200, 2e200], 0), (4002, [1e-200, 2e-200], 0), (4003, [1.0, 2.0], 0), (4004, [5e-324, 0.0], 0), (4005, [-1.0, -2.0], 0)]
+    got = {r["vec_id"]: r for r in forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i]["n_links"] == 1999 and got[i]["component_id"] == 0 for i in range(2000))
+    assert all(got[3000 + i]["n_links"] == 99 and got[3000 + i]["component_id"] == 3000 for i in range(100))
+    assert all(got[i]["n_links"] == 3 and got[i]["component_id"] == 4000 for i in range(4000, 4004))
+    assert got[4004]["n_links"] == got[4005]["n_links"] == 0 and got[4005]["kept"]
+
+
+def test_forest_query_recall(spark, tmp_path):
+    """The registered query against all pairs; every label is far larger than a leaf and most links are near the limit."""
+    from evidence.llm import queries
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for c in range(900):
+        centre = rng.normal(size=64)
+        for k in range(1 + c % 4):
+            rows.append((len(rows), (centre + rng.normal(size=64) * 0.13 * (k > 0)).tolist(), int(c % 3)))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = [tuple(r) for r in spark.read.parquet(str(tmp_path / "embeddings.parquet")).collect()]
+    links, comps = brute_links([(n, i, list(v), label) for n, (i, v, label) in enumerate(rows)])
+    got = {r["vec_id"]: r for r in queries.QUERIES["op7_forest"](spark, str(tmp_path)).collect()}
+    want = {rows[n][0]: k for n, k in links.items()}
+    assert len(got) == len(rows) and sum(want.values()) > 1000
+    assert all(r["n_links"] <= want.get(i, 0) for i, r in got.items())
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * sum(want.values())
+    assert sum(r["component_id"] != comps[i] for i, r in got.items()) <= 0.01 * sum(1 for i in comps if comps[i] != i)
+
+
 def test_languages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()

@@ -11,8 +11,10 @@ Ranks. A run's rank is the first place (doc_id, start) where its whole content o
 its sample. They are computed before any sorting, by aggregation.
 
 Blocks. The suffixes to sort are those of runs whose sample occurs with more than one content;
-all other ties are long and are settled by rank alone. They are dealt into buckets by sample
-and one block of buckets at a time is sorted, on contexts of at most 175 bytes a run.
+all other ties are long and are settled by rank alone. They are dealt into buckets by sample,
+and one block of whole buckets at a time is sorted by its bytes to a depth of 100, on contexts
+of at most 175 bytes a run; neighbours in that order are compared byte by byte. Suffixes of a
+bucket too large for one task are dealt on by two hashes of their 100 bytes.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from . import common as C
 
 LENGTH, GRAM = 100, 24
 REACH = LENGTH - GRAM + 1
-#: Buckets with more runs than this are sorted by Spark, spread over tasks by content.
+#: Buckets with more runs than this are spread over tasks by content.
 BUCKET = 2048
+#: Runs that are sorted at once, unless one bucket has more.
+BLOCK = 1024
 
 
 def sampled_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -118,19 +122,39 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([sample, doc, key, at, n, context], names=["sample", "doc_id", "text_key", "at", "n", "context"])
 
 
-def _suffix_hashes(sample: np.ndarray, n: np.ndarray, context: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each suffix (start) of each run: run number, distance in the run, hash of its 100 bytes with its sample."""
+def _bytes_of(context: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     bound = np.frombuffer(context.buffers()[1], dtype=np.int32, count=len(context) + 1 + context.offset)[context.offset :].astype(np.int64)
-    raw = np.frombuffer(context.buffers()[2], dtype=np.uint8)[bound[0] : bound[-1]]
-    bound = bound - bound[0]
-    up, down = C.POWERS.to(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(C.BYTE_KEYS[raw] * up[: len(raw)], out=sums[1:])
+    return np.frombuffer(context.buffers()[2], dtype=np.uint8)[bound[0] : bound[-1]], bound - bound[0]
+
+
+def _suffixes(n: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each suffix (start) of each run: run number, distance in the run, place in the bytes."""
     run = np.repeat(np.arange(len(n)), n)
     ends = np.cumsum(n)
     k = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
-    p = bound[:-1][run] + k
-    return run, k, C.mix((sums[p + LENGTH] - sums[p]) * down[p] + C.mix(sample.view(np.uint64))[run])
+    return run, k, bound[:-1][run] + k
+
+
+def sorted_suffixes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at these places by their first 100 bytes, ties as given, and whether each equals the one before it."""
+    text = raw[at[:, None] + np.arange(LENGTH)]
+    order = np.argsort(text.view(f"S{LENGTH}").ravel(), kind="stable")
+    again = np.zeros(len(at), dtype=bool)
+    again[1:] = (text[order[1:]] == text[order[:-1]]).all(axis=1)
+    return order, again
+
+
+def _suffix_hashes(n: np.ndarray, context: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each suffix of each run: run number, distance in the run, two hashes of its 100 bytes."""
+    raw, bound = _bytes_of(context)
+    run, k, p = _suffixes(n, bound)
+    up, down = C.POWERS.to(len(raw) + 1)
+    hashes = []
+    for keys in (C.BYTE_KEYS, C.mix(C.BYTE_KEYS) | np.uint64(1)):
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(keys[raw] * up[: len(raw)], out=sums[1:])
+        hashes.append(C.mix((sums[p + LENGTH] - sums[p]) * down[p]))
+    return run, k, *hashes
 
 
 def _ranges(run: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,31 +177,20 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         fresh[1:] = (np.diff(doc[order]) != 0) | (np.diff(key[order]) != 0) | (np.diff(at[order]) != 0)
         rows = rows.take(pa.array(order[fresh]))
         doc, key, at = (rows.column(i).to_numpy() for i in (1, 2, 3))
-        n = rows.column(4).to_numpy().astype(np.int64)
-        run, k, suffix = _suffix_hashes(rows.column(0).to_numpy(), n, rows.column(5))
-        order = np.lexsort((k, run, suffix))  # runs are in the order of their places
-        again = np.zeros(len(order), dtype=bool)
-        again[1:] = suffix[order][1:] == suffix[order][:-1]
+        raw, bound = _bytes_of(rows.column(5))
+        run, k, p = _suffixes(rows.column(4).to_numpy().astype(np.int64), bound)  # in the order of their places
+        order, again = sorted_suffixes(raw, p)
         r, first, number = _ranges(run[order][again], k[order][again])
         return pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(key[r]), pa.array((at[r] + first).astype(np.int32)), pa.array((at[r] + first + number + LENGTH - 1).astype(np.int32))], names=["doc_id", "text_key", "begin", "end"])
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in C.whole_groups(batches):
         sample = batch.column(0).to_numpy()
-        last = int(np.searchsorted(sample, sample[-1])) if len(sample) else 0  # the bucket that may go on
-        if last:
-            yield block(_joined([*held, batch.slice(0, last)]))
-            held = []
-        held.append(batch.slice(last))
-        if held[0].num_rows and len(held) > 1 and held[0].column(0)[0].as_py() != sample[last]:
-            yield block(_joined(held[:-1]))
-            held = held[-1:]
-    if sum(x.num_rows for x in held):
-        yield block(_joined(held))
-
-
-def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        first = np.append(np.flatnonzero(np.append(True, sample[1:] != sample[:-1])), len(sample))
+        at = 0
+        while at < len(first) - 1:
+            end = max(at + 1, int(np.searchsorted(first, first[at] + BLOCK, side="right")) - 1)
+            yield block(batch.slice(first[at], first[end] - first[at]))
+            at = end
 
 
 def _explode_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +198,9 @@ def _explode_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         if not batch.num_rows:
             continue
-        run, k, suffix = _suffix_hashes(batch.column(0).to_numpy(), batch.column(4).to_numpy().astype(np.int64), batch.column(5))
+        run, k, one, two = _suffix_hashes(batch.column(4).to_numpy().astype(np.int64), batch.column(5))
         take = pa.array(run)
-        yield pa.RecordBatch.from_arrays([pa.array(C.as_signed(suffix)), batch.column(1).take(take), batch.column(2).take(take), pa.array((batch.column(3).to_numpy()[run] + k).astype(np.int32))], names=["suffix", "doc_id", "text_key", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(C.as_signed(one)), pa.array(C.as_signed(two)), batch.column(1).take(take), batch.column(2).take(take), pa.array((batch.column(3).to_numpy()[run] + k).astype(np.int32))], names=["one", "two", "doc_id", "text_key", "at"])
 
 
 def _cut(as_text: bool):
@@ -240,9 +253,9 @@ def repeated_ranges(docs: DataFrame, s: C.Scratch) -> DataFrame:
     cold = contexts.join(hot, "sample", "left_anti").repartition("sample").sortWithinPartitions("sample")
     by_bucket = cold.mapInArrow(_sort_buckets, "doc_id bigint, text_key bigint, begin int, end int")
 
-    suffixes = contexts.join(hot, "sample", "left_semi").mapInArrow(_explode_suffixes, "suffix bigint, doc_id bigint, text_key bigint, at int")
-    least = suffixes.groupBy("suffix").agg(F.min(F.struct("doc_id", "text_key", "at")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    by_suffix = suffixes.join(least, "suffix").where(later).select("doc_id", "text_key", F.col("at").alias("begin"), (F.col("at") + LENGTH).alias("end"))
+    suffixes = contexts.join(hot, "sample", "left_semi").mapInArrow(_explode_suffixes, "one bigint, two bigint, doc_id bigint, text_key bigint, at int")
+    least = suffixes.groupBy("one", "two").agg(F.min(F.struct("doc_id", "text_key", "at")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    by_suffix = suffixes.join(least, ["one", "two"]).where(later).select("doc_id", "text_key", F.col("at").alias("begin"), (F.col("at") + LENGTH).alias("end"))
     return by_rank.union(by_bucket).union(by_suffix)
 
 

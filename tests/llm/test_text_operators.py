@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
+from evidence.llm import common as C
 from evidence.llm import lines, linking, minhash, packing, quality, suffix, unigram
 from tests.sqlcheck import connect, differences
 
@@ -134,6 +135,36 @@ def test_suffix(rows, docs, none, bucket, monkeypatch):
     assert suffix.suffix_dedup(none).count() == 0
 
 
+def test_suffix_order():
+    raw = np.random.default_rng(2).integers(0, 3, 3000).astype(np.uint8)  # zero bytes too
+    raw[1500:1900] = raw[200:600]
+    at = np.arange(len(raw) - 99)
+    order, again = suffix.sorted_suffixes(raw, at)
+    texts = [raw[p : p + 100].tobytes() for p in at]
+    assert order.tolist() == sorted(range(len(at)), key=lambda k: (texts[k], k))
+    assert again.tolist() == [k > 0 and texts[order[k]] == texts[order[k - 1]] for k in range(len(at))] and again.sum() >= 301
+
+
+def test_suffix_cover_and_ranks():
+    """Equal strings of 100 bytes have a sampled position at one distance; runs of equal content have equal keys."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcd é") for _ in range(n))
+    shared = text(260)
+    raw, offsets = C.string_bytes(pa.array([text(150) + shared + text(90), text(77) + shared, shared[:180]]))
+    number, sample, content, at, n, _ = suffix.sampled_runs(raw, offsets)
+    of_start, ranks = {}, collections.defaultdict(set)
+    for t, s, c, a, k in zip(number.tolist(), sample.tolist(), content.tolist(), at.tolist(), n.tolist(), strict=True):
+        of_start |= {int(offsets[t]) + a + x: s for x in range(k)}
+        ranks[s, c].add(raw[offsets[t] + a : offsets[t] + a + k + 99].tobytes())
+    samples = collections.defaultdict(set)
+    for t in range(3):
+        for p in range(offsets[t], offsets[t + 1] - 99):
+            samples[raw[p : p + 100].tobytes()].add(of_start[p])
+    assert all(len(x) == 1 for x in samples.values()) and all(len(x) == 1 for x in ranks.values())
+
+
 def brute_lines(rows):
     low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
     plain = lambda x: x.translate(low).strip(" \t\n\r\v\f")

@@ -65,7 +65,9 @@ def frequent_lines(docs: DataFrame, share: float, least: int) -> tuple[DataFrame
 
 
 def _row_key() -> Column:
-    return F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"))
+    """A key of doc_id, source and text; nulls are marked, since a hash passes over them."""
+    parts = [F.col(c) for c in ("doc_id", "source", "text")]
+    return F.xxhash64(*[F.isnull(c) for c in parts], *parts)
 
 
 def quality_rules(docs: DataFrame, share: float = 0.05, least: int = 20, depleted: float = 0.7, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -74,7 +76,7 @@ def quality_rules(docs: DataFrame, share: float = 0.05, least: int = 20, deplete
     docs needs doc_id, text and source (the host). A line is normalised and hashed; it is
     above the limits on a host where more than `least` distinct documents and more than
     `share` of the host's distinct documents have it. Documents with one text on a host count
-    once, so that copies alone make no line frequent. n_removed_lines and n_removed_words say
+    once, so that copies alone make no line frequent: what is counted are distinct texts. n_removed_lines and n_removed_words say
     what goes; a document that loses more than `depleted` of its words is rejected, as is one
     with base_failed (under ten words, or over a fifth of them in repeated windows).
     with_text adds clean_text, the text without its removed lines (null for a null text).

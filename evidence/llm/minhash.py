@@ -77,7 +77,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
 
     # one class for each distinct set; its smallest document stands for it
     live = prof.where("n_shingles > 0 and doc_id is not null")
-    classes = live.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"))
+    classes = live.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("m"))
     reps = s.save(live.join(classes.select("rep.*"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("id"), "text_key", "sig"))
 
     # a document with several texts stands in several classes: those are linked
@@ -85,11 +85,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     own = live.join(several, "doc_id", "left_semi").join(classes, ["h1", "h2"]).where("doc_id <> rep.doc_id").select(F.col("doc_id").alias("hi"), F.col("rep.doc_id").alias("lo"))
     comp = link(reps, lambda ids: _items(ids, reps, keyed, size, s), percent, ROWS, LEAST, s, own)
 
-    rep_of = classes.select("h1", "h2", F.col("rep.doc_id").alias("rep"))
-    named = rep_of.join(comp, rep_of["rep"] == comp["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = prof.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("h1")).alias("h1"), "h2").join(named, ["h1", "h2"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    rep_of = classes.select("h1", "h2", "m", F.col("rep.doc_id").alias("rep"))
+    named = s.save(rep_of.join(comp, rep_of["rep"] == comp["node"], "left").select("h1", "h2", "m", F.coalesce("component", "rep").alias("component_id")))
+    linked = C.salted_join(live.select("doc_id", "n_shingles", "h1", "h2", "text_key", F.monotonically_increasing_id().alias("row")), named, ["h1", "h2"], "m", F.col("row"))
+    alone = prof.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = linked.select("doc_id", "n_shingles", "component_id").union(alone)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _sets(size: int, bits: np.ndarray):

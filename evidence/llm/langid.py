@@ -1,10 +1,11 @@
 """Language of documents by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word (white space ends a sequence; words beyond 48 bytes are
-read in parts) in both directions, gives each byte position a probability for each language,
-and a document gets the mean over all its positions. It is trained in numpy by
-backpropagation through time, on a bounded sample of labelled documents. Equal words have
-equal probabilities and are read once for each task's memory.
+The network reads the bytes of a text, blanks included, in both directions, gives each byte
+position a probability for each language, and a document gets the mean over all its
+positions. A text is read in windows side by side: each labels 224 positions and reads 16
+more bytes of the text on either side first, so that no label rests on a state without
+context. The network is trained in numpy by backpropagation through time, on windows of a
+bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LONGEST = 48
-#: Distinct words that a task remembers; beyond, it starts anew.
-REMEMBERED = 200_000
+#: Positions that a window labels, bytes it reads before and after them, and bytes of a training window.
+LABELLED, WARM, TRAINED = 224, 16, 64
+BATCH = 1024  # windows read at once
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -85,8 +86,8 @@ class Network:
         p /= p.sum(axis=2, keepdims=True)
         return (p, h, k1, k2) if keep else p
 
-    def train(self, words: list[bytes], labels: np.ndarray, epochs: int, batch: int = 256, rate: float = 0.01, seed: int = 1) -> None:
-        """Adam on the mean cross entropy of all byte positions, in batches of equal length."""
+    def train(self, words: list[bytes], labels: np.ndarray, epochs: int, batch: int = 128, rate: float = 0.01, least: int = 500, seed: int = 1) -> None:
+        """Adam on the mean cross entropy of all byte positions, in batches of equal length; `least` steps at least."""
         rng = np.random.default_rng(seed)
         sizes = np.array([len(x) for x in words])
         batches = []
@@ -97,6 +98,7 @@ class Network:
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         step = 0
+        epochs = max(epochs, -(-least // max(len(batches), 1)))
         for epoch in range(epochs):
             for b in rng.permutation(len(batches)):
                 at = batches[b]
@@ -116,33 +118,37 @@ class Network:
                     second[k] += 0.01 * (g * g - second[k])
                     self.w[k] -= now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        """For each word the sum over its bytes of the probabilities of all languages."""
-        out = np.zeros((len(words), len(self.languages)), dtype=np.float64)
-        parts = [(i, w[k : k + LONGEST]) for i, w in enumerate(words) for k in range(0, len(w), LONGEST)]
-        by_size: dict[int, list[tuple[int, bytes]]] = {}
-        for part in parts:
-            by_size.setdefault(len(part[1]), []).append(part)
-        for size, group in by_size.items():
-            for k in range(0, len(group), 2048):
-                some = group[k : k + 2048]
-                x = np.frombuffer(b"".join(w for _, w in some), dtype=np.uint8).reshape(len(some), size).T
-                np.add.at(out, [i for i, _ in some], self.label(x).sum(axis=0))
+    def sums(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each text of these bytes the sum over all positions of the probabilities of all languages."""
+        size = np.diff(offsets)
+        number = -(-size // LABELLED)
+        text = np.repeat(np.arange(len(size)), number)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
+        first = offsets[:-1][text] + nth * LABELLED  # first labelled position
+        out = np.zeros((len(size), len(self.languages)))
+        for at in range(0, len(text), BATCH):
+            some = slice(at, at + BATCH)
+            place = first[some] + np.arange(-WARM, LABELLED + WARM)[:, None]
+            inside = (place >= offsets[:-1][text[some]]) & (place < offsets[1:][text[some]])
+            x = np.where(inside, raw[np.clip(place, 0, max(len(raw) - 1, 0))], np.uint8(32))  # blanks around the text
+            counted = inside[WARM:-WARM].astype(np.float32)
+            np.add.at(out, text[some], np.einsum("tnl,tn->nl", self.label(x)[WARM:-WARM], counted))
         return out
 
 
-def _training_words(most: int):
-    """Map function: up to `most` words (or parts of long ones) of each document, evenly spaced over its text."""
+def _training_windows(most: int):
+    """Map function: up to `most` windows of each document, evenly spaced over its text."""
 
     def chosen(text: str) -> list[bytes]:
-        parts = [w[k : k + LONGEST] for w in text.encode().split() for k in range(0, len(w), LONGEST)]
-        return [parts[i] for i in np.linspace(0, len(parts) - 1, min(most, len(parts))).astype(int)]
+        raw = text.encode()
+        last = max(len(raw) - TRAINED, 0)
+        return [raw[k : k + TRAINED] for k in np.linspace(0, last, min(most, last // TRAINED + 1 + (last > 0))).astype(int)] if raw else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, lang, w) for d, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in chosen(text)]
-            d, lang, w = zip(*rows, strict=True) if rows else ([],) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(lang, pa.string()), pa.array(w, pa.binary())], names=["doc_id", "lang", "word"])
+            rows = [(order, lang, w) for order, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in chosen(text)]
+            order, lang, w = zip(*rows, strict=True) if rows else ([],) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(lang, pa.string()), pa.array(w, pa.binary())], names=["order", "lang", "window"])
 
     return run
 
@@ -152,54 +158,41 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 400, words: int = 64, languages: int = 200, units: int = 16, epochs: int = 4) -> Network:
+def fit(docs: DataFrame, per_language: int = 400, windows: int = 10, units: int = 16, epochs: int = 4) -> Network:
     """A network trained on a bounded sample of labelled documents.
 
-    About `per_language` documents (chosen by a hash of doc_id) of each of the most frequent
-    `languages`, and at most `words` words of each, come to the driver. Documents that are held
-    out or have a null lang, text or doc_id are not learned from.
+    About `per_language` distinct documents of each language, those whose hashes of doc_id and
+    text come first, and at most `windows` windows of 64 bytes of each, come to the driver;
+    besides them one row for each language. Documents that are held out or have a null lang,
+    text or doc_id are not learned from.
     """
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("order"))
+    counts = known.groupBy("lang").count().collect()
     names = sorted(r["lang"] for r in counts)
     if not names:
         return Network(["und"], units)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(1_000_003) * share[F.col("lang")])
-    rows = chosen.mapInArrow(_training_words(words), "doc_id bigint, lang string, word binary").limit(2 * per_language * words * len(names)).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["word"])))
+    # a document is likely enough chosen that about per_language are; repeated rows are chosen together and count once
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "lang string, share double")
+    likely = known.join(F.broadcast(shares), "lang").where(F.pmod("order", F.lit(1_000_003)) < F.lit(1_000_003) * F.col("share"))
+    chosen = likely.dropDuplicates(["lang", "order"]).orderBy("order", "lang").limit(2 * per_language * len(names)).select("order", "lang", "text")
+    rows = chosen.mapInArrow(_training_windows(windows), "order bigint, lang string, window binary").collect()
+    rows.sort(key=lambda r: (r["order"], r["lang"], bytes(r["window"])))
     net = Network(names, units)
     number = {x: i for i, x in enumerate(names)}
-    net.train([bytes(r["word"]) for r in rows], np.array([number[r["lang"]] for r in rows]), epochs)
+    net.train([bytes(r["window"]) for r in rows], np.array([number[r["lang"]] for r in rows], dtype=np.int64), epochs)
     return net
 
 
 def _predict(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[bytes, int] = {}
-        table = np.zeros((0, len(net.languages)))
-        for batch in C.slices(batches):
-            texts = [text or "" for text in batch.column(2).to_pylist()]
-            found = [text.encode().split() for text in texts]
-            every = set().union(*found)
-            new = every.difference(place)
-            if len(place) + len(new) > REMEMBERED:
-                place, table, new = {}, table[:0], every
-            fresh = sorted(new)
-            place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
-            table = np.concatenate([table, net.sums(fresh)]) if fresh else table
-            lang, score = [], []
-            for text, words in zip(texts, found, strict=True):
-                if not any(map(str.isalpha, text)):
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                total = table[np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
-                total /= total.sum()
-                best = int(total.argmax())
-                lang.append(net.languages[best])
-                score.append(min(1.0, float(total[best])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        for batch in C.slices(batches, most=1 << 19):
+            letters = np.array([text is not None and any(map(str.isalpha, text)) for text in batch.column(2).to_pylist()])
+            raw, offsets = C.string_bytes(batch.column(2))
+            total = net.sums(raw, offsets)
+            best = total.argmax(axis=1)
+            score = total[np.arange(len(best)), best] / np.maximum(total.sum(axis=1), 1e-30)
+            lang = [net.languages[k] if ok else "und" for k, ok in zip(best.tolist(), letters, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(np.where(letters, np.minimum(score, 1.0), 0.0))], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
@@ -208,7 +201,7 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, lang_pred, score.
 
     docs needs doc_id, text and, where no trained network is given, lang. score is the mean
-    probability of lang_pred over all byte positions of the words of the whole text.
+    probability of lang_pred over all byte positions of the whole text.
 
     Null text, and text without a letter: lang_pred und, score 0. A null doc_id is not held
     out and not learned from. Without any labelled document every text with a letter is und.

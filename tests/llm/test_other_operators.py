@@ -4,6 +4,7 @@ import collections
 
 import numpy as np
 
+from evidence.llm import common as C
 from evidence.llm import forest, langid, quotes
 from tests.sqlcheck import differences
 
@@ -112,17 +113,46 @@ def test_languages(spark, data):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
-def test_training_words_come_from_the_whole_text():
+def test_training_windows_come_from_the_whole_text():
     import pyarrow as pa
 
-    def words(text):
-        batch = pa.RecordBatch.from_pydict({"doc_id": [1], "lang": ["en"], "text": [text]})
-        return next(langid._training_words(64)(iter([batch]))).column(2).to_pylist()
+    def windows(text):
+        batch = pa.RecordBatch.from_pydict({"order": [1], "lang": ["en"], "text": [text]})
+        return next(langid._training_windows(10)(iter([batch]))).column(2).to_pylist()
 
-    got = words(" ".join(f"w{i}" for i in range(120)))
-    assert len(got) == len(set(got)) == 64 and got[0] == b"w0" and got[-1] == b"w119"
-    assert words("ab " * 10) == [b"ab"] * 10 and words(" ") == []
-    assert b"".join(words("日本" * 100)) == ("日本" * 100).encode() and max(len(w) for w in words("z" * 500)) == langid.LONGEST
+    text = " ".join(f"w{i}" for i in range(900))
+    got = windows(text)
+    assert len(got) == len(set(got)) == 10 and text.encode().startswith(got[0]) and text.encode().endswith(got[-1]) and {len(w) for w in got} == {langid.TRAINED}
+    assert windows("ab cd") == [b"ab cd"] and windows("") == [] and len(windows("x" * 70)) == 2
+
+
+def test_labels_equal_a_plain_forward_pass():
+    """One position at a time, one text at a time, with the windows' context."""
+    import pyarrow as pa
+
+    net = langid.Network(["a", "b", "c"], 4, seed=2)
+    w = {k: v.astype(np.float64) for k, v in net.w.items()}
+
+    def states(e, u, x):
+        h, out = np.zeros(4), []
+        for c in x:
+            g, a = e[c], h @ u
+            z, r = 1 / (1 + np.exp(-g[:4] - a[:4])), 1 / (1 + np.exp(-g[4:8] - a[4:8]))
+            h = (1 - z) * np.tanh(g[8:] + r * a[8:]) + z * h
+            out.append(h)
+        return out
+
+    texts = ["short one", "", "x" * 300 + " äöü " * 60, "日本語 text " * 40]
+    raw, offsets = C.string_bytes(pa.array(texts))
+    for text, got in zip(texts, net.sums(raw, offsets), strict=True):
+        x, want = text.encode(), np.zeros(3)
+        for at in range(0, len(x), langid.LABELLED):
+            window = [x[p] if 0 <= p < len(x) else 32 for p in range(at - langid.WARM, at + langid.LABELLED + langid.WARM)]
+            ahead, behind = states(w["e1"], w["u1"], window), states(w["e2"], w["u2"], window[::-1])[::-1]
+            for k in range(min(langid.LABELLED, len(x) - at)):
+                s = np.concatenate([ahead[langid.WARM + k], behind[langid.WARM + k]]) @ w["o"] + w["b"]
+                want += np.exp(s) / np.exp(s).sum()
+        assert np.allclose(got, want, atol=1e-3) and abs(got.sum() - len(x)) < 1e-2
 
 
 def test_language_cases(spark):

@@ -24,8 +24,13 @@ LABELLED, WARM, TRAINED = 224, 16, 64
 BATCH = 1024  # windows read at once
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _soft(x: np.ndarray) -> np.ndarray:
+    """The squashing function of the network, from -1 to 1; far cheaper than tanh. Its slope is (1 - |value|) ** 2."""
+    return x / (1 + np.abs(x))
+
+
+def _gate(x: np.ndarray) -> np.ndarray:
+    return 0.5 * _soft(x) + 0.5
 
 
 def _read(e: np.ndarray, u: np.ndarray, x: np.ndarray, keep: bool = False):
@@ -36,9 +41,9 @@ def _read(e: np.ndarray, u: np.ndarray, x: np.ndarray, keep: bool = False):
     kept = []
     for t in range(len(x)):
         g, a = e[x[t]], h @ u
-        gates = _sigmoid(g[:, : 2 * size] + a[:, : 2 * size])
+        gates = _gate(g[:, : 2 * size] + a[:, : 2 * size])
         z, r, inner = gates[:, :size], gates[:, size:], a[:, 2 * size :]
-        n = np.tanh(g[:, 2 * size :] + r * inner)
+        n = _soft(g[:, 2 * size :] + r * inner)
         new = n + z * (h - n)
         if keep:
             kept.append((h, z, r, n, inner))
@@ -46,6 +51,37 @@ def _read(e: np.ndarray, u: np.ndarray, x: np.ndarray, keep: bool = False):
     return out, kept
 
 
+def _states(e: np.ndarray, u: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
+    """The hidden states of `_read` into out, without what training needs: all arrays are whole and used again."""
+    size, n = u.shape[0], x.shape[1]
+    half = np.float32(0.5)
+    tables = [np.ascontiguousarray(e[:, k * size : (k + 1) * size]) for k in range(3)]
+    weights = [np.ascontiguousarray(u[:, k * size : (k + 1) * size] * f) for k, f in enumerate((1, 1, half))]
+    z, r, c, a = (np.empty((n, size), dtype=np.float32) for _ in range(4))
+    h = np.zeros((n, size), dtype=np.float32)
+
+    def soft(y: np.ndarray) -> None:
+        np.abs(y, out=a)
+        np.add(a, np.float32(1), out=a)
+        y /= a
+
+    for t in range(len(x)):
+        for gate, table, weight in zip((z, r), tables, weights, strict=False):  # twice the gate, less one
+            np.take(table, x[t], axis=0, out=gate, mode="clip")
+            gate += np.matmul(h, weight, out=a)
+            soft(gate)
+        np.matmul(h, weights[2], out=a)
+        np.take(tables[2], x[t], axis=0, out=c, mode="clip")
+        c += a
+        c += np.multiply(r, a, out=a)
+        soft(c)
+        np.subtract(h, c, out=a)
+        c += np.multiply(a, half, out=h)
+        h *= z
+        np.add(c, h, out=out[t])
+        h[:] = out[t]
+
+
 def _unread(u: np.ndarray, x: np.ndarray, kept: list, d_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of e and u by backpropagation through time."""
     size = u.shape[0]
@@ -54,9 +90,9 @@ def _unread(u: np.ndarray, x: np.ndarray, kept: list, d_out: np.ndarray) -> tupl
     for t in range(len(x) - 1, -1, -1):
         h, z, r, n, inner = kept[t]
         d = d_out[t] + d_h
-        d_n = d * (1 - z) * (1 - n * n)
-        d_z = d * (h - n) * z * (1 - z)
-        d_r = d_n * inner * r * (1 - r)
+        d_n = d * (1 - z) * (1 - np.abs(n)) ** 2
+        d_z = d * (h - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+        d_r = d_n * inner * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
         d_in[t] = np.concatenate([d_z, d_r, d_n], axis=1)
         d_a = np.concatenate([d_z, d_r, d_n * r], axis=1)
         d_u += h.T @ d_a
@@ -132,9 +168,24 @@ class Network:
             inside = (place >= offsets[:-1][text[some]]) & (place < offsets[1:][text[some]])
             x = np.where(inside, raw[np.clip(place, 0, max(len(raw) - 1, 0))], np.uint8(32))  # blanks around the text
             counted = inside[WARM:-WARM].astype(np.float32)
-            np.add.at(out, text[some], np.einsum("tnl,tn->nl", self.label(x)[WARM:-WARM], counted))
+            p = self.probabilities(x)[:, WARM:-WARM]
+            np.add.at(out, text[some], np.stack([(q * counted).sum(axis=0) for q in p], axis=1))
         return out
 
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """As label, but languages first, and faster."""
+        w, size = self.w, self.w["u1"].shape[0]
+        ahead, behind = (np.empty((*x.shape, size), dtype=np.float32) for _ in range(2))
+        _states(w["e1"], w["u1"], x, ahead)
+        _states(w["e2"], w["u2"], x[::-1], behind)
+        logits = ahead.reshape(-1, size) @ w["o"][:size]
+        logits += (behind[::-1].reshape(-1, size)) @ w["o"][size:]
+        p = np.ascontiguousarray(logits.T) + w["b"][:, None]
+        p -= p.max(axis=0)
+        np.exp(p, out=p)
+        p /= p.sum(axis=0)
+        return p.reshape(-1, *x.shape)
+
 
 def _training_windows(most: int):
     """Map function: up to `most` windows of each document, evenly spaced over its text."""

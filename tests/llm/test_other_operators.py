@@ -133,12 +133,14 @@ def test_labels_equal_a_plain_forward_pass():
     net = langid.Network(["a", "b", "c"], 4, seed=2)
     w = {k: v.astype(np.float64) for k, v in net.w.items()}
 
+    soft = lambda x: x / (1 + np.abs(x))
+
     def states(e, u, x):
         h, out = np.zeros(4), []
         for c in x:
             g, a = e[c], h @ u
-            z, r = 1 / (1 + np.exp(-g[:4] - a[:4])), 1 / (1 + np.exp(-g[4:8] - a[4:8]))
-            h = (1 - z) * np.tanh(g[8:] + r * a[8:]) + z * h
+            z, r = 0.5 + 0.5 * soft(g[:4] + a[:4]), 0.5 + 0.5 * soft(g[4:8] + a[4:8])
+            h = (1 - z) * soft(g[8:] + r * a[8:]) + z * h
             out.append(h)
         return out
 

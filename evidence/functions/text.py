@@ -33,8 +33,15 @@ def occurrences(text: Column, snippet: Column) -> Column:
 
 def nearest_occurrence(text: Column, snippet: Column, hint: Column) -> Column:
     """The occurrence nearest to the hint (ties: the earlier), the first without a hint, null without any."""
-    far = lambda i: F.abs(i - F.coalesce(hint, F.lit(0)))
-    return F.array_min(F.transform(occurrences(text, snippet), lambda i: F.struct(far(i).alias("d"), i.alias("i"))))["i"]
+    # one search forward from the hint and one backward, in the reversed text, so that a long text costs its length
+    hint = F.coalesce(hint, F.lit(0))
+    after = F.position(snippet, text, F.greatest(hint, F.lit(0)) + 1) - 1
+    past = F.length(text) - F.length(snippet)
+    behind = past - (F.position(F.reverse(snippet), F.reverse(text), F.greatest(past - hint + 1, F.lit(0)) + 1) - 1)
+    before = F.when((hint > 0) & (behind <= past), behind)
+    after = F.when(after >= 0, after)
+    nearest = F.when(before.isNull() | (after.isNotNull() & (after - hint < hint - before)), after).otherwise(before)
+    return F.when((snippet != "") & (past >= 0), nearest)
 
 
 def repair_span(text: Column, snippet: Column, start: Column, end: Column) -> Column:

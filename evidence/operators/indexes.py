@@ -154,7 +154,9 @@ def identity(asked: DataFrame, people: DataFrame, name: str, year: str, born: st
     key = F.lower(F.btrim(F.col(name)))
     known = people.select(key.alias("_key"), person, F.col(born).cast("string").alias("_born"))
     counts = known.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min(person).alias("_only"))
+    every, asked = asked, asked.select(name, year).distinct()
     matched = asked.withColumn("_key", key).join(counts, "_key", "left").join(known, "_key", "left")
     fits = F.when(F.col("_born").contains(F.col(year).cast("string")), F.col(person))
     out = matched.groupBy(*asked.columns, "_n", "_only").agg(F.min(fits).alias("_fit"))
-    return out.select(*asked.columns, F.when(F.col("_n") == 1, F.col("_only")).otherwise(F.col("_fit")).alias(person))
+    found = out.select(F.col(name).alias("_name"), F.col(year).alias("_year"), F.when(F.col("_n") == 1, F.col("_only")).otherwise(F.col("_fit")).alias(person))
+    return every.join(found, every[name].eqNullSafe(found["_name"]) & every[year].eqNullSafe(found["_year"]), "left").drop("_name", "_year")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 YEAR = r"\b(19[5-9]\d|20[0-4]\d)\b"
 
+from .indexes import ranked
+
 
 def extract_year(text: Column) -> Column:
     """The first year from 1950 to 2049 in a text; null for none, an empty text or NEURČENO."""
@@ -89,8 +91,9 @@ def topn_candidates(pairs: DataFrame, score: str, tie: str, a: str, b: str, n: i
 def balanced_sample(rows: DataFrame, positive: Column, key: Column, seed: int = 42, factor: int = 2, least: int = 50) -> DataFrame:
     """All positives, and of the negatives the first max(factor * positives, least) by a seeded hash of the key."""
     order = F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
-    n = rows.agg(F.count_if(positive)).first()[0]
-    chosen = rows.where(~positive).withColumn("_o", order).orderBy("_o").limit(max(factor * n, least)).drop("_o")
+    wanted = rows.agg(F.greatest(F.lit(factor) * F.count_if(positive), F.lit(least)).alias("_most"))  # one row
+    placed = ranked(rows.where(~positive).withColumn("_o", order), [*rows.columns, "_o"], [F.asc("_o")])
+    chosen = placed.crossJoin(F.broadcast(wanted)).where(F.col("place") <= F.col("_most")).select(*rows.columns)
     return rows.where(positive).unionByName(chosen)
 
 

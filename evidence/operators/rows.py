@@ -90,8 +90,10 @@ def locate_in_segments(segments: DataFrame, quotes: DataFrame, group: str, seq:
     before = Window.partitionBy(group).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     starts = segments.select(group, seq, F.coalesce(F.sum(F.length(text) + 1).over(before), F.lit(0)).alias("_from"))
     whole = segments.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, text))), lambda x: x[text]), " ").alias("_whole"))
-    found = quotes.join(whole, group).withColumn("_at", F.instr("_whole", F.col(quote)) - 1).where("_at >= 0").drop("_whole")
-    return found.join(starts, group).where(F.col("_from") <= F.col("_at")).groupBy(*quotes.columns).agg(F.max(seq).alias(seq))
+    asked = quotes.select(group, quote).distinct()
+    found = asked.join(whole, group).withColumn("_at", F.instr("_whole", F.col(quote)) - 1).where("_at >= 0").drop("_whole")
+    first = found.join(starts, group).where(F.col("_from") <= F.col("_at")).groupBy(group, quote).agg(F.max(seq).alias(seq))
+    return quotes.join(first, [group, quote])
 
 
 def article_date(pages: DataFrame, html: str, as_of: Column) -> DataFrame:

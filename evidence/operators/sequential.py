@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 DAY = 86400
 
@@ -33,7 +34,8 @@ def resolve_clock(values: list[str | None], morning: int = 7 * 3600, gap: int =
 
     The first row prefers a reading from the morning on; then the reading and day (this one or the
     next) with the smallest step forward wins. No step within the gap: the reading nearest to the
-    last time, on the current day. No reading: null, and nothing moves.
+    last time, on the current day, while the last time itself never moves back. No reading: null,
+    and nothing moves.
     """
     out: list[int | None] = []
     last: int | None = None
@@ -45,15 +47,16 @@ def resolve_clock(values: list[str | None], morning: int = 7 * 3600, gap: int =
             continue
         if last is None:
             late = [x for x in options if x >= morning]
-            last = (late or options)[0]
+            at = last = (late or options)[0]
         else:
             steps = [(x + d * DAY - last, x, d) for d in (day, day + 1) for x in options if 0 <= x + d * DAY - last <= gap]
             if steps:
                 _, x, day = min(steps)
-                last = x + day * DAY
+                at = last = x + day * DAY
             else:
-                last = min((x + day * DAY for x in options), key=lambda t: abs(t - last))
-        out.append(last)
+                at = min((x + day * DAY for x in options), key=lambda t: abs(t - last))
+                last = max(last, at)
+        out.append(at)
     return out
 
 
@@ -81,17 +84,25 @@ def match_in_order(left: list[str], right: list[str], ahead: int = 6) -> list[in
 
 
 def greedy_anchor_match(left: DataFrame, right: DataFrame, key: list[str], pos: str, label: str, anchor: str, ahead: int = 6) -> DataFrame:
-    """Left rows with the anchor of their match in the right list of the group, in order; null without one."""
+    """Left rows with the anchor of their match in the right list of the group, in order; null without one.
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(pos), b.sort_values(pos)
-        hits = match_in_order(a[label].tolist(), b[label].tolist(), ahead)
-        anchors = b[anchor].tolist()
-        return a.assign(**{anchor: [None if h is None else anchors[h] for h in hits]})
-
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in left.schema)
+    Both lists go through one group as a tagged union, so that they may come from one table.
+    """
     kind = right.schema[anchor].dataType.simpleString()
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, f"{schema}, `{anchor}` {kind}")
+    row = F.struct(*left.columns)
+    every = left.select(*key, F.col(pos).alias("_pos"), F.col(label).alias("_label"), row.alias("_row"), F.lit(None).cast(kind).alias("_anchor"))
+    every = every.unionByName(right.select(*key, F.col(pos).alias("_pos"), F.col(label).alias("_label"), F.lit(None).cast(every.schema["_row"].dataType).alias("_row"), F.col(anchor).alias("_anchor")))
+    every = every.withColumn("_left", F.col("_row").isNotNull())
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("_pos", kind="stable")
+        a, b = f[f["_left"]], f[~f["_left"]]
+        hits = match_in_order(a["_label"].tolist(), b["_label"].tolist(), ahead)
+        anchors = b["_anchor"].tolist()
+        return pd.DataFrame({"_row": a["_row"].tolist(), "_anchor": [None if h is None else anchors[h] for h in hits]})
+
+    found = every.groupBy(*key).applyInPandas(run, f"_row {every.schema['_row'].dataType.simpleString()}, _anchor {kind}")
+    return found.select("_row.*", F.col("_anchor").alias(anchor))
 
 
 def longest_run(heard: list[str], said: list[str]) -> tuple[int, int]:

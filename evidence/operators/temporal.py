@@ -45,24 +45,29 @@ def range_join(probes: DataFrame, intervals: DataFrame, key: Names, at: str, sin
     return joined.drop(*[f"_{k}" for k in keys], "_bucket", "_day")
 
 
-def interval_at(probes: DataFrame, intervals: DataFrame, key: Names, at: str, value: str, seq: str, since: str = "since", until: str = "until", bucket_days: int | None = None) -> DataFrame:
-    """Each probe with `value` of the first interval (by seq) that holds at its date, or null.
+def _back(probes: DataFrame, found: DataFrame, columns: list[str], value: str) -> DataFrame:
+    """All probes, equal ones too, with the value found for their distinct columns."""
+    right = found.select(*[F.col(c).alias(f"_{c}") for c in columns], value)
+    return probes.join(right, [probes[c].eqNullSafe(right[f"_{c}"]) for c in columns], "left").drop(*[f"_{c}" for c in columns])
 
-    Rows of probes must be distinct.
-    """
-    joined = range_join(probes, intervals.select(*_list(key), value, seq, since, until), key, at, since, until, bucket_days)
-    return joined.groupBy(*probes.columns).agg(F.min_by(value, seq).alias(value))
+
+def interval_at(probes: DataFrame, intervals: DataFrame, key: Names, at: str, value: str, seq: str, since: str = "since", until: str = "until", bucket_days: int | None = None) -> DataFrame:
+    """Each probe with `value` of the first interval (by seq) that holds at its date, or null."""
+    asked = [*_list(key), at]
+    joined = range_join(probes.select(*asked).distinct(), intervals.select(*_list(key), value, seq, since, until), key, at, since, until, bucket_days, "inner")
+    return _back(probes, joined.groupBy(*asked).agg(F.min_by(value, seq).alias(value)), asked, value)
 
 
-def fact_at(probes: DataFrame, facts: DataFrame, key: Names, at: str, value: str, since: str = "valid_from", until: str = "valid_to", seq: str | None = None) -> DataFrame:
+def fact_at(probes: DataFrame, facts: DataFrame, key: Names, at: str, value: str, since: str = "valid_from", until: str = "valid_to", seq: str | None = None, bucket_days: int | None = 30) -> DataFrame:
     """Each probe with `value` of the fact with the latest start that holds at its date, nulls last.
 
     Equal starts go to the larger seq.
     """
     more = [seq] if seq else []
-    joined = range_join(probes, facts.select(*_list(key), value, *more, since, until), key, at, since, until)
+    asked = [*_list(key), at]
+    joined = range_join(probes.select(*asked).distinct(), facts.select(*_list(key), value, *more, since, until), key, at, since, until, bucket_days, "inner")
     latest = F.struct(F.col(since).isNotNull().alias("known"), F.col(since).alias("start"), *more)
-    return joined.groupBy(*probes.columns).agg(F.max_by(value, F.when(F.col(value).isNotNull(), latest)).alias(value))
+    return _back(probes, joined.groupBy(*asked).agg(F.max_by(value, F.when(F.col(value).isNotNull(), latest)).alias(value)), asked, value)
 
 
 def fact_for_object(probes: DataFrame, facts: DataFrame, key: Names, value: str, seq: str) -> DataFrame:
@@ -74,12 +79,13 @@ def fact_for_object(probes: DataFrame, facts: DataFrame, key: Names, value: str,
 def excused(events: DataFrame, excuses: DataFrame, key: Names, minute: str, begin: str, end: str, name: str = "excused") -> DataFrame:
     """Events with a flag: an excuse of the key covers the minute, or the minute is null and the key has any.
 
-    Excuses with a null end are skipped unless the minute is null. Rows of events must be distinct.
+    Excuses with a null end are skipped unless the minute is null.
     """
     keys = _list(key)
+    asked = [*keys, minute]
     hit = F.when(F.col("_any").isNull(), False).when(F.col(minute).isNull(), True).otherwise(F.coalesce(F.col(minute).between(F.col(begin), F.col(end)), F.lit(False)))
-    joined = events.join(excuses.select(*keys, begin, end, F.lit(1).alias("_any")), keys, "left")
-    return joined.groupBy(*events.columns).agg(F.max(hit).alias(name))
+    joined = events.select(*asked).distinct().join(excuses.select(*keys, begin, end, F.lit(1).alias("_any")), keys, "left")
+    return _back(events, joined.groupBy(*asked).agg(F.max(hit).alias(name)), asked, name)
 
 
 def context_window(messages: DataFrame, group: str, item: str, minute: str, text: str, width: int = 60, most: int = 500) -> DataFrame:
@@ -95,12 +101,22 @@ def context_window(messages: DataFrame, group: str, item: str, minute: str, text
     return near.select(group, item, "other", F.abs(F.col("m") - F.col("om")).alias("gap"), "other_text")
 
 
-def point_in_turn(points: DataFrame, turns: DataFrame, key: Names, at: str, start: str, end: str, value: str) -> DataFrame:
-    """Each point with `value` of the first turn with start <= at < end (half open), or null."""
+def point_in_turn(points: DataFrame, turns: DataFrame, key: Names, at: str, start: str, end: str, value: str, width: float = 3600.0) -> DataFrame:
+    """Each point with `value` of the first turn with start <= at < end (half open), or null.
+
+    Both sides carry a bucket of `width` seconds (or units), so that a long recording is spread over tasks.
+    """
     keys = _list(key)
-    right = turns.select(*keys, start, end, value)
-    joined = points.join(right, [points[k] == right[k] for k in keys] + [F.col(at) >= F.col(start), F.col(at) < F.col(end)], "left")
-    return joined.select(*[points[c] for c in points.columns], start, value).groupBy(*points.columns).agg(F.min_by(value, start).alias(value))
+    asked = [*keys, at]
+    kind = points.schema[at].dataType.simpleString()
+    number = (lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6) if kind.startswith(("timestamp", "date")) else (lambda c: F.col(c).cast("double"))
+    bucket = lambda c: F.floor(number(c) / width)
+    right = turns.where(F.col(start) < F.col(end)).select(*[F.col(k).alias(f"_{k}") for k in keys], start, end, value)
+    right = right.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
+    left = points.select(*asked).distinct().withColumn("_own", bucket(at))
+    cond = [left[k] == right[f"_{k}"] for k in keys] + [left["_own"] == right["_bucket"], left[at] >= right[start], left[at] < right[end]]
+    found = left.join(right, cond).groupBy(*[left[c] for c in asked]).agg(F.min_by(right[value], right[start]).alias(value))
+    return _back(points, found, asked, value)
 
 
 def latest_before(events: DataFrame, marks: DataFrame, key: Names, at: str, mark_at: str, value: str, inclusive: bool = True) -> DataFrame:

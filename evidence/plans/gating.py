@@ -216,7 +216,9 @@ def greedy_anchor_match(t: Tables) -> DataFrame:
 
 @query()
 def longest_common_block(t: Tables) -> DataFrame:
-    c = t.conversations.where("turn = 1").select("conv_id", F.array_join(F.slice(F.split("text", " "), 3, 6), " ").alias("quote"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    # the words of each message against a quote from the middle of it
+    parts = F.split("text", " ")
+    c = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_id"), F.array_join(F.slice(parts, F.size(parts) / 3 + 1, F.lit(6)), " ").alias("quote"), F.posexplode(parts).alias("pos", "word"))
     return Q.longest_common_block(c.withColumn("a", F.col("pos") * 0.5).withColumn("b", F.col("pos") * 0.5 + 0.4), "conv_id", "pos", "word", "a", "b", "quote")
 
 

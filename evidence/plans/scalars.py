@@ -23,15 +23,19 @@ def clean_speech(t: Tables) -> DataFrame:
     return d.select("doc_id", "clean", F.when(F.col("clean") == "", F.length("text")).otherwise(F.length("text") - F.length("clean")).cast("bigint").alias("removed"))
 
 
-SPAN_SQL = r"""s as (select doc_id, substr(text, 1, 600) as text, substr(text, 21 + (doc_id % 50)::integer, 6) as snippet, (20 + doc_id % 50 + case when doc_id % 3 = 0 then 0 else doc_id % 40 end)::integer as start from documents where len(text) >= 100),
-  o as (select doc_id, unnest(range(0, len(text) - 5)) as i, text, snippet, start from s),
-  n as (select doc_id, arg_min(i, struct_pack(a := abs(i - start), b := i)) as nearest, min(i) as first from o where substr(text, i + 1, 6) = snippet group by doc_id)"""
+SPAN_SQL = r"""s as (select doc_id, text, substr(text, 1 + (doc_id * 7919 % (len(text) - 5))::integer, 6) as snippet, (doc_id * 7919 % (len(text) - 5) + case when doc_id % 3 = 0 then 0 else doc_id % 40 end)::integer as start from documents where len(text) >= 100),
+  p as (select *, case when strpos(substr(text, start + 1), snippet) > 0 then start + strpos(substr(text, start + 1), snippet) - 1 end as after,
+    case when strpos(reverse(substr(text, 1, start + 5)), reverse(snippet)) > 0 then least(start + 5, len(text)) - 6 - (strpos(reverse(substr(text, 1, start + 5)), reverse(snippet)) - 1) end as before0 from s),
+  q as (select *, case when before0 < start then before0 end as before from p),
+  n as (select doc_id, case when before is null or after - start < start - before then after else before end as nearest, strpos(text, snippet) - 1 as first from q)"""
 
 
 def _spans(t: Tables) -> DataFrame:
+    """A snippet from a place anywhere in each text, and a start that is right or up to 39 characters late."""
     d = t.documents.where(F.length("text") >= 100)
-    start = 20 + F.col("doc_id") % 50 + F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("doc_id") % 40)
-    return d.select("doc_id", F.substring("text", 1, 600).alias("text"), F.substring(F.col("text"), (21 + F.col("doc_id") % 50).cast("int"), F.lit(6)).alias("snippet"), start.cast("int").alias("start"))
+    place = F.col("doc_id") * 7919 % (F.length("text") - 5)
+    start = place + F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("doc_id") % 40)
+    return d.select("doc_id", "text", F.substring(F.col("text"), (1 + place).cast("int"), F.lit(6)).alias("snippet"), start.cast("int").alias("start"))
 
 
 @query(f"with {SPAN_SQL} select doc_id, nearest, first from n")
@@ -252,12 +256,12 @@ def parse_role_response(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", a["passed"].alias("passed"), F.size(a["defences"]).alias("defences"), X.stance_answer(said).alias("stance"))
 
 
-@query(r"""select doc_id, doc_id || '-c1' as claim_id, 0::bigint as char_start, 20::bigint as char_end from documents where len(text) > 40 and substr(text, 1, 20) not like '%"%' and strpos(text, chr(10)) > 20 or (len(text) > 40 and strpos(text, chr(10)) = 0)""")
+@query(r"""select doc_id, doc_id || '-c1' as claim_id, 0::bigint as char_start, len(text)::bigint as char_end from documents where len(text) > 20""")
 def claims_from_json(t: Tables) -> DataFrame:
-    d = t.documents.where((F.length("text") > 40) & ((F.instr("text", "\n") > 20) | (F.instr("text", "\n") == 0)))
+    d = t.documents.where(F.length("text") > 20)
     claim = F.to_json(F.struct(
         F.lit("s").alias("subject"), F.lit("p").alias("predicate"), F.lit("o").alias("object"), F.lit("t").alias("timeFrame"), F.lit("c").alias("condition"), F.lit(" policy ").alias("claimCategory"),
-        F.lit("own_stance").alias("speechAct"), F.substring("text", 1, 20).alias("rawSpan"), F.lit("0.9").alias("extractionConfidence"),
+        F.lit("own_stance").alias("speechAct"), F.col("text").alias("rawSpan"), F.lit("0.9").alias("extractionConfidence"),
     ))
     d = d.withColumn("answer", F.concat(F.lit("```json\n["), claim, F.lit(', {"subject": "no keys"}]\n```')))
     out = X.claims_from_json(d, "doc_id", "answer", "text", ["POLICY"], ["OWN_STANCE"])

@@ -21,12 +21,12 @@ def min_sample_gate(t: Tables) -> DataFrame:
     return I.min_sample(t.orders, "o_custkey", 12)
 
 
-@query("""with b as (select c_custkey, count(*) as bills from orders join customer on o_custkey = c_custkey where o_orderstatus = 'P' and o_orderkey % 50 = 0 group by 1),
+@query("""with b as (select c_custkey, count(*) as bills from orders join customer on o_custkey = c_custkey where o_orderstatus = 'P' group by 1),
   m as (select o_custkey as c_custkey, count(*) as n from orders group by 1 having count(*) >= 14)
   select c_custkey, coalesce(bills, 0) as bills, n from customer left join b using (c_custkey) left join m using (c_custkey) where bills is not null or n is not null""")
 def substance_index(t: Tables) -> DataFrame:
     o = t.orders.withColumnRenamed("o_custkey", "c_custkey")
-    bills = o.where("o_orderstatus = 'P' and o_orderkey % 50 = 0").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("bills"))
+    bills = o.where("o_orderstatus = 'P'").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("bills"))
     metrics = o.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n")).where("n >= 14")
     return I.substance_index(t.customer, bills, metrics, "c_custkey")
 
@@ -104,9 +104,9 @@ def annotation_stats(t: Tables) -> DataFrame:
     )
 
 
-@query("""select role, sum(turn)::bigint as seconds, substr(string_agg(substr(text, 1, 20), ' ' order by conv_id * 100 + turn, substr(text, 1, 20)), 1, 300) as text from conversations where role is not null group by role""")
+@query("""select role, sum(turn)::bigint as seconds, substr(string_agg(text, ' ' order by conv_id * 100 + turn, text), 1, 300) as text from conversations where role is not null group by role""")
 def speaker_groups(t: Tables) -> DataFrame:
-    s = t.conversations.select("role", (F.col("conv_id") * 100 + F.col("turn")).alias("at"), "turn", F.substring("text", 1, 20).alias("text"))
+    s = t.conversations.select("role", (F.col("conv_id") * 100 + F.col("turn")).alias("at"), "turn", "text")
     return I.speaker_groups(s, "role", "at", "turn", "text")
 
 
@@ -204,11 +204,11 @@ def bill_lookup(t: Tables) -> DataFrame:
     return I.bill_lookup(a, t.part, "p_brand", "p_size", "p_partkey", "p_name")
 
 
-@query("""with people as (select lower(trim(p_name)) as k, p_partkey as person, p_size::varchar as born from part where p_partkey < 60), c as (select k, count(*) as n, min(person) as only_one from people group by k),
+@query("""with people as (select lower(trim(p_name)) as k, p_partkey as person, p_size::varchar as born from part), c as (select k, count(*) as n, min(person) as only_one from people group by k),
   asked as (select distinct p_name, p_size % 10 as year from part)
   select a.p_name, a.year, case when c.n = 1 then only_one else (select min(person) from people p where p.k = lower(a.p_name) and contains(p.born, a.year::varchar)) end as person from asked a left join c on c.k = lower(a.p_name)""")
 def resolve_identity(t: Tables) -> DataFrame:
-    people = t.part.where("p_partkey < 60").select("p_name", F.col("p_partkey").alias("person"), F.col("p_size").alias("born"))
+    people = t.part.select("p_name", F.col("p_partkey").alias("person"), F.col("p_size").alias("born"))
     asked = t.part.select(F.upper("p_name").alias("up"), "p_name", (F.col("p_size") % 10).alias("year")).distinct().select("p_name", "year")
     return I.identity(asked, people, "p_name", "year", "born", "person")
 

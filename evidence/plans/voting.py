@@ -182,10 +182,10 @@ def to_facts(t: Tables) -> DataFrame:
     return member.unionByName(V.to_facts(cast, "VOTE_CAST", F.col("l_suppkey"), F.col("l_orderkey"), F.col("flag"), F.col("d"), F.col("d")))
 
 
-@query(f"""with {IV_SQL} select user_id::varchar as subject, count(*) as facts, min(since) as first_from from iv where user_id < 50 group by user_id""")
+@query(f"""with {IV_SQL} select user_id::varchar as subject, count(*) as facts, min(since) as first_from from iv group by user_id""")
 def facts_for_subject(t: Tables) -> DataFrame:
     facts = V.to_facts(intervals(t), "CLUB_MEMBERSHIP", F.col("user_id"), F.col("label"), F.col("seq"), F.col("since"), F.col("until"))
-    return facts.where("predicate = 'CLUB_MEMBERSHIP' and cast(subject as bigint) < 50").groupBy("subject").agg(F.count(F.lit(1)).alias("facts"), F.min("valid_from").alias("first_from"))
+    return facts.where("predicate = 'CLUB_MEMBERSHIP'").groupBy("subject").agg(F.count(F.lit(1)).alias("facts"), F.min("valid_from").alias("first_from"))
 
 
 @query(f"""with {IV_SQL}, p as (select e.event_id, e.user_id, (select arg_min(label, seq) from iv where iv.user_id = e.user_id and (since is null or e.ts::date >= since)

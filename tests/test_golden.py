@@ -191,7 +191,61 @@ def test_gate_finds_tampering(spark):
 def test_clock_scan():
     assert Q.resolve_clock(["900", "0905", "93000", None, "x", "1430", "2015", "10"]) == [32400, 32700, 34200, None, None, 52200, 72900, 86410]
     assert Q.resolve_clock(["93000", "2330"]) == [34200, 1410]  # no step within the gap: the nearest reading
+    assert Q.resolve_clock(["235000", "160000", "001000"]) == [85800, 57600, 87000]  # the last time never moves back
     assert Q.match_in_order(["a", "x", "c"], ["a", "b", "c"]) == [0, None, 2]
+
+
+def test_ordered_scans_by_group(spark):
+    """The grouped forms against the plain scans, and every way to read the result."""
+    rows = [(k % 3, i, "abcab"[(i * 7 + k) % 5], f"{(i * 137 + k * 11) % 2400:04d}") for k in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "g int, pos int, label string, digits string")
+    right = df.where("pos % 4 <> 0").withColumn("anchor", F.col("pos"))
+    out = Q.greedy_anchor_match(df, right, ["g"], "pos", "label", "anchor")
+    assert out.count() == len(rows) and out.select("anchor").count() == len(rows)
+    got = {(r["g"], r["pos"]): r["anchor"] for r in out.collect()}
+    clocks = {(r["g"], r["pos"]): r["at"] for r in Q.ambiguous_clocks(df, ["g"], "pos", "digits").collect()}
+    for g in range(3):
+        own = [r for r in rows if r[0] == g]
+        other = [r for r in own if r[1] % 4]
+        hits = Q.match_in_order([r[2] for r in own], [r[2] for r in other])
+        assert [got[g, r[1]] for r in own] == [None if h is None else other[h][1] for h in hits]
+        assert [clocks[g, r[1]] for r in own] == Q.resolve_clock([r[3] for r in own])
+
+
+def test_longest_run_against_all_runs():
+    import random
+
+    r = random.Random(1)
+    for _ in range(60):
+        a, b = ([r.choice("abc") for _ in range(r.randint(0, 12))] for _ in range(2))
+        runs = [(-n, i) for i in range(len(a)) for n in range(1, len(a) - i + 1) if any(a[i : i + n] == b[j : j + n] for j in range(len(b)))]
+        best = min(runs, default=(0, 0))
+        assert Q.longest_run(a, b) == (best[1], -best[0])
+
+
+def test_equal_probes_stay(spark):
+    probes = spark.createDataFrame([("p", "2024-01-05")] * 2 + [(None, "2024-01-05")], "person string, d string").select("person", F.to_date("d").alias("d"))
+    iv = spark.createDataFrame([("p", "A", 1, "2024-01-01", None)], "person string, club string, seq int, since string, until string").select("person", "club", "seq", F.to_date("since").alias("since"), F.to_date("until").alias("until"))
+    assert [r["club"] for r in T.interval_at(probes, iv, "person", "d", "club", "seq").collect()].count("A") == 2
+    assert T.interval_at(probes, iv, "person", "d", "club", "seq", bucket_days=7).count() == T.fact_at(probes, iv, "person", "d", "club", "since", "until").count() == 3
+    people = spark.createDataFrame([("Ann", 1950, 7)], "name string, born int, id int")
+    asked = spark.createDataFrame([("ann", 50), ("ann", 50)], "name string, year int")
+    from evidence.operators import indexes
+
+    assert [r["id"] for r in indexes.identity(asked, people, "name", "year", "born", "id").collect()] == [7, 7]
+
+
+def test_nearest_occurrence_against_all(spark):
+    import random
+
+    from evidence.functions import text as X
+
+    r = random.Random(4)
+    rows = [("".join(r.choice("abé") for _ in range(r.randint(0, 30))), "".join(r.choice("abé") for _ in range(r.randint(0, 3))), r.choice([None, *range(-2, 34)])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "t string, s string, h int").select("t", "s", "h", X.nearest_occurrence(F.col("t"), F.col("s"), F.col("h")).alias("n"))
+    for x in df.collect():
+        every = [i for i in range(len(x["t"])) if x["s"] and x["t"].startswith(x["s"], i)]
+        assert x["n"] == min(every, key=lambda i: (abs(i - (x["h"] or 0)), i), default=None), x
     assert Q.longest_run(["we", "will", "cut", "the", "tax"], ["cut", "the", "budget"]) == (2, 2)
 
 

@@ -172,6 +172,41 @@ def parse_vote_dumps(t: Tables) -> DataFrame:
     return files.child_rows(t.lineitem, parents, "l_orderkey").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
 
 
+@query("select lower(n_name) as domain, n_regionkey::integer as tier, 'note ' || n_nationkey as note from nation where n_regionkey > 0")
+def read_lookup_csv(t: Tables) -> DataFrame:
+    path = files.shared_path(t.spark, "lookup")
+    tier = F.when(F.col("n_regionkey") > 0, F.col("n_regionkey").cast("string")).otherwise("none")
+    t.nation.select(F.upper("n_name").alias("domain"), tier.alias("tier"), F.concat(F.lit("note "), F.col("n_nationkey").cast("string")).alias("note")).write.option("header", True).csv(path)
+    return files.read_lookup(t.spark, path)
+
+
+@query("""select 'clubs' as kind, s_suppkey as organ_id, null::bigint as person_id, s_name as abbr from supplier where s_nationkey % 6 = 1
+  union all select 'club membership', s_suppkey, l_orderkey, s_name from lineitem join supplier on l_suppkey = s_suppkey where l_linenumber % 2 = 0 and s_nationkey % 6 = 1
+  union all select 'government membership', s_suppkey, l_orderkey, null from lineitem join supplier on l_suppkey = s_suppkey where l_linenumber % 2 = 0 and s_nationkey % 6 = 5
+  union all select 'deputy', null, c_custkey, null from customer where c_nationkey = 7""")
+def load_registry(t: Tables) -> DataFrame:
+    organs = t.supplier.select(F.col("s_suppkey").alias("organ_id"), (F.col("s_nationkey") % 6).alias("type"), F.col("s_name").alias("abbr"))
+    memberships = t.lineitem.select(F.col("l_orderkey").alias("person_id"), F.col("l_suppkey").alias("organ_id"), (F.col("l_linenumber") % 2).alias("function"))
+    people = t.customer.select(F.col("c_custkey").alias("person_id"), F.col("c_nationkey").alias("term"))
+    found = files.registry(people, organs, memberships, people, 7)
+    none = F.lit(None)
+    rows = lambda kind, df, organ, person, abbr: df.select(F.lit(kind).alias("kind"), organ.cast("bigint").alias("organ_id"), person.cast("bigint").alias("person_id"), abbr.cast("string").alias("abbr"))
+    organ, person, abbr = F.col("organ_id"), F.col("person_id"), F.col("abbr")
+    out = rows("clubs", found["clubs"], organ, none, abbr).unionByName(rows("club membership", found["club_memberships"], organ, person, abbr))
+    return out.unionByName(rows("government membership", found["government_memberships"], organ, person, none)).unionByName(rows("deputy", found["deputies"], none, person, none))
+
+
+@query("select event_id, event_type, case when event_type = 'click' then value * 2 else value end as value from events where event_type is not null")
+def replace_partition(t: Tables) -> DataFrame:
+    path = files.shared_path(t.spark, "partitions")
+    e = t.events.where("event_type is not null").select("event_id", "event_type", "value")
+    e.write.partitionBy("event_type").parquet(path)
+    new = e.where("event_type = 'click'").withColumn("value", F.col("value") * 2)
+    for _ in range(2):  # a repeated call changes nothing
+        N.replace_partition(new, path, "event_type")
+    return t.spark.read.parquet(path).select("event_id", "event_type", "value")
+
+
 @query("select conv_id, turn, role, text from conversations")
 def read_nested_corpus(t: Tables) -> DataFrame:
     path = files.shared_path(t.spark, "nested")
@@ -179,7 +214,7 @@ def read_nested_corpus(t: Tables) -> DataFrame:
     files.write_dataset(nested, path)
     message = T.StructType([T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
     schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("messages", T.ArrayType(message))])
-    return t.spark.read.schema(schema).json(path).select("conv_id", F.explode("messages").alias("m")).select("conv_id", "m.*")
+    return files.read_nested(t.spark, path, schema, lines=True).select("conv_id", "turn", "role", "text")
 
 
 @query("select conv_id, count(*)::integer as n_messages, sum(len(text))::bigint as characters from conversations group by conv_id")

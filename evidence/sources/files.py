@@ -78,9 +78,9 @@ def registry(people: DataFrame, organs: DataFrame, memberships: DataFrame, deput
     }
 
 
-def read_nested(spark: SparkSession, path: str, schema: T.StructType, session: int | None = None, inner: str = "messages") -> DataFrame:
-    """One row for each message of nested JSON files (an array of debates each), with the debate's columns."""
-    debates = spark.read.schema(schema).option("multiLine", True).json(path)
+def read_nested(spark: SparkSession, path: str, schema: T.StructType, session: int | None = None, inner: str = "messages", lines: bool = False) -> DataFrame:
+    """One row for each message of nested JSON files, with the debate's columns: an array of debates each, or with lines a debate a line."""
+    debates = spark.read.schema(schema).option("multiLine", not lines).json(path)
     if session is not None:
         debates = debates.where(F.col("session") == session)
     return debates.select(*[c for c in debates.columns if c != inner], F.posexplode(inner).alias("pos", "m")).select("*", "m.*").drop("m")

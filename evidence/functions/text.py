@@ -77,6 +77,24 @@ def bill_number(title: Column) -> Column:
     return F.when(found != "", found)
 
 
+def bill_of_title(title: Column) -> Column:
+    """The number of the bill that a debate's title names between slashes, as text; null without one."""
+    found = F.regexp_extract(title, FLAGS + R.BILL_IN_TITLE, 1)
+    return F.when(found != "", found)
+
+
+def phase(title: Column, rest: str = R.PHASE_REST) -> Column:
+    """The phase that a title names, by the first rule; `rest` for a title with a bill only, null with neither."""
+    return F.coalesce(first_rule(title, R.PHASES, None), F.when(bill_of_title(title).isNotNull(), rest))
+
+
+def claim_text(text: Column, subject: Column, predicate: Column, obj: Column, frame: Column) -> Column:
+    """The text if there is one, else the parts that are not empty joined by blanks, the time frame in brackets unless it is unknown."""
+    part = lambda c: F.when(c != "", c)
+    framed = F.when((frame != "") & (frame != R.NO_FRAME), F.concat(F.lit("("), frame, F.lit(")")))
+    return F.coalesce(text, F.btrim(F.concat_ws(" ", part(subject), part(predicate), part(obj), framed)))
+
+
 def short_topic(title: Column) -> Column:
     """A title without its leading number and trailing bill clause; the title itself if nothing is left."""
     cut = F.btrim(F.regexp_replace(F.regexp_replace(title, r"^\s*\d+\.\s*", ""), FLAGS + r"\s*/?\s*(?:sněmovní\s+)?tisk\w*\s+\d+\s*/?.*$", ""))
@@ -223,6 +241,46 @@ def stance_answer(answer: Column, known: Sequence[str] = ("PRO", "PROTI")) -> Co
     return F.when(said.isin(*known), said).otherwise("NEURCITELNE")
 
 
+def _read(answer: Column) -> Column:
+    """A model's answer as a variant, null unless it is a JSON object."""
+    value = F.try_parse_json(strip_fences(answer))
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+
+
+def _truth(read: Column, key: str) -> Column:
+    """Whether a value of an object is true: not false, null, zero or empty; any other text is true. Null where the key is missing."""
+    kind = F.schema_of_variant(F.try_variant_get(read, f"$.{key}", "variant"))
+    text = F.try_variant_get(read, f"$.{key}", "string")
+    filled = ~text.isin("[]", "{}") & ~F.coalesce(text.try_cast("double") == 0, F.lit(False))
+    return F.when(kind == "BOOLEAN", text == "true").when(kind == "VOID", False).when(kind == "STRING", text != "").otherwise(filled)
+
+
+def _said(read: Column, key: str, most: int, unread: str) -> Column:
+    return F.when(read.isNull(), unread).otherwise(F.substring(F.coalesce(F.try_variant_get(read, f"$.{key}", "string"), F.lit("")), 1, most))
+
+
+def challenge_answer(answer: Column, unread: str = "unreadable answer") -> Column:
+    """Struct of contradiction and reading (at most 250 characters); an unreadable answer is a contradiction, so that nothing is published."""
+    read = _read(answer)
+    return F.struct(F.coalesce(_truth(read, "rozporMizi"), F.lit(True)).alias("contradiction"), _said(read, "vyklad", 250, unread).alias("reading"))
+
+
+def pairing_check(answer: Column, unread: str = "unreadable answer") -> Column:
+    """Struct of holds and reading (at most 200 characters); a pairing holds only if the answer says so."""
+    read = _read(answer)
+    return F.struct(F.coalesce(_truth(read, "parovaniPlati"), F.lit(False)).alias("holds"), _said(read, "vyklad", 200, unread).alias("reading"))
+
+
+def proposed_pairs(rows: DataFrame, answer: str, offered: DataFrame, key: str) -> DataFrame:
+    """Rows whose answer names one of the offered keys: the key and the reason (at most 200 characters); others go.
+
+    offered has the column `key` (text), and is joined by it, so that its length does not matter.
+    """
+    read = F.from_json(strip_fences(F.col(answer)), "cisloTisku string, zduvodneni string")
+    named = rows.withColumn(key, F.btrim(read["cisloTisku"])).withColumn("reason", F.substring(F.coalesce(read["zduvodneni"], F.lit("")), 1, 200))
+    return named.where(~F.col(key).isin("", "0")).join(offered.select(key).distinct(), key, "left_semi")
+
+
 def narrative(*parts: tuple[Column, Column], rest: str) -> Column:
     """The texts whose condition holds, joined by a bar; rest if none does."""
     joined = F.concat_ws(" | ", *[F.when(cond, text) for cond, text in parts])

@@ -10,6 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
+from ..functions.score import presentation_tier
+from ..functions.text import quote_reason
 from .votes import AGAINST, PRO, agreement
 
 
@@ -77,6 +80,91 @@ def errors_of(rows: DataFrame, tests: dict[str, Column], name: str = "errors") -
     return rows.withColumn(name, found)
 
 
+def ballot_ref(text: Column) -> Column:
+    """Struct of number, session and date of a ballot named in words; parts that are not there are null."""
+    part = lambda pattern, kind: F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast(kind)
+    day = F.concat_ws("-", *[F.lpad(F.nullif(F.regexp_extract(text, R.BALLOT_DAY, k), F.lit("")), n, "0") for k, n in ((3, 4), (2, 2), (1, 2))])
+    return F.struct(part(R.BALLOT_NUMBER, "string").alias("number"), part(R.BALLOT_SESSION, "int").alias("session"), F.try_to_date(day, "yyyy-MM-dd").alias("date"))
+
+
+def ballot_ref_reason(ref: Column, number: Column, session: Column, date: Column) -> Column:
+    """Why a named ballot is not the one in the records, or null; number, session and date are the record's, null where it has none.
+
+    Without a name there is nothing to check; parts that either side lacks are not compared.
+    """
+    said = ballot_ref(ref)
+    differs = F.concat_ws("; ", F.when(said["session"] != session, "session differs"), F.when(said["date"] != date, "date differs"))
+    return F.when(F.btrim(F.coalesce(ref, F.lit(""))) == "", None).when(said["number"].isNull(), "no number").when(number.isNull(), "ballot missing").when(differs != "", differs)
+
+
+def gate_annotations(annotations: DataFrame, pages: DataFrame, ballots: DataFrame) -> DataFrame:
+    """Annotations (proof: a struct of pastQuote, sourceUrl, votingBallotId) with `reason`: no proof, the quote's, else the ballot's.
+
+    pages has url and text, ballots has ballot (text), session and date. All annotations stay, as
+    the gate is all or nothing: see `publish_gated`.
+    """
+    proof = F.col("proof")
+    cited = annotations.withColumn("_url", proof["sourceUrl"]).withColumn("_ballot", ballot_ref(proof["votingBallotId"])["number"])
+    joined = cited.join(pages.select(F.col("url").alias("_url"), F.col("text").alias("_text")).dropDuplicates(["_url"]), "_url", "left").join(
+        ballots.select(F.col("ballot").alias("_ballot"), F.lit(True).alias("_known"), F.col("session").alias("_session"), F.col("date").alias("_date")).dropDuplicates(["_ballot"]), "_ballot", "left"
+    )
+    empty = F.btrim(F.coalesce(proof["sourceUrl"], F.lit(""))) == ""
+    reason = F.coalesce(
+        F.when(proof.isNull(), "no proof"), F.when(empty, "no address"), quote_reason(F.col("_text"), F.btrim(proof["pastQuote"])),
+        ballot_ref_reason(proof["votingBallotId"], F.when(F.col("_known"), F.col("_ballot")), F.col("_session"), F.col("_date")),
+    )
+    return joined.select(*annotations.columns, reason.alias("reason"))
+
+
+def publish_gated(gated: DataFrame, write) -> None:
+    """Call write with the annotations, unless one of them has a reason: then raise and write nothing."""
+    assert_none(gated.where("reason is not null"), "export stopped")
+    write(gated.drop("reason"))
+
+
+def annotation_errors(a: Column, text: Column) -> Column:
+    """All errors of one annotation, a struct, against the text it marks; a missing key ends the list.
+
+    A null is a missing key. Optional parts (confidenceScore, presentationTier, nliRelation,
+    claimCategory, mediaEvidence, adversarialCheck) count only where they are there.
+    """
+    no = lambda c: F.coalesce(c, F.lit("")) == ""
+    off = lambda c, known: ~no(c) & ~c.isin(*known)
+    missing = F.array_compact(F.array(*[F.when(a[k].isNull(), f"missing {k}") for k in R.ANNOTATION_KEYS]))
+    start, end, score, tier = a["start"], a["end"], a["confidenceScore"], a["presentationTier"]
+    inside = (start >= 0) & (start <= end) & (end <= F.length(F.coalesce(text, F.lit(""))))
+    out_of_range = ~score.between(0.0, 1.0) | F.isnan(score)
+    media, proof = a["mediaEvidence"], a["proof"]
+    tests = [
+        (~a["type"].isin(*R.ANNOTATION_TYPES), "unknown type"), (~a["severity"].isin(*R.SEVERITIES), "unknown severity"), (~inside, "span out of range"),
+        (inside & (F.substring(text, start + 1, end - start) != a["targetSnippet"]), "span is not the snippet"),
+        (out_of_range, "score out of range"), (~out_of_range & (score < R.LEAST_SCORE), "score too low"),
+        (~tier.isin(*R.TIER_NAMES), "unknown tier"), (tier.isin(*R.TIER_NAMES) & (tier != presentation_tier(score)), "tier differs"),
+        (off(a["nliRelation"], R.RELATIONS), "unknown relation"), (off(a["claimCategory"], R.CLAIM_CATEGORIES), "unknown category"),
+        *[(no(proof[k]), f"proof without {k}") for k in R.PROOF_KEYS], (off(proof["voteRecorded"], R.VOTE_VALUES), "unknown vote"),
+        (media.isNotNull() & ~F.coalesce(media["exactTimestampSeconds"] >= 0, F.lit(False)), "bad media time"), (media.isNotNull() & no(media["archiveUrl"]), "media without address"),
+        (a["adversarialCheck"].isNotNull() & a["adversarialCheck"]["passed"].isNull(), "check without result"),
+    ]
+    return F.when(F.size(missing) > 0, missing).otherwise(F.array_compact(F.array(*[F.when(bad, why) for bad, why in tests])))
+
+
+def debate_errors(debates: DataFrame) -> DataFrame:
+    """Debates (columns as in R.DEBATE_KEYS, messages an array of structs) with `errors`: of the debate, else of its messages and their annotations.
+
+    A null is a missing key. Errors of a message begin with its id.
+    """
+    held = [k for k in R.DEBATE_KEYS if k in debates.columns]
+    top = F.array_compact(F.array(*[F.when(F.col(k).isNull(), f"missing {k}") if k in held else F.lit(f"missing {k}") for k in R.DEBATE_KEYS]))
+
+    def of_message(m: Column) -> Column:
+        act = m["speechAct"]
+        own = F.array_compact(F.array(*[F.when(m[k].isNull(), f"missing {k}") for k in R.MESSAGE_KEYS], F.when((act != "") & ~act.isin(*R.SPEECH_ACTS), "unknown act")))
+        nested = F.flatten(F.transform(F.coalesce(m["annotations"], F.array()), lambda a: annotation_errors(a, F.coalesce(m["cleanText"], F.lit("")))))
+        return F.transform(F.concat(own, nested), lambda e: F.concat(F.coalesce(m["messageId"], F.lit("?")), F.lit(": "), e))
+
+    return debates.withColumn("errors", F.when(F.size(top) > 0, top).otherwise(F.flatten(F.transform("messages", of_message))) if len(held) == len(R.DEBATE_KEYS) else top)
+
+
 def assert_none(failures: DataFrame, message: str) -> None:
     """All or nothing: raise if any row fails."""
     one = failures.limit(1).collect()

@@ -47,6 +47,20 @@ def final_votes(claims: DataFrame, finals: DataFrame, bill: str, session: str, o
     return found.select(*claims.columns, F.col(f"f.{session}").alias(f"final_{session}"), *[F.col(f"f.{c}").alias(c) for c in columns])
 
 
+def linked_finals(claims: DataFrame, ballots: DataFrame, annulled: DataFrame, ballot: str, links: str | None = None, sessions: tuple[str, str] | None = None) -> DataFrame:
+    """Claims whose final vote may stand: a known ballot that is not annulled.
+
+    links, an array of the ballots that the bill's page names, must hold the ballot where it is
+    not empty; sessions, two columns, must agree (the claim's and the final vote's session).
+    """
+    out = claims.where(F.col(ballot).isNotNull())
+    if links is not None:
+        out = out.where((F.coalesce(F.size(F.array_compact(links)), F.lit(0)) <= 0) | F.array_contains(links, F.col(ballot)))
+    if sessions is not None:
+        out = out.where(F.col(sessions[0]) == F.col(sessions[1]))
+    return out.join(ballots.select(ballot).distinct(), ballot, "left_semi").join(annulled.select(ballot).distinct(), ballot, "left_anti")
+
+
 def agreement(stance: Column, vote: Column) -> Column:
     """SHODA, NESHODA, or NEHLASOVAL for a vote without a direction."""
     return F.when(~F.coalesce(vote.isin(PRO, AGAINST), F.lit(False)), "NEHLASOVAL").when(vote == stance, "SHODA").otherwise("NESHODA")
@@ -104,10 +118,19 @@ def reconcile(votes: DataFrame, declared: DataFrame, ballot: str, value: str, co
     return out.where(~F.col(counted).eqNullSafe(F.col("declared")))
 
 
-def resolve_vote(asked: DataFrame, votes: DataFrame, bad: DataFrame, ballot: str, person: str, value: str, absent: str) -> DataFrame:
-    """The vote of a person in a ballot that has no discrepancy, and whether the person was present."""
+def resolve_vote(asked: DataFrame, votes: DataFrame, bad: DataFrame, ballot: str, person: str, value: str, absent: str, more: list[str] | None = None, ballots: DataFrame | None = None, deputy: str | None = None, excused: str | None = None) -> DataFrame:
+    """The vote of a person in a ballot that has no discrepancy, and whether the person was present.
+
+    more are further columns of votes (the club), ballots adds its columns (result, address) by
+    ballot, and excused, a flag of asked, counts only with a deputy id.
+    """
     usable = asked.join(bad.select(ballot).distinct(), ballot, "left_anti")
-    return usable.join(votes.select(ballot, person, value), [ballot, person]).withColumn("present", F.col(value) != absent)
+    out = usable.join(votes.select(ballot, person, value, *(more or [])), [ballot, person]).withColumn("present", F.col(value) != absent)
+    if ballots is not None:
+        out = out.join(ballots.dropDuplicates([ballot]), ballot, "left")
+    if excused is not None:
+        out = out.withColumn(excused, F.coalesce(F.col(excused) & F.col(deputy).isNotNull(), F.lit(False)))
+    return out
 
 
 def votes_by_ballot(votes: DataFrame, ballot: str, name: str, value: str, substantive: str) -> DataFrame:
@@ -117,16 +140,38 @@ def votes_by_ballot(votes: DataFrame, ballot: str, name: str, value: str, substa
     )
 
 
-def ledger(messages: DataFrame, ballots: DataFrame, votes: DataFrame, debate: str, item: str, pos: str, ballot: str, person: str, name: str, value: str, codes: list[str], unknown: str) -> DataFrame:
+def ledger(
+    messages: DataFrame, ballots: DataFrame, votes: DataFrame, debate: str, item: str, pos: str, ballot: str, person: str, name: str, value: str, codes: list[str], unknown: str,
+    chair: str | None = None, deputies: DataFrame | None = None,
+) -> DataFrame:
     """Votes of a debate's speakers in the ballots of its item: one row for each debate, ballot and speaker.
 
-    A speaker counts once, under the name first seen; unknown codes become `unknown`.
+    A speaker counts once, under the name first seen; unknown codes become `unknown`. With chair,
+    a flag of messages, what the chair says names no speaker; with deputies (a column `person`),
+    others are no speakers. Further columns of votes, such as an excused flag, pass.
     """
     item_of = item_mode(messages, debate, item, pos).select(debate, item)
-    speakers = messages.where(F.col(person).isNotNull()).groupBy(debate, person).agg(F.min_by(name, pos).alias(name))
+    spoken = messages.where(F.col(person).isNotNull())
+    if chair is not None:
+        spoken = spoken.where(~F.coalesce(F.col(chair), F.lit(False)))
+    speakers = spoken.groupBy(debate, person).agg(F.min_by(name, pos).alias(name))
+    if deputies is not None:
+        speakers = speakers.join(deputies.select(person).distinct(), person, "left_semi")
     pairs = item_of.join(ballots.select(item, ballot), item).join(speakers, debate)
     cast = F.when(F.col(value).isin(codes), F.col(value)).otherwise(unknown)
-    return pairs.join(votes.select(ballot, person, value), [ballot, person]).select(debate, item, ballot, person, name, cast.alias(value))
+    more = [c for c in votes.columns if c not in (debate, item, ballot, person, name, value)]
+    return pairs.join(votes.select(ballot, person, value, *more), [ballot, person]).select(debate, item, ballot, person, name, cast.alias(value), *more)
+
+
+def ledger_ballots(messages: DataFrame, ballots: DataFrame, tallies: DataFrame, debate: str, item: str, pos: str, ballot: str, subject: str, result: str, group: str) -> DataFrame:
+    """The ballots of each debate's item: kind, whether it is substantive, whether it was passed, and the tallies of its groups as an array."""
+    from ..functions.text import classify_ballot
+
+    kind = classify_ballot(F.col(subject))
+    nested = tallies.groupBy(ballot).agg(F.array_sort(F.collect_list(F.struct(group, *[c for c in tallies.columns if c not in (ballot, group)]))).alias("groups"))
+    found = item_mode(messages, debate, item, pos).select(debate, item).join(ballots, item)
+    out = found.withColumn("kind", kind["kind"]).withColumn("substantive", kind["substantive"]).withColumn("passed", F.col(result) == "A")
+    return out.join(nested, ballot, "left")
 
 
 def role_at(probes: DataFrame, member: Column, side: Column) -> DataFrame:

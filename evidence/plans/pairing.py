@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import score as S
+from ..operators import evaluation as E
 from ..operators import pairs as P
 from .registry import Tables, query
 
@@ -68,22 +69,22 @@ def embed_texts(t: Tables) -> DataFrame:
 @query("""select l_orderkey, l_linenumber, l_suppkey, o_custkey, c_nationkey, n_name from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
   join nation on c_nationkey = n_nationkey""")
 def pair_enrich(t: Tables) -> DataFrame:
-    j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    j = E.pair_enrich(t.lineitem, (t.orders, "l_orderkey", "o_orderkey"), (t.customer, "o_custkey", "c_custkey"), (t.nation, "c_nationkey", "n_nationkey"))
     return j.select("l_orderkey", "l_linenumber", "l_suppkey", "o_custkey", "c_nationkey", "n_name")
 
 
 @query("""select o_orderkey, o_orderstatus, n, round(q, 2) as q from orders left join (select l_orderkey, count(*) as n, sum(l_quantity) as q from lineitem group by 1) on l_orderkey = o_orderkey""")
 def verdict_left_join(t: Tables) -> DataFrame:
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
-    return t.orders.join(lines, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", "n", "q")
+    return E.verdict_left_join(t.orders, lines, ["o_orderkey"]).select("o_orderkey", "o_orderstatus", "n", "q")
 
 
 @query("""select l_orderkey, l_linenumber, l_suppkey, l_partkey, l_discount * 10 as contradiction, round(1 - l_tax, 2) as sim, case when l_discount * 10 >= 0.8 then 'tribunal' else 'lead' end as band
   from lineitem where l_discount * 10 >= 0.5 and round(1 - l_tax, 2) >= 0.95 and l_returnflag = 'R'""")
 def band_filter(t: Tables) -> DataFrame:
     rows = t.lineitem.withColumn("contradiction", F.col("l_discount") * 10).withColumn("sim", F.round(1 - F.col("l_tax"), 2))
-    kept = rows.where((F.col("contradiction") >= 0.5) & (F.col("sim") >= 0.95) & (F.col("l_returnflag") == "R"))
-    return kept.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "contradiction", "sim", F.when(F.col("contradiction") >= 0.8, "tribunal").otherwise("lead").alias("band"))
+    kept = E.band_filter(rows.where("l_returnflag = 'R'"), F.col("contradiction"), F.col("sim"), 0.5, 0.8, 0.95)
+    return kept.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "contradiction", "sim", "band")
 
 
 COMPOSITE_SQL = """s as (select l_orderkey, l_linenumber, l_suppkey, l_partkey, l_discount * 10 as nli, case when l_linenumber = 4 then null else l_tax * 12 end as sim,
@@ -153,7 +154,7 @@ def balanced_sample(t: Tables) -> DataFrame:
 
 @query("""select doc_id from documents where doc_id not in (select doc_id from labels)""")
 def pending_anti_join(t: Tables) -> DataFrame:
-    return t.documents.join(t.labels, "doc_id", "left_anti").select("doc_id")
+    return E.pending(t.documents, t.labels, ["doc_id"]).select("doc_id")
 
 
 @query("""with c as (select l.doc_id, quality = 1 as expected, max(case when n_chars > 3000 then 2 when n_chars > 1500 then 1 else 0 end) as tier from labels l left join documents using (doc_id) group by all),
@@ -164,16 +165,11 @@ def precision_recall(t: Tables) -> DataFrame:
     tier = F.max(F.when(F.col("n_chars") > 3000, 2).when(F.col("n_chars") > 1500, 1).otherwise(0))
     c = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id", "left").groupBy("doc_id", (F.col("quality") == 1).alias("expected")).agg(tier.alias("tier"))
     c = c.withColumn("least_tier", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("got", F.col("tier") >= F.col("least_tier"))
-    k = c.groupBy("least_tier").agg(F.count_if(F.col("expected") & F.col("got")).alias("tp"), F.count_if(~F.col("expected") & F.col("got")).alias("fp"), F.count_if(F.col("expected") & ~F.col("got")).alias("fn"))
-    return k.withColumn("prec", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6)).withColumn("recall", F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6))
+    return E.precision_recall(c, F.col("expected"), F.col("got"), ["least_tier"])
 
 
 @query("""with c as (select quality as expected, toxic as predicted, count(*) as n from labels group by all)
   select expected, sum(n) filter (where predicted = 0)::bigint as p0, sum(n) filter (where predicted = 1)::bigint as p1, round(coalesce(sum(n) filter (where predicted = expected), 0) / sum(n), 6) as recall,
     round((select sum(n) from c where predicted = expected) / (select sum(n) from c), 6) as accuracy from c group by expected""")
 def confusion_matrix(t: Tables) -> DataFrame:
-    m = t.labels.groupBy(F.col("quality").alias("expected")).pivot("toxic", [0, 1]).count().withColumnsRenamed({"0": "p0", "1": "p1"})
-    total = F.coalesce("p0", F.lit(0)) + F.coalesce("p1", F.lit(0))
-    right = F.when(F.col("expected") == 0, F.coalesce("p0", F.lit(0))).otherwise(F.coalesce("p1", F.lit(0)))
-    whole = m.agg((F.sum(right) / F.sum(total)).alias("accuracy"))
-    return m.withColumn("recall", F.round(right / total, 6)).crossJoin(F.broadcast(whole)).withColumn("accuracy", F.round("accuracy", 6))
+    return E.confusion_matrix(t.labels.withColumnRenamed("quality", "expected"), "expected", "toxic", {0: "p0", 1: "p1"})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import evaluation as E
 from ..operators import indexes as I
 from .registry import Tables, query
 
@@ -81,7 +82,7 @@ def tally_downsample(t: Tables) -> DataFrame:
 
 @query("select case when starts_with(o_orderpriority, '1-') then 'engine' else 'hand' end as producer, count(*) as n from orders where o_orderstatus = 'F' group by 1")
 def provenance_count(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderstatus = 'F'").groupBy(F.when(F.col("o_orderpriority").startswith("1-"), "engine").otherwise("hand").alias("producer")).agg(F.count(F.lit(1)).alias("n"))
+    return E.provenance_count(t.orders.where("o_orderstatus = 'F'"), F.col("o_orderpriority").startswith("1-"))
 
 
 @query("select count(distinct o_orderdate) as days, count(*) as orders, count(distinct o_custkey) as persons, count(distinct case when o_orderstatus = 'F' then o_orderdate end) as ballot_days from orders")
@@ -97,11 +98,7 @@ def tier_report(t: Tables) -> DataFrame:
 @query("""select event_type, count(*) as n, count(*) filter (where value >= 95) as published, count(*) filter (where value >= 80 and value < 95) as context, count(*) filter (where value < 80) as rejected,
   round(avg(case when value >= 80 then value end), 4) as mean_confidence from events group by 1""")
 def annotation_stats(t: Tables) -> DataFrame:
-    v = F.col("value")
-    return t.events.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(v >= 95).alias("published"), F.count_if((v >= 80) & (v < 95)).alias("context"), F.count_if(v < 80).alias("rejected"),
-        F.round(F.avg(F.when(v >= 80, v)), 4).alias("mean_confidence"),
-    )
+    return E.annotation_stats(t.events, "event_type", F.col("value"), 95, 80)
 
 
 @query("""select role, sum(turn)::bigint as seconds, substr(string_agg(text, ' ' order by conv_id * 100 + turn, text), 1, 300) as text from conversations where role is not null group by role""")
@@ -112,7 +109,7 @@ def speaker_groups(t: Tables) -> DataFrame:
 
 @query("select lang, count(*) as documents, sum(len(text))::bigint as characters, count(distinct source) as sources from documents group by lang")
 def text_stats(t: Tables) -> DataFrame:
-    return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).alias("characters"), F.count_distinct("source").alias("sources"))
+    return E.text_stats(t.documents, "lang", "text", "source")
 
 
 @query("select p_name, min(p_partkey) as p_partkey, arg_min(p_brand, p_partkey) as p_brand from part group by p_name")
@@ -176,13 +173,12 @@ def first_k_array(t: Tables) -> DataFrame:
 
 @query("select coalesce(a.k, b.k) as k from (select distinct o_custkey as k from orders where o_orderstatus = 'F') a full join (select c_custkey as k from customer where c_mktsegment = 'MACHINERY') b on a.k = b.k")
 def entity_union(t: Tables) -> DataFrame:
-    a = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"))
-    return a.union(t.customer.where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("k"))).distinct()
+    return E.entity_union((t.orders.where("o_orderstatus = 'F'"), "o_custkey"), (t.customer.where("c_mktsegment = 'MACHINERY'"), "c_custkey"))
 
 
 @query("select c_custkey as k from customer except select o_custkey from orders where o_orderstatus = 'P'")
 def known_minus_done(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_custkey").alias("k")).join(t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), "k", "left_anti")
+    return E.pending(t.customer.select(F.col("c_custkey").alias("k")), t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), ["k"])
 
 
 @query("select user_id, case when count(distinct event_type) filter (where event_type <> 'error') = 0 then '' else array_to_string(list_sort(list(distinct event_type) filter (where event_type <> 'error')), ',') end as kinds from events group by user_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as E
 from ..operators import temporal as T
 from ..operators import votes as V
 from .joins import EXCUSE_SQL, IV_SQL, excuses, intervals, minute
@@ -81,11 +82,15 @@ def _final_votes(t: Tables) -> DataFrame:
     return V.final_votes(claims, finals, "bill", "session", "ballot", ["ballot"])
 
 
-@query(f"""with {FINAL_SQL} select event_id, bill, session, ballot from f where final_session = session and ballot not in (select l_orderkey from lineitem where l_tax = 0.08)""")
+@query(f"""with {FINAL_SQL} select event_id, bill, session, ballot from f where final_session = session and ballot not in (select l_orderkey from lineitem where l_tax = 0.08)
+  and (event_id % 3 = 0 or ballot % 5 <> 0)""")
 def final_vote_join(t: Tables) -> DataFrame:
-    annulled = t.lineitem.where("l_tax = 0.08").select(F.col("l_orderkey").alias("ballot")).distinct()
-    found = _final_votes(t).where("ballot is not null and final_session = session")
-    return found.join(annulled, "ballot", "left_anti").select("event_id", "bill", "session", "ballot")
+    # every third claim's bill has a page without links, the others' pages name a ballot that is off by one for every fifth
+    annulled = t.lineitem.where("l_tax = 0.08").select(F.col("l_orderkey").alias("ballot"))
+    links = F.when(F.col("event_id") % 3 != 0, F.array(F.col("ballot") + F.when(F.col("ballot") % 5 == 0, 1).otherwise(0)))
+    ballots = t.orders.select(F.col("o_orderkey").alias("ballot"))
+    found = V.linked_finals(_final_votes(t).withColumn("links", links), ballots, annulled, "ballot", "links", ("session", "final_session"))
+    return found.select("event_id", "bill", "session", "ballot")
 
 
 CLAIM_SQL = f"""{FINAL_SQL}, votes as (select l_orderkey as ballot, l_suppkey as person, min(case l_returnflag when 'A' then 'PRO' when 'N' then 'PROTI' else 'JINAK' end) as vote from lineitem group by all),
@@ -117,16 +122,41 @@ def debate_item_mode(t: Tables) -> DataFrame:
     return V.item_mode(t.conversations, "conv_id", "role", "turn")
 
 
-@query("""with m as (select conv_id, turn, (conv_id * 8 + turn // 3) % 1000 as item, (turn % 3) as person, role as name from conversations),
+LEDGER_SQL = """m as (select conv_id, turn, (conv_id * 8 + turn // 3) % 1000 as item, turn % 3 as person, role as name, coalesce(role = 'system', false) as chair from conversations),
   c as (select conv_id, item, count(*) as n, min(turn) as f from m group by all), i as (select conv_id, arg_max(item, struct_pack(a := n, b := -f)) as item from c group by conv_id),
-  s as (select conv_id, person, arg_min(name, turn) as name from m group by all), b as (select o_orderkey as ballot, o_orderkey % 1000 as item from orders),
-  v as (select l_orderkey as ballot, l_suppkey % 3 as person, min(l_returnflag) as flag from lineitem group by all)
-  select conv_id, item, ballot, person, name, case when flag in ('A', 'N') then flag else 'NEPRIHLASEN' end as flag from i join b using (item) join s using (conv_id) join v using (ballot, person)""")
+  b as (select o_orderkey as ballot, o_orderkey % 1000 as item, case o_orderkey % 3 when 0 then 'Novela zákona jako celek' when 1 then 'Pořad schůze' else 'Pozměňovací návrh A' end as subject, case when o_orderstatus = 'F' then 'A' else 'R' end as result from orders),
+  v as (select l_orderkey as ballot, l_suppkey % 3 as person, min(l_returnflag) as flag, max(l_linenumber) > 4 as excused from lineitem group by all)"""
+
+
+def _ledger_parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    m = t.conversations.select(
+        "conv_id", "turn", ((F.col("conv_id") * 8 + F.floor(F.col("turn") / 3)) % 1000).alias("item"), (F.col("turn") % 3).alias("person"), F.col("role").alias("name"), (F.col("role") == "system").alias("chair")
+    )
+    k = F.col("o_orderkey")
+    subject = F.when(k % 3 == 0, "Novela zákona jako celek").when(k % 3 == 1, "Pořad schůze").otherwise("Pozměňovací návrh A")
+    b = t.orders.select(k.alias("ballot"), (k % 1000).alias("item"), subject.alias("subject"), F.when(F.col("o_orderstatus") == "F", "A").otherwise("R").alias("result"))
+    v = t.lineitem.groupBy(F.col("l_orderkey").alias("ballot"), (F.col("l_suppkey") % 3).alias("person")).agg(F.min("l_returnflag").alias("flag"), (F.max("l_linenumber") > 4).alias("excused"))
+    return m, b, v
+
+
+@query(f"""with {LEDGER_SQL}, s as (select conv_id, person, arg_min(name, turn) as name from m where not chair group by all)
+  select conv_id, item, ballot, person, name, case when flag in ('A', 'N') then flag else 'NEPRIHLASEN' end as flag, excused from i join b using (item) join s using (conv_id) join v using (ballot, person) where person <> 2""")
 def debate_ledger(t: Tables) -> DataFrame:
-    m = t.conversations.select("conv_id", "turn", ((F.col("conv_id") * 8 + F.floor(F.col("turn") / 3)) % 1000).alias("item"), (F.col("turn") % 3).alias("person"), F.col("role").alias("name"))
-    b = t.orders.select(F.col("o_orderkey").alias("ballot"), (F.col("o_orderkey") % 1000).alias("item"))
-    v = t.lineitem.groupBy(F.col("l_orderkey").alias("ballot"), (F.col("l_suppkey") % 3).alias("person")).agg(F.min("l_returnflag").alias("flag"))
-    return V.ledger(m, b, v, "conv_id", "item", "turn", "ballot", "person", "name", "flag", ["A", "N"], "NEPRIHLASEN")
+    m, b, v = _ledger_parts(t)
+    deputies = t.region.select((F.col("r_regionkey") % 2).cast("bigint").alias("person"))
+    return V.ledger(m, b, v, "conv_id", "item", "turn", "ballot", "person", "name", "flag", ["A", "N"], "NEPRIHLASEN", "chair", deputies)
+
+
+@query(f"""with {LEDGER_SQL}, g as (select l_orderkey as ballot, l_linestatus as club, count(*) filter (where l_returnflag = 'A') as pro, count(*) filter (where l_returnflag = 'N') as against from lineitem group by all),
+  n as (select ballot, string_agg(club || ':' || pro || ':' || against, ',' order by club) as clubs from g group by ballot)
+  select conv_id, item, ballot, case ballot % 3 when 0 then 'SUBSTANTIVE_FINAL' when 1 then 'PROCEDURAL_AGENDA' else 'SUBSTANTIVE_AMENDMENT' end as kind, ballot % 3 <> 1 as substantive, result = 'A' as passed, clubs
+  from i join b using (item) left join n using (ballot)""")
+def ledger_ballots(t: Tables) -> DataFrame:
+    m, b, _ = _ledger_parts(t)
+    tallies = t.lineitem.groupBy(F.col("l_orderkey").alias("ballot"), F.col("l_linestatus").alias("club")).agg(F.count_if(F.col("l_returnflag") == "A").alias("pro"), F.count_if(F.col("l_returnflag") == "N").alias("against"))
+    out = V.ledger_ballots(m, b, tallies, "conv_id", "item", "turn", "ballot", "subject", "result", "club")
+    text = F.array_join(F.transform("groups", lambda x: F.concat_ws(":", x["club"], x["pro"].cast("string"), x["against"].cast("string"))), ",")
+    return out.select("conv_id", "item", "ballot", "kind", "substantive", "passed", text.alias("clubs"))
 
 
 @query("""with g as (select l_orderkey, l_suppkey from lineitem where l_linenumber = 1 group by all),
@@ -155,13 +185,16 @@ def tally_reconcile(t: Tables) -> DataFrame:
     return _discrepancies(t)
 
 
-@query(f"""with {RECONCILE_SQL}, v as (select l_orderkey as ballot, l_suppkey as person, min(l_returnflag) as flag from lineitem group by all)
-  select o_orderkey as ballot, o_custkey % 100 as person, v.flag, v.flag <> 'R' as present from orders join v on v.ballot = o_orderkey and v.person = o_custkey % 100
-  where o_orderkey not in (select ballot from bad)""")
+@query(f"""with {RECONCILE_SQL}, v as (select l_orderkey as ballot, l_suppkey as person, min(l_returnflag) as flag, min(l_linestatus) as club from lineitem group by all)
+  select o_orderkey as ballot, o_custkey % 100 as person, v.flag, v.flag <> 'R' as present, v.club, o_orderstatus as result, 'ballot/' || o_orderkey as url, o_custkey % 3 = 0 and o_custkey % 2 = 0 as excused
+  from orders join v on v.ballot = o_orderkey and v.person = o_custkey % 100 where o_orderkey not in (select ballot from bad)""")
 def resolve_vote(t: Tables) -> DataFrame:
-    asked = t.orders.select(F.col("o_orderkey").alias("ballot"), (F.col("o_custkey") % 100).alias("person"))
-    votes = t.lineitem.groupBy(F.col("l_orderkey").alias("ballot"), F.col("l_suppkey").alias("person")).agg(F.min("l_returnflag").alias("flag"))
-    return V.resolve_vote(asked, votes, _discrepancies(t), "ballot", "person", "flag", "R")
+    asked = t.orders.select(
+        F.col("o_orderkey").alias("ballot"), (F.col("o_custkey") % 100).alias("person"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("deputy"), (F.col("o_custkey") % 3 == 0).alias("excused")
+    )
+    votes = t.lineitem.groupBy(F.col("l_orderkey").alias("ballot"), F.col("l_suppkey").alias("person")).agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("club"))
+    ballots = t.orders.select(F.col("o_orderkey").alias("ballot"), F.col("o_orderstatus").alias("result"), F.concat(F.lit("ballot/"), F.col("o_orderkey").cast("string")).alias("url"))
+    return V.resolve_vote(asked, votes, _discrepancies(t), "ballot", "person", "flag", "R", ["club"], ballots, "deputy", "excused").drop("deputy")
 
 
 @query("""select l_orderkey, string_agg(s_name || '=' || l_returnflag, ',' order by s_name, l_returnflag) as votes, count(*) filter (where l_linenumber <= 3) as substantive,
@@ -185,7 +218,7 @@ def to_facts(t: Tables) -> DataFrame:
 @query(f"""with {IV_SQL} select user_id::varchar as subject, count(*) as facts, min(since) as first_from from iv group by user_id""")
 def facts_for_subject(t: Tables) -> DataFrame:
     facts = V.to_facts(intervals(t), "CLUB_MEMBERSHIP", F.col("user_id"), F.col("label"), F.col("seq"), F.col("since"), F.col("until"))
-    return facts.where("predicate = 'CLUB_MEMBERSHIP'").groupBy("subject").agg(F.count(F.lit(1)).alias("facts"), F.min("valid_from").alias("first_from"))
+    return E.count_facts(E.facts_for_subject(facts, predicate="CLUB_MEMBERSHIP"))
 
 
 @query(f"""with {IV_SQL}, p as (select e.event_id, e.user_id, (select arg_min(label, seq) from iv where iv.user_id = e.user_id and (since is null or e.ts::date >= since)

@@ -2,42 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _rows_of(encoding: str):
-    """Map function over (path, content): the lines of each file, in order."""
+def lines_of(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """The lines of text files that are not blank: path, seq and line; seq orders the lines of one file.
+
+    The encoding is UTF-8 or one of a byte a character. Large files are split: such an encoding
+    is scanned as Latin-1, whose characters then become those of the encoding.
+    """
+    plain = encoding.lower().replace("_", "-") in ("utf-8", "utf8")
+    rows = spark.read.options(encoding="utf-8" if plain else "iso-8859-1", sep="\u0001", quote="", lineSep="\n").schema("line string").csv(path)
+    line = F.col("line")
+    if not plain:
+        high = [(chr(b), bytes([b]).decode(encoding, "replace")) for b in range(128, 256)]
+        line = F.translate(line, "".join(a for a, _ in high), "".join(b for _, b in high))
+    seq = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    out = rows.select(F.col("_metadata.file_path").alias("path"), seq.alias("seq"), F.rtrim(line, F.lit("\r")).alias("line"))
+    return out.where(F.trim("line") != "")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = [(path, i, x.rstrip("\r")) for i, x in enumerate(content.decode(encoding).split("\n")) if x.strip()]
-                if lines:
-                    p, n, t = zip(*lines, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n, pa.int64()), pa.array(t)], names=["path", "seq", "line"])
 
-    return run
+def raw_rows(spark: SparkSession, path: str, encoding: str = "windows-1250") -> DataFrame:
+    """Pipe-delimited rows as path, seq and cols, an array of texts; one trailing bar goes, so that empty last columns survive."""
+    return lines_of(spark, path, encoding).select("path", "seq", F.split(F.regexp_replace("line", r"\|$", ""), r"\|", -1).alias("cols"))
 
 
 def read_unl(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "windows-1250") -> DataFrame:
-    """Pipe-delimited rows with `seq`, their place in the file.
+    """Pipe-delimited rows with `seq`, which orders the rows of a file.
 
     Blank lines go, one trailing bar goes, so that empty last columns survive; an empty field is
     null, a field that is no valid value of its type drops the row, and so does a short row.
     Dates are dd.mm.yyyy or yyyy-mm-dd, by their first ten characters.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    lines = files.mapInArrow(_rows_of(encoding), "path string, seq bigint, line string")
-    parts = F.split(F.regexp_replace("line", r"\|$", ""), r"\|", -1)
-    out = lines.select("seq", parts.alias("p")).where(F.size("p") >= len(schema))
+    out = raw_rows(spark, path, encoding).where(F.size("cols") >= len(schema))
     columns, valid = [], F.lit(True)
     for i, field in enumerate(schema):
-        text = F.when(F.col("p")[i] != "", F.col("p")[i])
+        text = F.when(F.col("cols")[i] != "", F.col("cols")[i])
         value = parsed_date(text) if isinstance(field.dataType, T.DateType) else text.try_cast(field.dataType)
         columns.append(value.alias(field.name))
         valid = valid & (text.isNull() | value.isNotNull())
@@ -141,9 +143,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Answers by cache key: broken lines go, the last line of a key wins, fences are stripped."""
     from ..functions.text import strip_fences
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    lines = files.mapInArrow(_rows_of("utf-8"), "path string, seq bigint, line string")
-    parsed = lines.select("path", "seq", F.from_json("line", "cache_key string, response_text string").alias("r")).where("r.cache_key is not null")
+    parsed = lines_of(spark, path).select("path", "seq", F.from_json("line", "cache_key string, response_text string").alias("r")).where("r.cache_key is not null")
     return parsed.groupBy("r.cache_key").agg(F.max_by("r.response_text", F.struct("path", "seq")).alias("t")).select("cache_key", strip_fences(F.col("t")).alias("response_text"))
 
 

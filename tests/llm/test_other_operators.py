@@ -217,3 +217,23 @@ def test_quotes(spark):
     chain = [r for r in quotes.reply_order(df).collect() if r["conv_id"] == 5]
     assert [r["turn"] for r in chain] == list(range(30)) and {r["thread"] for r in chain} == {0} and chain[7]["body"] == "m7" and chain[7]["reply_to"] == 6
     assert quotes.reply_order(df.where("conv_id < 0")).count() == 0
+
+
+def test_quoted_passages_link_however_they_are_wrapped(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [
+        (1, 0, "a", "ok"), (1, 1, "b", "one two three\nfour five\n\nok"), (1, 2, "a", "> One two\n> three four\n>   five\nyes"), (1, 3, "b", ">> one two three\n>> four five\n> yes\nfine"),
+        (1, 4, "a", "> ok\n\n> four five"), (1, 5, "b", "> three four\n> yes"), (1, 6, "a", "six seven eight"), (1, 7, "b", "> six\n> seven eight\n>\n> fine\n> ok"), (2, 0, "a", None), (2, 1, "b", ""), (2, 2, "b", ">\n> \n"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_linked"], r["n_levels"]) for r in quotes.reply_order(df).collect()}
+    assert got == {
+        (1, 0): (None, 0, 0), (1, 1): (None, 0, 0), (1, 2): (1, 3, 1), (1, 3): (2, 3, 2), (1, 4): (1, 2, 1), (1, 5): (2, 1, 1), (1, 6): (None, 0, 0), (1, 7): (6, 4, 1),
+        (2, 0): (None, 0, 0), (2, 1): (None, 0, 0), (2, 2): (None, 0, 0),
+    }
+    c = duckdb.connect()
+    c.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    a, b = differences(quotes.reply_order(df), c, quotes.SQL)
+    assert not a and not b, (list(a)[:3], list(b)[:3])

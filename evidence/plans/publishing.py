@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import gates as G
+from ..operators import pages as H
 from ..operators import records as D
 from ..operators import votes as V
 from ..sources import dumps
@@ -137,3 +138,48 @@ def program_record(t: Tables) -> DataFrame:
         F.struct("ballot", none.alias("url"), F.lit(1).alias("number"), "session", none.alias("date"), F.col("vote").alias("result"), (F.col("vote") == V.PRO).alias("passed")), F.lit("why"), F.array(F.col("person")), "chapters", "bill=",
     )
     return c.withColumn("r", record).select("r.id", "person", F.col("r.pledge.url").alias("chapter_url"), F.col("r.bill.url").alias("bill_url"), F.col("r.final.session").alias("final_session"), F.col("r.final.passed").alias("passed"), F.col("r.final.date").alias("date"))
+
+
+@query(r"""select 'http://h/b' || lpad(conv_id::varchar, 8, '0') || '.htm' as url, turn::varchar as person_id, coalesce(role, '') as last_name, 'r' || turn as anchor, (conv_id // 100000)::integer as turn,
+    case when turn % 2 = 0 then '' else conv_id::varchar end as ballots, 'Conversation ' || conv_id as section, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) as text from conversations where text is not null and not regexp_matches(text, '[<>&]')""")
+def speeches_from_html(t: Tables) -> DataFrame:
+    c = t.conversations.where(F.col("text").isNotNull() & ~F.regexp_like("text", F.lit("[<>&]")))
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    link = F.when(F.col("turn") % 2 != 0, F.concat(F.lit('<a href="hlasy.sqw?G='), conv, F.lit('"> </a>'))).otherwise("")
+    said = F.btrim(F.regexp_replace("text", r"[ \t\r\n]+", " "))
+    block = F.concat(F.lit("<!--###0#"), turn, F.lit("|90500||||"), F.coalesce("role", F.lit("")), F.lit('||@@--><p><b><a href="/x" id="r'), turn, F.lit('">x</a></b>: '), said, F.lit("</p>"), link)
+    pages = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))).alias("b"))
+    html = F.concat(F.lit('<div id="main-content"><!--###1#-->Conversation '), conv, F.lit("<!--@@-->"), F.array_join(F.transform("b", lambda x: x["block"]), ""))
+    pages = pages.select(F.concat(F.lit("http://h/b"), F.lpad(conv, 8, "0"), F.lit(".htm")).alias("url"), html.alias("html"))
+    return H.speeches_from_html(pages, "url", "html").select("url", "person_id", "last_name", "anchor", "turn", F.array_join("ballots", ",").alias("ballots"), "section", "text")
+
+
+@query("""select 'u' || o_orderkey as url, (o_custkey % 90)::integer as session, o_orderkey::integer as number, '14:05' as clock, o_orderpriority as subject, case when o_orderstatus = 'F' then 'NÁVRH BYL PŘIJAT' else 'NÁVRH NEBYL PŘIJAT' end as result,
+  (o_custkey % 7)::integer as pro, (3 + o_custkey % 5)::integer as away from orders""")
+def ballots_from_html(t: Tables) -> DataFrame:
+    s = lambda c: c.cast("string")
+    cust, key = F.col("o_custkey"), F.col("o_orderkey")
+    html = F.concat(
+        F.lit("<h1>"), s(cust % 90), F.lit(". schůze, "), s(key), F.lit(". hlasování, 5. ledna 2026, 14:05 "), F.col("o_orderpriority"), F.lit("</h1><p>NÁVRH "), F.when(F.col("o_orderstatus") == "F", "BYL").otherwise("NEBYL"),
+        F.lit(" PŘIJAT</p><p>Ano: "), s(cust % 7), F.lit(" Ne: 1 Nepřihlášen: "), s(cust % 5), F.lit(' Omluven: 3</p><ul class="results"></ul>'),
+    )
+    out = H.ballots_from_html(t.orders.select(F.concat(F.lit("u"), s(key)).alias("url"), html.alias("html")), "url", "html")
+    return out.select("url", "session", "number", "clock", "subject", "result", F.col("declared")["PRO"].alias("pro"), F.col("declared")["NEPRIHLASEN"].alias("away"))
+
+
+@query("""select 'u' || l_orderkey as url, l_suppkey::varchar as person_id, 'm ' || l_partkey as name, l_linestatus as club, case l_returnflag when 'A' then 'yes' when 'N' then 'no' else 'odd' end as flag, case l_returnflag when 'A' then 'PRO' when 'N' then 'PROTI' else 'NEPRIHLASEN' end as vote,
+  l_returnflag in ('A', 'N') as known from lineitem""")
+def votes_from_html(t: Tables) -> DataFrame:
+    flag = F.when(F.col("l_returnflag") == "A", "yes").when(F.col("l_returnflag") == "N", "no").otherwise("odd")
+    row = F.concat(F.lit('<li><span class="flag '), flag, F.lit('">'), F.col("l_returnflag"), F.lit('</span> <a href="detail.sqw?id='), F.col("l_suppkey").cast("string"), F.lit('&x">m&nbsp;'), F.col("l_partkey").cast("string"), F.lit("</a></li>"))
+    groups = t.lineitem.groupBy("l_orderkey", "l_linestatus").agg(F.concat(F.lit("<h2><span>"), F.col("l_linestatus"), F.lit(' (3)</span></h2><ul class="results">'), F.array_join(F.collect_list(row), ""), F.lit("</ul>")).alias("g"))
+    pages = groups.groupBy("l_orderkey").agg(F.array_join(F.collect_list("g"), "").alias("html")).select(F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("url"), "html")
+    return H.votes_from_html(pages, "url", "html")
+
+
+@query("""with q as (select doc_id, text, trim(substr(text, 1 + doc_id % 50, 80)) as quote from documents where text is not null)
+  select doc_id, 'pz-' || substr(sha1(doc_id || '::' || quote), 1, 16) as id, quote, (strpos(text, quote) - 1)::integer as char_start, (strpos(text, quote) - 1 + len(quote))::integer as char_end from q where quote <> ''""")
+def commitments_from_json(t: Tables) -> DataFrame:
+    cited = F.to_json(F.struct(F.concat(F.lit(" "), F.btrim(F.expr("substring(text, 1 + cast(doc_id % 50 as int), 80)")), F.lit(" ")).alias("citace")))
+    d = t.documents.where("text is not null").withColumn("answer", F.concat(F.lit("```json\n["), cited, F.lit(', {"citace": "☃ is not there"}, {}]\n```')))
+    return H.commitments_from_json(d, "doc_id", "answer", "text")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that separate words, as a Java regular expression class.
@@ -108,6 +108,20 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     return cur.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
 
 
+def placed(rows: DataFrame, order: list[Column], scratch: Scratch) -> DataFrame:
+    """Rows with their place in an order, from 1.
+
+    Rows are sorted in range partitions and written with their partition and their number in it, so the places do not
+    depend on a second evaluation; of the counts of partitions, one row a task, a running sum is taken.
+    """
+    part = F.spark_partition_id()
+    mine = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parts = scratch.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", part).withColumn("_mine", mine))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return parts.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_mine") + 1).drop("_part", "_mine", "_before")
+
+
 #: A key that has more than this share of all rows is hot; so at most its inverse of keys are.
 HOT_SHARE, SALTS = 1000, 64
 

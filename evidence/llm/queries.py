@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, quotes
+from . import mixing, quality, quotes, resampling, spelling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
@@ -88,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_langid": op9_langid,
     "op10_packing": op10_packing,
+    "op11_resampling": op11_resampling,
+    "op12_mixing": op12_mixing,
+    "op13_spelling": op13_spelling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality": quality.SQL, "op4_quotes": quotes.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality": quality.SQL, "op4_quotes": quotes.SQL, "op11_resampling": resampling.SQL, "op12_mixing": mixing.SQL, "op13_spelling": spelling.SQL}

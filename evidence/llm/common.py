@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -269,11 +270,38 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.n
     if n:
         end[:-1] &= space[1:] | starts_text[1:n]
     at, to = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    up, down = POWERS.to(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(BYTE_KEYS[raw] * up[:n], out=sums[1:])
-    words = mix((sums[to] - sums[at]) * down[at] + (to - at).astype(np.uint64))
-    return words, np.searchsorted(at, offsets)
+    return string_hashes(raw, at, to), np.searchsorted(at, offsets)
+
+
+#: Masks of the first k of eight bytes, and a number that keeps equal bytes of different lengths apart.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+_LENGTH = mix(np.arange(1, 10, dtype=np.uint64) * np.uint64(_B))
+
+
+def string_hashes(raw: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings raw[at:to]: up to eight bytes their bytes, mixed one to one; longer ones by BLAKE2b.
+
+    A polynomial over the bytes would do with less work, but whole families of texts are known that have one value of it.
+    """
+    size = to - at
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    head = np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))[at]
+    short = np.minimum(size, 8)
+    out = mix(mix(head & _FIRST[short]) + _LENGTH[short])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        data = raw.tobytes()
+        words = [data[i:j] for i, j in zip(at[long].tolist(), to[long].tolist(), strict=True)]
+        known = {w: blake2b(w, digest_size=8).digest() for w in set(words)}
+        out[long] = np.frombuffer(b"".join([known[w] for w in words]), dtype=np.uint64)
+    return out
+
+
+def digests(raw: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of the strings raw[at:to], as two columns."""
+    data = memoryview(raw.tobytes())
+    found = b"".join([blake2b(data[i:j], digest_size=16).digest() for i, j in zip(at.tolist(), to.tolist(), strict=True)])
+    return np.frombuffer(found, dtype=np.uint64).reshape(-1, 2)
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -288,11 +316,11 @@ def shingles(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarr
     np.cumsum(number, out=out_bounds[1:])
     starts = np.repeat(bounds[:-1] - out_bounds[:-1], number) + np.arange(out_bounds[-1])
     left = np.repeat(np.minimum(counts, size), number)
-    acc = np.zeros(len(starts), dtype=np.uint64)
+    acc = left.astype(np.uint64)
     for k in range(size):
         has = left > k
-        acc = acc * np.uint64(_B) + np.where(has, words[np.minimum(starts + k, max(n - 1, 0))] if n else 0, np.uint64(0)).astype(np.uint64)
-    return mix(acc + left.astype(np.uint64)), out_bounds
+        acc = mix(acc * np.uint64(_B) ^ np.where(has, words[np.minimum(starts + k, max(n - 1, 0))] if n else 0, np.uint64(0)).astype(np.uint64))
+    return acc, out_bounds
 
 
 def distinct_sorted(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

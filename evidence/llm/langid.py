@@ -3,9 +3,9 @@
 The network reads the bytes of a text, blanks included, in both directions, gives each byte
 position a probability for each language, and a document gets the mean over all its
 positions. A text is read in windows side by side: each labels 224 positions and reads 16
-more bytes of the text on either side first, so that no label rests on a state without
-context. The network is trained in numpy by backpropagation through time, on windows of a
-bounded sample of labelled documents.
+more bytes of the text on either side first; at the ends of the text both directions start
+with an empty state, as they do in training. The network is trained in numpy by
+backpropagation through time, on windows of a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -51,8 +51,11 @@ def _read(e: np.ndarray, u: np.ndarray, x: np.ndarray, keep: bool = False):
     return out, kept
 
 
-def _states(e: np.ndarray, u: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
-    """The hidden states of `_read` into out, without what training needs: all arrays are whole and used again."""
+def _states(e: np.ndarray, u: np.ndarray, x: np.ndarray, out: np.ndarray, inside: np.ndarray | None = None) -> None:
+    """The hidden states of `_read` into out, without what training needs: all arrays are whole and used again.
+
+    Where inside (places, words) is False the state stays zero, so that a text is read from its own end.
+    """
     size, n = u.shape[0], x.shape[1]
     half = np.float32(0.5)
     tables = [np.ascontiguousarray(e[:, k * size : (k + 1) * size]) for k in range(3)]
@@ -79,6 +82,8 @@ def _states(e: np.ndarray, u: np.ndarray, x: np.ndarray, out: np.ndarray) -> Non
         c += np.multiply(a, half, out=h)
         h *= z
         np.add(c, h, out=out[t])
+        if inside is not None:
+            out[t] *= inside[t][:, None]
         h[:] = out[t]
 
 
@@ -161,23 +166,26 @@ class Network:
         text = np.repeat(np.arange(len(size)), number)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
         first = offsets[:-1][text] + nth * LABELLED  # first labelled position
+        whole = (nth > 0) & (first + LABELLED + WARM <= offsets[1:][text])  # windows that end nowhere outside their text
+        order = np.argsort(~whole, kind="stable")
+        text, first, n_whole = text[order], first[order], int(whole.sum())
         out = np.zeros((len(size), len(self.languages)))
-        for at in range(0, len(text), BATCH):
-            some = slice(at, at + BATCH)
+        for at in [*range(0, n_whole, BATCH), *range(n_whole, len(text), BATCH)]:
+            some = slice(at, min(at + BATCH, n_whole if at < n_whole else len(text)))
             place = first[some] + np.arange(-WARM, LABELLED + WARM)[:, None]
             inside = (place >= offsets[:-1][text[some]]) & (place < offsets[1:][text[some]])
-            x = np.where(inside, raw[np.clip(place, 0, max(len(raw) - 1, 0))], np.uint8(32))  # blanks around the text
+            x = np.where(inside, raw[np.clip(place, 0, max(len(raw) - 1, 0))], np.uint8(32))
             counted = inside[WARM:-WARM].astype(np.float32)
-            p = self.probabilities(x)[:, WARM:-WARM]
+            p = self.probabilities(x, None if at < n_whole else inside)[:, WARM:-WARM]
             np.add.at(out, text[some], np.stack([(q * counted).sum(axis=0) for q in p], axis=1))
         return out
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """As label, but languages first, and faster."""
+    def probabilities(self, x: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+        """As label, but languages first, and faster; both directions start anew where inside begins to hold."""
         w, size = self.w, self.w["u1"].shape[0]
         ahead, behind = (np.empty((*x.shape, size), dtype=np.float32) for _ in range(2))
-        _states(w["e1"], w["u1"], x, ahead)
-        _states(w["e2"], w["u2"], x[::-1], behind)
+        _states(w["e1"], w["u1"], x, ahead, inside)
+        _states(w["e2"], w["u2"], x[::-1], behind, None if inside is None else inside[::-1])
         logits = ahead.reshape(-1, size) @ w["o"][:size]
         logits += (behind[::-1].reshape(-1, size)) @ w["o"][size:]
         p = np.ascontiguousarray(logits.T) + w["b"][:, None]
@@ -218,7 +226,7 @@ def fit(docs: DataFrame, per_language: int = 400, windows: int = 10, units: int
     text or doc_id are not learned from.
     """
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("order"))
-    counts = known.groupBy("lang").count().collect()
+    counts = known.groupBy("lang").agg(F.count_distinct("order").alias("count")).collect()
     names = sorted(r["lang"] for r in counts)
     if not names:
         return Network(["und"], units)

@@ -58,21 +58,24 @@ class Lines:
         self.a, self.b = self.begin.copy(), self.begin.copy()
         self.a[full] = solid[seen[self.begin[full]]]
         self.b[full] = solid[seen[self.end[full]] - 1] + 1
-        up, self.down = C.POWERS.to(n + 1)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(C.BYTE_KEYS[raw] * up[:n], out=self.sums[1:])
-        size = (self.b - self.a).astype(np.uint64)
-        value = (self.sums[self.b] - self.sums[self.a]) * self.down[self.a]
-        self.h1, self.h2 = C.mix(value + size), C.mix(value * np.uint64(3) ^ (size + np.uint64(0x5851F42D4C957F2D)))
+
+    def digests(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of a 128-bit digest of each picked line."""
+        found = C.digests(self.raw, self.a[pick], self.b[pick])
+        return found[:, 0].copy(), found[:, 1].copy()
 
     def grams(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of five characters of the picked lines, and the number before each."""
+        n = len(self.raw)
+        up, down = C.POWERS.to(n + 1)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(C.BYTE_KEYS[self.raw] * up[:n], out=sums[1:])
         chars = np.flatnonzero((self.raw & 0xC0) != 0x80)  # first byte of each character
         c0, c1 = np.searchsorted(chars, self.a[pick]), np.searchsorted(chars, self.b[pick])
         ends = np.append(chars, len(self.raw))
         p = ends[: max(len(chars) - CHARS + 1, 0)]
         q = ends[CHARS : CHARS + len(p)]
-        every = C.mix((self.sums[q] - self.sums[p]) * self.down[p] + (q - p).astype(np.uint64))
+        every = C.mix((sums[q] - sums[p]) * down[p] + (q - p).astype(np.uint64))
         number = np.maximum(c1 - c0 - CHARS + 1, 1)
         bounds = np.zeros(len(pick) + 1, dtype=np.int64)
         np.cumsum(number, out=bounds[1:])
@@ -80,7 +83,7 @@ class Lines:
         out = every[np.minimum(at, len(every) - 1)] if len(every) else np.zeros(len(at), np.uint64)
         short = np.flatnonzero(c1 - c0 < CHARS)  # a shorter line is its own only run
         p, q = self.a[pick[short]], self.b[pick[short]]
-        out[bounds[short]] = C.mix((self.sums[q] - self.sums[p]) * self.down[p] + (q - p).astype(np.uint64))
+        out[bounds[short]] = C.mix((sums[q] - sums[p]) * down[p] + (q - p).astype(np.uint64))
         return out, bounds
 
 
@@ -132,11 +135,15 @@ def _scan(signed: bool, bits: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches, most=1 << 18):
             x = Lines(*C.string_bytes(batch.column(2)))
-            pick = np.flatnonzero(x.full if bits is None else x.full & C.passes(bits, x.h1))
+            pick = np.flatnonzero(x.full)
+            h1, h2 = x.digests(pick)
+            if bits is not None:
+                hit = C.passes(bits, h1)
+                pick, h1, h2 = pick[hit], h1[hit], h2[hit]
             if not len(pick):
                 continue
             take = pa.array(x.text[pick])
-            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(x.pos[pick].astype(np.int32)), pa.array(C.as_signed(x.h1[pick])), pa.array(C.as_signed(x.h2[pick]))]
+            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(x.pos[pick].astype(np.int32)), pa.array(C.as_signed(h1)), pa.array(C.as_signed(h2))]
             if signed:
                 columns.append(C.binary_rows(C.pack(bin_minima(*x.grams(pick)), BITS)))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "pos", "h1", "h2", "sig"][: len(columns)])
@@ -154,7 +161,7 @@ def _texts(bits: np.ndarray):
             place = _place(doc, key, x.pos)
             hit = np.flatnonzero(x.full & C.passes(bits, place))
             texts = pa.array([x.raw[a:b].tobytes() for a, b in zip(x.a[hit].tolist(), x.b[hit].tolist(), strict=True)], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(C.as_signed(v[hit])) for v in (place, x.h1, x.h2)] + [texts], names=["place", "h1", "h2", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(C.as_signed(v)) for v in (place[hit], *x.digests(hit))] + [texts], names=["place", "h1", "h2", "items"])
 
     return run
 

@@ -30,7 +30,7 @@ _PROFILE = "n_shingles bigint, h1 bigint, h2 bigint, sig binary"
 
 
 def _profiles(size: int, keep: list[str]):
-    """Map function: shingle count, 128-bit set key and signature of each text."""
+    """Map function: shingle count, 128-bit digest of the sorted set and signature of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
@@ -45,8 +45,7 @@ def _profiles(size: int, keep: list[str]):
             if len(full):
                 starts = np.append(at[:-1][full], at[-1])
                 low[full] = C.minima(sets, starts, HASHES, seed=7)
-                key[full, 0] = np.add.reduceat(C.mix(sets * np.uint64(3)), starts[:-1])
-                key[full, 1] = np.add.reduceat(C.mix(sets ^ np.uint64(0x5851F42D4C957F2D)), starts[:-1])
+                key[full] = C.digests(sets.view(np.uint8), 8 * starts[:-1], 8 * starts[1:])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in keep]
                 + [pa.array(n), pa.array(C.as_signed(key[:, 0].copy())), pa.array(C.as_signed(key[:, 1].copy())), C.binary_rows(C.pack(low, BITS))],

@@ -144,19 +144,46 @@ def test_labels_equal_a_plain_forward_pass():
             out.append(h)
         return out
 
-    texts = ["short one", "", "x" * 300 + " äöü " * 60, "日本語 text " * 40]
+    texts = ["short one", "", "y" * 224, "z" * 448, "xy" * 240, "x" * 300 + " äöü " * 60, "日本語 text " * 40]
     raw, offsets = C.string_bytes(pa.array(texts))
     for text, got in zip(texts, net.sums(raw, offsets), strict=True):
         x, want = text.encode(), np.zeros(3)
         for at in range(0, len(x), langid.LABELLED):
-            window = [x[p] if 0 <= p < len(x) else 32 for p in range(at - langid.WARM, at + langid.LABELLED + langid.WARM)]
+            before = min(langid.WARM, at)
+            window = x[at - before : at + langid.LABELLED + langid.WARM]
             ahead, behind = states(w["e1"], w["u1"], window), states(w["e2"], w["u2"], window[::-1])[::-1]
             for k in range(min(langid.LABELLED, len(x) - at)):
-                s = np.concatenate([ahead[langid.WARM + k], behind[langid.WARM + k]]) @ w["o"] + w["b"]
+                s = np.concatenate([ahead[before + k], behind[before + k]]) @ w["o"] + w["b"]
                 want += np.exp(s) / np.exp(s).sum()
         assert np.allclose(got, want, atol=1e-3) and abs(got.sum() - len(x)) < 1e-2
 
 
+def short_texts(n, seed=6):
+    import random
+
+    r = random.Random(seed)
+    words = {"en": "the cat sat on a mat and dogs ran home with their old friends".split(), "de": "und der hund lief nach hause weil die katze schlief ohne alte freunde".split()}
+    return [(i, " ".join(r.choice(words[lang]) for _ in range(r.randint(3, 11)))[: r.choice((20, 40, 64, 90))], lang) for i in range(n) for lang in [("en", "de")[i % 2]]]
+
+
+def test_short_texts_are_told_apart(spark):
+    rows = short_texts(240)
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {i: x for i, _, x in rows}
+    assert all(r["lang_pred"] == lang[r["doc_id"]] for r in got)
+
+
+def test_repeated_rows_do_not_crowd_out_training(spark):
+    """A language of one text a thousand times and 60 others once; the others are learned, too."""
+    rows = short_texts(160)
+    rows += [(7000, "1234 5678 " * 5, "de")] * 6000
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=100)
+    import pyarrow as pa
+
+    totals = net.sums(*C.string_bytes(pa.array([x for _, x, _ in rows[:160]])))
+    assert np.mean([net.languages[k] == lang for k, (_, _, lang) in zip(totals.argmax(axis=1), rows, strict=False)]) > 0.95
+
+
 def test_language_cases(spark):
     en, de = "the cat sat on the mat and the dog ran home", "und der hund lief nach hause weil die katze schlief"
     rows = [(i, [en, de][i % 2] * 3, ["en", "de"][i % 2], "x") for i in range(60)]

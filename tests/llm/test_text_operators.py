@@ -101,6 +101,32 @@ def test_minhash(rows, docs, none, size, block, monkeypatch):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def thue_morse(n):
+    """Two words that every polynomial hash with an odd base modulo a power of two confuses."""
+    ones = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[k] for k in ones), "".join("ba"[k] for k in ones)
+
+
+def test_texts_built_to_collide_stay_apart(spark):
+    a, b = thue_morse(2048)
+    df = spark.createDataFrame([(1, a), (2, b), (3, a + " "), (4, f"{a}\nsome line"), (5, f"{b}\nother words")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    # as lines both have the same runs of five characters, so they are near copies; but they are not one class
+    x = lines.Lines(np.frombuffer((a + b).encode(), dtype=np.uint8), np.array([0, 2048, 4096]))
+    h1, h2 = x.digests(np.arange(2))
+    assert h1[0] != h1[1] and h2[0] != h2[1]
+    assert {r["doc_id"]: r["n_kept"] for r in lines.line_dedup(df).collect()} == {1: 1, 2: 0, 3: 0, 4: 1, 5: 1}
+
+
+def test_string_hashes():
+    """Lengths around eight bytes, zero bytes, and equal strings in different places."""
+    words = [b"", b"a", b"a\0", b"\0", b"abcdefgh", b"abcdefg", b"abcdefghi", b"abcdefghj", b"a" * 300, b"abcdefgh"]
+    raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+    to = np.cumsum([len(w) for w in words])
+    got = C.string_hashes(raw, to - [len(w) for w in words], to)
+    assert got[4] == got[9] and len(set(got.tolist())) == len(words) - 1
+
+
 def test_minhash_same_id_with_two_texts(spark):
     words = "a b c d e f g h i j k l m n o p q r s t".split()
     df = spark.createDataFrame([(5, " ".join(words)), (5, " ".join(reversed(words))), (2, " ".join(reversed(words))), (9, " ".join(words))], "doc_id long, text string")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 YEAR = r"\b(19[5-9]\d|20[0-4]\d)\b"
 
@@ -29,36 +32,82 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
 
 
-def block_pairs(claims: DataFrame, block: str, item: str, chunk: int = 256) -> DataFrame:
-    """All ordered pairs of different items of one block, as (block, a, b) structs of claim rows.
+def packed_chunks(claims: DataFrame, block: str, item: str, vector: str, year: str, chunk: int) -> DataFrame:
+    """Claims of each block in chunks of about `chunk`, one row a chunk: block, own, chunks and arrays of items, years and one of all numbers.
 
-    Both sides are cut into chunks by a hash of the item, and the pair of chunks is part of the
-    join key: a block of n items becomes (n / chunk) squared joins that run apart.
+    A chunk is found by a hash of the item. Null vectors and nulls in a vector count as 0.0, and a shorter vector is filled up.
     """
-    size = claims.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_chunks"))
-    cut = claims.join(size, block).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_chunks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
-    row = F.struct(*claims.columns)
-    left = cut.select(block, F.col("_own").alias("_i"), every.alias("_j"), row.alias("a"))
-    right = cut.select(block, every.alias("_i"), F.col("_own").alias("_j"), row.alias("b"))
-    return left.join(right, [block, "_i", "_j"]).where(F.col(f"a.{item}") != F.col(f"b.{item}")).select(block, "a", "b")
-
-
-def topk_similar(claims: DataFrame, block: str, item: str, vector: str, year: str, k: int = 5, penalty: float = 0.10) -> DataFrame:
+    size = claims.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("width"))
+    cut = claims.join(size, block).withColumn("own", F.pmod(F.xxhash64(item), F.col("chunks")).cast("int"))
+    at = F.sequence(F.lit(0), F.col("width") - 1)
+    numbers = F.when(F.col("width") > 0, F.transform(at, lambda i: F.coalesce(F.get(F.col(vector), i).cast("double"), F.lit(0.0)))).otherwise(F.array().cast("array<double>"))
+    row = F.struct(F.col(item).alias("item"), F.col(year).cast("int").alias("year"), numbers.alias("v"))
+    packed = cut.groupBy(block, "own", "chunks").agg(F.array_sort(F.collect_list(row)).alias("rows"))  # as many rows as a chunk holds
+    return packed.select(block, "own", "chunks", F.col("rows.item").alias("items"), F.col("rows.year").alias("years"), F.flatten("rows.v").alias("numbers"))
+
+
+def _products(k: int, penalty: float, out_type: pa.DataType):
+    """Map function over (block, same, items, years, numbers of two chunks): the k best others of each item, in both directions."""
+
+    def best(score: np.ndarray, conflict: np.ndarray, mine: pa.Array, others: pa.Array, own: bool) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+        # others come in ascending order, so a stable sort gives ties to the smaller id
+        if own:
+            names = mine.to_numpy(zero_copy_only=False)
+            score[names[:, None] == names[None, :]] = -np.inf
+        order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(order)), order.shape[1])
+        column = order.ravel()
+        found = score[row, column]
+        use = found > -np.inf
+        row, column = row[use], column[use]
+        return mine.take(pa.array(row)), others.take(pa.array(column)), found[use], conflict[row, column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                cell = lambda name, at=at, batch=batch: batch.column(batch.schema.get_field_index(name))[at].values
+                a, b = cell("items"), cell("items_b")
+                x, y = (cell(n).to_numpy(zero_copy_only=False).reshape(len(i), -1) for n, i in (("numbers", a), ("numbers_b", b)))
+                years = [cell(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in ("years", "years_b")]
+                score = np.zeros((len(a), len(b)))
+                for d in range(x.shape[1]):  # the order of the sum is that of the vectors, so equal vectors have equal scores
+                    score += x[:, d, None] * y[None, :, d]
+                known = ~np.isnan(years[0])[:, None] & ~np.isnan(years[1])[None, :]
+                conflict = known & (years[0][:, None] != years[1][None, :])
+                score = np.where(conflict, np.maximum(0.0, score - penalty), score)
+                same = batch.column(batch.schema.get_field_index("same"))[at].as_py()
+                parts = [best(score, conflict, a, b, same)] + ([] if same else [best(score.T, conflict.T, b, a, False)])
+                block = pa.repeat(batch.column(0)[at], sum(len(p[0]) for p in parts))
+                yield pa.RecordBatch.from_arrays(
+                    [block, pa.concat_arrays([p[0] for p in parts]).cast(out_type), pa.concat_arrays([p[1] for p in parts]).cast(out_type), pa.array(np.concatenate([p[2] for p in parts])), pa.array(np.concatenate([p[3] for p in parts]))],
+                    names=["block", "item", "other", "score", "conflict"],
+                )
+
+    return run
+
+
+def topk_similar(claims: DataFrame, block: str, item: str, vector: str, year: str, k: int = 5, penalty: float = 0.10, chunk: int = 256) -> DataFrame:
     """The k most similar other items of each item's block: block, item, other, score, conflict, rank.
 
     score is the inner product of unit vectors; different years (both known) cost the penalty, at
-    least 0 is left, and conflict says so. Ties go to the smaller id.
+    least 0 is left, and conflict says so. Ties go to the smaller id. Rows with one item are never compared;
+    a null block or item is left out.
+
+    A block of n items is n / chunk packed rows, each shipped once to every chunk of its block; a task multiplies two
+    chunks, which serves both directions, and keeps k others of each item. What is merged is k rows an item and pair of chunks.
     """
-    p = block_pairs(claims.select(block, item, F.col(vector).alias("v"), year), block, item)
-    conflict = F.coalesce(F.col(f"a.{year}") != F.col(f"b.{year}"), F.lit(False))
-    raw = dot(F.col("a.v"), F.col("b.v"))
-    scored = p.select(
-        block, F.col(f"a.{item}").alias(item), F.col(f"b.{item}").alias("other"),
-        F.when(conflict, F.greatest(F.lit(0.0), raw - penalty)).otherwise(raw).alias("score"), conflict.alias("conflict"),
-    )
-    w = Window.partitionBy(item).orderBy(F.desc("score"), "other")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    known = claims.where(F.col(block).isNotNull() & F.col(item).isNotNull())
+    packed = packed_chunks(known.select(block, item, vector, year), block, item, vector, year, chunk)
+    columns = ["items", "years", "numbers"]
+    # of two chunks the pair (i, j) with i <= j is formed: i goes to all j from i on, j to all i up to j
+    left = packed.select(block, F.col("own").alias("i"), F.explode(F.sequence("own", F.col("chunks") - 1)).alias("j"), *columns)
+    right = packed.select(block, F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    pairs = left.join(right, [block, "i", "j"]).select(F.col(block).alias("block"), (F.col("i") == F.col("j")).alias("same"), *columns, *[f"{c}_b" for c in columns])
+    kinds = {c: claims.schema[c].dataType for c in (block, item)}
+    schema = f"block {kinds[block].simpleString()}, item {kinds[item].simpleString()}, other {kinds[item].simpleString()}, score double, conflict boolean"
+    found = pairs.mapInArrow(_products(k, penalty, to_arrow_type(kinds[item])), schema).select(F.col("block").alias(block), F.col("item").alias(item), "other", "score", "conflict")
+    w = Window.partitionBy(block, item).orderBy(F.desc("score"), "other")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def pair_dedupe(pairs: DataFrame, a: str, b: str, order: list[Column]) -> DataFrame:
@@ -67,19 +116,43 @@ def pair_dedupe(pairs: DataFrame, a: str, b: str, order: list[Column]) -> DataFr
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def nearest_reference(turns: DataFrame, references: DataFrame, label: str, length: str, seq: str, vector: str, ref: str, n: int = 3, most: float = 20.0, least: float = 1.0) -> DataFrame:
-    """For each label's longest turn (ties: the first), cut to `most`, the n nearest references by cosine.
+def nearest_reference(turns: DataFrame, references: DataFrame, label: str, length: str, seq: str, vector: str, ref: str, n: int = 3, most: float = 20.0, least: float = 1.0, pivots: int = 16, ring: float = 0.125) -> DataFrame:
+    """For each label's longest turn (ties: the first), cut to `most`, the n nearest references by cosine (ties: the smaller).
+
+    Turns shorter than `least` are skipped; a zero vector has cosine 0.
 
-    Turns shorter than `least` are skipped; a zero vector has cosine 0. The reference table is
-    small by contract (one row a known voice) and Spark broadcasts it by its measured size.
+    Some references, at most `pivots`, are centres; each other one is filed under its nearest centre and its distance from
+    it, in rings. By the triangle inequality a label asks only the rings that can hold one of its n nearest: n
+    references lie within the sum of its distance to the nearest centres and those cells' radius, which bounds the search.
     """
     longest = turns.groupBy(label).agg(F.max_by(F.struct(vector, length), F.struct(length, (-F.col(seq)).alias("s"))).alias("t"))
-    longest = longest.where(F.col(f"t.{length}") >= least).select(label, F.col(f"t.{vector}").alias("v"), F.least(F.lit(most), F.col(f"t.{length}")).alias("clip"))
-    joined = longest.crossJoin(references.select(F.col(ref).alias("ref"), F.col(vector).alias("r")))
-    norms = F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("r"), F.col("r")))
-    scored = joined.select(label, "clip", "ref", F.when(norms > 0, dot(F.col("v"), F.col("r")) / norms).otherwise(0.0).alias("cosine"))
+    v = F.col(f"t.{vector}")
+    asked = longest.where(F.col(f"t.{length}") >= least).select(label, v.alias("v"), F.least(F.lit(most), F.col(f"t.{length}")).alias("clip"), unit(v).alias("u"), (dot(v, v) > 0).alias("some"))
+    r = F.col("r")
+    known = references.select(F.col(ref).alias("ref"), F.col(vector).alias("r")).withColumn("ru", unit(r)).withColumn("r_some", dot(r, r) > 0)
+    live = known.where("r_some")
+    apart = lambda a, b: F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * dot(a, b)))
+    # one row: at most `pivots` centres
+    centres = live.orderBy(F.xxhash64("ref"), "ref").limit(pivots).agg(F.collect_list(F.struct(F.col("ref").alias("p"), F.col("ru").alias("c"))).alias("centres"))
+    filed = live.crossJoin(F.broadcast(centres)).withColumn("near", F.array_min(F.transform("centres", lambda x: F.struct(apart(F.col("ru"), x["c"]).alias("d"), x["p"].alias("p")))))
+    filed = filed.select("ref", "r", F.col("near.p").alias("p"), F.col("near.d").alias("d"), F.floor(F.col("near.d") / ring).alias("ring"))
+    cells = filed.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")).agg(F.collect_list(F.struct("p", "n", "radius")).alias("cells"))
+    table = centres.crossJoin(cells).select(F.transform("cells", lambda x: F.struct(x["p"].alias("p"), x["n"].alias("n"), x["radius"].alias("radius"), F.filter("centres", lambda c: c["p"] == x["p"])[0]["c"].alias("c"))).alias("cells"))
+    far = asked.where("some").crossJoin(F.broadcast(table)).withColumn("cells", F.transform("cells", lambda x: F.struct((apart(F.col("u"), x["c"]) + x["radius"]).alias("up"), x["n"].alias("n"), apart(F.col("u"), x["c"]).alias("far"), x["p"].alias("p"), x["radius"].alias("radius"))))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(2.0).alias("up"))
+    bound = F.aggregate(F.array_sort("cells"), start, lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), F.when(a["n"] < n, x["up"]).otherwise(a["up"]).alias("up")), lambda a: F.when(a["n"] < n, F.lit(4.0)).otherwise(a["up"]))
+    slack = 1e-6  # distances are rounded
+    far = far.withColumn("bound", bound + slack).select(label, "v", "clip", "bound", F.explode("cells").alias("x")).where(F.col("x.far") - F.col("x.radius") <= F.col("bound"))
+    rings = F.sequence(F.floor(F.greatest(F.lit(0.0), F.col("x.far") - F.col("bound")) / ring), F.floor(F.least(F.col("x.radius"), F.col("x.far") + F.col("bound")) / ring))
+    wanted = far.select(label, "v", "clip", "bound", F.col("x.p").alias("p"), F.col("x.far").alias("far"), F.explode(rings).alias("ring"))
+    met = wanted.join(filed, ["p", "ring"]).where(F.abs(F.col("far") - F.col("d")) <= F.col("bound"))
+    scored = met.select(label, "clip", "ref", (dot(F.col("v"), F.col("r")) / (F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("r"), F.col("r"))))).alias("cosine"))
+    # cosine 0 by definition: zero references for every label, all references for a label without a direction; n of them are enough
+    first = lambda rows: F.broadcast(rows.orderBy("ref").limit(n).select("ref"))
+    zeros = asked.where("some").crossJoin(first(known.where("not r_some"))).union(asked.where("not some").crossJoin(first(known)))
+    every = scored.unionByName(zeros.select(label, "clip", "ref", F.lit(0.0).alias("cosine")))
     w = Window.partitionBy(label).orderBy(F.desc("cosine"), "ref")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def topn_candidates(pairs: DataFrame, score: str, tie: str, a: str, b: str, n: int) -> DataFrame:

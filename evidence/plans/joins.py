@@ -34,7 +34,7 @@ def excuses(t: Tables) -> DataFrame:
   and (since is null or e.ts::date >= since) and (until is null or e.ts::date <= until)) as label from events e where event_type = 'click'""")
 def interval_at(t: Tables) -> DataFrame:
     probes = t.events.where("event_type = 'click'").select("event_id", "user_id", F.to_date("ts").alias("d"))
-    return T.interval_at(probes, intervals(t), "user_id", "d", "label", "seq", bucket_days=7)
+    return T.interval_at(probes, intervals(t), "user_id", "d", "label", "seq")
 
 
 @query(f"""with {IV_SQL} select e.event_id, e.user_id, e.ts::date as d, (select arg_max(label, struct_pack(a := since, b := seq)) from iv where iv.user_id = e.user_id
@@ -145,7 +145,7 @@ def last_mention_before(t: Tables) -> DataFrame:
 def domain_crosscheck(t: Tables) -> DataFrame:
     e = t.events.where(F.col("event_type").isin("signup", "purchase"))
     p = e.select("event_id", "user_id", F.to_date("ts").alias("d"), F.concat_ws("/", "event_type", (F.col("event_id") % 7).cast("string")).alias("recorded"))
-    found = T.interval_at(p, intervals(t), "user_id", "d", "label", "seq", bucket_days=7)
+    found = T.interval_at(p, intervals(t), "user_id", "d", "label", "seq")
     return found.select("event_id", "user_id", "recorded", "label", F.col("recorded").eqNullSafe(F.col("label")).alias("agrees"))
 
 

@@ -41,7 +41,7 @@ def pair_dedupe(t: Tables) -> DataFrame:
 
 @query(f"""with {TOP_SQL}, e as (select vec_id, max(other) as expected from r where rank <= 3 and vec_id % 2 = 0 group by vec_id
     union all select vec_id, -1 from c where vec_id % 50 = 1)
-  select (select count(*) from e) as queries, (select count(*) from e where exists(select 1 from r where rank <= 5 and r.vec_id = e.vec_id and r.other = e.expected)) as hits, 0::bigint as leaks,
+  select (select count(*) from e) as queries, (select count(*) from e where exists(select 1 from r where rank <= 5 and r.vec_id = e.vec_id and r.other = e.expected)) as hits, (select count(*) from r join c on c.vec_id = r.other where rank <= 5 and c.label <> r.label) as leaks,
     round((select count(*) from e where exists(select 1 from r where rank <= 5 and r.vec_id = e.vec_id and r.other = e.expected)) / (select count(*) from e), 6) as recall""")
 def recall_at_k(t: Tables) -> DataFrame:
     top = _top(t)

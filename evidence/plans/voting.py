@@ -226,7 +226,7 @@ def facts_for_subject(t: Tables) -> DataFrame:
   select event_id, user_id, case when user_id % 17 = 0 then 'MINISTR' when label like 'signup%' then 'KOALICE' when label like 'purchase%' then 'OPOZICE' else 'NEZARAZEN' end as role_at from p""")
 def role_at(t: Tables) -> DataFrame:
     probes = t.events.where("event_type = 'click'").select("event_id", "user_id", F.to_date("ts").alias("d"))
-    p = T.interval_at(probes, intervals(t), "user_id", "d", "label", "seq", bucket_days=7)
+    p = T.interval_at(probes, intervals(t), "user_id", "d", "label", "seq")
     side = F.when(F.col("label").startswith("signup"), "KOALICE").when(F.col("label").startswith("purchase"), "OPOZICE")
     return V.role_at(p, F.col("user_id") % 17 == 0, side).select("event_id", "user_id", "role_at")
 

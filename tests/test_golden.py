@@ -84,9 +84,8 @@ def test_interval_ends_and_ties(spark):
         "person int, seq int, club string, since date, until date",
     )
     probes = spark.createDataFrame([(1, d(x)) for x in ("2018-05-05", "2019-06-01", "2020-01-31", "2020-02-01")] + [(2, d("2020-01-31"))], "person int, d date")
-    for days in (None, 5):
-        out = {(r["person"], str(r["d"])): r["club"] for r in T.interval_at(probes, iv, "person", "d", "club", "seq", bucket_days=days).collect()}
-        assert out == {(1, "2018-05-05"): "open", (1, "2019-06-01"): None, (1, "2020-01-31"): "first", (1, "2020-02-01"): "second", (2, "2020-01-31"): None}
+    out = {(r["person"], str(r["d"])): r["club"] for r in T.interval_at(probes, iv, "person", "d", "club", "seq").collect()}
+    assert out == {(1, "2018-05-05"): "open", (1, "2019-06-01"): None, (1, "2020-01-31"): "first", (1, "2020-02-01"): "second", (2, "2020-01-31"): None}
     latest = {(r["person"], str(r["d"])): r["club"] for r in T.fact_at(probes, iv, "person", "d", "club", "since", "until").collect()}
     assert latest[(1, "2020-01-31")] == "second" and latest[(1, "2018-05-05")] == "open"
 
@@ -227,7 +226,7 @@ def test_equal_probes_stay(spark):
     probes = spark.createDataFrame([("p", "2024-01-05")] * 2 + [(None, "2024-01-05")], "person string, d string").select("person", F.to_date("d").alias("d"))
     iv = spark.createDataFrame([("p", "A", 1, "2024-01-01", None)], "person string, club string, seq int, since string, until string").select("person", "club", "seq", F.to_date("since").alias("since"), F.to_date("until").alias("until"))
     assert [r["club"] for r in T.interval_at(probes, iv, "person", "d", "club", "seq").collect()].count("A") == 2
-    assert T.interval_at(probes, iv, "person", "d", "club", "seq", bucket_days=7).count() == T.fact_at(probes, iv, "person", "d", "club", "since", "until").count() == 3
+    assert T.interval_at(probes, iv, "person", "d", "club", "seq").count() == T.fact_at(probes, iv, "person", "d", "club", "since", "until").count() == 3
     people = spark.createDataFrame([("Ann", 1950, 7)], "name string, born int, id int")
     asked = spark.createDataFrame([("ann", 50), ("ann", 50)], "name string, year int")
     from evidence.operators import indexes

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filters, gating, joins, pairing, publishing, scalars, stats, voting  # noqa: F401  each registers its queries
+from . import filters, gating, joins, landing, pairing, publishing, scalars, stats, voting  # noqa: F401  each registers its queries
 from .registry import QUERIES, SQL
 
 

@@ -14,13 +14,13 @@ def lines_of(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFra
     is scanned as Latin-1, whose characters then become those of the encoding.
     """
     plain = encoding.lower().replace("_", "-") in ("utf-8", "utf8")
-    rows = spark.read.options(encoding="utf-8" if plain else "iso-8859-1", sep="\u0001", quote="", lineSep="\n").schema("line string").csv(path)
-    line = F.col("line")
+    raw = spark.read.option("lineSep", "\n").text(path)
+    line = F.col("value") if plain else F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     if not plain:
         high = [(chr(b), bytes([b]).decode(encoding, "replace")) for b in range(128, 256)]
         line = F.translate(line, "".join(a for a, _ in high), "".join(b for _, b in high))
     seq = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    out = rows.select(F.col("_metadata.file_path").alias("path"), seq.alias("seq"), F.rtrim(line, F.lit("\r")).alias("line"))
+    out = raw.select(F.col("_metadata.file_path").alias("path"), seq.alias("seq"), F.rtrim(line, F.lit("\r")).alias("line"))
     return out.where(F.trim("line") != "")
 
 
@@ -120,25 +120,6 @@ def nested_dataset(rows: DataFrame, group: str, order: str, columns: list[str],
     return rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in kept if c != order]))).alias("messages")).withColumn("n_messages", F.size("messages"))
 
 
-def write_dataset(nested: DataFrame, path: str, public: str | None = None, internal: bool = False) -> None:
-    """Write JSON without null fields; an internal artefact never goes under the public path."""
-    guard_path(path, public, internal)
-    nested.write.json(path)
-
-
-def guard_path(path: str, public: str | None, internal: bool) -> None:
-    """Raise where an internal artefact would stand under the public path."""
-    import posixpath
-
-    if internal and public and (posixpath.normpath(path) + "/").startswith(posixpath.normpath(public) + "/"):
-        raise PermissionError(f"{path} is under the public {public}")
-
-
-def write_requests(requests: DataFrame, path: str) -> None:
-    """Pending model requests, one JSON object a line."""
-    requests.select("cache_key", "role", "model", "system", "user").write.json(path)
-
-
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Answers by cache key: broken lines go, the last line of a key wins, fences are stripped."""
     from ..functions.text import strip_fences

@@ -4,30 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.incremental import upsert_latest
+from .table import VersionedTable
 
 
-def incremental_upsert(spark: SparkSession, landed: str, schema: T.StructType, target: str, key: list[str], batch: str, checkpoint: str):
-    """A query that merges each micro-batch into the table at `target`; start and await it as any other.
+def incremental_upsert(spark: SparkSession, landed: str, schema: T.StructType, target: str, key: list[str], order: str, checkpoint: str, files: int = 1000, buckets: int = 64) -> StreamingQuery:
+    """A query that merges each micro-batch of landed files into the `VersionedTable` at `target`, until all are read.
 
-    Each batch writes a new version next to the table and then a pointer to it, so that a batch
-    that is run again after a failure gives the same table. The stream's checkpoint remembers
-    which files are done.
+    The stream's checkpoint remembers which files are done; a batch that is run again after a failure
+    is known by its number and changes nothing.
     """
-    stream = spark.readStream.schema(schema).parquet(landed)
 
     def merge(rows: DataFrame, number: int) -> None:
-        old = current(rows.sparkSession, target, schema, number - 1)
-        upsert_latest(old, rows, key, batch).write.mode("overwrite").parquet(f"{target}/v{number}")
+        VersionedTable(rows.sparkSession, target, schema, key, order, buckets).merge(rows, number)
 
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(landed)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str, schema: T.StructType, number: int | None = None) -> DataFrame:
-    """The table as of a batch, or the latest one; empty before the first."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    known = [int(x.getPath().getName()[1:]) for x in fs.listStatus(root) if x.getPath().getName().startswith("v")] if fs.exists(root) else []
-    known = [n for n in known if (number is None or n <= number) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v{n}/_SUCCESS"))]
-    return spark.read.schema(schema).parquet(f"{target}/v{max(known)}") if known else spark.createDataFrame([], schema)
+def current(spark: SparkSession, target: str, schema: T.StructType, key: list[str], order: str) -> DataFrame:
+    """The table as of its latest version; empty before the first."""
+    return VersionedTable(spark, target, schema, key, order).read()

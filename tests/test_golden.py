@@ -15,7 +15,7 @@ from evidence.operators import pairs as P
 from evidence.operators import sequential as Q
 from evidence.operators import temporal as T
 from evidence.operators import votes as V
-from evidence.sources import files
+from evidence.sources import files, sinks
 
 
 def one(spark, column):
@@ -256,8 +256,8 @@ def test_dumps(spark, tmp_path):
     out = [(r["id"], r["name"], str(r["d"])) for r in files.read_unl(spark, str(tmp_path / "x.unl"), schema).orderBy("seq").collect()]
     assert out == [(1, "Šťastný", "2026-01-05"), (2, None, "2026-01-06")]
     with pytest.raises(PermissionError):
-        files.guard_path("/site/public/../public/leads.json", "/site/public", True)
-    files.guard_path("/site/private/leads.json", "/site/public", True)
+        sinks.guard_path("/site/public/../public/leads.json", "/site/public", True)
+    sinks.guard_path("/site/private/leads.json", "/site/public", True)
 
 
 def test_partition_replacement_is_idempotent(spark, tmp_path):
@@ -269,21 +269,6 @@ def test_partition_replacement_is_idempotent(spark, tmp_path):
     assert sorted((r["id"], r["term"]) for r in spark.read.parquet(path).collect()) == [(3, 2), (9, 1)]
 
 
-def test_streaming_upsert(spark, tmp_path):
-    from pyspark.sql import types as t
-
-    from evidence.streaming.upsert import current, incremental_upsert
-
-    schema = t.StructType([t.StructField("id", t.IntegerType()), t.StructField("v", t.StringType()), t.StructField("batch", t.IntegerType())])
-    landed, target, point = (str(tmp_path / x) for x in ("in", "out", "cp"))
-    for rows in ([(1, "a", 1), (2, "b", 1)], [(2, "c", 2)]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(landed)
-        q = incremental_upsert(spark, landed, schema, target, ["id"], "batch", point)
-        q.awaitTermination()
-        assert q.exception() is None
-    assert sorted((r["id"], r["v"]) for r in current(spark, target, schema).collect()) == [(1, "a"), (2, "c")]
-
-
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "a", "yes"), (2, "b", None)], "id int, v string, approved string")
     new = spark.createDataFrame([(1, "x", None), (3, "n", None)], "id int, v string, approved string")

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import flat_space
 from . import temporal as T
-from .gates import check_report
+from .gates import Check, check_report
 from .votes import reconcile
 
-Check = tuple[DataFrame, Column, bool]
-
 
 def _bad(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(True))
@@ -25,8 +23,9 @@ def page_checks(speeches: DataFrame, page: DataFrame) -> dict[str, Check]:
     their common beginning of at most 200 characters is, without a mark of continuation.
     """
     shown = page.select("url", "anchor", F.col("label").alias("_label"), F.col("person").alias("_person"), F.col("text").alias("_text")).dropDuplicates(["url", "anchor"])
-    found = speeches.where("anchor_verified").join(shown, ["url", "anchor"], "left")
-    same = found.where(F.col("_label") == F.col("title"))
+    found = speeches.join(shown, ["url", "anchor"], "left")
+    verified = F.coalesce("anchor_verified", F.lit(False))
+    same = verified & F.coalesce(F.col("_label") == F.col("title"), F.lit(False))
     plain = lambda c: F.regexp_replace(flat_space(F.col(c)), r"[\s*]+$", "")
     ours, theirs = plain("text"), plain("_text")
     n = F.least(F.length(ours), F.length(theirs), F.lit(200))
@@ -34,11 +33,11 @@ def page_checks(speeches: DataFrame, page: DataFrame) -> dict[str, Check]:
     span = speeches.groupBy("day").agg(F.count(F.lit(1)).alias("_spoken"), F.min("turn").alias("_first"), F.max("turn").alias("_last"))
     counted = page.join(span, "day").where(F.col("turn").between(F.col("_first"), F.col("_last"))).groupBy("day").agg(F.count(F.lit(1)).alias("_shown"))
     return {
-        "anchor on a page": (speeches, ~F.coalesce("anchor_verified", F.lit(False)), True),
-        "anchor of the same speaker": (found, _bad(F.col("_label") != F.col("title")), True),
-        "person of the anchor": (same.where("_person <> ''"), _bad(F.col("person") != F.col("_person")), True),
-        "text of the page": (same, ~F.coalesce(alike, F.lit(False)), True),
-        "coverage of the day": (span.join(counted, "day", "left"), F.coalesce("_shown", F.lit(0)) != F.col("_spoken"), True),
+        "anchor on a page": Check(found, ~verified),
+        "anchor of the same speaker": Check(found, _bad(F.col("_label") != F.col("title")), when=verified),
+        "person of the anchor": Check(found, _bad(F.col("person") != F.col("_person")), when=same & (F.col("_person") != "")),
+        "text of the page": Check(found, ~F.coalesce(alike, F.lit(False)), when=same),
+        "coverage of the day": Check(span.join(counted, "day", "left"), F.coalesce("_shown", F.lit(0)) != F.col("_spoken")),
     }
 
 
@@ -58,9 +57,9 @@ def time_checks(speeches: DataFrame, mentions: DataFrame, ballots: DataFrame) ->
     late = ~F.col("date").between(F.col("_date"), F.date_add("_date", 1))
     placed = T.within_window(named.where("_start is not null and second is not null"), "second", "_start", "_following")
     return {
-        "times in order": (times, F.col("verdict").isin("missing", "problem"), True),
-        "ballot of this sitting": (named.select("ballot", "day", "session", "_session", "date", "_date").distinct(), _bad(F.col("session") != F.col("_session")) | F.coalesce(late, F.lit(False)), True),
-        "ballot within the speech": (placed, ~F.col("in_window"), False),
+        "times in order": Check(times, F.col("verdict").isin("missing", "problem")),
+        "ballot of this sitting": Check(named.select("ballot", "day", "session", "_session", "date", "_date").distinct(), _bad(F.col("session") != F.col("_session")) | F.coalesce(late, F.lit(False))),
+        "ballot within the speech": Check(placed, ~F.col("in_window"), False),
     }
 
 
@@ -80,19 +79,20 @@ def vote_checks(votes: DataFrame, ballots: DataFrame, declared: DataFrame, clubs
     spoken = mentions.where("person <> '' and vote_of_speaker is not null").select("day", "pos", "person", F.col("ballot").cast("string").alias("ballot"), "vote_of_speaker")
     told = T.fact_for_object(spoken, cast, ["person", "ballot"], "_fact", "fact_id")
     known = facts.where("predicate = 'CLUB_MEMBERSHIP'").select(F.col("subject").alias("person"), F.col("literal").alias("_fact"), "valid_from", "valid_to")
-    joined = T.fact_at(dated.where("date is not null").withColumn("person", F.col("person").cast("string")), known, "person", "date", "_fact")
+    # one table for the club by the register and by the facts
+    member = T.fact_at(member.withColumn("_person", F.col("person").cast("string")), known.withColumnRenamed("person", "_person"), "_person", "date", "_fact")
     return {
-        "club of the register": (member, ~F.col("club").eqNullSafe(F.col("_said")), True),
-        "tally as declared": (tallies, F.col("_bad").isNotNull(), True),
-        "fact of the vote": (told, ~F.col("_fact").eqNullSafe(F.col("vote_of_speaker")), True),
-        "fact of the club": (joined, ~F.col("_fact").eqNullSafe(F.col("club")), True),
+        "club of the register": Check(member, ~F.col("club").eqNullSafe(F.col("_said"))),
+        "tally as declared": Check(tallies, F.col("_bad").isNotNull()),
+        "fact of the vote": Check(told, ~F.col("_fact").eqNullSafe(F.col("vote_of_speaker"))),
+        "fact of the club": Check(member, ~F.col("_fact").eqNullSafe(F.col("_said")), when=F.col("date").isNotNull()),
     }
 
 
 def text_check(messages: DataFrame) -> dict[str, Check]:
     """The first 60 characters of a message's first clean line stand in its raw text. messages: clean, raw; an empty clean text fails."""
     head = F.substring(F.split("clean", "\n", 2)[0], 1, 60)
-    return {"clean text of the speech": (messages, ~F.coalesce((head != "") & F.col("raw").contains(head), F.lit(False)), True)}
+    return {"clean text of the speech": Check(messages, ~F.coalesce((head != "") & F.col("raw").contains(head), F.lit(False)))}
 
 
 def source_crosscheck(speeches: DataFrame, page: DataFrame, mentions: DataFrame, ballots: DataFrame, votes: DataFrame, declared: DataFrame, clubs: DataFrame, facts: DataFrame, messages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ A gate gives the first reason that fails, in a fixed order, or null.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,13 +181,28 @@ def coverage(rows: DataFrame, category: str, expected: list[str], least: int) ->
     return F.broadcast(wanted).join(counts, category, "left").select(category, F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) < least).alias("problem"))
 
 
-def check_report(checks: dict[str, tuple[DataFrame, Column, bool]]) -> DataFrame:
+class Check(NamedTuple):
+    """Rows of a table, a column that is true where a row fails, whether that blocks, and which rows are tested (all)."""
+
+    rows: DataFrame
+    bad: Column
+    blocks: bool = True
+    when: Column | None = None
+
+
+def check_report(checks: dict[str, Check]) -> DataFrame:
     """One row for each check: name, total, problems, ok, blocking.
 
-    A check is a table, a column that is true where a row fails, and whether it blocks.
+    Checks of one DataFrame are counted together in one aggregate, so a table is read once for all of them.
     """
-    rows = [
-        df.agg(F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("problems")).select(F.lit(name).alias("name"), "total", "problems", (F.col("problems") == 0).alias("ok"), F.lit(blocks).alias("blocking"))
-        for name, (df, bad, blocks) in checks.items()
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    tables: dict[int, tuple[DataFrame, list]] = {}
+    for name, check in checks.items():
+        check = Check(*check)
+        tables.setdefault(id(check.rows), (check.rows, []))[1].append((name, check))
+    reports = []
+    for df, tests in tables.values():
+        every = [F.lit(True) if c.when is None else F.coalesce(c.when, F.lit(False)) for _, c in tests]
+        sums = [x for k, (_, c) in enumerate(tests) for x in (F.count_if(every[k]).alias(f"_total{k}"), F.count_if(every[k] & c.bad).alias(f"_bad{k}"))]
+        lines = [F.struct(F.lit(name).alias("name"), F.col(f"_total{k}").alias("total"), F.col(f"_bad{k}").alias("problems"), (F.col(f"_bad{k}") == 0).alias("ok"), F.lit(c.blocks).alias("blocking")) for k, (name, c) in enumerate(tests)]
+        reports.append(df.agg(*sums).select(F.inline(F.array(*lines))))
+    return reduce(DataFrame.unionByName, reports)

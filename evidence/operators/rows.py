@@ -82,18 +82,35 @@ def chapters(pages: DataFrame, key: str, html: str, expected: Sequence[str] | No
     return rows.select(key, "pos", name(F.col("part")).alias("chapter"), title(F.col("part")).alias("title"), text.alias("text"))
 
 
-def locate_in_segments(segments: DataFrame, quotes: DataFrame, group: str, seq: str, text: str, quote: str) -> DataFrame:
-    """The segment of its group in which each quote begins; quotes may run over segment borders.
+def locate_in_segments(segments: DataFrame, quotes: DataFrame, group: str, seq: str, text: str, quote: str, size: int = 16) -> DataFrame:
+    """The segment of its group in which each quote first begins; quotes may run over segment borders.
 
-    Segments are joined by one blank; a quote that begins on the blank belongs to the next one.
+    Segments (seq tells those of a group apart) are joined by one blank; null segments are left out, and a null or empty
+    quote is not found.
+
+    A quote is cut into pieces of `size` characters, the last one ending with it; a segment offers all its runs of
+    that length, with those that run into the next segments. Pieces and runs meet by an equality join, and a place
+    where all pieces of a quote meet holds it. No text is longer than a segment and a piece.
     """
-    before = Window.partitionBy(group).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    starts = segments.select(group, seq, F.coalesce(F.sum(F.length(text) + 1).over(before), F.lit(0)).alias("_from"))
-    whole = segments.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, text))), lambda x: x[text]), " ").alias("_whole"))
-    asked = quotes.select(group, quote).distinct()
-    found = asked.join(whole, group).withColumn("_at", F.instr("_whole", F.col(quote)) - 1).where("_at >= 0").drop("_whole")
-    first = found.join(starts, group).where(F.col("_from") <= F.col("_at")).groupBy(group, quote).agg(F.max(seq).alias(seq))
-    return quotes.join(first, [group, quote])
+    order = Window.partitionBy(group).orderBy("_seq")
+    known = segments.where(F.col(text).isNotNull() & F.col(group).isNotNull()).select(group, F.col(seq).alias("_seq"), F.col(text).alias("_text"))
+    after = F.collect_list(F.substring("_text", 1, size)).over(order.rowsBetween(1, size))  # a blank each, so `size` segments are enough
+    placed = known.select(
+        group, "_seq", F.coalesce(F.sum(F.length("_text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"),
+        F.length("_text").alias("_n"), F.concat("_text", F.when(F.size(after) > 0, F.concat(F.lit(" "), F.array_join(after, " "))).otherwise("")).alias("_ext"),
+    )
+    asked = quotes.select(group, F.col(quote).alias("_quote")).where(F.length("_quote") > 0).distinct().withColumn("_size", F.least(F.length("_quote"), F.lit(size)))
+    last = F.length("_quote") - F.col("_size")
+    pieces = asked.withColumn("_starts", F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.col("_size")), F.array(last))))
+    pieces = pieces.select(group, "_quote", "_size", F.size("_starts").alias("_pieces"), F.explode("_starts").alias("_start"))
+    pieces = pieces.withColumn("_run", F.substr("_quote", F.col("_start") + 1, F.col("_size")))
+    sizes = asked.groupBy(group).agg(F.collect_set("_size").alias("_sizes"))  # at most `size` numbers
+    runs = placed.join(sizes, group).select(group, "_seq", "_from", "_ext", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("_at"), "_sizes")
+    runs = runs.select(group, "_seq", (F.col("_from") + F.col("_at")).alias("_place"), F.explode(F.transform("_sizes", lambda n: F.substr("_ext", F.col("_at") + 1, n))).alias("_run"))
+    met = runs.join(pieces, [group, "_run"]).groupBy(group, "_quote", (F.col("_place") - F.col("_start")).alias("_begin"), "_pieces")
+    found = met.agg(F.count_distinct("_start").alias("_met"), F.max(F.when(F.col("_start") == 0, F.col("_seq"))).alias(seq)).where("_met = _pieces")
+    first = found.groupBy(group, "_quote").agg(F.min_by(seq, "_begin").alias(seq))
+    return quotes.join(first.withColumnRenamed("_quote", quote), [group, quote])
 
 
 def article_date(pages: DataFrame, html: str, as_of: Column) -> DataFrame:

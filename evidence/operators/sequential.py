@@ -6,6 +6,8 @@ runs in one task as an Arrow function.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,32 +107,79 @@ def greedy_anchor_match(left: DataFrame, right: DataFrame, key: list[str], pos:
     return found.select("_row.*", F.col("_anchor").alias(anchor))
 
 
+class Automaton:
+    """The runs of a list of words: a suffix automaton, built and searched in linear time."""
+
+    def __init__(self, words: list[str]):
+        self.size, self.link, self.next = [0], [-1], [{}]
+        last = 0
+        for w in words:
+            new = self._state(self.size[last] + 1, {})
+            at = last
+            while at >= 0 and w not in self.next[at]:
+                self.next[at][w] = new
+                at = self.link[at]
+            if at >= 0:
+                self.link[new] = self._ending(at, w)
+            last = new
+
+    def _state(self, size: int, following: dict[str, int]) -> int:
+        self.size.append(size)
+        self.link.append(0)
+        self.next.append(following)
+        return len(self.size) - 1
+
+    def _ending(self, at: int, w: str) -> int:
+        """The state of exactly the runs of state `at` and w; split off where that state holds longer ones, too."""
+        then = self.next[at][w]
+        if self.size[then] == self.size[at] + 1:
+            return then
+        own = self._state(self.size[at] + 1, dict(self.next[then]))
+        self.link[own] = self.link[then]
+        self.link[then] = own
+        while at >= 0 and self.next[at].get(w) == then:
+            self.next[at][w] = own
+            at = self.link[at]
+        return own
+
+    def longest(self, words: Iterable[str]) -> tuple[int, int]:
+        """Start and length of the longest run of words that the list holds (ties: the earliest)."""
+        best, at, n = (0, 0), 0, 0
+        for i, w in enumerate(words):
+            while at and w not in self.next[at]:
+                at = self.link[at]
+                n = self.size[at]
+            if w in self.next[at]:
+                at = self.next[at][w]
+                n += 1
+            if n > best[1]:
+                best = (i - n + 1, n)
+        return best
+
+
 def longest_run(heard: list[str], said: list[str]) -> tuple[int, int]:
     """Start in heard and length of the longest run of words that both hold (ties: the earliest)."""
-    best = (0, 0)
-    before = [0] * (len(said) + 1)
-    for i, w in enumerate(heard):
-        now = [0] * (len(said) + 1)
-        for j, q in enumerate(said):
-            if w == q:
-                now[j + 1] = before[j] + 1
-                if now[j + 1] > best[1]:
-                    best = (i - now[j + 1] + 1, now[j + 1])
-        before = now
-    return best
-
-
-def longest_common_block(words: DataFrame, key: str, pos: str, word: str, start: str, end: str, quote: str) -> DataFrame:
-    """By group: first and last second and the number of words of the longest run that the quote shares.
-
-    words has a row for each heard word, and the quote repeated in each row of a group.
+    return Automaton(said).longest(heard)
+
+
+def longest_common_block(words: DataFrame, quotes: DataFrame, key: str, pos: str, word: str, start: str, end: str, quote: str) -> DataFrame:
+    """By group with a quote: first and last second and the number of words of the longest run that the quote shares.
+
+    words has a row for each heard word, quotes one for each group (of several the least); a group without heard words has
+    no row. Letters in lower case and marks at the ends of words do not count.
     """
+    one = quotes.groupBy(key).agg(F.min(quote).alias("_quote"))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(pos)
-        at, n = longest_run([str(x).lower().strip(".,!?;:\"'") for x in f[word]], [x.lower().strip(".,!?;:\"'") for x in str(f[quote].iloc[0]).split()])
-        span = f.iloc[at : at + n]
-        return pd.DataFrame({key: [f[key].iloc[0]], "begin": [span[start].iloc[0] if n else None], "finish": [span[end].iloc[-1] if n else None], "n_words": [n]})
+    def plain(x: str) -> str:
+        return x.lower().strip(".,!?;:\"'")
+
+    def run(group: tuple, heard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if heard.empty or asked.empty:
+            return pd.DataFrame({key: [], "begin": [], "finish": [], "n_words": []})
+        heard = heard.sort_values(pos)
+        at, n = longest_run([plain(str(x)) for x in heard[word]], [plain(x) for x in (asked["_quote"].iloc[0] or "").split()])
+        span = heard.iloc[at : at + n]
+        return pd.DataFrame({key: [group[0]], "begin": [span[start].iloc[0] if n else None], "finish": [span[end].iloc[-1] if n else None], "n_words": [n]})
 
     kind = words.schema[key].dataType.simpleString()
-    return words.groupBy(key).applyInPandas(run, f"{key} {kind}, begin double, finish double, n_words int")
+    return words.select(key, pos, word, start, end).groupBy(key).cogroup(one.groupBy(key)).applyInPandas(run, f"{key} {kind}, begin double, finish double, n_words int")

@@ -243,12 +243,21 @@ def greedy_anchor_match(t: Tables) -> DataFrame:
     return Q.greedy_anchor_match(e, right, ["user_id", "d"], "pos", "label", "anchor")
 
 
-@query()
+PLAIN_SQL = """lambda x: trim(lower(x), '.,!?;:"' || chr(39))"""
+
+
+@query(rf"""with w as (select conv_id * 1000 + turn as id, regexp_split_to_array(text, '[ \n\t]+') as raw from conversations where text is not null),
+  qs as (select id, list_transform(raw, {PLAIN_SQL}) as ws, list_transform(list_filter(raw[len(raw) // 3 + 1:len(raw) // 3 + 6], lambda x: x <> ''), {PLAIN_SQL}) as q from w),
+  runs as (select id, a, n, ws[a:a + n - 1] = q[b:b + n - 1] as same from (select id, ws, q, unnest(range(1, len(ws) + 1)) as a from qs) cross join (select unnest(range(1, 7)) as b) cross join (select unnest(range(1, 7)) as n)
+    where b + n - 1 <= len(q) and a + n - 1 <= len(ws)),
+  best as (select id, max(n) as n, arg_min(a, (-n, a)) as a from runs where same group by id)
+  select qs.id as conv_id, case when n is not null then (a - 1) * 0.5 end::double as begin, case when n is not null then (a + n - 2) * 0.5 + 0.4 end::double as finish, coalesce(n, 0)::integer as n_words from qs left join best using (id)""")
 def longest_common_block(t: Tables) -> DataFrame:
-    # the words of each message against a quote from the middle of it
-    parts = F.split("text", " ")
-    c = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_id"), F.array_join(F.slice(parts, F.size(parts) / 3 + 1, F.lit(6)), " ").alias("quote"), F.posexplode(parts).alias("pos", "word"))
-    return Q.longest_common_block(c.withColumn("a", F.col("pos") * 0.5).withColumn("b", F.col("pos") * 0.5 + 0.4), "conv_id", "pos", "word", "a", "b", "quote")
+    """The words of each message against a quote from the middle of it."""
+    c = t.conversations.where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_id"), F.split("text", r"[ \n\t]+").alias("parts"))
+    words = c.select("conv_id", F.posexplode("parts").alias("pos", "word")).withColumn("a", F.col("pos") * 0.5).withColumn("b", F.col("pos") * 0.5 + 0.4)
+    quotes = c.select("conv_id", F.array_join(F.slice("parts", F.floor(F.size("parts") / 3).cast("int") + 1, F.lit(6)), " ").alias("quote"))
+    return Q.longest_common_block(words, quotes, "conv_id", "pos", "word", "a", "b", "quote")
 
 
 @query()

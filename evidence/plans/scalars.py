@@ -142,14 +142,21 @@ def attributed_quote_check(t: Tables) -> DataFrame:
     return t.documents.where(F.length("text") > 100).select("doc_id", X.attributed_reason(F.col("text"), quote, name).alias("reason"))
 
 
-@query(r"""with s as (select conv_id, turn, text, coalesce(sum(len(text) + 1) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as a from conversations),
-  w as (select conv_id, string_agg(text, ' ' order by turn) as whole from conversations group by conv_id), q as (select conv_id, strpos(whole, substr(text, 10, 12)) - 1 as p from w join conversations using (conv_id) where turn = 1 and len(text) > 30)
-  select conv_id, max(turn) as segment from q join s using (conv_id) where s.a <= q.p and q.p >= 0 group by conv_id""")
+@query(r"""with s as (select conv_id, turn, text, coalesce(sum(len(text) + 1) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as a from conversations where text is not null),
+  w as (select conv_id, string_agg(text, ' ' order by turn) as whole from s group by conv_id),
+  asked as (select w.conv_id, substr(whole, (greatest(1, len(text) - 9) + a)::bigint, 5 + (turn * 7 + w.conv_id) % 40) as quote from w join s using (conv_id) union select conv_id, substr(text, 3, 8) from s union select conv_id, 'nowhere in it' from w),
+  q as (select conv_id, quote, strpos(whole, quote) - 1 as p from w join asked using (conv_id) where quote <> '')
+  select conv_id, quote, max(turn) as segment from q join s using (conv_id) where s.a <= q.p and q.p >= 0 group by conv_id, quote""")
 def locate_in_segments(t: Tables) -> DataFrame:
+    """Quotes that run over the border of each message with the next, short ones inside, and one that nobody said."""
     from ..operators.rows import locate_in_segments as locate
 
-    quotes = t.conversations.where((F.col("turn") == 1) & (F.length("text") > 30)).select("conv_id", F.substring("text", 10, 12).alias("quote"))
-    return locate(t.conversations, quotes, "conv_id", "turn", "text", "quote").select("conv_id", F.col("turn").alias("segment"))
+    c = t.conversations.where("text is not null").select("conv_id", "turn", "text")
+    following = F.collect_list(F.substring("text", 1, 50)).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, 50))
+    rest = F.concat(F.substr("text", F.greatest(F.lit(1), F.length("text") - 9)), F.when(F.size(following) > 0, F.concat(F.lit(" "), F.array_join(following, " "))).otherwise(""))
+    over = c.withColumn("rest", rest).select("conv_id", F.substr("rest", F.lit(1), (5 + (F.col("turn") * 7 + F.col("conv_id")) % 40).cast("int")).alias("quote"))
+    quotes = over.union(c.select("conv_id", F.substring("text", 3, 8))).union(c.select("conv_id", F.lit("nowhere in it"))).where("quote <> ''").distinct()
+    return locate(c, quotes, "conv_id", "turn", "text", "quote").select("conv_id", "quote", F.col("turn").alias("segment"))
 
 
 @query(r"""select p_partkey, trim(regexp_replace(strip_accents(lower(p_name || ' ' || p_brand || ' Žluťoučký-kůň!')), '[^a-z0-9]+', '-', 'g'), '-') as slug from part""")

@@ -69,3 +69,36 @@ def test_one_long_history_is_spread(spark):
     found = got.agg(F.count_if(F.col("x") == F.col("t") - F.col("t") % 1000).alias("right"), F.count_distinct("task").alias("tasks")).first()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert found["right"] == 400_000 and found["tasks"] >= 3
+
+
+def test_quotes_over_borders(spark):
+    from evidence.operators.rows import locate_in_segments
+
+    r = random.Random(12)
+    said = {g: ["".join(r.choice("ab ") for _ in range(r.choice((0, 1, 3, 30)))) for _ in range(60)] for g in ("g", "h")}
+    segments = [(g, i, x) for g, xs in said.items() for i, x in enumerate(xs)] + [("g", 100, None), ("h", 101, None), (None, 0, "ab")]
+    quotes = [(g, " ".join(said[g])[a : a + n]) for g in said for a, n in ((r.randint(0, 500), r.choice((1, 2, 5, 15, 16, 17, 40, 90))) for _ in range(80))]
+    quotes += [("g", "zz"), ("g", None), ("g", ""), ("none", "a")]
+    got = locate_in_segments(spark.createDataFrame(segments, "g string, i int, t string"), spark.createDataFrame(quotes, "g string, q string"), "g", "i", "t", "q")
+    want = set()
+    for g, q in quotes:
+        whole = " ".join(said.get(g, []))
+        if q and q in whole:
+            ends, at = [], 0
+            for x in said[g]:
+                ends.append(at)
+                at += len(x) + 1
+            want.add((g, q, max(i for i, a in enumerate(ends) if a <= whole.index(q))))
+    assert {(x["g"], x["q"], x["i"]) for x in got.collect()} == want and len(want) > 60
+
+
+def test_automaton_finds_the_longest_run():
+    from evidence.operators.sequential import Automaton
+
+    r = random.Random(7)
+    for _ in range(400):
+        a, b = ([r.choice("ab" if r.random() < 0.7 else "abcd") for _ in range(r.randint(0, 30))] for _ in range(2))
+        runs = {tuple(b[i:j]) for i in range(len(b)) for j in range(i + 1, len(b) + 1)}
+        best = min(((-n, i) for i in range(len(a)) for n in range(1, len(a) - i + 1) if tuple(a[i : i + n]) in runs), default=(0, 0))
+        found = Automaton(b)
+        assert found.longest(a) == (best[1], -best[0]) and len(found.size) <= max(2 * len(b), 2)

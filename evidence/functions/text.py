@@ -285,3 +285,25 @@ def narrative(*parts: tuple[Column, Column], rest: str) -> Column:
     """The texts whose condition holds, joined by a bar; rest if none does."""
     joined = F.concat_ws(" | ", *[F.when(cond, text) for cond, text in parts])
     return F.when(joined == "", rest).otherwise(joined)
+
+
+def role_of(title: Column, speaker: Column) -> Column:
+    """What stands before the speaker's name in a title; the whole title where the name does not follow anything."""
+    at = F.instr(title, speaker)
+    return F.btrim(F.when((at > 1) & (speaker != ""), F.substr(title, F.lit(1), at - 1)).otherwise(title))
+
+
+def is_chair(role: Column, roles: Sequence[str] = R.CHAIR_ROLES) -> Column:
+    """Whether a role begins with that of a chair; false for a null role."""
+    return F.coalesce(F.greatest(*[role.startswith(r) for r in roles]), F.lit(False))
+
+
+def payload_json(fields: dict[str, Column], optional: dict[str, Column] | None = None, most: int | None = None) -> Column:
+    """A request body: the fields in order, texts cut to `most` characters, null as null; an optional one that is null or empty is left out."""
+    short = lambda c: F.substring(c, 1, most) if most else c
+    # a null field keeps its key, so the object is put together from its members
+    member = lambda k, c: F.concat(F.to_json(F.array(F.lit(k))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(k)))) - 2), F.lit(":"), value(c))
+    value = lambda c: F.coalesce(F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2), F.lit("null"))
+    given = [member(k, short(c)) for k, c in fields.items()]
+    given += [F.when(F.coalesce(c.cast("string"), F.lit("")) != "", member(k, short(c))) for k, c in (optional or {}).items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *given), F.lit("}"))

@@ -206,3 +206,13 @@ def check_report(checks: dict[str, Check]) -> DataFrame:
         lines = [F.struct(F.lit(name).alias("name"), F.col(f"_total{k}").alias("total"), F.col(f"_bad{k}").alias("problems"), (F.col(f"_bad{k}") == 0).alias("ok"), F.lit(c.blocks).alias("blocking")) for k, (name, c) in enumerate(tests)]
         reports.append(df.agg(*sums).select(F.inline(F.array(*lines))))
     return reduce(DataFrame.unionByName, reports)
+
+
+def corpus_regression(rows: DataFrame, group: str, tests: dict[str, Column], found: Column, lost: Column, share: float = 0.01) -> DataFrame:
+    """By group: rows, how many fail a test, how many lost text on the way, how many were found, and two alarms.
+
+    alarm: fewer findings than `share` of the rows, though all are analysed; failed: any failing row or lost text.
+    """
+    checked = errors_of(rows, tests)
+    out = checked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("errors") > 0).alias("failing"), F.count_if(lost).alias("lost"), F.count_if(found).alias("found"))
+    return out.withColumn("alarm", F.col("found") < share * F.col("n")).withColumn("failed", (F.col("failing") > 0) | (F.col("lost") > 0))

@@ -198,3 +198,15 @@ def to_facts(rows: DataFrame, predicate: str, subject: Column, obj: Column, lite
         key.alias("fact_id"), F.lit(predicate).alias("predicate"), subject.cast("string").alias("subject"), obj.cast("string").alias("object"),
         literal.cast("string").alias("literal"), since.alias("valid_from"), until.alias("valid_to"),
     )
+
+
+def vote_gold_cases(messages: DataFrame, ballots: DataFrame, key: list[str], ballot: str, said: Column, did: Column, kind: Column) -> DataFrame:
+    """One row for each message and ballot that it names: key, ballot, kind, said, did and reason, why they can or cannot be compared.
+
+    messages may name a ballot several times; a ballot without a row in ballots goes.
+    """
+    from ..functions.score import mismatch_reason
+
+    joined = messages.dropDuplicates([*key, ballot]).join(ballots.dropDuplicates([ballot]), ballot)
+    cases = joined.select(*key, ballot, kind.alias("kind"), said.alias("said"), did.alias("did"))
+    return cases.withColumn("reason", mismatch_reason(F.col("kind"), F.col("said"), F.col("did")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..operators import enrichment as M
 from ..operators import gates as G
 from ..operators import incremental as N
 from ..operators import rows as R
@@ -14,6 +15,7 @@ from ..operators import sequential as Q
 from ..operators import votes as V
 from ..sources import files
 from .registry import Tables, query
+from .stats import MACRO_SQL, articles_sql, macro
 
 
 @query("""with s as (select l_orderkey + case when l_partkey % 23 = 0 then 10000000 else 0 end as ballot, l_linenumber as chapter, l_suppkey, l_partkey, substr(l_returnflag, 1, 1) as quote, l_linenumber % 4 as n from lineitem),
@@ -58,52 +60,98 @@ RULES_SQL = """concat_ws(';', case when value is null or value < 0 or value > 10
   case when event_type not in ('click', 'view', 'purchase') then 'unknown kind' end, case when event_type = 'purchase' and value < 80 then 'tier differs' end)"""
 
 
-def _errors(t: Tables) -> DataFrame:
+def _tests() -> dict:
     v = F.col("value")
-    tests = {
+    return {
         "score out of range": v.isNull() | (v < 0) | (v > 100),
         "no person": F.col("user_id") % 13 == 0,
         "unknown kind": ~F.col("event_type").isin("click", "view", "purchase"),
         "tier differs": (F.col("event_type") == "purchase") & (v < 80),
     }
-    return G.errors_of(t.events, tests)
 
 
 @query(f"select event_id, {RULES_SQL} as errors from events")
 def schema_validate(t: Tables) -> DataFrame:
-    return _errors(t).select("event_id", F.array_join("errors", ";").alias("errors"))
+    return G.errors_of(t.events, _tests()).select("event_id", F.array_join("errors", ";").alias("errors"))
 
 
-@query(f"""select event_type, count(*) as n, count(*) filter (where {RULES_SQL} <> '') as failing, count(*) filter (where value >= 95) as top, count(*) filter (where value >= 95) < 0.01 * count(*) as alarm from events group by 1""")
+@query(f"""select event_type, count(*) as n, count(*) filter (where {RULES_SQL} <> '') as failing, count(*) filter (where props is null or props = '') as lost, count(*) filter (where value >= 95) as found,
+  count(*) filter (where value >= 95) < 0.01 * count(*) as alarm, count(*) filter (where {RULES_SQL} <> '') > 0 or count(*) filter (where props is null or props = '') > 0 as failed from events group by 1""")
 def corpus_regression(t: Tables) -> DataFrame:
-    top = F.count_if(F.col("value") >= 95)
-    return _errors(t).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("errors") > 0).alias("failing"), top.alias("top")).withColumn("alarm", F.col("top") < 0.01 * F.col("n"))
-
-
-@query("""with o as (select event_id, ts < lag(ts) over (partition by user_id order by event_id) as bad from events), a as (select doc_id, len(text) <> n_chars as bad from documents), l as (select l.doc_id, d.doc_id is null as bad from labels l left join documents d using (doc_id))
-  select 'order' as name, count(*) as total, count(*) filter (where bad) as problems, count(*) filter (where bad) = 0 as ok, true as blocking from o union all
-  select 'length', count(*), count(*) filter (where bad), count(*) filter (where bad) = 0, true from a union all select 'label', count(*), count(*) filter (where bad), count(*) filter (where bad) = 0, false from l""")
+    return G.corpus_regression(t.events, "event_type", _tests(), F.col("value") >= 95, F.coalesce(F.col("props") == "", F.lit(True)))
+
+
+CHECKS_SQL = """sp as (select conv_id as day, turn as pos, turn // 2 as turn, 'u' || conv_id || '-' || (turn // 2) as url, 'a' || turn as anchor, turn % 5 <> 4 as ok, role as title, case when conv_id % 3 > 0 then conv_id::varchar else '' end as person, text,
+    date '2024-01-01' + (conv_id % 28)::int as d, conv_id % 4 as session, turn * 60 - case when conv_id % 7 = 0 and turn = 3 then 200 when conv_id % 5 = 0 and turn = 2 then 80 else 0 end as sec from conversations),
+  pg as (select conv_id as day, turn // 2 as turn, 'u' || conv_id || '-' || (turn // 2) as url, 'a' || turn as anchor, case when conv_id % 11 = 1 then 'other' else role end as label, case when conv_id % 3 = 1 then conv_id::varchar when conv_id % 3 = 2 then 'p' else '' end as person,
+    case when (conv_id + turn) % 13 = 0 then 'Changed ' || text else text || ' ***' end as text from conversations where conv_id % 2 = 0 or turn < 6),
+  one as (select url, anchor, min((label, person, text)) as x from pg group by all), f as (select sp.*, x[1] as label, x[2] as shown, x[3] as ptext from sp left join one using (url, anchor)),
+  span as (select day, count(*) as n, min(turn) as a, max(turn) as b from sp group by day), seen as (select span.day, count(pg.day) as m, any_value(n) as n from span left join pg on pg.day = span.day and pg.turn between a and b group by span.day),
+  od as (select *, last_value(sec ignore nulls) over (partition by day order by pos rows between unbounded preceding and 1 preceding) as before, lead(sec) over (partition by day order by pos) as following from sp),
+  bl as (select o_orderkey as ballot, o_orderkey % 4 as session, case when o_orderkey % 9 > 0 then date '2024-01-01' + (o_orderkey % 28)::int end as d, (o_orderkey % 7) * 60 + 30 as sec from orders),
+  mn as (select conv_id as day, turn as pos, conv_id + 100 * turn as ballot, case when conv_id % 2 = 0 then conv_id::varchar else '' end as person, case when conv_id % 5 > 0 then 'A' end as vote from conversations where turn % 2 = 1),
+  nm as (select mn.day, mn.pos, mn.ballot, od.d as own, od.session as own_session, od.sec as start, od.following, bl.session, bl.d, bl.sec from mn join od using (day, pos) join bl using (ballot)),
+  vt as (select l_orderkey as ballot, l_suppkey as person, min(l_returnflag) as value, case when min(l_suppkey) % 10 > 0 then 'c' || (l_suppkey % 5) end as club from lineitem group by l_orderkey, l_suppkey),
+  tally as (select ballot, value, count(*) as n from vt group by all), decl as (select l_orderkey as ballot, min(l_returnflag) as value, count(distinct case when l_returnflag = x.least_flag then l_suppkey end) as declared from lineitem join (select l_orderkey as k, min(l_returnflag) as least_flag from lineitem group by 1) x on k = l_orderkey group by l_orderkey),
+  diff as (select distinct ballot from tally full join decl using (ballot, value) where coalesce(n, 0) is distinct from declared),
+  cl as (select s_suppkey as person, case when s_suppkey % 13 = 0 then 'x' else 'c' || (s_suppkey % 5) end as club, case when s_suppkey % 4 = 0 then date '2024-01-10' end as since from supplier),
+  dt as (select vt.*, bl.d from vt join bl using (ballot) where club <> ''), mb as (select dt.*, (select min(club) from cl where cl.person = dt.person and dt.d is not null and (since is null or since <= dt.d)) as held from dt),
+  vf as (select person::varchar as person, ballot::varchar as ballot, min(value) as fact from vt where person % 6 > 0 group by all),
+  told as (select mn.*, fact from mn left join vf on vf.person = mn.person and vf.ballot = mn.ballot::varchar where mn.person <> '' and vote is not null),
+  ms as (select substr(string_split(text, chr(10))[1], 1, 60) as head, case when doc_id % 10 = 0 then 'raw ' || substr(text, 2) else 'raw ' || text end as raw from documents)"""
+_LINE_SQL = "select '{0}' as name, count(*) as total, count(*) filter (where {1}) as problems, count(*) filter (where {1}) = 0 as ok, {3} as blocking from {2}"
+_CHECK_LINES = [
+    ("anchor on a page", "not ok", "f", "true"), ("anchor of the same speaker", "label is distinct from title", "f where ok", "true"), ("person of the anchor", "person <> shown", "f where ok and label = title and shown <> ''", "true"),
+    ("text of the page", "not (least(len(regexp_replace(t1, '[\\s*]+$', '')), len(regexp_replace(t2, '[\\s*]+$', '')), 200) > 0 and substr(t1, 1, least(len(regexp_replace(t1, '[\\s*]+$', '')), len(regexp_replace(t2, '[\\s*]+$', '')), 200)) = substr(t2, 1, least(len(regexp_replace(t1, '[\\s*]+$', '')), len(regexp_replace(t2, '[\\s*]+$', '')), 200)))",
+     "(select trim(regexp_replace(text, '\\s+', ' ', 'g')) as t1, trim(regexp_replace(ptext, '\\s+', ' ', 'g')) as t2 from f where ok and label = title)", "true"),
+    ("coverage of the day", "m <> n", "seen", "true"), ("times in order", "sec is null or before - sec > 60", "od", "true"),
+    ("ballot of this sitting", "session <> own_session or coalesce(d not between own and own + 1, false)", "(select distinct ballot, day, session, own_session, d, own from nm)", "true"),
+    ("ballot within the speech", "not (case when sec < start - 120 then sec + 86400 else sec end between start - 120 and coalesce(following, start + 3600) + 120)", "nm where start is not null and sec is not null", "false"),
+    ("club of the register", "held is distinct from club", "mb", "true"), ("tally as declared", "b is not null", "(select o_orderkey, diff.ballot as b from orders left join diff on diff.ballot = o_orderkey)", "true"),
+    ("fact of the vote", "fact is distinct from vote", "told", "true"), ("fact of the club", "held is distinct from club", "mb where d is not null", "true"),
+    ("clean text of the speech", "not coalesce(head <> '' and contains(raw, head), false)", "ms", "true"),
+]
+
+
+@query(f"with {CHECKS_SQL} " + " union all ".join(_LINE_SQL.format(*x) for x in _CHECK_LINES))
 def source_crosscheck(t: Tables) -> DataFrame:
-    order = t.events.withColumn("bad", F.col("ts") < F.lag("ts").over(Window.partitionBy("user_id").orderBy("event_id")))
-    labels = t.labels.join(t.documents.select("doc_id", F.lit(True).alias("known")), "doc_id", "left")
-    return G.check_report({
-        "order": (order, F.col("bad"), True),
-        "length": (t.documents, F.length("text") != F.col("n_chars"), True),
-        "label": (labels, F.col("known").isNull(), False),
-    })
+    """The library's checks of sittings: messages as speeches, some of them otherwise on their page, and order lines as votes."""
+    from ..operators.checks import source_crosscheck as crosscheck
+
+    c, conv, turn = t.conversations, F.col("conv_id"), F.col("turn")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), (n % 28).cast("int"))
+    place = [F.floor(turn / 2).alias("turn"), F.concat(F.lit("u"), conv.cast("string"), F.lit("-"), F.floor(turn / 2).cast("string")).alias("url"), F.concat(F.lit("a"), turn.cast("string")).alias("anchor")]
+    own = F.when(conv % 3 > 0, conv.cast("string")).otherwise("")
+    second = turn * 60 - F.when((conv % 7 == 0) & (turn == 3), 200).when((conv % 5 == 0) & (turn == 2), 80).otherwise(0)
+    speeches = c.select(conv.alias("day"), turn.alias("pos"), *place, (turn % 5 != 4).alias("anchor_verified"), F.col("role").alias("title"), own.alias("person"), "text", day(conv).alias("date"), (conv % 4).alias("session"), second.alias("second"))
+    label, person = F.when(conv % 11 == 1, "other").otherwise(F.col("role")), F.when(conv % 3 == 1, conv.cast("string")).when(conv % 3 == 2, "p").otherwise("")
+    text = F.when((conv + turn) % 13 == 0, F.concat(F.lit("Changed "), F.col("text"))).otherwise(F.concat("text", F.lit(" ***")))
+    page = c.where((conv % 2 == 0) | (turn < 6)).select(conv.alias("day"), *place, label.alias("label"), person.alias("person"), text.alias("text"))
+    key = F.col("o_orderkey")
+    ballots = t.orders.select(key.alias("ballot"), (key % 4).alias("session"), F.when(key % 9 > 0, day(key)).alias("date"), ((key % 7) * 60 + 30).alias("second"))
+    mentions = c.where(turn % 2 == 1).select(conv.alias("day"), turn.alias("pos"), (conv + 100 * turn).alias("ballot"), F.when(conv % 2 == 0, conv.cast("string")).otherwise("").alias("person"), F.when(conv % 5 > 0, "A").alias("vote_of_speaker"))
+    club = F.concat(F.lit("c"), (F.col("person") % 5).cast("string"))
+    votes = t.lineitem.groupBy(F.col("l_orderkey").alias("ballot"), F.col("l_suppkey").alias("person")).agg(F.min("l_returnflag").alias("value")).withColumn("club", F.when(F.col("person") % 10 > 0, club))
+    flags = t.lineitem.groupBy(F.col("l_orderkey").alias("ballot")).agg(F.min("l_returnflag").alias("value"))
+    held = t.lineitem.select(F.col("l_orderkey").alias("ballot"), F.col("l_returnflag").alias("value"), "l_suppkey")
+    declared = flags.join(held, ["ballot", "value"]).groupBy("ballot", "value").agg(F.count_distinct("l_suppkey").alias("declared"))
+    s = t.supplier.select(F.col("s_suppkey").alias("person"))
+    clubs = s.select("person", F.when(F.col("person") % 13 == 0, "x").otherwise(club).alias("club"), F.lit(1).alias("seq"), F.when(F.col("person") % 4 == 0, F.lit("2024-01-10").cast("date")).alias("since"), F.lit(None).cast("date").alias("until"))
+    member = clubs.select(F.concat(F.lit("m"), F.col("person").cast("string")).alias("fact_id"), F.lit("CLUB_MEMBERSHIP").alias("predicate"), F.col("person").cast("string").alias("subject"), F.col("club").alias("object"), F.col("club").alias("literal"), F.col("since").alias("valid_from"), F.col("until").alias("valid_to"))
+    cast = votes.where("person % 6 > 0").select(F.concat_ws("-", "person", "ballot").alias("fact_id"), F.lit("VOTE_CAST").alias("predicate"), F.col("person").cast("string").alias("subject"), F.col("ballot").cast("string").alias("object"), F.col("value").alias("literal"), F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    raw = F.concat(F.lit("raw "), F.when(F.col("doc_id") % 10 == 0, F.substr("text", F.lit(2))).otherwise(F.col("text")))
+    messages = t.documents.select(F.col("text").alias("clean"), raw.alias("raw"))
+    return crosscheck(speeches, page, mentions, ballots, votes, declared, clubs, member.unionByName(cast), messages)
 
 
 @query("""with m as (select conv_id, turn, text, (conv_id * 8 + turn) % 15000 as ballot from conversations where role = 'assistant'),
-    c as (select m.*, o_orderstatus, case when contains(lower(text), ' was ') then 'PRO' when contains(lower(text), ' from ') then 'PROTI' end as said, case o_orderstatus when 'F' then 'PRO' else 'PROTI' end as did from m join orders on o_orderkey = ballot)
-  select conv_id, turn, ballot, said, did, case when o_orderstatus = 'P' then 'procedural vote' when said is null then 'side missing' when said = did then 'agrees' else 'mismatch' end as reason from c""")
+    c as (select m.*, o_orderstatus, case when contains(lower(text), ' was ') then 'PRO' when contains(lower(text), ' from ') then 'PROTI' end as said, case o_orderstatus when 'F' then 'PRO' else 'PROTI' end as did, case o_orderstatus when 'P' then 'PROCEDURAL' else 'SUBSTANTIVE' end as kind from m join orders on o_orderkey = ballot)
+  select conv_id, turn, ballot, kind, said, did, case when o_orderstatus = 'P' then 'procedural vote' when said is null then 'side missing' when said = did then 'agrees' else 'mismatch' end as reason from c""")
 def vote_gold_cases(t: Tables) -> DataFrame:
-    from ..functions.score import mismatch_reason
-
     m = t.conversations.where("role = 'assistant'").withColumn("ballot", (F.col("conv_id") * 8 + F.col("turn")) % 15000)
-    low = F.lower("text")
-    c = m.join(t.orders.withColumnRenamed("o_orderkey", "ballot"), "ballot").withColumn("said", F.when(low.contains(" was "), V.PRO).when(low.contains(" from "), V.AGAINST))
-    c = c.withColumn("did", F.when(F.col("o_orderstatus") == "F", V.PRO).otherwise(V.AGAINST)).withColumn("kind", F.when(F.col("o_orderstatus") == "P", "PROCEDURAL").otherwise("SUBSTANTIVE"))
-    return c.select("conv_id", "turn", "ballot", "said", "did", mismatch_reason(F.col("kind"), F.col("said"), F.col("did")).alias("reason")).distinct()
+    low, status = F.lower("text"), F.col("o_orderstatus")
+    said = F.when(low.contains(" was "), V.PRO).when(low.contains(" from "), V.AGAINST)
+    return V.vote_gold_cases(m.union(m), t.orders.withColumnRenamed("o_orderkey", "ballot"), ["conv_id", "turn"], "ballot", said, F.when(status == "F", V.PRO).otherwise(V.AGAINST), F.when(status == "P", "PROCEDURAL").otherwise("SUBSTANTIVE"))
 
 
 @query("select e.kind as event_type, count(event_id) as n, count(event_id) < 2000 as problem from (select unnest(['click', 'view', 'error', 'refund']) as kind) e left join events on event_type = e.kind group by 1")
@@ -141,13 +189,21 @@ def ttl_cache_lookup(t: Tables) -> DataFrame:
     return N.ttl_lookup(asked, cache, "user_id", "stored", "answer", F.lit("2024-01-31 00:00:00").cast("timestamp"), 36 * 3600)
 
 
-@query("""with p as (select l_orderkey as a, l_orderkey + 1 as b, l_partkey, l_suppkey, l_discount * 10 as contradiction, 1 - l_tax as similarity from lineitem where l_discount * 10 >= 0.5 and l_discount * 10 < 0.8 and 1 - l_tax >= 0.95)
-  select a, b, l_partkey, l_suppkey, x.o_custkey as person, y.o_custkey as b_message, c_name from p join orders x on x.o_orderkey = a join orders y on y.o_orderkey = b left join customer on c_custkey = x.o_custkey and c_custkey % 2 = 0 where x.o_custkey <> y.o_custkey""")
+@query(rf"""with p as (select l_orderkey as a, l_orderkey + 1 as b, l_partkey, l_suppkey, l_discount * 10 as contradiction, 1 - l_tax as similarity from lineitem where l_discount * 10 >= 0.5 and l_discount * 10 < 0.8 and 1 - l_tax >= 0.95),
+  l as (select a, b, l_partkey, l_suppkey, x.o_custkey as person, y.o_custkey as b_message, c_name, p_name as query, strftime(x.o_orderdate, '%Y-%m') as month from p join orders x on x.o_orderkey = a join orders y on y.o_orderkey = b
+    left join customer on c_custkey = x.o_custkey and c_custkey % 2 = 0 left join part on p_partkey = l_partkey where x.o_custkey <> y.o_custkey),
+  ar as (select p_partkey as article, p_name || ' ' || p_brand as text from part), {MACRO_SQL}, {articles_sql("l", "ar")}
+  select a, b, l_partkey, l_suppkey, person, b_message, c_name, mean, articles from l left join macro using (month) left join best using (query)""")
 def lead_queue(t: Tables) -> DataFrame:
+    """Leads with the profile of the speaker, the economy of the month of the newer claim and articles on its topic."""
     pairs = t.lineitem.select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + 1).alias("b"), "l_partkey", "l_suppkey", (F.col("l_discount") * 10).alias("contradiction"), (1 - F.col("l_tax")).alias("similarity"))
     claims = t.orders.select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("message_id"), F.col("o_orderpriority").alias("text"), F.col("o_custkey").alias("person"))
     profiles = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("person"), "c_name")
-    return N.lead_queue(pairs, claims, profiles, 0.5, 0.8, 0.95).select("a", "b", "l_partkey", "l_suppkey", "person", "b_message", "c_name")
+    leads = N.lead_queue(pairs, claims, profiles, 0.5, 0.8, 0.95).join(t.orders.select(F.col("o_orderkey").alias("a"), "o_orderdate"), "a")
+    leads = leads.join(t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("query")), "l_partkey", "left")
+    leads = M.with_month(leads.select("a", "b", "l_partkey", "l_suppkey", "person", "b_message", "c_name", "query", "o_orderdate"), macro(t), "o_orderdate", "month", ["mean"])
+    out = M.with_articles(leads, t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("text")), "query", "p_partkey", "text")
+    return out.select("a", "b", "l_partkey", "l_suppkey", "person", "b_message", "c_name", "mean", F.array_join("articles", ",").alias("articles"))
 
 
 @query("""with r as (select distinct sha256('role::v1::' || text) as cache_key from documents where text is not null), c as (select distinct sha256('role::v1::' || text) as cache_key from documents where doc_id % 3 = 0),
@@ -217,9 +273,31 @@ def read_nested_corpus(t: Tables) -> DataFrame:
     return files.read_nested(t.spark, path, schema, lines=True).select("conv_id", "turn", "role", "text")
 
 
-@query("select strftime(ts, '%Y-%m') as month, round(avg(value), 3) as mean, arg_max(value, ts) as last from events where value is not null group by 1")
+@query("""with m as (select strftime(o_orderdate, '%Y-%m') as month, o_orderdate, o_orderkey, o_totalprice from orders), d as (select o_orderdate::date as d, o_orderpriority as name, floor(max(o_totalprice)) as v from orders group by all)
+  select 'mean' as kind, '' as name, month, round(avg(o_totalprice), 3) as value from m group by month union all select 'last', '', month, arg_max(o_totalprice, (o_orderdate, o_orderkey)) from m group by month
+  union all select 'rate', '', month, round(arg_max(o_totalprice, o_orderkey), 2) from m where o_orderkey % 5 <> 4 group by month
+  union all select 'table', name, strftime(d, '%Y-%m'), round(avg(v), 3) from d group by all""")
 def flatten_series(t: Tables) -> DataFrame:
-    return files.monthly(t.events, "ts", "value")
+    """Three kinds of sources: rows, records whose keys change, and a piped table with a column a priority."""
+    o = t.orders
+    rows = files.monthly(o.select(F.struct("o_orderdate", "o_orderkey").alias("at"), F.col("o_orderdate").alias("day"), "o_totalprice"), "day", "o_totalprice", order="at")
+    plain = rows.select("month", F.inline(F.array(F.struct(F.lit("mean").alias("kind"), F.col("mean").alias("value")), F.struct(F.lit("last").alias("kind"), F.col("last").alias("value"))))).withColumn("name", F.lit(""))
+    # a record names its day and its rate in one of five ways, and one in five has no usable rate
+    way, day = F.col("o_orderkey") % 5, F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    number, comma = F.col("o_totalprice"), F.replace(F.format_string("%.2f", "o_totalprice"), F.lit("."), F.lit(","))
+    record = (
+        F.when(way == 0, F.to_json(F.struct(day.alias("date"), number.alias("2T repo")))).when(way == 1, F.to_json(F.struct(day.alias("datum"), F.lit("").alias("date"), comma.alias("repo"))))
+        .when(way == 2, F.to_json(F.struct(day.alias("date"), F.lit(0).alias("repo"), number.alias("Repo")))).when(way == 3, F.to_json(F.struct(day.alias("datum"), number.alias("rate"), F.lit("x").alias("other"))))
+        .when(F.col("o_orderkey") % 3 == 0, "not json").otherwise(F.to_json(F.struct(day.alias("date"), F.lit(0).alias("rate"))))
+    )
+    rates = files.rate_series(o.select(F.col("o_orderkey").alias("seq"), record.alias("record")), "record", "seq").select(F.lit("rate").alias("kind"), F.lit("").alias("name"), "month", "value")
+    kinds = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    by_day = o.groupBy(F.to_date("o_orderdate").alias("d")).pivot("o_orderpriority", kinds).agg(F.format_string("%.1f", F.floor(F.max("o_totalprice")).cast("double")))
+    cells = [F.coalesce(F.replace(F.col(f"`{k}`"), F.lit("."), F.lit(",")), F.lit("")) for k in kinds]
+    lines = by_day.select(F.unix_date("d").alias("seq"), F.concat_ws("|", F.date_format("d", "dd.MM.yyyy"), *cells).alias("line"))
+    head = t.region.limit(1).select(F.lit(-1).alias("seq"), F.lit("|".join(["day", *kinds])).alias("line"))
+    table = files.piped_series(head.union(lines), "line", "seq").select(F.lit("table").alias("kind"), "name", "month", "value")
+    return plain.select("kind", "name", "month", "value").union(rates).union(table)
 
 
 @query("select sha256('role::v1::' || text) as cache_key, min('answer ' || doc_id) as response_text from documents where text is not null and doc_id % 4 = 0 group by 1")

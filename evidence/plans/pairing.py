@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import score as S
@@ -60,10 +60,12 @@ def nearest_reference(t: Tables) -> DataFrame:
     return out.withColumn("cosine", F.round("cosine", 6))
 
 
-@query("""select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[])))), 6) as total from embeddings""")
+@query("""with v as (select doc_id, len(coalesce(text, ''))::double as a, (len(coalesce(text, '')) - len(replace(coalesce(text, ''), 'e', '')))::double as b, 3.0::double as c from documents)
+  select doc_id, round(a / sqrt(a * a + b * b + c * c), 6) as length, round(b / sqrt(a * a + b * b + c * c), 6) as letters, round(c / sqrt(a * a + b * b + c * c), 6) as rest from v""")
 def embed_texts(t: Tables) -> DataFrame:
-    v = t.embeddings.select("vec_id", P.unit(F.col("embedding")).alias("v"))
-    return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    """Documents with a unit vector of an encoder that counts letters."""
+    out = P.embed_texts(t.documents.select("doc_id", "text"), lambda texts: [[float(len(x)), float(x.count("e")), 3.0] for x in texts], "text")
+    return out.select("doc_id", *[F.round(F.col("vector")[i], 6).alias(n) for i, n in enumerate(("length", "letters", "rest"))])
 
 
 @query("""select l_orderkey, l_linenumber, l_suppkey, o_custkey, c_nationkey, n_name from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
@@ -129,11 +131,19 @@ def apply_verdict(t: Tables) -> DataFrame:
     return _scored(t).withColumn("v", v).where("v.kept").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "v.kind", "v.severity", "v.score", "v.downgraded_from")
 
 
-@query("""with p as (select l_orderkey, l_linenumber, l_suppkey, l_partkey, l_discount * 4 as e, l_tax * 5 as n, l_quantity / 100 as c from lineitem)
-  select l_orderkey, l_linenumber, l_suppkey, l_partkey, case greatest(e, n, c) when e then 'ENTAILMENT' when n then 'NEUTRAL' else 'CONTRADICTION' end as relation from p""")
+@query("""with p as (select conv_id, turn, len(text) as a, len(lag(text) over (partition by conv_id order by turn)) as b from conversations where text is not null), s as (select *, a / (a + b + 1)::double as e, b / (a + b + 1)::double as n, 1 / (a + b + 1)::double as c from p where b is not null)
+  select conv_id, turn, round(e, 6) as entailment, round(n, 6) as neutral, round(c, 6) as contradiction, case greatest(e, n, c) when e then 'ENTAILMENT' when n then 'NEUTRAL' else 'CONTRADICTION' end as relation from s""")
 def score_pairs(t: Tables) -> DataFrame:
-    label = S.argmax_label({"ENTAILMENT": F.col("l_discount") * 4, "NEUTRAL": F.col("l_tax") * 5, "CONTRADICTION": F.col("l_quantity") / 100})
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", label.alias("relation"))
+    """Each message against the one before it, by a scorer that only looks at lengths."""
+    prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = t.conversations.where("text is not null").select("conv_id", "turn", F.col("text").alias("a"), prev.alias("b")).where("b is not null")
+
+    def scorer(a: list[str], b: list[str]) -> list[tuple[float, float, float]]:
+        return [(len(x) / (len(x) + len(y) + 1), len(y) / (len(x) + len(y) + 1), 1 / (len(x) + len(y) + 1)) for x, y in zip(a, b, strict=True)]
+
+    scored = P.score_pairs(pairs, scorer, "a", "b")
+    label = S.argmax_label({"ENTAILMENT": F.col("entailment"), "NEUTRAL": F.col("neutral"), "CONTRADICTION": F.col("contradiction")})
+    return scored.select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("entailment", "neutral", "contradiction")], label.alias("relation"))
 
 
 @query("""with p as (select l_orderkey * 10 + l_linenumber as id, l_orderkey, l_suppkey, l_extendedprice as s, l_partkey from lineitem),

@@ -244,15 +244,23 @@ def stable_key(t: Tables) -> DataFrame:
     return d.select("doc_id", X.stable_key(F.lit("model"), F.col("text")).alias("cache_key"), X.short_key("pz-", F.col("doc_id").cast("string"), F.col("lang")).alias("id"))
 
 
-@query(r"""select conv_id, turn, role in ('system') or contains(lower(text), 'chair') as chair from conversations""")
+@query("""with p as (select conv_id, turn, case turn % 5 when 0 then 'Předsedkyně PSP' when 1 then 'Místopředseda PSP' when 2 then 'Poslanec' when 3 then '' end as role, upper(role) as name from conversations)
+  select conv_id, turn, trim(case when role is null then null else role end) as role, coalesce(turn % 5 < 2, false) as chair from p""")
 def chair_predicate(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", (F.col("role").isin("system") | F.lower("text").contains("chair")).alias("chair"))
+    """Roles that stand before the speaker's name in a title, and whether they are a chair's."""
+    role = F.when(F.col("turn") % 5 == 0, "Předsedkyně PSP").when(F.col("turn") % 5 == 1, "Místopředseda PSP").when(F.col("turn") % 5 == 2, "Poslanec").when(F.col("turn") % 5 == 3, "")
+    c = t.conversations.select("conv_id", "turn", role.alias("given"), F.upper("role").alias("name"))
+    c = c.withColumn("title", F.concat("given", F.lit("   "), F.col("name"), F.lit(" ")))
+    found = F.when(F.btrim("given") == "", "").otherwise(X.role_of(F.col("title"), F.col("name")))
+    return c.select("conv_id", "turn", found.alias("role"), X.is_chair(found).alias("chair"))
 
 
-@query(r"""select doc_id, '{"id":' || doc_id || ',"lang":"' || lang || '"' || case when doc_id % 2 = 0 then ',"source":"' || source || '"' else '' end || '}' as payload from documents where lang is not null and source is not null""")
+@query(r"""select doc_id, '{"MESSAGE_ID":' || doc_id || ',"SPEAKER":' || case when source is null then 'null' else '"' || source || '"' end || ',"CLEAN_TEXT":' || case when text is null then 'null' else
+    '"' || replace(replace(replace(replace(replace(substr(text, 1, 500), '\', '\\'), '"', '\"'), chr(10), '\n'), chr(9), '\t'), chr(13), '\r') || '"' end || case when doc_id % 2 = 0 and lang <> '' then ',"LANG":"' || lang || '"' else '' end || '}' as payload from documents""")
 def payload_json(t: Tables) -> DataFrame:
-    d = t.documents.where("lang is not null and source is not null")
-    return d.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("source"))).alias("payload"))
+    """The request for each document: null texts stay, long ones are cut, an empty language is left out."""
+    fields = {"MESSAGE_ID": F.col("doc_id"), "SPEAKER": F.col("source"), "CLEAN_TEXT": F.substring("text", 1, 500)}
+    return t.documents.select("doc_id", X.payload_json(fields, {"LANG": F.when(F.col("doc_id") % 2 == 0, F.col("lang"))}).alias("payload"))
 
 
 @query(r"""select doc_id, case doc_id % 3 when 0 then true when 1 then false else true end as passed, case when doc_id % 3 < 2 then 2 else 0 end as defences, case doc_id % 4 when 0 then 'PRO' when 1 then 'PROTI' else 'NEURCITELNE' end as stance from documents""")
@@ -275,10 +283,18 @@ def claims_from_json(t: Tables) -> DataFrame:
     return out.select("doc_id", "claim_id", F.col("char_start").cast("bigint"), F.col("char_end").cast("bigint"))
 
 
-@query(r"""select conv_id, turn, substr(text, 1, 40) || ' / ' || substr(prev, 1, 40) as label, coalesce(role, '') as url, round(turn / 7.0, 4) as score
-  from (select *, lag(text) over (partition by conv_id order by turn) as prev from conversations) where prev is not null""")
+@query(r"""select conv_id, turn, substr(text, 1, 40) || ' vs ' || substr(prev, 1, 40) as label, coalesce(case when turn % 3 > 0 then 'd' || turn end, 'f' || (turn - 1)) as past_date, coalesce(case when turn % 2 = 0 then 'u' || turn end, '') as url,
+    round(coalesce(case when turn % 4 > 0 then turn / 7.0 end, 0.5), 4) as score
+  from (select *, lag(text) over (partition by conv_id order by turn) as prev from conversations where text is not null) where prev is not null""")
 def candidate_record(t: Tables) -> DataFrame:
+    """A candidate of each message against the one before it."""
+    from ..operators.records import candidate_record as record
+
     prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    c = t.conversations.withColumn("prev", prev).where("prev is not null")
-    label = F.concat(F.substring("text", 1, 40), F.lit(" / "), F.substring("prev", 1, 40))
-    return c.select("conv_id", "turn", label.alias("label"), F.coalesce("role", F.lit("")).alias("url"), F.round(F.col("turn") / 7.0, 4).alias("score"))
+    c = t.conversations.where("text is not null").withColumn("prev", prev).where("prev is not null")
+    claim = F.struct(F.col("text").alias("rawSpan"), F.lit(None).cast("string").alias("timeFrame"))
+    past = F.struct(F.col("prev").alias("rawSpan"), F.concat(F.lit("f"), (F.col("turn") - 1).cast("string")).alias("timeFrame"))
+    told = F.when(F.col("turn") % 3 > 0, F.concat(F.lit("d"), F.col("turn").cast("string")))
+    url = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("u"), F.col("turn").cast("string")))
+    r = c.select("conv_id", "turn", record(claim, past, told, url, F.lit(None).cast("string"), F.when(F.col("turn") % 4 > 0, F.col("turn") / 7.0), "?").alias("r"))
+    return r.select("conv_id", "turn", F.col("r.shortBadgeLabel").alias("label"), F.col("r.proof.pastDate").alias("past_date"), F.col("r.proof.sourceUrl").alias("url"), F.round("r.confidenceScore", 4).alias("score"))

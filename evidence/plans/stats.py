@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import evaluation as E
+from ..operators import enrichment as R
 from ..operators import indexes as I
+from ..operators import selections as L
 from .registry import Tables, query
 
 
@@ -85,9 +87,11 @@ def provenance_count(t: Tables) -> DataFrame:
     return E.provenance_count(t.orders.where("o_orderstatus = 'F'"), F.col("o_orderpriority").startswith("1-"))
 
 
-@query("select count(distinct o_orderdate) as days, count(*) as orders, count(distinct o_custkey) as persons, count(distinct case when o_orderstatus = 'F' then o_orderdate end) as ballot_days from orders")
+@query("""select count(distinct o_orderdate) as days, count(distinct o_orderpriority) as debates, count(*) as messages, count(*) filter (where o_orderstatus = 'F') as analysed, sum(o_orderkey % 3)::bigint as annotations,
+  count(distinct o_custkey) as persons, count(distinct case when o_orderstatus = 'F' then o_orderdate end) as ballot_days from orders""")
 def dataset_meta(t: Tables) -> DataFrame:
-    return t.orders.agg(F.count_distinct("o_orderdate").alias("days"), F.count(F.lit(1)).alias("orders"), F.count_distinct("o_custkey").alias("persons"), F.count_distinct(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))).alias("ballot_days"))
+    done = F.col("o_orderstatus") == "F"
+    return L.dataset_meta(t.orders, "o_orderdate", "o_custkey", done, F.col("o_orderkey") % 3, "o_orderpriority", F.when(done, F.col("o_orderdate")))
 
 
 @query("select o_orderstatus, count(*) as n, arg_min(o_orderpriority, o_orderkey) as example, round(100 * count(*) / (select count(*) from orders), 2) as percent from orders group by 1")
@@ -140,7 +144,7 @@ def first_per_group(t: Tables) -> DataFrame:
 
 @query("select user_id, event_id, row_number() over (partition by user_id order by ts, event_id)::integer as pos from events")
 def timeline(t: Tables) -> DataFrame:
-    return t.events.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos"))
+    return L.timeline(t.events.select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", F.col("pos").cast("int").alias("pos"))
 
 
 @query("select coalesce(event_type, 'all') as event_type, count(*) as n from events group by rollup(event_type)")
@@ -183,13 +187,12 @@ def known_minus_done(t: Tables) -> DataFrame:
 
 @query("select user_id, case when count(distinct event_type) filter (where event_type <> 'error') = 0 then '' else array_to_string(list_sort(list(distinct event_type) filter (where event_type <> 'error')), ',') end as kinds from events group by user_id")
 def list_minus_alias(t: Tables) -> DataFrame:
-    kinds = F.array_sort(F.array_except(F.collect_set("event_type"), F.array(F.lit("error"))))
-    return t.events.groupBy("user_id").agg(F.array_join(kinds, ",").alias("kinds"))
+    return t.events.groupBy("user_id").agg(F.array_join(L.without(F.collect_set("event_type"), "error"), ",").alias("kinds"))
 
 
-@query("select doc_id as id, text from documents union all select item_id, text from benchmark")
+@query("select doc_id as id, text, lang, 'corpus' as origin from documents union all select item_id, text, null, 'gold' from benchmark")
 def concat_sources(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("id"), "text").unionByName(t.benchmark.select(F.col("item_id").alias("id"), "text"))
+    return L.concat_sources({"corpus": t.documents.select(F.col("doc_id").alias("id"), "text", "lang"), "gold": t.benchmark.select(F.col("item_id").alias("id"), "text")})
 
 
 @query("""with asked as (select distinct p_brand, p_size, p_brand || '-x' as other from part), a as (select case when p_size % 2 = 0 then p_brand else other end as p_brand, p_size from asked),
@@ -209,8 +212,38 @@ def resolve_identity(t: Tables) -> DataFrame:
     return I.identity(asked, people, "p_name", "year", "born", "person")
 
 
-@query("select c_custkey, c_name, n_name, r_name, orders from customer left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey left join (select o_custkey, count(*) as orders from orders group by 1) on o_custkey = c_custkey")
+MACRO_SQL = """macro as (select strftime(o_orderdate, '%Y-%m') as month, round(avg(o_totalprice), 2) as mean from orders where month(o_orderdate) % 4 <> 0 group by 1)"""
+
+
+def articles_sql(asked: str, articles: str) -> str:
+    """The best five articles of each `query` of a table, over a table of article and text."""
+    return rf"""ix as (select distinct article, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]{{3,}}')) as word from {articles} where text is not null),
+  spread as (select word, count(*) as n from ix group by word), tot as (select count(distinct article) as total from ix),
+  terms as (select query, word, n, ln(total / n) as idf, row_number() over (partition by query order by n, word) as o from (select distinct query, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]{{3,}}')) as word from {asked}) join spread using (word) cross join tot),
+  cand as (select distinct query, article from terms join ix using (word) where o <= 2),
+  scored as (select query, article, round(sum(idf), 6) as weight from cand join terms using (query) join ix using (article, word) group by all),
+  best as (select query, string_agg(article::varchar, ',' order by r) as articles from (select *, row_number() over (partition by query order by weight desc, article) as r from scored) where r <= 5 group by query)"""
+
+
+def macro(t: Tables) -> DataFrame:
+    months = t.orders.where(F.month("o_orderdate") % 4 != 0).groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    return months.agg(F.round(F.avg("o_totalprice"), 2).alias("mean"))
+
+
+@query(rf"""with {MACRO_SQL}, l as (select conv_id, turn, case when conv_id % 3 > 0 then conv_id end as person, 'CUSTOMER#' || lpad((conv_id + 7)::varchar, 9, '0') as name, role || ' ' || substr(text, 1, 80) as query,
+    strftime((select min(o_orderdate)::date from orders) + (conv_id * 3)::int, '%Y-%m-%d') as d from conversations),
+  a as (select doc_id as article, text from documents), {articles_sql("l", "a")}
+  select conv_id, turn, coalesce(p.c_mktsegment, f.c_mktsegment) as segment, coalesce(m.mean, b.mean) as mean, best.articles from l left join (select * from customer where c_custkey % 4 > 0) p on p.c_custkey = l.person
+    left join (select * from customer where c_custkey % 4 > 0) f on p.c_custkey is null and upper(f.c_name) = l.name left join macro m on m.month = substr(d, 1, 7) left join macro b on m.month is null and b.month = strftime((substr(d, 1, 7) || '-01')::date - interval 1 month, '%Y-%m')
+    left join best using (query)""")
 def enrich_left(t: Tables) -> DataFrame:
-    orders = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"))
-    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t.region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return c.join(orders, "c_custkey", "left").select("c_custkey", "c_name", "n_name", "r_name", "orders")
+    """Messages with the profile of a person or else a name, the economy of their month or the one before, and articles on their topic."""
+    first = t.orders.agg(F.min(F.to_date("o_orderdate")).alias("first"))  # one row
+    lead = t.conversations.crossJoin(F.broadcast(first)).select(
+        "conv_id", "turn", F.when(F.col("conv_id") % 3 > 0, F.col("conv_id")).alias("person"), F.concat(F.lit("CUSTOMER#"), F.lpad((F.col("conv_id") + 7).cast("string"), 9, "0")).alias("name"),
+        F.concat("role", F.lit(" "), F.substring("text", 1, 80)).alias("query"), F.date_add("first", (F.col("conv_id") * 3).cast("int")).alias("d"),
+    )
+    profiles = t.customer.where("c_custkey % 4 > 0").select(F.col("c_custkey").alias("person"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    known = R.with_month(R.with_profile(lead, profiles, "person", "name", ["segment"]), macro(t), "d", "month", ["mean"], within=1)
+    out = R.with_articles(known, t.documents, "query", "doc_id", "text")
+    return out.select("conv_id", "turn", "segment", "mean", F.array_join("articles", ",").alias("articles"))

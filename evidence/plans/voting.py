@@ -58,7 +58,10 @@ def record_to_item(t: Tables) -> DataFrame:
 
 @query("select l_orderkey, l_linenumber, l_suppkey, o_custkey, o_orderdate::date as d from lineitem join orders on l_orderkey = o_orderkey")
 def turn_lookup(t: Tables) -> DataFrame:
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_suppkey", "o_custkey", F.to_date("o_orderdate").alias("d"))
+    from ..operators.selections import turn_lookup as lookup
+
+    turns = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.to_date("o_orderdate").alias("d"))
+    return lookup(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey"), turns, "l_orderkey", ["o_custkey", "d"])
 
 
 @query("""select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey in (select l_orderkey from lineitem where l_partkey % 10 = 3)

@@ -94,10 +94,10 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.lower(F.btrim("domain")).alias("domain"), F.col("tier").try_cast("int").alias("tier"), "note").where("tier is not null")
 
 
-def monthly(rows: DataFrame, at: str, value: str, digits: int = 3) -> DataFrame:
-    """Monthly mean, and the last value of each month by time."""
+def monthly(rows: DataFrame, at: str, value: str, digits: int = 3, order: str | None = None) -> DataFrame:
+    """Monthly mean, and the last value of each month by time, or by `order`, which tells equal times apart."""
     month = F.date_format(at, "yyyy-MM")
-    return rows.where(F.col(value).isNotNull()).groupBy(month.alias("month")).agg(F.round(F.avg(value), digits).alias("mean"), F.max_by(value, at).alias("last"))
+    return rows.where(F.col(value).isNotNull()).groupBy(month.alias("month")).agg(F.round(F.avg(value), digits).alias("mean"), F.max_by(value, order or at).alias("last"))
 
 
 def json_stat(rows: DataFrame, labels: str, values: str) -> DataFrame:
@@ -106,12 +106,44 @@ def json_stat(rows: DataFrame, labels: str, values: str) -> DataFrame:
     return rows.select(F.explode(zipped).alias("z")).where("z.value is not null").select(F.replace("z.label", F.lit("M"), F.lit("-")).alias("month"), F.round("z.value", 2).alias("value"))
 
 
-def fx_table(rows: DataFrame, line: str, currency: str = "EUR") -> DataFrame:
-    """Monthly means of one currency column of a piped table: header first, decimal commas, dd.mm.yyyy."""
+def piped_series(rows: DataFrame, line: str, seq: str) -> DataFrame:
+    """Monthly means of all columns of a piped table: month, name, value (three digits).
+
+    The line that comes first by seq, whose first field is no date, names the columns; others have dd.mm.yyyy or yyyy-mm-dd
+    and numbers with a decimal comma or point. Fields without a name or number are left out. The names are one row, whatever the length of the table.
+    """
     parts = F.split(line, r"\|")
-    head = rows.where(F.lower(F.col(line)).contains(currency.lower())).orderBy("seq").limit(1).select(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].contains(currency))[0]["i"].alias("at"))
-    data = rows.crossJoin(F.broadcast(head)).select(parsed_date(parts[0]).alias("d"), F.replace(F.try_element_at(parts, F.col("at") + 1), F.lit(","), F.lit(".")).try_cast("double").alias("v"))
-    return data.where("d is not null and v is not null").groupBy(F.date_format("d", "yyyy-MM").alias("month")).agg(F.round(F.avg("v"), 3).alias("value"))
+    day = parsed_date(parts[0])
+    head = rows.where(day.isNull()).agg(F.min_by(F.transform(parts, lambda x: F.btrim(x)), seq).alias("_names"))
+    data = rows.where(day.isNotNull()).crossJoin(F.broadcast(head)).select(F.date_format(day, "yyyy-MM").alias("month"), F.explode(F.arrays_zip(F.col("_names").alias("name"), parts.alias("field"))).alias("z"), day.alias("_day"))
+    value = F.replace(F.btrim("z.field"), F.lit(","), F.lit(".")).try_cast("double")
+    named = data.select("month", F.col("z.name").alias("name"), value.alias("v")).where("name <> '' and v is not null")
+    return named.groupBy("month", "name").agg(F.round(F.avg("v"), 3).alias("value"))
+
+
+def fx_table(rows: DataFrame, line: str, currency: str = "EUR") -> DataFrame:
+    """Monthly means of the columns of a piped table whose name holds a currency: month and value."""
+    return piped_series(rows, line, "seq").where(F.col("name").contains(currency)).select("month", "value")
+
+
+#: Keys under which records give a day and a rate, first come first served: fixed values.
+DAY_KEYS, RATE_KEYS = ("date", "datum"), ("2T repo", "2w repo", "repo", "Repo", "2T_repo", "rate")
+
+
+def rate_series(rows: DataFrame, record: str, seq: str, days: tuple[str, ...] = DAY_KEYS, keys: tuple[str, ...] = RATE_KEYS) -> DataFrame:
+    """Monthly rates of JSON records whose keys change: month and value (two digits); the last record of a month by seq counts.
+
+    The day is dd.mm.yyyy or yyyy-mm-dd under the first of `days` that is not empty, the rate under the first of `keys` that
+    is neither empty nor 0; numbers or texts, with decimal comma or point. What is no such record is left out.
+    """
+    v = F.try_parse_json(record)
+    text = lambda k: F.try_variant_get(v, f"$['{k}']", "string")
+    first = lambda ks, empty: F.coalesce(*[F.when(~text(k).isin(*empty), text(k)) for k in ks])
+    read = rows.select(seq, first(days, ("",)).alias("day"), first(keys, ("", "0", "0.0")).alias("rate"))
+    month = F.when(F.col("day").contains("."), F.concat_ws("-", F.split_part("day", F.lit("."), F.lit(3)), F.split_part("day", F.lit("."), F.lit(2)))).otherwise(F.substring("day", 1, 7))
+    value = F.round(F.replace("rate", F.lit(","), F.lit(".")).try_cast("double"), 2)
+    good = read.select(seq, month.alias("month"), value.alias("value")).where("month is not null and value is not null")
+    return good.groupBy("month").agg(F.max_by("value", seq).alias("value"))
 
 
 def nested_dataset(rows: DataFrame, group: str, order: str, columns: list[str], drop: tuple[str, ...] = ("rawText",)) -> DataFrame:

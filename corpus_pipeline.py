@@ -35,6 +35,12 @@ def _documents(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", length).select(*COLUMNS)
 
 
+def _owning(out: DataFrame, scratch: Scratch) -> DataFrame:
+    """A stage's result with the intermediate tables it reads, to be closed once it is written."""
+    out._scratch = scratch
+    return out
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1."""
     out = quality_rules(docs, with_text=True, carry=("lang", "source"))
@@ -43,20 +49,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6."""
-    out = line_dedup(docs, carry=("lang", "source"))
-    return _documents(out.where((F.col("n_lines") == F.col("n_kept")) | F.regexp_like("clean_text", F.lit(WORD))), F.col("clean_text"))
+    s = Scratch(spark, "lines")
+    out = line_dedup(docs, carry=("lang", "source"), scratch=s)
+    return _owning(_documents(out.where((F.col("n_lines") == F.col("n_kept")) | F.regexp_like("clean_text", F.lit(WORD))), F.col("clean_text")), s)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2."""
-    out = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(out, docs["doc_id"].eqNullSafe(out["doc_id"]), "left_semi").select(*COLUMNS)
+    s = Scratch(spark, "minhash")
+    out = near_duplicates(docs, scratch=s).where("kept").select("doc_id").distinct()
+    return _owning(docs.join(out, docs["doc_id"].eqNullSafe(out["doc_id"]), "left_semi").select(*COLUMNS), s)
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5."""
-    out = suffix_dedup(docs, carry=("lang", "source"), as_text=True)
-    return _documents(out.where((F.col("n_removed") == 0) | F.regexp_like("kept", F.lit(WORD))), F.col("kept"))
+    s = Scratch(spark, "suffix")
+    out = suffix_dedup(docs, carry=("lang", "source"), as_text=True, scratch=s)
+    return _owning(_documents(out.where((F.col("n_removed") == 0) | F.regexp_like("kept", F.lit(WORD))), F.col("kept")), s)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +80,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over documents, each written as Parquet and read again.
+
+    What a stage kept for itself, and its predecessor's table, go once its own table is written.
+    """
     s = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = s.save(stage(spark, docs, sf_dir))
+        out = stage(spark, docs, sf_dir)
+        new = s.save(out)
+        if hasattr(out, "_scratch"):
+            out._scratch.close()
+        if hasattr(docs, "_scratch_path"):
+            s.drop(docs)
+        docs = new
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,10 @@ How groups stay small in every task: a bucket (the sets with one band key) first
 member only its most connected member, the hub, so that a family of copies costs one test a
 copy. After those links are joined into components, only pairs across components are left.
 Their signatures are compared inside tasks, a bucket at a time and a large bucket in blocks;
-what comes out are the pairs that pass the estimate, each once, in its first common bucket.
+what comes out are the pairs that pass the estimate, each once, in its first common bucket. In a
+large bucket the elements themselves are compared, too, by 16 bits of each: what they have in common at
+most is a bound that no link misses, and only few pairs of a large family whose members are nearly
+alike enough are left to be confirmed.
 """
 
 from __future__ import annotations
@@ -138,11 +141,49 @@ def _near_hub(least: float):
     return run
 
 
-def _compare(rows: int, least: float):
-    """Map function over (block, key, id, comp, side, sig), sorted by block: candidates across components.
+def _prints(expand: Expand):
+    """Map function over (id, items): 16 bits of each element of a set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            step = max(1, whole.num_rows * CONFIRM // max(whole.nbytes, 1))
+            for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                values, bounds = expand(batch.column(1))
+                short = (C.mix(values.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+                found = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((2 * np.asarray(bounds)).astype(np.int32)), pa.py_buffer(short)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["id", "prints"])
+
+    return run
+
+
+def _within_reach(prints: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets may reach percent / 100: elements of one whose 16 bits occur in the other are at least what both have.
+
+    prints holds the bits of set k from at[k] to at[k + 1]; of a set without bits nothing is known.
+    """
+    keep = np.ones(len(i), dtype=bool)
+    mark = np.zeros(1 << 16, dtype=bool)
+    order = np.argsort(i, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(i[order])) + 1) if len(i) else ():
+        own = prints[at[i[some[0]]] : at[i[some[0]] + 1]]
+        some = some[at[j[some] + 1] > at[j[some]]]
+        if not len(own) or not len(some):
+            continue
+        first, size = at[j[some]], at[j[some] + 1] - at[j[some]]
+        starts = np.cumsum(size) - size
+        mark[own] = True
+        both = np.add.reduceat(mark[prints[np.repeat(first - starts, size) + np.arange(size.sum())]], starts, dtype=np.int64)
+        mark[own] = False
+        keep[some] = 100 * both >= percent * (len(own) + size - both)
+    return keep
+
+
+def _compare(rows: int, least: float, percent: int):
+    """Map function over (block, key, id, comp, side, sig, prints), sorted by block: candidates across components.
 
     In a block, members of side 0 meet those of side 1; members of side 2 meet each other. A pair
-    comes out where its estimate passes, from the first bucket that has both only.
+    comes out where its estimate passes, from the first bucket that has both only, and where its
+    prints, if there are any, may reach percent / 100.
     """
 
     def pairs(n: int, side: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,11 +195,13 @@ def _compare(rows: int, least: float):
         use = comp[i] != comp[j]
         return i[use], j[use]
 
-    def test(ids: np.ndarray, sig: np.ndarray, bands: np.ndarray, key: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    def test(ids: np.ndarray, sig: np.ndarray, bands: np.ndarray, key: np.ndarray, prints: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
         near = estimates(sig[i], sig[j]) >= least
         i, j = i[near], j[near]
         same = bands[i] == bands[j]
         here = bands[i, same.argmax(axis=1)] == key[i]
+        i, j = i[here], j[here]
+        here = _within_reach(*prints, i, j, percent)
         x, y = ids[i[here]], ids[j[here]]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["hi", "lo"])
 
@@ -166,6 +209,8 @@ def _compare(rows: int, least: float):
         for batch in C.whole_groups(batches):
             block, key, ids, comp, side = (batch.column(k).to_numpy() for k in range(5))
             sig = C.matrix(batch.column(5))
+            raw, ends = C.string_bytes(batch.column(6).fill_null(b""))
+            prints = np.frombuffer(raw.tobytes(), dtype=np.uint16), ends // 2
             bands = band_keys(sig, rows)
             first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
             some, held = [], 0
@@ -174,7 +219,7 @@ def _compare(rows: int, least: float):
                 some.append((i + a, j + a))
                 held += len(i)
                 if held > 1 << 13 or b == len(block):
-                    yield test(ids, sig, bands, key.view(np.uint64), np.concatenate([x for x, _ in some]), np.concatenate([y for _, y in some]))
+                    yield test(ids, sig, bands, key.view(np.uint64), prints, np.concatenate([x for x, _ in some]), np.concatenate([y for _, y in some]))
                     some, held = [], 0
 
     return run
@@ -230,7 +275,11 @@ def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int,
     left = large.where("comp <> main").select("key", own("lefts").alias("bi"), others("rights").alias("bj"), "id", "comp", F.lit(0).alias("side"))
     right = large.select("key", others("lefts").alias("bi"), own("rights").alias("bj"), "id", "comp", F.lit(1).alias("side"))
     blocks = left.union(right).select(F.xxhash64("key", "bi", "bj").alias("block"), "key", "id", "comp", "side")
-    full = small.union(blocks).join(signature, "id").select("block", "key", "id", "comp", "side", "sig")
-    again = full.repartition("block").sortWithinPartitions("block", "side").mapInArrow(_compare(rows, least), "hi bigint, lo bigint")
+    crowded = s.save(large.select("id").distinct())
+    prints = s.save(sets.join(crowded, "id", "left_semi").mapInArrow(_prints(expand), "id bigint, prints binary"))
+    signed = signature.join(prints, "id", "left").select("id", "sig", "prints")
+    full = small.join(signature, "id").select("block", "key", "id", "comp", "side", "sig", F.lit(None).cast("binary").alias("prints"))
+    full = full.unionByName(blocks.join(signed, "id").select("block", "key", "id", "comp", "side", "sig", "prints"))
+    again = full.repartition("block").sortWithinPartitions("block", "side").mapInArrow(_compare(rows, least, percent), "hi bigint, lo bigint")
     edges = s.save(first.union(verified(s.save(again.distinct()))))
     return s.save(C.connected_components(edges, s))

@@ -61,6 +61,22 @@ def test_pipeline(spark, tmp_path):
     assert 40 <= len(rows) < 58
 
 
+def test_intermediate_tables_go(spark, tmp_path):
+    """After a run only the last stage's input and what its result reads are in the shared folder."""
+    import os
+
+    from evidence.llm.common import shared_dir
+
+    df = spark.createDataFrame([(i, t, "en", "host", len(t or "")) for i, t in make_rows()], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    new = sorted(set(os.listdir(folder)) - before)
+    assert [n.split("-")[0] for n in new] == ["packing", "pipeline"]
+    assert len(os.listdir(os.path.join(folder, new[1]))) == 1 and out.count() > 40
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     df = spark.createDataFrame([(i, t, "en", "host", len(t or "")) for i, t in make_rows()], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -118,6 +118,20 @@ def test_texts_built_to_collide_stay_apart(spark):
     assert {r["doc_id"]: r["n_kept"] for r in lines.line_dedup(df).collect()} == {1: 1, 2: 0, 3: 0, 4: 1, 5: 1}
 
 
+def test_bound_of_prints_loses_no_pair():
+    r = np.random.default_rng(3)
+    base = [r.integers(0, 2**63, size=60, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([r.permutation(base[k % 3])[: r.integers(20, 60)], r.integers(0, 2**63, size=r.integers(0, 15), dtype=np.uint64)])) for k in range(40)] + [np.zeros(0, np.uint64)]
+    at = np.cumsum([0, *map(len, sets)])
+    prints = (C.mix(np.concatenate(sets)) >> np.uint64(48)).astype(np.uint16)
+    i, j = np.triu_indices(41, 1)
+    for percent in (30, 50, 80):
+        true = np.array([100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b])) if len(sets[a]) and len(sets[b]) else True for a, b in zip(i, j)])
+        kept = linking._within_reach(prints, at, i, j, percent)
+        assert kept[true].all() and kept.sum() <= true.sum() + 3
+    assert linking._within_reach(prints, at, i[:0], j[:0], 80).shape == (0,)
+
+
 def test_string_hashes():
     """Lengths around eight bytes, zero bytes, and equal strings in different places."""
     words = [b"", b"a", b"a\0", b"\0", b"abcdefgh", b"abcdefg", b"abcdefghi", b"abcdefghj", b"a" * 300, b"abcdefgh"]

@@ -172,6 +172,14 @@ def clock_text(seconds: Column) -> Column:
     return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%d:%02d", m, s))
 
 
+def worded_date(text: Column, months: Sequence[str] = R.MONTHS) -> Column:
+    """The first "day. month year" of a text with the month as a word in any case; null for another word or a day that does not exist."""
+    pattern = r"(?U)(\d{1,2})\.\s*([^\W\d_]+)\s*(\d{4})"
+    day, name, year = (F.regexp_extract(text, pattern, k) for k in (1, 2, 3))
+    month = F.array_position(F.array(*map(F.lit, months)), F.lower(name))
+    return F.when(month > 0, F.try_to_date(F.concat_ws("-", year, month.cast("string"), day), "yyyy-M-d"))
+
+
 def host(url: Column) -> Column:
     """The host of a URL in lower case without a leading www.; null for what is none."""
     return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")

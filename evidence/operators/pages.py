@@ -69,7 +69,7 @@ def speeches_from_html(pages: DataFrame, url: str, html: str) -> DataFrame:
 
 
 def ballots_from_html(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """One row for each ballot page: url, session, number, clock, subject, result, declared (map)."""
+    """One row for each ballot page: url, session, number, date, clock, subject, result, declared (map)."""
     text = X.html_flat(_found(F.col(html), r"(?s)<h1[^>]*>(.*?)</h1>"))
     clock = r"(\d{1,2}:\d{2}(?::\d{2})?)"
     head = X.html_flat(F.substring_index(html, '<ul class="results">', 1))
@@ -80,7 +80,7 @@ def ballots_from_html(pages: DataFrame, url: str, html: str) -> DataFrame:
     declared = F.map_filter(F.create_map(*[x for v, c in total.items() for x in (F.lit(v), c)]), lambda k, v: v.isNotNull())
     return pages.select(
         url, F.regexp_extract(text, r"(\d+)\.\s*schůze", 1).try_cast("int").alias("session"), F.regexp_extract(text, r"(\d+)\.\s*hlasování", 1).try_cast("int").alias("number"),
-        _found(text, clock).alias("clock"), F.btrim(F.regexp_extract(text, clock + "(.*)$", 2)).alias("subject"),
+        X.worded_date(text).alias("date"), _found(text, clock).alias("clock"), F.btrim(F.regexp_extract(text, clock + "(.*)$", 2)).alias("subject"),
         F.upper(_found(X.html_flat(F.col(html)), r"(?iuU)(NÁVRH\s+(?:NE)?BYL\s+PŘIJAT)")).alias("result"), declared.alias("declared"),
     )
 

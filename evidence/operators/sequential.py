@@ -31,8 +31,8 @@ def _readings(digits: str) -> list[int]:
     return list(dict.fromkeys(out))
 
 
-def resolve_clock(values: list[str | None], morning: int = 7 * 3600, gap: int = 6 * 3600) -> list[int | None]:
-    """Seconds since the first day's midnight for ambiguous clock digits in order.
+def resolve_clock(values: list[str | None], morning: int = 7 * 3600, gap: int = 6 * 3600, last: int | None = None, day: int = 0) -> tuple[list[int | None], int | None, int]:
+    """Seconds since the first day's midnight for ambiguous clock digits in order, and the last time and its day to go on from.
 
     The first row prefers a reading from the morning on; then the reading and day (this one or the
     next) with the smallest step forward wins. No step within the gap: the reading nearest to the
@@ -40,8 +40,6 @@ def resolve_clock(values: list[str | None], morning: int = 7 * 3600, gap: int =
     and nothing moves.
     """
     out: list[int | None] = []
-    last: int | None = None
-    day = 0
     for v in values:
         options = _readings(v or "")
         if not options:
@@ -59,7 +57,7 @@ def resolve_clock(values: list[str | None], morning: int = 7 * 3600, gap: int =
                 at = min((x + day * DAY for x in options), key=lambda t: abs(t - last))
                 last = max(last, at)
         out.append(at)
-    return out
+    return out, last, day
 
 
 def ambiguous_clocks(rows: DataFrame, key: list[str], pos: str, digits: str) -> DataFrame:
@@ -67,7 +65,7 @@ def ambiguous_clocks(rows: DataFrame, key: list[str], pos: str, digits: str) ->
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(pos)
-        return f.assign(at=pd.array(resolve_clock([x if isinstance(x, str) else None for x in f[digits]]), dtype="Int64"))
+        return f.assign(at=pd.array(resolve_clock([x if isinstance(x, str) else None for x in f[digits]])[0], dtype="Int64"))
 
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema)
     return rows.groupBy(*key).applyInPandas(run, f"{schema}, at bigint")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as X
 from ..operators import gates as G
 from ..operators import pages as H
@@ -154,17 +155,20 @@ def speeches_from_html(t: Tables) -> DataFrame:
     return H.speeches_from_html(pages, "url", "html").select("url", "person_id", "last_name", "anchor", "turn", F.array_join("ballots", ",").alias("ballots"), "section", "text")
 
 
-@query("""select 'u' || o_orderkey as url, (o_custkey % 90)::integer as session, o_orderkey::integer as number, '14:05' as clock, o_orderpriority as subject, case when o_orderstatus = 'F' then 'NÁVRH BYL PŘIJAT' else 'NÁVRH NEBYL PŘIJAT' end as result,
+@query("""select 'u' || o_orderkey as url, (o_custkey % 90)::integer as session, o_orderkey::integer as number, case when o_orderkey % 11 > 0 then o_orderdate::date end as date, '14:05' as clock, o_orderpriority as subject, case when o_orderstatus = 'F' then 'NÁVRH BYL PŘIJAT' else 'NÁVRH NEBYL PŘIJAT' end as result,
   (o_custkey % 7)::integer as pro, (3 + o_custkey % 5)::integer as away from orders""")
 def ballots_from_html(t: Tables) -> DataFrame:
     s = lambda c: c.cast("string")
     cust, key = F.col("o_custkey"), F.col("o_orderkey")
+    months = F.array(*map(F.lit, R.MONTHS))
+    month = F.when(key % 11 == 0, F.lit("brumairu")).when(key % 2 == 0, F.upper(months[F.month("o_orderdate") - 1])).otherwise(months[F.month("o_orderdate") - 1])
+    worded = F.concat(s(F.day("o_orderdate")), F.lit(". "), month, F.lit(" "), s(F.year("o_orderdate")))
     html = F.concat(
-        F.lit("<h1>"), s(cust % 90), F.lit(". schůze, "), s(key), F.lit(". hlasování, 5. ledna 2026, 14:05 "), F.col("o_orderpriority"), F.lit("</h1><p>NÁVRH "), F.when(F.col("o_orderstatus") == "F", "BYL").otherwise("NEBYL"),
+        F.lit("<h1>"), s(cust % 90), F.lit(". schůze, "), s(key), F.lit(". hlasování, "), worded, F.lit(", 14:05 "), F.col("o_orderpriority"), F.lit("</h1><p>NÁVRH "), F.when(F.col("o_orderstatus") == "F", "BYL").otherwise("NEBYL"),
         F.lit(" PŘIJAT</p><p>Ano: "), s(cust % 7), F.lit(" Ne: 1 Nepřihlášen: "), s(cust % 5), F.lit(' Omluven: 3</p><ul class="results"></ul>'),
     )
     out = H.ballots_from_html(t.orders.select(F.concat(F.lit("u"), s(key)).alias("url"), html.alias("html")), "url", "html")
-    return out.select("url", "session", "number", "clock", "subject", "result", F.col("declared")["PRO"].alias("pro"), F.col("declared")["NEPRIHLASEN"].alias("away"))
+    return out.select("url", "session", "number", "date", "clock", "subject", "result", F.col("declared")["PRO"].alias("pro"), F.col("declared")["NEPRIHLASEN"].alias("away"))
 
 
 @query("""select 'u' || l_orderkey as url, l_suppkey::varchar as person_id, 'm ' || l_partkey as name, l_linestatus as club, case l_returnflag when 'A' then 'yes' when 'N' then 'no' else 'odd' end as flag, case l_returnflag when 'A' then 'PRO' when 'N' then 'PROTI' else 'NEPRIHLASEN' end as vote,

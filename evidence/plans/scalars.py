@@ -23,7 +23,7 @@ def clean_speech(t: Tables) -> DataFrame:
     return d.select("doc_id", "clean", F.when(F.col("clean") == "", F.length("text")).otherwise(F.length("text") - F.length("clean")).cast("bigint").alias("removed"))
 
 
-SPAN_SQL = r"""s as (select doc_id, text, substr(text, 1 + (doc_id * 7919 % (len(text) - 5))::integer, 6) as snippet, (doc_id * 7919 % (len(text) - 5) + case when doc_id % 3 = 0 then 0 else doc_id % 40 end)::integer as start from documents where len(text) >= 100),
+SPAN_SQL = r"""s as (select doc_id, text, substr(text, 1 + (doc_id * 7919 % greatest(len(text) - 5, 1))::integer, 6) as snippet, (doc_id * 7919 % greatest(len(text) - 5, 1) + case when doc_id % 3 = 0 then 0 else doc_id % 40 end)::integer as start from documents where len(text) >= 6),
   p as (select *, case when strpos(substr(text, start + 1), snippet) > 0 then start + strpos(substr(text, start + 1), snippet) - 1 end as after,
     case when strpos(reverse(substr(text, 1, start + 5)), reverse(snippet)) > 0 then least(start + 5, len(text)) - 6 - (strpos(reverse(substr(text, 1, start + 5)), reverse(snippet)) - 1) end as before0 from s),
   q as (select *, case when before0 < start then before0 end as before from p),
@@ -32,7 +32,7 @@ SPAN_SQL = r"""s as (select doc_id, text, substr(text, 1 + (doc_id * 7919 % (len
 
 def _spans(t: Tables) -> DataFrame:
     """A snippet from a place anywhere in each text, and a start that is right or up to 39 characters late."""
-    d = t.documents.where(F.length("text") >= 100)
+    d = t.documents.where(F.length("text") >= 6)
     place = F.col("doc_id") * 7919 % (F.length("text") - 5)
     start = place + F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("doc_id") % 40)
     return d.select("doc_id", "text", F.substring(F.col("text"), (1 + place).cast("int"), F.lit(6)).alias("snippet"), start.cast("int").alias("start"))
@@ -131,7 +131,7 @@ def quote_check(t: Tables) -> DataFrame:
     return t.documents.withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id").select("doc_id", X.quote_reason(F.col("text"), F.col("quote")).alias("reason"))
 
 
-@query(r"""with q as (select doc_id, text, case doc_id % 5 when 0 then '' when 1 then 'missing words here' when 2 then repeat('x', 401) else substr(text, 30, 25) end as quote, case doc_id % 2 when 0 then 'THE' else 'Zeppelinx' end as name from documents where len(text) > 100),
+@query(r"""with q as (select doc_id, text, case doc_id % 5 when 0 then '' when 1 then 'missing words here' when 2 then repeat('x', 401) else substr(text, 30, 25) end as quote, case doc_id % 2 when 0 then 'THE' else 'Zeppelinx' end as name from documents where text is not null),
   r as (select *, strpos(text, quote) as at_pos from q)
   select doc_id, case when quote = '' then 'empty' when len(quote) > 400 then 'too long' when at_pos = 0 then 'not in text'
     when not contains(lower(substr(text, greatest(at_pos - 300, 1), at_pos - greatest(at_pos - 300, 1) + len(quote) + 300)), lower(name)) then 'name not near' end as reason from r""")
@@ -139,7 +139,7 @@ def attributed_quote_check(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 5
     quote = F.when(k == 0, "").when(k == 1, "missing words here").when(k == 2, "x" * 401).otherwise(F.substring("text", 30, 25))
     name = F.when(F.col("doc_id") % 2 == 0, "THE").otherwise("Zeppelinx")
-    return t.documents.where(F.length("text") > 100).select("doc_id", X.attributed_reason(F.col("text"), quote, name).alias("reason"))
+    return t.documents.where("text is not null").select("doc_id", X.attributed_reason(F.col("text"), quote, name).alias("reason"))
 
 
 @query(r"""with s as (select conv_id, turn, text, coalesce(sum(len(text) + 1) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as a from conversations where text is not null),
@@ -271,9 +271,9 @@ def parse_role_response(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", a["passed"].alias("passed"), F.size(a["defences"]).alias("defences"), X.stance_answer(said).alias("stance"))
 
 
-@query(r"""select doc_id, doc_id || '-c1' as claim_id, 0::bigint as char_start, len(text)::bigint as char_end from documents where len(text) > 20""")
+@query(r"""select doc_id, doc_id || '-c1' as claim_id, 0::bigint as char_start, len(text)::bigint as char_end from documents where len(text) > 0""")
 def claims_from_json(t: Tables) -> DataFrame:
-    d = t.documents.where(F.length("text") > 20)
+    d = t.documents.where(F.length("text") > 0)
     claim = F.to_json(F.struct(
         F.lit("s").alias("subject"), F.lit("p").alias("predicate"), F.lit("o").alias("object"), F.lit("t").alias("timeFrame"), F.lit("c").alias("condition"), F.lit(" policy ").alias("claimCategory"),
         F.lit("own_stance").alias("speechAct"), F.col("text").alias("rawSpan"), F.lit("0.9").alias("extractionConfidence"),

@@ -40,9 +40,9 @@ def final_votes(claims: DataFrame, finals: DataFrame, bill: str, session: str, o
     Sessions are joined by set, so that claims of a second session of one bill are not lost.
     """
     pick = F.max_by if last else F.min_by
-    whole = F.struct(session, *columns)
+    whole = F.struct(session, *columns, F.col(order).alias("_order"))
     own = finals.groupBy(bill, session).agg(pick(whole, order).alias("own"))
-    any_ = finals.groupBy(bill).agg(pick(whole, order).alias("any"))
+    any_ = own.groupBy(bill).agg(pick("own", "own._order").alias("any"))  # the finals are read and shuffled once
     found = claims.join(own, [bill, session], "left").join(any_, bill, "left").withColumn("f", F.coalesce("own", "any"))
     return found.select(*claims.columns, F.col(f"f.{session}").alias(f"final_{session}"), *[F.col(f"f.{c}").alias(c) for c in columns])
 
@@ -61,6 +61,16 @@ def linked_finals(claims: DataFrame, ballots: DataFrame, annulled: DataFrame, ba
     return out.join(ballots.select(ballot).distinct(), ballot, "left_semi").join(annulled.select(ballot).distinct(), ballot, "left_anti")
 
 
+def one_vote(votes: DataFrame, ballot: Column, person: Column, code: Column, pro: str, against: str, name: str = "vote") -> DataFrame:
+    """ballot, person and the direction of the person's vote; of several the first by name (JINAK, PRO, PROTI).
+
+    Codes are numbers while they are aggregated, so that Spark can hash in place instead of sorting.
+    """
+    number = F.when(code == pro, 1).when(code == against, 2).otherwise(0)
+    one = votes.groupBy(ballot.alias("ballot"), person.alias("person")).agg(F.min(number).alias("_n"))
+    return one.select("ballot", "person", F.when(F.col("_n") == 1, PRO).when(F.col("_n") == 2, AGAINST).otherwise("JINAK").alias(name))
+
+
 def agreement(stance: Column, vote: Column) -> Column:
     """SHODA, NESHODA, or NEHLASOVAL for a vote without a direction."""
     return F.when(~F.coalesce(vote.isin(PRO, AGAINST), F.lit(False)), "NEHLASOVAL").when(vote == stance, "SHODA").otherwise("NESHODA")

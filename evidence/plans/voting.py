@@ -101,7 +101,7 @@ CLAIM_SQL = f"""{FINAL_SQL}, votes as (select l_orderkey as ballot, l_suppkey as
 
 
 def _claim_votes(t: Tables) -> DataFrame:
-    votes = t.lineitem.groupBy(F.col("l_orderkey").alias("ballot"), F.col("l_suppkey").alias("person")).agg(F.min(V.direction(F.col("l_returnflag"), "A", "N")).alias("vote"))
+    votes = V.one_vote(t.lineitem, F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_returnflag"), "A", "N")
     stance = F.when(F.col("event_id") % 2 == 0, V.PRO).otherwise(V.AGAINST)
     return _final_votes(t).where("final_session = session").join(votes, "ballot").withColumn("stance", stance)
 
@@ -259,7 +259,7 @@ def _gated(t: Tables) -> DataFrame:
         "event_id", (F.col("ballot") + F.when(F.col("event_id") % 19 == 0, 100000000).otherwise(0)).alias("ballot"), "person", "stance",
         F.when(F.col("event_id") % 7 == 0, V.PRO).otherwise(F.col("vote")).alias("vote"), F.when(F.col("event_id") % 5 == 0, "SHODA").otherwise(right).alias("agreement"),
     )
-    votes = t.lineitem.groupBy(F.col("l_orderkey").alias("ballot"), F.col("l_suppkey").alias("person")).agg(F.min(V.direction(F.col("l_returnflag"), "A", "N")).alias("data_vote"))
+    votes = V.one_vote(t.lineitem, F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_returnflag"), "A", "N", "data_vote")
     ballots = t.orders.select(F.col("o_orderkey").alias("ballot"))
     annulled = t.lineitem.where("l_tax = 0.08").select(F.col("l_orderkey").alias("ballot"))
     return G.gate_agreement(stored, ballots, annulled, votes)

@@ -18,17 +18,17 @@ from .registry import Tables, query
 from .stats import MACRO_SQL, articles_sql, macro
 
 
-@query("""with s as (select l_orderkey + case when l_partkey % 23 = 0 then 10000000 else 0 end as ballot, l_linenumber as chapter, l_suppkey, l_partkey, substr(l_returnflag, 1, 1) as quote, l_linenumber % 4 as n from lineitem),
-    ch as (select unnest(range(1, 7)) as chapter, 'A text of R and N' as text), ty as (select l_orderkey as ballot, count(*) as data_n from lineitem group by 1)
+@query("""with s as (select l_orderkey + case when l_partkey % 23 = 0 then 10000000 else 0 end as ballot, l_orderkey % 250 as chapter, l_suppkey, l_partkey, case l_returnflag when 'A' then 'the' when 'N' then 'des' else 'tion' end as quote, l_linenumber % 4 as n from lineitem),
+    ch as (select doc_id as chapter, coalesce(text, '') as text from documents), ty as (select l_orderkey as ballot, count(*) as data_n from lineitem group by 1)
   select s.ballot, s.chapter, l_suppkey, l_partkey, case when ch.text is null then 'chapter missing' when not contains(ch.text, quote) then 'quote not in text' when o_orderkey is null then 'ballot missing'
     when a.k is not null then 'ballot annulled' when n is distinct from data_n then 'tally differs' end as reason
   from s left join ch using (chapter) left join orders on o_orderkey = s.ballot left join (select distinct l_orderkey as k from lineitem where l_tax = 0.08) a on a.k = s.ballot left join ty on ty.ballot = s.ballot""")
 def gate_commitment(t: Tables) -> DataFrame:
     s = t.lineitem.select(
-        (F.col("l_orderkey") + F.when(F.col("l_partkey") % 23 == 0, 10000000).otherwise(0)).alias("ballot"), F.col("l_linenumber").alias("chapter"), "l_suppkey", "l_partkey",
-        F.substring("l_returnflag", 1, 1).alias("quote"), (F.col("l_linenumber") % 4).cast("bigint").alias("n"),
+        (F.col("l_orderkey") + F.when(F.col("l_partkey") % 23 == 0, 10000000).otherwise(0)).alias("ballot"), (F.col("l_orderkey") % 250).alias("chapter"), "l_suppkey", "l_partkey",
+        F.when(F.col("l_returnflag") == "A", "the").when(F.col("l_returnflag") == "N", "des").otherwise("tion").alias("quote"), (F.col("l_linenumber") % 4).cast("bigint").alias("n"),
     )
-    chapters = t.region.select(F.explode(F.sequence(F.lit(1), F.lit(6))).alias("chapter")).distinct().withColumn("text", F.lit("A text of R and N"))
+    chapters = t.documents.select(F.col("doc_id").alias("chapter"), F.coalesce("text", F.lit("")).alias("text"))
     tallies = t.lineitem.groupBy(F.col("l_orderkey").alias("ballot")).agg(F.count(F.lit(1)).alias("data_n"))
     annulled = t.lineitem.where("l_tax = 0.08").select(F.col("l_orderkey").alias("ballot"))
     out = G.gate_commitment(s, chapters, t.orders.select(F.col("o_orderkey").alias("ballot")), annulled, tallies, ["ballot"], ["n"])

@@ -425,3 +425,29 @@ def test_star_of_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "hi long, lo long"), Scratch(spark, "test")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + k: 100 for k in range(1, 30)} | {202: 201, 203: 201, 205: 201}
     assert connected_components(spark.createDataFrame([], "hi long, lo long"), Scratch(spark, "test")).count() == 0
+
+
+def test_registered_queries(spark, rows, docs, tmp_path):
+    """The queries themselves, with their parameters, over a folder of tables."""
+    from evidence.llm import queries
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {n: queries.QUERIES[n](spark, str(tmp_path)) for n in ("op2_minhash", "op3_tokens", "op5_suffix", "op6_lines", "op8_pieces", "op10_packing")}
+    want = components([(i, shingle_set(t, 4)) for i, t in rows if i is not None])
+    assert all(r["component_id"] == want.get(r["doc_id"]) for r in got["op2_minhash"].collect())
+    cut = brute_suffix(rows)
+    assert all((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == cut[r["doc_id"]][:4] for r in got["op5_suffix"].collect())
+    clean = brute_lines(rows)
+    digest = lambda x: None if x is None else hashlib.sha256(x.encode()).hexdigest()
+    lines_of = got["op6_lines"].collect()
+    assert len(lines_of) == len(rows) and all(r["clean_sha256"] == digest(clean[r["doc_id"]]) for r in lines_of)
+    for name in ("op3_tokens", "op8_pieces"):
+        assert got[name].count() == len(rows)
+    packed = got["op10_packing"].collect()
+    by = collections.defaultdict(list)
+    for r in packed:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in by.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 1024
+    assert {(r["doc_id"]) for r in packed} == {i for i, _ in rows}

@@ -274,13 +274,13 @@ def read_nested_corpus(t: Tables) -> DataFrame:
 
 
 @query("""with m as (select strftime(o_orderdate, '%Y-%m') as month, o_orderdate, o_orderkey, o_totalprice from orders), d as (select o_orderdate::date as d, o_orderpriority as name, floor(max(o_totalprice)) as v from orders group by all)
-  select 'mean' as kind, '' as name, month, round(avg(o_totalprice), 3) as value from m group by month union all select 'last', '', month, arg_max(o_totalprice, (o_orderdate, o_orderkey)) from m group by month
+  select 'mean' as kind, '' as name, strftime(ts, '%Y-%m') as month, round(avg(value), 3) as value from events group by month union all select 'last', '', strftime(ts, '%Y-%m') as month, arg_max(value, (ts, event_id)) from events where value is not null group by month
   union all select 'rate', '', month, round(arg_max(o_totalprice, o_orderkey), 2) from m where o_orderkey % 5 <> 4 group by month
   union all select 'table', name, strftime(d, '%Y-%m'), round(avg(v), 3) from d group by all""")
 def flatten_series(t: Tables) -> DataFrame:
     """Three kinds of sources: rows, records whose keys change, and a piped table with a column a priority."""
     o = t.orders
-    rows = files.monthly(o.select(F.struct("o_orderdate", "o_orderkey").alias("at"), F.col("o_orderdate").alias("day"), "o_totalprice"), "day", "o_totalprice", order="at")
+    rows = files.monthly(t.events.select(F.struct("ts", "event_id").alias("at"), "ts", "value"), "ts", "value", order="at")
     plain = rows.select("month", F.inline(F.array(F.struct(F.lit("mean").alias("kind"), F.col("mean").alias("value")), F.struct(F.lit("last").alias("kind"), F.col("last").alias("value"))))).withColumn("name", F.lit(""))
     # a record names its day and its rate in one of five ways, and one in five has no usable rate
     way, day = F.col("o_orderkey") % 5, F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))

@@ -3,7 +3,7 @@
 Words are counted by Spark's own functions. Of each word of the vocabulary the rarest bigrams are its prefix, and two
 disjoint ones of them its pivots. If two words are one edit apart, that edit leaves at least one pivot of the word with the
 smaller prefix whole, and this bigram is in the other word's prefix; all letters before it or all after it
-are then the same as well, which is the position limit that the join uses.
+are then the same as well, which is the position limit that the join uses, with one letter of the rest.
 """
 
 from __future__ import annotations
@@ -80,12 +80,18 @@ def signatures(words: DataFrame, counts: dict[str, int]) -> DataFrame:
 
 
 def _keys(signed: DataFrame, places: str) -> DataFrame:
-    """A row for each named bigram and side: a hash of the side, the bigram and all letters before it, or all after it."""
-    at = F.col("at")
-    rows = signed.select("word", "n", "last", F.explode(places).alias("at"))
-    head = F.xxhash64(F.lit("head"), F.substr("word", F.lit(1), at + 2))
-    tail = F.xxhash64(F.lit("tail"), F.substr("word", at + 1))
-    return rows.select("word", "n", "last", F.explode(F.array(head, tail)).alias("key"))
+    """A row for each named bigram, side and key: hashes of the bigram with all letters before it, or all after it, and one letter of the rest.
+
+    One edit of the rest leaves its letter next to the bigram or its letter at the word's other end; only a rest of at most one letter may lose both.
+    """
+    at, size = F.col("at"), F.length("word")
+    head, tail = F.substr("word", F.lit(1), at + 2), F.substr("word", at + 1)
+    key = lambda mark, *parts: F.xxhash64(F.lit(mark), *parts)
+    keys = F.array(
+        F.when(size > at + 2, key("head next", F.substr("word", F.lit(1), at + 3))), F.when(size > at + 2, key("head end", head, F.substring("word", -1, 1))), F.when(size <= at + 3, key("head", head)),
+        F.when(at > 0, key("tail next", F.substr("word", at))), F.when(at > 0, key("tail end", tail, F.substring("word", 1, 1))), F.when(at <= 1, key("tail", tail)),
+    )
+    return signed.select("word", "n", "last", F.explode(places).alias("at")).select("word", "n", "last", F.explode(F.array_compact(keys)).alias("key"))
 
 
 def near_pairs(signed: DataFrame) -> DataFrame:

@@ -267,7 +267,7 @@ def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int,
     mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("c")).where("c < m")
     cut = lambda n: F.when(F.col("m") <= SIDE, F.lit(1)).otherwise(F.ceil(n / SIDE)).cast("int")
     mixed = s.save(mixed.select("key", "main", "m", cut(F.col("m") - F.col("c")).alias("lefts"), cut(F.col("m")).alias("rights")))
-    dealt = C.salted_join(now, mixed, ["key"], "m", F.xxhash64("id"))
+    dealt = s.save(C.salted_join(now, mixed, ["key"], "m", F.xxhash64("id")))  # saved, as small and large buckets read it several times
     small = dealt.where(F.col("m") <= SIDE).select(F.col("key").alias("block"), "key", "id", "comp", F.lit(2).alias("side"))
     large = dealt.where(F.col("m") > SIDE)
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")

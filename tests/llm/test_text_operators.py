@@ -451,3 +451,17 @@ def test_registered_queries(spark, rows, docs, tmp_path):
         places.sort()
         assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 1024
     assert {(r["doc_id"]) for r in packed} == {i for i, _ in rows}
+
+
+def test_members_are_joined_once_for_small_and_large_buckets(spark, docs, monkeypatch):
+    """Each join of all members against their buckets runs once, however many kinds of buckets are compared."""
+    plans, save = [], C.Scratch.save
+
+    def noted(self, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return save(self, df)
+
+    monkeypatch.setattr(C.Scratch, "save", noted)
+    monkeypatch.setattr(linking, "SIDE", 2)
+    lines.line_dedup(docs)
+    assert sum(p.count("Join LeftOuter, (key#") for p in plans) == 3  # members and sizes, members and hubs, members and mixed buckets

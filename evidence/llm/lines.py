@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .linking import BITS, link
+from .linking import BITS, link, meeting
 
 BINS, ROWS = 168, 7
 #: Estimated similarity under which a candidate is discarded: at a similarity of 0.8 with a probability of 0.00003, far less than the bands lose.
@@ -174,9 +174,14 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gram_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted sets of the five-character runs of lines."""
-    x = Lines(*C.string_bytes(column.cast(pa.string())))
-    return C.distinct_sorted(*x.grams(np.arange(len(column))))
+    """Sorted sets of the five-character runs of lines; those of equal lines, as of a hub, are made once."""
+    items = column.dictionary_encode()
+    x = Lines(*C.string_bytes(items.dictionary.cast(pa.string())))
+    values, bounds = C.distinct_sorted(*x.grams(np.arange(len(items.dictionary))))
+    at = items.indices.to_numpy()
+    out = np.zeros(len(at) + 1, dtype=np.int64)
+    np.cumsum(np.diff(bounds)[at], out=out[1:])
+    return np.concatenate([values[bounds[k] : bounds[k + 1]] for k in at.tolist()]), out
 
 
 def line_components(docs: DataFrame, percent: int, s: C.Scratch) -> DataFrame:
@@ -188,21 +193,22 @@ def line_components(docs: DataFrame, percent: int, s: C.Scratch) -> DataFrame:
     classes = docs.mapInArrow(_scan(True), f"{schema}, sig binary").groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("times"))
     reps = s.save(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "times", *[F.col(f"first.{c}").alias(c) for c in ("doc_id", "text_key", "pos", "sig")]))
 
-    def items(ids: DataFrame) -> DataFrame:
-        # the text of one line of each class: that of its first place
-        at = reps.select("id", "h1", "h2", "doc_id", "text_key", "pos").join(ids, "id", "left_semi")
-        at = s.save(at.mapInArrow(_places, "id bigint, h1 bigint, h2 bigint, place bigint"))
-        texts = docs.mapInArrow(_texts(C.bit_filter(at, "place")), "place bigint, h1 bigint, h2 bigint, items binary").distinct()
-        return at.join(texts, ["place", "h1", "h2"]).select("id", "items")
+    met, counted = meeting(reps, ROWS, s)
+    several = s.save(reps.where("times > 1").select("id", "h1", "h2", "times", place.alias("own")))
+    s.drop(reps)  # with all signatures, nearly as large as the input
+    # the text of one line of each class: that of its first place
+    at = s.save(met.select("id", "h1", "h2", "doc_id", "text_key", "pos").mapInArrow(_places, "id bigint, h1 bigint, h2 bigint, place bigint"))
+    texts = docs.mapInArrow(_texts(C.bit_filter(at, "place")), "place bigint, h1 bigint, h2 bigint, items binary").distinct()
+    sets = s.save(at.join(texts, ["place", "h1", "h2"]).select("id", "items"))
 
-    comp = link(reps, items, percent, ROWS, LEAST, s, expand=_gram_sets)
+    comp = link(met, counted, sets, percent, ROWS, LEAST, s, expand=_gram_sets)
     grouped = s.save(comp.select("node", "component").union(comp.select(F.col("component").alias("node"), "component").distinct()))
-    near = s.save(grouped.join(reps.select("id", "h1", "h2", place.alias("own")), F.col("node") == F.col("id")).select("component", "h1", "h2", "own"))
+    near = s.save(grouped.join(met.select("id", "h1", "h2", "times", place.alias("own")), F.col("node") == F.col("id")).select("component", "id", "h1", "h2", "times", "own"))
     stays = near.groupBy("component").agg(F.min("own").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    near = C.salted_join(near, stays, ["component"], "n", F.col("h1")).select("h1", "h2", "keeper")
-    # what a class keeps: the keeper of its component, or its own first line
-    some = reps.select("h1", "h2", "times", place.alias("own")).join(near, ["h1", "h2"], "left").where("times > 1 or keeper is not null").select("h1", "h2", "times", F.coalesce("keeper", "own").alias("keeper"))
-    some = s.save(some)
+    near = s.save(C.salted_join(near, stays, ["component"], "n", F.col("h1")).select("id", "h1", "h2", "times", "keeper"))
+    # what a class keeps: the keeper of its component, or of equal lines without one the first
+    alone = several.join(near, "id", "left_anti").select("h1", "h2", "times", F.col("own").alias("keeper"))
+    some = s.save(near.drop("id").union(alone))
     lines = docs.mapInArrow(_scan(False, C.bit_filter(some, "h1")), schema)
     return C.salted_join(lines, some, ["h1", "h2"], "times", F.col("doc_id")).where(place != F.col("keeper")).select("doc_id", "text_key", "pos")
 

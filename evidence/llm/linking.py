@@ -115,6 +115,18 @@ def _members(rows: int, shared: np.ndarray):
     return run
 
 
+def _picked(bits: np.ndarray):
+    """Map function: the rows whose last column, a hash, passes the filter, without it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hit = C.passes(bits, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
+                yield batch.select(batch.schema.names[:-1]).filter(pa.array(hit))
+
+    return run
+
+
 def _confirm(percent: int, expand: Expand):
     """Map function over (hi, lo, a, b): the pairs whose sets a and b reach percent / 100."""
 
@@ -225,13 +237,11 @@ def _compare(rows: int, least: float, percent: int):
     return run
 
 
-def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int, rows: int, least: float, s: C.Scratch, known: DataFrame | None = None, expand: Expand = as_sets) -> DataFrame:
-    """Components (node, component) of sets that reach a similarity of percent / 100.
+def meeting(reps: DataFrame, rows: int, s: C.Scratch) -> tuple[DataFrame, DataFrame]:
+    """The sets that share a bucket, and (id, key, n) of each of their buckets of n members.
 
-    reps is a saved table with one row a set: id bigint, sig binary; `rows` minima are
-    a band and `least` is the estimated similarity under which a candidate is discarded. items takes a table of ids and returns (id, items), once for all sets that share
-    a bucket; expand turns a column of items into sorted sets. known holds links (hi, lo) that
-    need no test.
+    reps is a saved table with one row a set, its columns id bigint, sig binary and others; `rows` minima are a
+    band. Most sets share no bucket, so theirs are the only rows of reps that later joins need to move.
     """
     signature = reps.select("id", "sig")
     one = reps.select(F.count(F.lit(1)), F.first(F.length("sig"))).first()
@@ -239,22 +249,35 @@ def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int,
     parts = 1 << max(3, int(keys // PART).bit_length())
     runs = signature.select("sig").mapInArrow(_key_runs(rows, parts), "part int, keys binary")
     shared = s.save(runs.groupBy("part").applyInArrow(_shared_keys, "key bigint"))
-    members = s.save(signature.mapInArrow(_members(rows, C.bit_filter(shared, "key")), "id bigint, key bigint").join(shared, "key", "left_semi"))
-    sizes = s.save(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    # what else passes the filter is alone with its key
+    members = s.save(signature.mapInArrow(_members(rows, C.bit_filter(shared, "key")), "id bigint, key bigint"))
+    sizes = s.save(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    counted = s.save(C.salted_join(members, sizes, ["key"], "n", F.xxhash64("id")))
+    ids = s.save(counted.select("id").distinct().withColumn("hash", F.xxhash64("id")))
+    picked = reps.withColumn("hash", F.xxhash64("id")).mapInArrow(_picked(C.bit_filter(ids, "hash")), reps.schema)
+    met = s.save(picked.join(ids.select("id"), "id", "left_semi"))
+    s.drop(shared, members, sizes, ids)  # nothing reads them any more
+    return met, counted
+
+
+def link(met: DataFrame, counted: DataFrame, sets: DataFrame, percent: int, rows: int, least: float, s: C.Scratch, known: DataFrame | None = None, expand: Expand = as_sets) -> DataFrame:
+    """Components (node, component) of sets that reach a similarity of percent / 100.
 
-    sets = s.save(items(members.select("id").distinct()))
+    met and counted are the results of `meeting`; sets is a saved table with (id, items) of each set in met, and
+    expand turns a column of items into sorted sets. `rows` minima are a band and `least` is the estimated similarity
+    under which a candidate is discarded. known holds links (hi, lo) that need no test.
+    """
+    signature = met.select("id", "sig")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = sets.toDF("hi", "a"), sets.toDF("lo", "b")
         return s.save(pairs.join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(_confirm(percent, expand), "hi bigint, lo bigint"))
 
     # first round: each member against the best connected hub of its buckets
-    counted = s.save(C.salted_join(members, sizes, ["key"], "n", F.xxhash64("id"), total=total))
     degree = counted.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
     graded = counted.join(degree, "id")
-    hubs = graded.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("hub"))
-    best = C.salted_join(graded.select("id", "key"), hubs.join(sizes, "key"), ["key"], "n", F.xxhash64("id"), total=total).groupBy("id").agg(F.max("hub").alias("hub"))
+    hubs = s.save(graded.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("hub"), F.first("n").alias("n")))
+    best = C.salted_join(counted.select("id", "key"), hubs, ["key"], "n", F.xxhash64("id")).groupBy("id").agg(F.max("hub").alias("hub"))
     pairs = best.select("id", (-F.col("hub.minus")).alias("to")).where("id <> to").select(F.greatest("id", "to").alias("hi"), F.least("id", "to").alias("lo")).distinct()
     a, b = signature.toDF("hi", "a"), signature.toDF("lo", "b")
     first = verified(s.save(pairs.join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(_near_hub(least), "hi bigint, lo bigint")))
@@ -268,6 +291,7 @@ def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int,
     cut = lambda n: F.when(F.col("m") <= SIDE, F.lit(1)).otherwise(F.ceil(n / SIDE)).cast("int")
     mixed = s.save(mixed.select("key", "main", "m", cut(F.col("m") - F.col("c")).alias("lefts"), cut(F.col("m")).alias("rights")))
     dealt = s.save(C.salted_join(now, mixed, ["key"], "m", F.xxhash64("id")))  # saved, as small and large buckets read it several times
+    s.drop(counted, hubs, now, mixed)
     small = dealt.where(F.col("m") <= SIDE).select(F.col("key").alias("block"), "key", "id", "comp", F.lit(2).alias("side"))
     large = dealt.where(F.col("m") > SIDE)
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
@@ -281,5 +305,6 @@ def link(reps: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int,
     full = small.join(signature, "id").select("block", "key", "id", "comp", "side", "sig", F.lit(None).cast("binary").alias("prints"))
     full = full.unionByName(blocks.join(signed, "id").select("block", "key", "id", "comp", "side", "sig", "prints"))
     again = full.repartition("block").sortWithinPartitions("block", "side").mapInArrow(_compare(rows, least, percent), "hi bigint, lo bigint")
-    edges = s.save(first.union(verified(s.save(again.distinct()))))
+    stars = comp.select(F.col("node").alias("hi"), F.col("component").alias("lo"))
+    edges = s.save(stars.union(verified(s.save(again.distinct()))))
     return s.save(C.connected_components(edges, s))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .linking import BITS, link
+from .linking import BITS, link, meeting
 
 HASHES, ROWS = 160, 5
 #: Estimated similarity under which a candidate is discarded; at a similarity of 0.8 it loses far less than the bands do.
@@ -82,7 +82,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     # a document with several texts stands in several classes: those are linked
     several = live.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("sets")).where("sets > 1").select("doc_id")
     own = live.join(several, "doc_id", "left_semi").join(classes, ["h1", "h2"]).where("doc_id <> rep.doc_id").select(F.col("doc_id").alias("hi"), F.col("rep.doc_id").alias("lo"))
-    comp = link(reps, lambda ids: _items(ids, reps, keyed, size, s), percent, ROWS, LEAST, s, own)
+    met, counted = meeting(reps, ROWS, s)
+    s.drop(reps)
+    comp = link(met, counted, s.save(_items(met, keyed, size, s)), percent, ROWS, LEAST, s, own)
 
     rep_of = classes.select("h1", "h2", "m", F.col("rep.doc_id").alias("rep"))
     named = s.save(rep_of.join(comp, rep_of["rep"] == comp["node"], "left").select("h1", "h2", "m", F.coalesce("component", "rep").alias("component_id")))
@@ -106,9 +108,9 @@ def _sets(size: int, bits: np.ndarray):
     return run
 
 
-def _items(ids: DataFrame, reps: DataFrame, keyed: DataFrame, size: int, s: C.Scratch) -> DataFrame:
+def _items(met: DataFrame, keyed: DataFrame, size: int, s: C.Scratch) -> DataFrame:
     """The shingle sets (id, items) of some classes, computed where their texts are."""
-    at = s.save(reps.select("id", "text_key").join(ids, "id", "left_semi"))
+    at = s.save(met.select("id", "text_key"))
     sets = keyed.mapInArrow(_sets(size, C.bit_filter(at, "text_key")), "doc_id bigint, text_key bigint, items array<bigint>")
     found = sets.join(at, (sets["doc_id"] == at["id"]) & (sets["text_key"] == at["text_key"]), "left_semi")
     return found.select(F.col("doc_id").alias("id"), "items").distinct()

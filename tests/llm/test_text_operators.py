@@ -465,3 +465,34 @@ def test_members_are_joined_once_for_small_and_large_buckets(spark, docs, monkey
     monkeypatch.setattr(linking, "SIDE", 2)
     lines.line_dedup(docs)
     assert sum(p.count("Join LeftOuter, (key#") for p in plans) == 3  # members and sizes, members and hubs, members and mixed buckets
+
+
+def test_only_sets_that_share_a_bucket_go_on(spark):
+    """Of all signatures those are left that later joins need, with their buckets; what only passes the filters is not."""
+    r = np.random.default_rng(8)
+    sig = r.integers(0, 256, size=(400, lines.BINS), dtype=np.uint8)
+    for k in range(30):
+        sig[200 + k, 7 * (k % 24) : 7 * (k % 24) + 7] = sig[k // 3, 7 * (k % 24) : 7 * (k % 24) + 7]
+    schema = "id long, sig binary, times int"
+    s = C.Scratch(spark, "test")
+    reps = s.save(spark.createDataFrame([(i, bytes(x.tobytes()), i % 3) for i, x in enumerate(sig)], schema))
+    met, counted = linking.meeting(reps, lines.ROWS, s)
+    keys = linking.band_keys(sig, lines.ROWS).view(np.int64)
+    n = collections.Counter(keys.ravel().tolist())
+    want = {(i, int(k), n[int(k)]) for i in range(400) for k in keys[i] if n[int(k)] > 1}
+    assert want and {(x["id"], x["key"], x["n"]) for x in counted.collect()} == want
+    got = {x["id"]: (bytes(x["sig"]), x["times"]) for x in met.collect()}
+    assert got == {i: (sig[i].tobytes(), i % 3) for i, _, _ in want}
+    none = s.save(spark.createDataFrame([], schema))
+    assert [t.count() for t in linking.meeting(none, lines.ROWS, s)] == [0, 0]
+
+
+def test_sets_of_repeated_lines():
+    import pyarrow as pa
+
+    lot = [b"abcdefg", b"xyz", b"abcdefg", "çedilla ééé".encode(), b"aaaaaaaaa", b"xyz"]
+    values, at = lines._gram_sets(pa.array(lot, pa.binary()))
+    for k, x in enumerate(lot):
+        own, _ = lines._gram_sets(pa.array([x], pa.binary()))
+        assert values[at[k] : at[k + 1]].tolist() == own.tolist()
+    assert np.diff(at).tolist() == [3, 1, 3, 7, 1, 1]

@@ -325,10 +325,16 @@ def shingles(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarr
 
 def distinct_sorted(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of each text in ascending order, and the number before each text."""
-    parts = [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    out = np.zeros(len(bounds), dtype=np.int64)
-    np.cumsum([len(p) for p in parts], out=out[1:])
-    return np.concatenate(parts) if parts else values[:0], out
+    values = values[bounds[0] : bounds[-1]].copy()
+    bounds = bounds - bounds[0]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        values[a:b].sort()
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    new[bounds[:-1][np.diff(bounds) > 0]] = True
+    before = np.zeros(len(values) + 1, dtype=np.int64)
+    np.cumsum(new, out=before[1:])
+    return values[new], before[bounds]
 
 
 def minima(values: np.ndarray, bounds: np.ndarray, n: int, seed: int) -> np.ndarray:

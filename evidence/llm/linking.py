@@ -9,7 +9,7 @@ How groups stay small in every task: a bucket (the sets with one band key) first
 member only its most connected member, the hub, so that a family of copies costs one test a
 copy. After those links are joined into components, only pairs across components are left.
 Their signatures are compared inside tasks, a bucket at a time and a large bucket in blocks;
-what comes out are the pairs that pass the estimate, each once, in its first common bucket. In a
+what comes out are the pairs that pass the estimate, each once, in its common bucket of the least key. In a
 large bucket the elements themselves are compared, too, by 16 bits of each: what they have in common at
 most is a bound that no link misses, and only few pairs of a large family whose members are nearly
 alike enough are left to be confirmed.
@@ -64,7 +64,9 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets reach percent / 100."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    values = np.concatenate([a, b])
+    values.sort()
+    both = np.count_nonzero(values[1:] == values[:-1])
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -115,7 +117,7 @@ def _members(rows: int, shared: np.ndarray):
     return run
 
 
-def _picked(bits: np.ndarray):
+def picked(bits: np.ndarray):
     """Map function: the rows whose last column, a hash, passes the filter, without it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +196,7 @@ def _compare(rows: int, least: float, percent: int):
     """Map function over (block, key, id, comp, side, sig, prints), sorted by block: candidates across components.
 
     In a block, members of side 0 meet those of side 1; members of side 2 meet each other. A pair
-    comes out where its estimate passes, from the first bucket that has both only, and where its
+    comes out where its estimate passes, from the bucket of the least key that has both only, and where its
     prints, if there are any, may reach percent / 100.
     """
 
@@ -210,8 +212,8 @@ def _compare(rows: int, least: float, percent: int):
     def test(ids: np.ndarray, sig: np.ndarray, bands: np.ndarray, key: np.ndarray, prints: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
         near = estimates(sig[i], sig[j]) >= least
         i, j = i[near], j[near]
-        same = bands[i] == bands[j]
-        here = bands[i, same.argmax(axis=1)] == key[i]
+        own = bands[i]
+        here = np.where(own == bands[j], own, np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == key[i]
         i, j = i[here], j[here]
         here = _within_reach(*prints, i, j, percent)
         x, y = ids[i[here]], ids[j[here]]
@@ -223,7 +225,7 @@ def _compare(rows: int, least: float, percent: int):
             sig = C.matrix(batch.column(5))
             raw, ends = C.string_bytes(batch.column(6).fill_null(b""))
             prints = np.frombuffer(raw.tobytes(), dtype=np.uint16), ends // 2
-            bands = band_keys(sig, rows)
+            bands = C.as_signed(band_keys(sig, rows))
             first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
             some, held = [], 0
             for a, b in zip(first, np.append(first[1:], len(block)), strict=True):
@@ -231,17 +233,19 @@ def _compare(rows: int, least: float, percent: int):
                 some.append((i + a, j + a))
                 held += len(i)
                 if held > 1 << 13 or b == len(block):
-                    yield test(ids, sig, bands, key.view(np.uint64), prints, np.concatenate([x for x, _ in some]), np.concatenate([y for _, y in some]))
+                    yield test(ids, sig, bands, key, prints, np.concatenate([x for x, _ in some]), np.concatenate([y for _, y in some]))
                     some, held = [], 0
 
     return run
 
 
 def meeting(reps: DataFrame, rows: int, s: C.Scratch) -> tuple[DataFrame, DataFrame]:
-    """The sets that share a bucket, and (id, key, n) of each of their buckets of n members.
+    """The sets that share a bucket, and (id, key, n, weight) of their buckets of n members.
 
     reps is a saved table with one row a set, its columns id bigint, sig binary and others; `rows` minima are a
-    band. Most sets share no bucket, so theirs are the only rows of reps that later joins need to move.
+    band. Most sets share no bucket, so theirs are the only rows of reps that later joins need to move. Near copies share
+    many buckets; of those with the same members (by their number and 128 bits over their ids) the one of the least key
+    stands for all, as it has the same pairs. weight: how many others the member meets in these buckets, repeats counted.
     """
     signature = reps.select("id", "sig")
     one = reps.select(F.count(F.lit(1)), F.first(F.length("sig"))).first()
@@ -251,11 +255,14 @@ def meeting(reps: DataFrame, rows: int, s: C.Scratch) -> tuple[DataFrame, DataFr
     shared = s.save(runs.groupBy("part").applyInArrow(_shared_keys, "key bigint"))
     # what else passes the filter is alone with its key
     members = s.save(signature.mapInArrow(_members(rows, C.bit_filter(shared, "key")), "id bigint, key bigint"))
-    sizes = s.save(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    print_of = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *print_of).where("n > 1")
+    alike = buckets.groupBy("n", "x1", "x2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("same"))
+    sizes = s.save(alike.select("key", "n", (F.col("same") * (F.col("n") - 1)).alias("weight")))
     counted = s.save(C.salted_join(members, sizes, ["key"], "n", F.xxhash64("id")))
     ids = s.save(counted.select("id").distinct().withColumn("hash", F.xxhash64("id")))
-    picked = reps.withColumn("hash", F.xxhash64("id")).mapInArrow(_picked(C.bit_filter(ids, "hash")), reps.schema)
-    met = s.save(picked.join(ids.select("id"), "id", "left_semi"))
+    maybe = reps.withColumn("hash", F.xxhash64("id")).mapInArrow(picked(C.bit_filter(ids, "hash")), reps.schema)
+    met = s.save(maybe.join(ids.select("id"), "id", "left_semi"))
     s.drop(shared, members, sizes, ids)  # nothing reads them any more
     return met, counted
 
@@ -274,7 +281,7 @@ def link(met: DataFrame, counted: DataFrame, sets: DataFrame, percent: int, rows
         return s.save(pairs.join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(_confirm(percent, expand), "hi bigint, lo bigint"))
 
     # first round: each member against the best connected hub of its buckets
-    degree = counted.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
+    degree = counted.groupBy("id").agg(F.sum("weight").alias("degree"))
     graded = counted.join(degree, "id")
     hubs = s.save(graded.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("hub"), F.first("n").alias("n")))
     best = C.salted_join(counted.select("id", "key"), hubs, ["key"], "n", F.xxhash64("id")).groupBy("id").agg(F.max("hub").alias("hub"))

@@ -496,3 +496,17 @@ def test_sets_of_repeated_lines():
         own, _ = lines._gram_sets(pa.array([x], pa.binary()))
         assert values[at[k] : at[k + 1]].tolist() == own.tolist()
     assert np.diff(at).tolist() == [3, 1, 3, 7, 1, 1]
+
+
+def test_buckets_of_the_same_members_count_once(spark):
+    """Two sets that share many buckets are compared in one of them, which is the one of the least key, with the weight of all."""
+    r = np.random.default_rng(9)
+    sig = r.integers(0, 256, size=(60, lines.BINS), dtype=np.uint8)
+    sig[41, 14:] = sig[40, 14:]  # 22 of 24 bands
+    sig[42, :14] = sig[40, :14]  # the other two
+    s = C.Scratch(spark, "test")
+    reps = s.save(spark.createDataFrame([(i, bytes(x.tobytes())) for i, x in enumerate(sig)], "id long, sig binary"))
+    _, counted = linking.meeting(reps, lines.ROWS, s)
+    keys = linking.band_keys(sig, lines.ROWS).view(np.int64)
+    many, two = int(keys[40, 2:].min()), int(keys[40, :2].min())
+    assert {tuple(x[c] for c in ("id", "key", "n", "weight")) for x in counted.collect()} == {(40, many, 2, 22), (41, many, 2, 22), (40, two, 2, 2), (42, two, 2, 2)}

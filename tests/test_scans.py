@@ -1,6 +1,7 @@
 """Blocks of intervals and scans in chunks against plain versions, and how they spread."""
 
 import datetime
+import hashlib
 import random
 
 from pyspark.sql import Window
@@ -102,3 +103,12 @@ def test_automaton_finds_the_longest_run():
         best = min(((-n, i) for i in range(len(a)) for n in range(1, len(a) - i + 1) if tuple(a[i : i + n]) in runs), default=(0, 0))
         found = Automaton(b)
         assert found.longest(a) == (best[1], -best[0]) and len(found.size) <= max(2 * len(b), 2)
+
+
+def test_places_of_more_rows_than_a_sample_holds(spark):
+    from evidence.operators import indexes
+
+    rows = spark.range(60000).select("id", F.md5(F.col("id").cast("string")).alias("o"), F.concat(F.lit("name "), "id").alias("name"))
+    got = indexes.ranked(rows, ["id", "name", "o"], [F.asc("o")]).drop("o").orderBy("place").collect()
+    order = sorted(range(60000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    assert [r["id"] for r in got] == order and [r["place"] for r in got] == list(range(1, 60001))

@@ -1,5 +1,6 @@
 """Similar items and nearest references against all pairs."""
 
+import hashlib
 import math
 import random
 
@@ -88,3 +89,10 @@ def test_recall_counts_leaks(spark):
     expected = spark.createDataFrame([(1, 2), (4, 9)], "item int, expected int")
     row = P.recall_at_k(found, expected, "item", "block", blocks).first()
     assert (row["queries"], row["hits"], row["leaks"], row["recall"]) == (2, 1, 1, 0.5)
+
+
+def test_balanced_sample_of_more_rows_than_a_sample_of_ranges_holds(spark):
+    rows = spark.range(100000).select("id", (F.col("id") % 4 == 0).alias("yes"), F.concat(F.lit("name "), "id").alias("name"))
+    got = [r["id"] for r in P.balanced_sample(rows, F.col("yes"), F.col("id")).collect()]
+    order = sorted((i for i in range(100000) if i % 4), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())
+    assert sorted(got) == sorted([*range(0, 100000, 4), *order[:50000]])

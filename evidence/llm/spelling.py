@@ -95,11 +95,14 @@ def _keys(signed: DataFrame, places: str) -> DataFrame:
 
 
 def near_pairs(signed: DataFrame) -> DataFrame:
-    """word, n, near and near_n for words one edit apart, in both directions; a pair may occur several times."""
+    """word, n, near and near_n for words one edit apart, in both directions; a pair may occur several times.
+
+    Both sides are exploded to some ten rows a word, which Spark's estimate leaves out, so it would send one of them whole through the driver.
+    """
     index = _keys(signed, "prefix")
     asked = _keys(signed, "pivots").select("key", F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("last").alias("near_last"))
     apart = F.abs(F.length("word") - F.length("near")) <= 1
-    found = index.join(asked, "key").where((F.col("last") >= F.col("near_last")) & (F.col("word") != F.col("near")) & apart & (F.levenshtein("word", "near", 1) == 1))
+    found = index.join(asked.hint("merge"), "key").where((F.col("last") >= F.col("near_last")) & (F.col("word") != F.col("near")) & apart & (F.levenshtein("word", "near", 1) == 1))
     both = F.explode(F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))))
     return found.select(both.alias("p")).select("p.*")
 
@@ -112,7 +115,7 @@ def roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
     cur = scratch.save(forms.select("word", F.col("form").alias("root")))
     while True:
         nxt = cur.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        new = scratch.save(cur.join(nxt, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        new = scratch.save(cur.join(nxt.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         moved = new.where("moved").limit(1).count()
         scratch.drop(cur)
         cur = new
@@ -143,7 +146,7 @@ def variants(docs: DataFrame, one_in: int = 97, letters: int = 5, least: int = 3
     better = -F.col("best.order") >= 2 * F.col("n")
     told = grouped.select("word", "n_near", F.when(better, F.col("best.near")).alias("form"), F.when(better, -F.col("best.order")).alias("form_n"))
     ends = roots(told.where(F.col("form").isNotNull()), s)
-    out = words.join(told, "word", "left").join(ends, "word", "left")
+    out = words.join(told.hint("merge"), "word", "left").join(ends.hint("merge"), "word", "left")  # files are smaller than the rows in them
     return out.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 

@@ -171,6 +171,13 @@ def test_pivots_are_the_cheapest_disjoint_pair():
         assert b - a >= 2 and cost[a] + cost[b] == min(x[1] + y[1] for x, y in itertools.combinations(places, 2) if y[0] - x[0] >= 2)
 
 
+def test_exploded_keys_are_not_broadcast(spark, tmp_path):
+    counts = {"ab": 1, "bc": 2, "cd": 3, "de": 4}
+    spark.createDataFrame([("abcde", 3)], "word string, n long").write.parquet(str(tmp_path / "words"))
+    near = spelling.near_pairs(spelling.signatures(spark.read.parquet(str(tmp_path / "words")), counts))
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chains_end_at_their_root(spark):
     from evidence.llm.common import Scratch
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.score import presentation_tier
 from ..functions.text import quote_reason
+from ..sources.files import saved
 from .votes import AGAINST, PRO, agreement
 
 
@@ -58,16 +59,21 @@ def gate_commitment(stored: DataFrame, chapters: DataFrame, ballots: DataFrame,
     In order: chapter missing, quote not in its text, ballot missing, ballot annulled, the
     recomputed counts differ (columns data_<count> of tallies, joined by key).
     """
+    text = chapters.select(F.col("chapter").alias("_chapter"), F.col("text").alias("_text"))
+    asked = stored.select(F.col("chapter").alias("_chapter"), F.col("quote").alias("_quote")).distinct().join(text, "_chapter")
+    within = F.when(F.col("_text").isNotNull(), F.coalesce(F.col("_text").contains(F.col("_quote")), F.lit(False)))
+    # each quote is sought in its chapter once, and no text goes further; saved, so that Spark knows its size
+    sought = saved(asked.select("_chapter", "_quote", within.alias("_within")), "quotes")
     joined = (
-        stored.join(chapters.select("chapter", F.col("text").alias("_text")), "chapter", "left")
+        stored.join(sought, (F.col("chapter") == F.col("_chapter")) & F.col("quote").eqNullSafe(F.col("_quote")), "left")
         .join(ballots.select("ballot", F.lit(True).alias("_known")).distinct(), "ballot", "left")
         .join(annulled.select("ballot", F.lit(True).alias("_annulled")).distinct(), "ballot", "left")
         .join(tallies.select(*key, *[f"data_{c}" for c in counts]), key, "left")
     )
     differs = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"data_{c}")) for c in counts])
     reason = first_reason(
-        (F.col("_text").isNull(), "chapter missing"),
-        (~F.coalesce(F.col("_text").contains(F.col("quote")), F.lit(False)), "quote not in text"),
+        (F.col("_within").isNull(), "chapter missing"),
+        (~F.col("_within"), "quote not in text"),
         (F.col("_known").isNull(), "ballot missing"),
         (F.col("_annulled").isNotNull(), "ballot annulled"),
         (differs, "tally differs"),

@@ -214,3 +214,21 @@ def test_evaluation(spark):
     verdicts = spark.createDataFrame([("a", 1, "no"), ("a", 2, "yes")], "k string, at int, verdict string")
     assert rows(E.verdict_left_join(keyed, verdicts, ["k"], "at"), "k", "verdict") == [("a", "yes"), (None, None)]
     assert rows(E.band_filter(spark.createDataFrame([(0.8, 0.95), (0.5, 1.0), (0.49, 1.0), (0.9, 0.94), (None, 1.0)], "s double, m double"), F.col("s"), F.col("m"), 0.5, 0.8, 0.95), "s", "band") == [(0.5, "lead"), (0.8, "tribunal")]
+
+
+def test_no_text_travels_with_commitments(spark):
+    from evidence.operators import gates
+
+    stored = spark.createDataFrame([(1, "a", 7, 2), (1, "x", 7, 2), (1, None, 7, 2), (2, "a", 7, 2), (3, "a", 7, 2), (1, "a", 8, 2), (1, "a", 9, 2), (1, "a", 7, 3)], "chapter int, quote string, ballot int, n int")
+    chapters = spark.createDataFrame([(1, "has a"), (2, None)], "chapter int, text string")
+    ballots, annulled = spark.createDataFrame([(7,), (9,)], "ballot int"), spark.createDataFrame([(9,)], "ballot int")
+    tallies = spark.createDataFrame([(7, 2), (9, 2)], "ballot int, data_n int")
+    out = gates.gate_commitment(stored, chapters, ballots, annulled, tallies, ["ballot"], ["n"])
+    got = {(r["chapter"], r["quote"], r["ballot"], r["n"]): r["reason"] for r in out.collect()}
+    assert got == {
+        (1, "a", 7, 2): None, (1, "x", 7, 2): "quote not in text", (1, None, 7, 2): "quote not in text", (2, "a", 7, 2): "chapter missing", (3, "a", 7, 2): "chapter missing",
+        (1, "a", 8, 2): "ballot missing", (1, "a", 9, 2): "ballot annulled", (1, "a", 7, 3): "tally differs",
+    }
+    twice = gates.gate_commitment(stored.limit(1), chapters.union(chapters), ballots, annulled, tallies, ["ballot"], ["n"])
+    assert twice.count() == 2
+    assert "_text" not in out._jdf.queryExecution().optimizedPlan().toString()

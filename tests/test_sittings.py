@@ -46,3 +46,25 @@ def test_worded_dates(spark):
     texts = ["12. schůze, 7. hlasování, 5. LEDNA 2026, 14:05", "31. února 2026", "1.září2025 a 2. října 2025", "5. smrště 2026", "schůze", None]
     got = [r[0] and str(r[0]) for r in spark.createDataFrame([(x,) for x in texts], "t string").select(X.worded_date(F.col("t"))).collect()]
     assert got == ["2026-01-05", None, "2025-09-01", None, None, None]
+
+
+def _small_groups():
+    r = random.Random(5)
+    rows = [(r.choice([None, 1, 2, 3, 4]), r.choice([None, "x", "y"]), i, r.choice("abc"), r.choice([None, "", "930", "1015", "2350", "10", "x"])) for i in range(150)]
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[:2], []).append(row)
+    return rows, groups
+
+
+def test_clocks_of_groups_over_several_batches(spark):
+    rows, groups = _small_groups()
+    df = spark.createDataFrame(rows, "g int, h string, pos int, label string, digits string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out = Q.ambiguous_clocks(df, ["g", "h"], "pos", "digits")
+        got = {r["pos"]: r["at"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {r[2]: at for own in groups.values() for r, at in zip(own, Q.resolve_clock([x[4] for x in own])[0], strict=True)}
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()  # no call for each group

@@ -68,3 +68,22 @@ def test_clocks_of_groups_over_several_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {r[2]: at for own in groups.values() for r, at in zip(own, Q.resolve_clock([x[4] for x in own])[0], strict=True)}
     assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()  # no call for each group
+
+
+def test_anchors_of_groups_over_several_batches(spark):
+    rows, groups = _small_groups()
+    df = spark.createDataFrame(rows, "g int, h string, pos int, label string, digits string").repartition(3)
+    right = df.where("pos % 4 <> 0").select("g", "h", "pos", "label", F.concat(F.lit("p"), "pos").alias("anchor"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out = Q.greedy_anchor_match(df, right, ["g", "h"], "pos", "label", "anchor")
+        got = {r["pos"]: r["anchor"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = {}
+    for own in groups.values():
+        other = [r for r in own if r[2] % 4]
+        for r, hit in zip(own, Q.match_in_order([r[3] for r in own], [r[3] for r in other]), strict=True):
+            expected[r[2]] = None if hit is None else f"p{other[hit][2]}"
+    assert got == expected
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()  # no call for each group

@@ -232,3 +232,22 @@ def test_no_text_travels_with_commitments(spark):
     twice = gates.gate_commitment(stored.limit(1), chapters.union(chapters), ballots, annulled, tallies, ["ballot"], ["n"])
     assert twice.count() == 2
     assert "_text" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _sittings(spark):
+    m = spark.createDataFrame([(d, i, 5, i % 2, f"n{d}") for d in (1, 2, 3) for i in range(4)] + [(4, 0, 6, 0, "n4")], "debate int, pos int, item int, person int, name string")
+    b = spark.createDataFrame([(70, 5, "Novela", "A"), (71, 5, "Novela", "R"), (72, 9, "Novela", "A")], "ballot int, item int, subject string, result string")
+    return m, b
+
+
+def _first_join(df):
+    return next(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_votes_are_repeated_for_debates_last(spark):
+    m, b = _sittings(spark)
+    v = spark.createDataFrame([(70, 0, "A", True), (70, 1, "X", False), (71, 1, "N", True), (72, 0, "A", True), (70, 3, "A", True)], "ballot int, person int, flag string, excused boolean")
+    out = V.ledger(m, b, v, "debate", "item", "pos", "ballot", "person", "name", "flag", ["A", "N"], "NONE")
+    assert out.columns == ["debate", "item", "ballot", "person", "name", "flag", "excused"]
+    assert sorted(tuple(r) for r in out.collect()) == sorted((d, 5, *x) for d in (1, 2, 3) for x in [(70, 0, f"n{d}", "A", True), (70, 1, f"n{d}", "NONE", False), (71, 1, f"n{d}", "N", True)])
+    assert "item#" in _first_join(out) and "ballot#" not in _first_join(out)

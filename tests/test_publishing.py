@@ -251,3 +251,12 @@ def test_votes_are_repeated_for_debates_last(spark):
     assert out.columns == ["debate", "item", "ballot", "person", "name", "flag", "excused"]
     assert sorted(tuple(r) for r in out.collect()) == sorted((d, 5, *x) for d in (1, 2, 3) for x in [(70, 0, f"n{d}", "A", True), (70, 1, f"n{d}", "NONE", False), (71, 1, f"n{d}", "N", True)])
     assert "item#" in _first_join(out) and "ballot#" not in _first_join(out)
+
+
+def test_ballots_are_told_before_they_are_repeated(spark):
+    m, b = _sittings(spark)
+    t = spark.createDataFrame([(70, "c", 1)], "ballot int, club string, pro int")
+    out = V.ledger_ballots(m, b, t, "debate", "item", "pos", "ballot", "subject", "result", "club")
+    got = sorted((r["debate"], r["ballot"], r["passed"], [tuple(x) for x in r["groups"] or []]) for r in out.collect())
+    assert got == sorted((d, *x) for d in (1, 2, 3) for x in [(70, True, [("c", 1)]), (71, False, [])])
+    assert "item#" in _first_join(out) and "ballot#" not in _first_join(out)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.files import saved
 
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
@@ -82,24 +83,47 @@ def chapters(pages: DataFrame, key: str, html: str, expected: Sequence[str] | No
     return rows.select(key, "pos", name(F.col("part")).alias("chapter"), title(F.col("part")).alias("title"), text.alias("text"))
 
 
-def locate_in_segments(segments: DataFrame, quotes: DataFrame, group: str, seq: str, text: str, quote: str, size: int = 16) -> DataFrame:
+def locate_in_segments(segments: DataFrame, quotes: DataFrame, group: str, seq: str, text: str, quote: str, size: int = 16, whole: int = 1 << 18) -> DataFrame:
     """The segment of its group in which each quote first begins; quotes may run over segment borders.
 
     Segments (seq tells those of a group apart) are joined by one blank; null segments are left out, and a null or empty
     quote is not found.
 
+    Segments of a group of up to `whole` characters are joined in one row, in which its quotes are sought. In larger groups a
+    quote is cut into pieces, and no text is longer than a segment and a piece (`_by_pieces`).
+    """
+    known = segments.where(F.col(text).isNotNull() & F.col(group).isNotNull()).select(group, F.col(seq).alias("_seq"), F.col(text).alias("_text"))
+    quotes = saved(quotes, "quotes")
+    asked = quotes.select(group, F.col(quote).alias("_quote")).where(F.length("_quote") > 0).distinct()
+    sizes = saved(known.groupBy(group).agg(F.sum(F.length("_text") + 1).alias("_chars")), "sizes")
+    small, large = sizes.where(F.col("_chars") <= whole).select(group), sizes.where(F.col("_chars") > whole).select(group)
+    parts = F.array_sort(F.collect_list(F.struct("_seq", "_text")))  # as many characters as `whole`
+    texts = known.join(small, group, "left_semi").groupBy(group).agg(parts.alias("_parts"))
+    texts = texts.select(group, F.array_join("_parts._text", " ").alias("_whole"), F.transform("_parts", lambda x: F.struct(x["_seq"].alias("seq"), (F.length(x["_text"]) + 1).alias("n"))).alias("_parts"))
+    hit = asked.join(texts.hint("merge"), group).withColumn("_place", F.position("_quote", "_whole") - 1).where("_place >= 0")
+    # the place goes in with the start, as Spark would compute it again for each segment inside the lambda
+    start = F.struct(F.lit(0).alias("at"), F.col("_place").alias("place"), F.col("_parts")[0]["seq"].alias("seq"))
+    step = lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), a["place"].alias("place"), F.when(a["at"] <= a["place"], x["seq"]).otherwise(a["seq"]).alias("seq"))
+    first = hit.select(group, "_quote", F.aggregate("_parts", start, step, lambda a: a["seq"]).alias(seq))
+    if not large.isEmpty():
+        first = first.union(_by_pieces(known.join(large, group, "left_semi"), asked.join(large, group, "left_semi"), group, seq, size))
+    return quotes.join(first.withColumnRenamed("_quote", quote), [group, quote])
+
+
+def _by_pieces(known: DataFrame, asked: DataFrame, group: str, seq: str, size: int) -> DataFrame:
+    """The first segment of each quote of groups that are too large for one row: group, _quote and seq.
+
     A quote is cut into pieces of `size` characters, the last one ending with it; a segment offers all its runs of
     that length, with those that run into the next segments. Pieces and runs meet by an equality join, and a place
-    where all pieces of a quote meet holds it. No text is longer than a segment and a piece.
+    where all pieces of a quote meet holds it.
     """
     order = Window.partitionBy(group).orderBy("_seq")
-    known = segments.where(F.col(text).isNotNull() & F.col(group).isNotNull()).select(group, F.col(seq).alias("_seq"), F.col(text).alias("_text"))
     after = F.collect_list(F.substring("_text", 1, size)).over(order.rowsBetween(1, size))  # a blank each, so `size` segments are enough
     placed = known.select(
         group, "_seq", F.coalesce(F.sum(F.length("_text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"),
         F.length("_text").alias("_n"), F.concat("_text", F.when(F.size(after) > 0, F.concat(F.lit(" "), F.array_join(after, " "))).otherwise("")).alias("_ext"),
     )
-    asked = quotes.select(group, F.col(quote).alias("_quote")).where(F.length("_quote") > 0).distinct().withColumn("_size", F.least(F.length("_quote"), F.lit(size)))
+    asked = asked.withColumn("_size", F.least(F.length("_quote"), F.lit(size)))
     last = F.length("_quote") - F.col("_size")
     pieces = asked.withColumn("_starts", F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.col("_size")), F.array(last))))
     pieces = pieces.select(group, "_quote", "_size", F.size("_starts").alias("_pieces"), F.explode("_starts").alias("_start"))
@@ -109,8 +133,7 @@ def locate_in_segments(segments: DataFrame, quotes: DataFrame, group: str, seq:
     runs = runs.select(group, "_seq", (F.col("_from") + F.col("_at")).alias("_place"), F.explode(F.transform("_sizes", lambda n: F.substr("_ext", F.col("_at") + 1, n))).alias("_run"))
     met = runs.join(pieces, [group, "_run"]).groupBy(group, "_quote", (F.col("_place") - F.col("_start")).alias("_begin"), "_pieces")
     found = met.agg(F.count_distinct("_start").alias("_met"), F.max(F.when(F.col("_start") == 0, F.col("_seq"))).alias(seq)).where("_met = _pieces")
-    first = found.groupBy(group, "_quote").agg(F.min_by(seq, "_begin").alias(seq))
-    return quotes.join(first.withColumnRenamed("_quote", quote), [group, quote])
+    return found.groupBy(group, "_quote").agg(F.min_by(seq, "_begin").alias(seq))
 
 
 def article_date(pages: DataFrame, html: str, as_of: Column) -> DataFrame:

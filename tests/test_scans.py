@@ -112,3 +112,17 @@ def test_places_of_more_rows_than_a_sample_holds(spark):
     got = indexes.ranked(rows, ["id", "name", "o"], [F.asc("o")]).drop("o").orderBy("place").collect()
     order = sorted(range(60000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
     assert [r["id"] for r in got] == order and [r["place"] for r in got] == list(range(1, 60001))
+
+
+def test_quotes_in_one_row_and_by_pieces_agree(spark):
+    from evidence.operators.rows import locate_in_segments
+
+    r = random.Random(13)
+    said = {g: ["".join(r.choice("ab ") for _ in range(r.choice((0, 1, 3, 30)))) for _ in range(n)] for g, n in (("g", 60), ("h", 9), ("one", 1))}
+    segments = spark.createDataFrame([(g, i, x) for g, xs in said.items() for i, x in enumerate(xs)], "g string, i int, t string")
+    quotes = [(g, " ".join(said[g])[a : a + n]) for g in said for a, n in ((r.randint(0, 300), r.choice((1, 2, 5, 15, 16, 17, 40, 90))) for _ in range(60))]
+    asked = spark.createDataFrame([*quotes, ("g", "zz"), ("g", None)], "g string, q string")
+    find = lambda whole: locate_in_segments(segments, asked, "g", "i", "t", "q", whole=whole)
+    results = [sorted(tuple(x) for x in find(whole).collect()) for whole in (0, 200, 1 << 18)]  # all by pieces, the large group, none
+    assert results[0] == results[1] == results[2] and len(results[0]) > 50
+    assert "Generate" not in find(1 << 18)._jdf.queryExecution().optimizedPlan().toString()  # no row for each character

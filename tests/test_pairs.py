@@ -96,3 +96,11 @@ def test_balanced_sample_of_more_rows_than_a_sample_of_ranges_holds(spark):
     got = [r["id"] for r in P.balanced_sample(rows, F.col("yes"), F.col("id")).collect()]
     order = sorted((i for i in range(100000) if i % 4), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())
     assert sorted(got) == sorted([*range(0, 100000, 4), *order[:50000]])
+
+
+def test_no_copies_of_chunks_are_shuffled(spark):
+    df = spark.createDataFrame([(1, 10, [1.0, 0.0], None), (1, 11, [0.6, 0.8], 2020)], "block int, item long, v array<float>, year int")
+    out = P.topk_similar(df, "block", "item", "v", "year")
+    assert sorted((r["item"], r["other"], round(r["score"], 6)) for r in out.collect()) == [(10, 11, 0.6), (11, 10, 0.6)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "Broadcast" not in plan
